@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendora.llm import chat_format, language_id, piece_codec, token_counts, topk_search, toxicity
+from vendora.llm import chat_format, language_id, ngram_join, piece_codec, token_counts, topk_search, toxicity
 
 QUERY_STEP = 50
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -36,6 +36,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), *token_counts.pieces_of_model(piece_model()))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.predict_languages(docs, language_id.learn(docs))
@@ -63,6 +67,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_token_counts": op2_token_counts,
+    "op3_ngram_join": op3_ngram_join,
     "op4_language_id": op4_language_id,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_chat_format": op7_chat_format,
@@ -78,6 +83,17 @@ SQL: dict[str, str] = {
               from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s)
         select query_id, rank::int as rank, vec_id, score from r where rank <= 5""",
+    "op3_ngram_join": r"""
+        with recursive w as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+        s as (select distinct doc_id, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+                                                  when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) sh from w),
+        n as (select doc_id, count(*) n from s group by doc_id),
+        p as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id group by 1, 2),
+        l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+        r as (select doc_id a, doc_id b from documents union select r.a, l.b from r join l on l.a = r.b)
+        select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.c as component_id
+        from documents d left join n using (doc_id) join (select a, min(b) c from r group by a) m on m.a = d.doc_id""",
     "op7_chat_format": r"""
         with c as (
             select conv_id::bigint conv_id, turn::bigint turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
