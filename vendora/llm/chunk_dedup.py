@@ -1,6 +1,6 @@
 """Substring deduplication by content-defined chunks.
 
-A gear rolling hash over the last WINDOW bytes cuts each text into chunks of 32 bytes
+A gear rolling hash over the last WINDOW bytes cuts each text into chunks of about 25 bytes
 on average, so a cut depends on the bytes before it alone and an insertion moves no
 later cut.  Chunks are known by a 96-bit digest; of equal chunks the first, by doc_id and
 place, is kept.  Adjacent repeated chunks form a span, and spans of at least MIN_SPAN
@@ -24,10 +24,10 @@ from vendora.llm.kernel import RangeHash, U, chunks, text_buffer
 from vendora.llm.store import PACKED, Deal, deal_out, gather, partitions_for
 
 WINDOW = 16
-#: The top bits of the 16-bit gear hash that must be zero at a cut: 2**5 bytes between cuts on average.
-CUT_BITS = 5
+#: The top bits of the 16-bit gear hash that must be zero at a cut: 2**4 bytes between cuts on average.
+CUT_BITS = 4
 #: A cut so soon after another one is none; a chunk without a cut ends at MAX_CHUNK.
-MIN_CHUNK, MAX_CHUNK = 8, 1024
+MIN_CHUNK, MAX_CHUNK = 8, 256
 MIN_SPAN = 100
 _rng = np.random.Generator(np.random.PCG64(7))
 _GEAR = _rng.integers(0, 1 << 16, 256, dtype=np.uint16)
@@ -92,7 +92,7 @@ def _deal_chunks(buckets: int):
     return run
 
 
-def _find_repeats(buckets: int):
+def _find_repeats(buckets: int, within: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = gather(batches, {0: CHUNK})[0]
         out = Deal(buckets, REPEAT)
@@ -101,7 +101,7 @@ def _find_repeats(buckets: int):
             new = np.concatenate(([True], (x["d1"][1:] != x["d1"][:-1]) | (x["d2"][1:] != x["d2"][:-1])))
             first = np.flatnonzero(new)[np.cumsum(new) - 1]
             # A repeated row repeats its chunks' places: it is no later occurrence of itself.
-            later = (x["doc"] != x["doc"][first]) | (x["at"] != x["at"][first])
+            later = (x["doc"] != x["doc"][first]) | (within & (x["at"] != x["at"][first]))
             made = np.empty(int(later.sum()), REPEAT)
             made["doc"], made["at"], made["size"], made["first"] = x["doc"][later], x["at"][later], x["size"][later], x["doc"][first][later]
             yield from out.add(made["doc"].astype(U), made)
@@ -128,18 +128,18 @@ def _spans(least: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, least: int = MIN_SPAN) -> DataFrame:
+def repeated_spans(docs: DataFrame, least: int = MIN_SPAN, within: bool = True) -> DataFrame:
     """doc_id, start and n_bytes of each repeated span (in bytes of UTF-8), first_doc_id.
 
     first_doc_id is the least document in which a chunk of the span comes first; it may
-    be doc_id itself.  Only doc_id and text are read; null and empty texts have no
+    be doc_id itself, unless within is false: then only repeats across documents count.  Only doc_id and text are read; null and empty texts have no
     spans; rows without doc_id take no part; rows that repeat a doc_id and text are one
     occurrence.
     """
     rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").where("doc_id is not null")
     buckets = partitions_for(docs)
     dealt = deal_out(rows.mapInArrow(_deal_chunks(buckets), PACKED), buckets)
-    found = deal_out(dealt.mapInArrow(_find_repeats(buckets), PACKED), buckets)
+    found = deal_out(dealt.mapInArrow(_find_repeats(buckets, within), PACKED), buckets)
     return found.mapInArrow(_spans(least), "doc_id bigint, start bigint, n_bytes bigint, first_doc_id bigint")
 
 

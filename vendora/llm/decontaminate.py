@@ -7,9 +7,10 @@ an item's weight that a passage covers, and one threshold serves all items.
 Passages are windows of twice the longest item's length that overlap by half, so any
 item lies whole in one of them.  For each passage a bound on its best score comes
 first, for whole batches of text at once: terms so common that together they give no
-item more than half the threshold count nothing, and the other terms must reach the
-rest.  Passages that pass are run through block-max WAND, which returns every item at
-or above the threshold.  Each hit is verified on n-grams: the passage must hold shares
+item more than half the threshold count nothing, and the weights of the other terms
+must reach the rest, at first summed over all words and then for one item.  Passages
+that pass are run through block-max WAND, which returns every item at or above the
+threshold.  Each hit is verified on n-grams: the passage must hold shares
 of the item's question and of its answer (its last sentence).
 
 The index is sent to the executors in shards of at most SHARD_ITEMS items; each shard
@@ -93,6 +94,12 @@ class Index:
                 common[ids] = after
                 self.bound_of[t] = 0.0
         self.left_out = float(common.max(initial=0.0))
+        # Postings of the other terms, side by side.
+        sizes = np.array([len(ids) if self.bound_of[t] else 0 for t, (ids, _) in enumerate(self.lists)] + [0], np.int64)
+        self.first = np.concatenate(([0], np.cumsum(sizes)))
+        own = [x for t, x in enumerate(self.lists) if self.bound_of[t]]
+        self.items = np.array([i for ids, _ in own for i in ids], np.int64)
+        self.weights = np.array([w for _, x in own for w in x])
         parts = [question_and_answer(items[i][1]) for i in keep]
         self.questions = [self._grams(w) for w in hashed_words([q for q, _ in parts])]
         self.answers = [self._grams(w) for w in hashed_words([a for _, a in parts])]
@@ -157,6 +164,21 @@ class Index:
             cursors = [c for c in cursors if c[0] >= 0]
         return out
 
+    def promising(self, numbers: np.ndarray, window: np.ndarray, count: int) -> np.ndarray:
+        """Which of the windows (0 .. count - 1) have terms outside the common ones that could bring an item to the threshold.
+
+        numbers: terms of words; window: the window of each.
+        """
+        key = np.unique(window * (len(self.terms) + 1) + numbers)
+        window, term = key // (len(self.terms) + 1), key % (len(self.terms) + 1)
+        n = self.first[term + 1] - self.first[term]
+        at = np.repeat(self.first[term] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        pair, place = np.unique(np.repeat(window, n) * len(self.ids) + self.items[at], return_inverse=True)
+        enough = np.bincount(place, self.weights[at], len(pair)) >= THRESHOLD - self.left_out - 1e-6
+        out = np.zeros(count, bool)
+        out[pair[enough] // len(self.ids)] = True
+        return out
+
     def overlap(self, item: int, passage: np.ndarray) -> tuple[float, float]:
         """Shares of the item's question and answer n-grams that the passage's words hold; of an empty part, 1."""
         made: dict[int, np.ndarray] = {}
@@ -180,7 +202,14 @@ def leaks_of(index: Index, hashes: np.ndarray, firsts: np.ndarray) -> Iterator[t
     end = np.minimum(start + 2 * index.step, firsts[1:][row])
     bound = sums[end] - sums[start]
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
-    for w in np.flatnonzero(bound >= THRESHOLD - index.left_out - 1e-6):
+    able = np.flatnonzero(bound >= THRESHOLD - index.left_out - 1e-6)
+    if len(able):
+        size = end[able] - start[able]
+        of = np.repeat(np.arange(len(able)), size)
+        word = numbers[np.repeat(start[able] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())]
+        useful = index.bound_of[word] > 0
+        able = able[index.promising(word[useful], of[useful], len(able))]
+    for w in able:
         part = numbers[start[w] : end[w]]
         terms = np.unique(part[part < len(index.terms)]).tolist()
         for item, score in index.search(terms, THRESHOLD):

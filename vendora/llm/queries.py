@@ -74,7 +74,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return chunk_dedup.repeated_spans(table(spark, sf_dir, "documents"), within=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
