@@ -1,21 +1,61 @@
 """Corpus pipeline: language ID, line dedup, n-gram Jaccard join, decontamination, SentencePiece.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
-Parquet and read again as the next one's docs.
+Parquet and read again as the next one's docs.  All but the last return the columns of
+documents; the last returns the token ids.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vendora.llm.store import materialize
+from vendora.llm import decontaminate, language_id, line_dedup, ngram_join, piece_codec
+from vendora.llm.queries import piece_model, table
+from vendora.llm.store import discard, materialize
 
-STAGES: list = []
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no language is found (null texts, texts without letters) go."""
+    return language_id.keep_identified(docs, language_id.learn(docs))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat or nearly repeat an earlier one go, and documents of which nothing is left."""
+    return line_dedup.drop_repeated_lines(docs)
+
+
+def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the least doc_id stays."""
+    return ngram_join.keep_first_of_components(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and whether they decode to the text."""
+    return piece_codec.encode_documents(docs, piece_model())
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", join_near_copies),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("SentencePiece encoding", encode_pieces),
+]
+
+#: SQL can't express language profiles or BPE; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+    docs = table(spark, sf_dir, "documents")
+    for number, (_, stage) in enumerate(STAGES):
+        done = materialize(stage(spark, docs, sf_dir))
+        if number:
+            discard(docs)
+        docs = done
     return docs
