@@ -379,22 +379,22 @@ def repeated_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHA
     return seen.where("kind = 0").select("doc_id", "line", "size").unionByName(others)
 
 
-def _rebuild(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, n_lines, n_dropped = [], [], []
-        for text, gone in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-            text = text.as_py()
-            lines = (text or "").split("\n")
-            n_lines.append(len(lines) if text else 0)
-            if gone and text:
-                out = {x["line"] for x in gone if x["line"] < len(lines) and len(lines[x["line"]]) == x["size"]}
-                kept = [x for i, x in enumerate(lines) if i not in out]
-                n_dropped.append(len(lines) - len(kept))
-                text = "\n".join(kept)
-            else:
-                n_dropped.append(0)
-            texts.append(text)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], ["doc_id", "text", "n_lines", "n_dropped"])
+def _without(text: str | None, gone: list[dict] | None) -> tuple[str | None, int, int]:
+    """Text without the lines at these places, its number of lines, and how many went."""
+    if not text:
+        return text, 0, 0
+    lines = text.split("\n")
+    if not gone:
+        return text, len(lines), 0
+    out = {x["line"] for x in gone if x["line"] < len(lines) and len(lines[x["line"]]) == x["size"]}
+    kept = [x for i, x in enumerate(lines) if i not in out]
+    return "\n".join(kept), len(lines), len(lines) - len(kept)
+
+
+def _with_places(docs: DataFrame, edits: int, least: int) -> DataFrame:
+    """docs with a last column of the places of their repeated lines; the lists are small, so they are the hashed side."""
+    gone = repeated_lines(docs, edits, least).groupBy("doc_id").agg(F.collect_set(F.struct("line", "size")).alias("_gone")).withColumnRenamed("doc_id", "_gone_from")
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("bigint") == F.col("_gone_from"), "left").drop("_gone_from")
 
 
 def dedup_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS) -> DataFrame:
@@ -405,6 +405,30 @@ def dedup_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS)
     and become empty.  Rows that repeat a doc_id and text are one occurrence: none of
     them loses a line to another.
     """
-    gone = repeated_lines(docs, edits, least).groupBy("doc_id").agg(F.collect_set(F.struct("line", "size")).alias("gone"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_without(t.as_py(), g) for t, g in zip(batch.column(1), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _, _ in found], pa.string()), pa.array([x for _, x, _ in found], pa.int64()), pa.array([x for _, _, x in found], pa.int64())], ["doc_id", "text", "n_lines", "n_dropped"])
+
     rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
-    return rows.join(gone.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_rebuild, "doc_id bigint, text string, n_lines bigint, n_dropped bigint")
+    return _with_places(rows, edits, least).mapInArrow(run, "doc_id bigint, text string, n_lines bigint, n_dropped bigint")
+
+
+def drop_repeated_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS) -> DataFrame:
+    """docs with their own columns: text without repeated lines, n_chars its length; rows that had lines and lose them all go."""
+    at, chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = batch.columns
+            gone = columns.pop()
+            old = columns[at].to_pylist()
+            texts = [_without(t, g)[0] for t, g in zip(old, gone.to_pylist(), strict=True)]
+            columns[at] = pa.array(texts, pa.string())
+            if chars is not None:
+                columns[chars] = pa.array([n if t == o or t is None else len(t) for t, o, n in zip(texts, old, columns[chars].to_pylist(), strict=True)], columns[chars].type)
+            keep = pa.array([bool(t) or not o for t, o in zip(texts, old, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1]).filter(keep)
+
+    return _with_places(docs, edits, least).mapInArrow(run, docs.schema)

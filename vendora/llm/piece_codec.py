@@ -18,6 +18,7 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -247,14 +248,25 @@ def _each(fn, schema: pa.Schema):
 
 
 def encode_documents(docs: DataFrame, model: bytes) -> DataFrame:
-    """doc_id, ids array<int>: the end id comes last; a null or empty text has only that."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    """doc_id, n_tokens, ids array<int>, round_trip (whether decoding gives the text back).
+
+    The end id comes last; a null or empty text has only that.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
 
     def run(part: pa.RecordBatch) -> list:
         own = codec(model)
-        return [part.column(0), pa.array([own.encode(t) for t in part.column(1).to_pylist()], pa.list_(pa.int32()))]
+        numbers, same = [], []
+        for text in part.column(1):
+            text = text.as_py() or ""
+            ids, back = own.round_trip(text)
+            numbers.append(np.fromstring(ids, np.int32, sep=" "))
+            same.append(back == text)
+        sizes = [len(x) for x in numbers]
+        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+        return [part.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(numbers or [np.empty(0, np.int32)]))), pa.array(same, pa.bool_())]
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(_each(run, schema), "doc_id bigint, ids array<int>")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(_each(run, schema), "doc_id bigint, n_tokens bigint, ids array<int>, round_trip boolean")
 
 
 def decode_documents(encoded: DataFrame, model: bytes) -> DataFrame:
