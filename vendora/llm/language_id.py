@@ -24,6 +24,8 @@ from vendora.llm.kernel import chunks, runs_of_sorted
 
 PROFILE_SIZE = 300
 SAMPLE_DOCS = 1000
+#: Languages learned: those with the most rows.
+MAX_LANGUAGES = 200
 #: A document is compared by as many n-grams as this, and at least as it has.
 DOCUMENT_GRAMS = 300
 UNKNOWN = "und"
@@ -121,11 +123,13 @@ def is_held_out():
 def learn(docs: DataFrame) -> Profiles:
     """Profiles from rows with a language that are not held out.
 
-    Counts are summed before the shuffle and again after it; the driver gets
-    PROFILE_SIZE n-grams of each language.
+    Sampling rates, a row for each of at most MAX_LANGUAGES languages, are broadcast, so
+    texts aren't shuffled.  N-gram counts are summed before the shuffle and again after
+    it; the driver gets PROFILE_SIZE n-grams of each language.
     """
     rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text", "cast(lang as string) lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~is_held_out())
-    rates = rows.groupBy("lang").agg((F.lit(float(SAMPLE_DOCS)) / F.count("*")).alias("rate"))
+    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
+    rates = F.broadcast(counted.select("lang", (F.lit(float(SAMPLE_DOCS)) / F.col("count")).alias("rate")))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     sample = rows.join(rates, "lang").where(draw < F.col("rate")).select("lang", "text")
 
@@ -161,3 +165,14 @@ def predict_languages(docs: DataFrame, profiles: Profiles) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], schema=schema)
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, profiles: Profiles) -> DataFrame:
+    """The rows of docs whose text has a language by the profiles, with all their columns; one narrow pass."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([profiles.predict(letters)[0] != UNKNOWN for _, letters in _pieces(batch, at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
