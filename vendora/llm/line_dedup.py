@@ -215,7 +215,7 @@ def _row_batch(kind: int, a: np.ndarray, b: np.ndarray, payload: list | None = N
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), long_array(a), long_array(b), pa.array(payload or [None] * len(a), pa.binary())], ["kind", "a", "b", "payload"])
 
 
-def _match(edits: int):
+def _match(edits: int, short_list: int):
     """Kind 0: candidate pairs.  Kind 1: occurrences, as one payload.  Kind 2: a line of a long list (line, list), with its record."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +226,7 @@ def _match(edits: int):
         starts, lengths = runs_of_sorted(own["key"])
         first = np.searchsorted(probe["key"], own["key"][starts])
         probes = np.searchsorted(probe["key"], own["key"][starts], "right") - first
-        short = (lengths <= SHORT_LIST) & (probes <= SHORT_LIST)
+        short = (lengths <= short_list) & (probes <= short_list)
         for size in np.unique(lengths[short & (lengths > 1)]):
             i, j = np.triu_indices(int(size), 1)
             base = starts[short & (lengths == size)][:, None]
@@ -359,11 +359,11 @@ def _firsts(bitmap: bytes):
     return run
 
 
-def repeated_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS) -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS, short_list: int = SHORT_LIST) -> DataFrame:
     """(doc_id, line, size): places of lines, counted from 0, that repeat an earlier one or are within reach of its class; size in characters."""
     rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").where("doc_id is not null")
     buckets = partitions_for(docs)
-    matched = materialize(deal_out(rows.mapInArrow(_deal_lines(buckets, edits, least), PACKED), buckets).mapInArrow(_match(edits), _ROWS))
+    matched = materialize(deal_out(rows.mapInArrow(_deal_lines(buckets, edits, least), PACKED), buckets).mapInArrow(_match(edits, short_list), _ROWS))
     links = _links(rows, matched.where("kind = 0").select("a", "b"), edits, least)
     listed = matched.where("kind = 2").select(F.col("a").alias("h"), "payload")
     if not listed.isEmpty():
