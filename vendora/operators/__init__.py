@@ -1,0 +1 @@
+"""Operators over catalogue tables: each takes DataFrames and returns a DataFrame."""

@@ -1,4 +1,527 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the stand-in tables, each with its SQL.
 
-QUERIES: dict = {}
-SQL: dict = {}
+Stand-ins: customers are users (market segment: plan), suppliers are suppliers (nation:
+owner), parts are products, orders are products with an owner and a status, events are
+the usage log and import rows, regions and nations are types and their templates.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vendora.functions import columns as C
+from vendora.operators import analytics, enrich, ingest, lifecycle, reading
+from vendora.sources.delimited import key_values
+from vendora.sources.tables import read
+
+AS_OF = "2024-01-31"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def register(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return register
+
+
+def _users(s, d):
+    return read(s, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("plan"))
+
+
+def _usage(s, d):
+    return read(s, d, "events").select("event_id", "user_id", F.col("event_type").alias("action"), "ts", "value", "props")
+
+
+#: Fixed values of the stand-ins: plan limits.
+LIMITS = (("AUTOMOBILE", 5), ("BUILDING", 0), ("FURNITURE", 20), ("HOUSEHOLD", 60), ("MACHINERY", None))
+_LIMITS_SQL = "(values ('AUTOMOBILE', 5), ('BUILDING', 0), ('FURNITURE', 20), ('HOUSEHOLD', 60), ('MACHINERY', null)) l(plan, plan_limit)"
+_MONTH = "ts >= date_trunc('month', timestamp '2024-01-31')"
+
+
+def _limits(s):
+    return s.createDataFrame(LIMITS, "plan string, plan_limit int")
+
+
+# Analytics
+
+
+@query(f"""
+    select p.plan, coalesce(n.n, 0)::bigint as n_uses from (select distinct c_mktsegment as plan from customer order by 1 limit 1000) p
+    left join (select c_mktsegment as plan, count(*) n from events join customer on user_id = c_custkey where {_MONTH} group by 1) n using (plan)""")
+def usage_by_plan(s, d):
+    users = _users(s, d)
+    return analytics.usage_by_plan(users.select("plan").where("plan is not null").distinct(), users, _usage(s, d), AS_OF)
+
+
+@query(f"""
+    select (select count(*) from customer)::bigint as users, (select count(*) from orders)::bigint as products, (select count(*) from supplier)::bigint as suppliers,
+           (select count(*) from events where {_MONTH})::bigint as uses_of_month, (select count(*) from events where {_MONTH} and lower(event_type) like '%l_ck%')::bigint as matching_of_month""")
+def total_counts(s, d):
+    month = _usage(s, d).where(C.since_month_start(F.col("ts"), AS_OF))
+    used = month.agg(F.count("*").alias("uses_of_month"), F.count_if(F.lower("action").like("%l_ck%")).alias("matching_of_month"))
+    count = lambda t, name: read(s, d, t).agg(F.count("*").alias(name))
+    # One-row frames.
+    return count("customer", "users").join(F.broadcast(count("orders", "products"))).join(F.broadcast(count("supplier", "suppliers"))).join(F.broadcast(used))
+
+
+@query(f"select event_type as action, count(*)::bigint as n_uses from events where {_MONTH} group by 1")
+def usage_by_action(s, d):
+    return analytics.usage_by_action(_usage(s, d), AS_OF)
+
+
+@query(f"""
+    select u.user_id, u.name, coalesce(p.n, 0)::bigint as n_products, coalesce(e.n, 0)::bigint as n_uses
+    from (select c_custkey as user_id, c_name as name from customer order by c_custkey limit 100 offset 20) u
+    left join (select o_custkey k, count(*) n from orders group by 1) p on p.k = u.user_id
+    left join (select user_id k, count(*) n from events where {_MONTH} group by 1) e on e.k = u.user_id""")
+def user_activity_page(s, d):
+    users = reading.page(_users(s, d).select("user_id", "name"), [F.asc("user_id")], 20, 100)
+    return analytics.user_activity(users, read(s, d, "orders").select(F.col("o_custkey").alias("user_id")), _usage(s, d), AS_OF)
+
+
+@query("select o_orderstatus as status, count(*)::bigint as total from orders group by 1")
+def status_counts(s, d):
+    return analytics.status_counts(read(s, d, "orders"), "o_orderstatus")
+
+
+@query("""
+    with c as (select o_orderstatus as status, count(*)::bigint as total from orders group by 1)
+    select status, total, round(total / (select greatest(max(total), 1) from c) * 100)::bigint as percent from c""")
+def status_bar_scaled(s, d):
+    return analytics.scaled(analytics.status_counts(read(s, d, "orders"), "o_orderstatus"))
+
+
+@query("""
+    select e.event_id, c.c_name as name, e.event_type as action, strftime(e.ts, '%Y-%m-%d %H:%M:%S') as at
+    from (select * from events order by ts desc, event_id desc limit 10) e left join customer c on c.c_custkey = e.user_id""")
+def recent_activity(s, d):
+    top = reading.page(_usage(s, d), [F.desc("ts"), F.desc("event_id")], 0, 10, 50)
+    users = read(s, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name")).join(F.broadcast(top.select("user_id")), "user_id", "left_semi")
+    return top.join(users, "user_id", "left").select("event_id", "name", "action", C.stamp(F.col("ts")).alias("at"))
+
+
+@query(f"""
+    select c_custkey as user_id, (case when plan_limit is null or plan_limit <= 0 then -1 else plan_limit - coalesce(n, 0) end)::bigint as remaining,
+           (plan_limit is null or plan_limit <= 0 or plan_limit - coalesce(n, 0) > 0) as allowed
+    from customer left join {_LIMITS_SQL} on l.plan = c_mktsegment left join (select user_id k, count(*) n from events where {_MONTH} group by 1) e on e.k = c_custkey""")
+def quota_remaining(s, d):
+    return analytics.quota_remaining(_users(s, d), _limits(s), _usage(s, d), AS_OF)
+
+
+@query(f"""
+    select c_custkey as user_id, lim::bigint as effective_limit, coalesce(n, 0)::bigint as used, (lim is null or lim <= 0 or coalesce(n, 0) + 3 <= lim) as enough
+    from (select c_custkey, coalesce(nullif(c_custkey % 4 * 20, 0), plan_limit) lim from customer left join {_LIMITS_SQL} on l.plan = c_mktsegment) u
+    left join (select user_id k, count(*) n from events where {_MONTH} group by 1) e on e.k = c_custkey""")
+def credit_check(s, d):
+    users = _users(s, d).withColumn("user_limit", (F.col("user_id") % 4 * 20).cast("int"))
+    return analytics.credit_check(users, _limits(s), _usage(s, d), 3, AS_OF)
+
+
+@query(f"select user_id, count(*)::bigint as n_uses from events where {_MONTH} and lower(event_type) like 'p%' group by 1")
+def usage_by_user_and_prefix(s, d):
+    rows = _usage(s, d).where(C.since_month_start(F.col("ts"), AS_OF) & F.lower("action").like("p%"))
+    return rows.groupBy("user_id").agg(F.count("*").alias("n_uses"))
+
+
+# Reading
+
+_PART_SEARCH = "(lower(p_name) like '%a%' or lower(p_brand) like '%a%' or lower(p_type) like '%a%')"
+
+
+def _found_parts(s, d):
+    return reading.matching(reading.search(read(s, d, "part"), ["p_name", "p_brand", "p_type"], "a"), at_least={"p_size": 10}, contains={"p_type": "e"})
+
+
+@query(f"""
+    select p_partkey, p_name, p_brand, p_type, p_size, p_retailprice from part where {_PART_SEARCH} and p_size >= 10 and lower(p_type) like '%e%'
+    order by p_retailprice desc nulls last, p_partkey limit 10 offset 5""")
+def product_search_page(s, d):
+    return reading.page(_found_parts(s, d), reading.order_of(read(s, d, "part"), "p_retailprice", True, "p_partkey"), 5, 10)
+
+
+@query(f"select count(*)::bigint as total, 1 as page, greatest(ceil(count(*) / 10.0), 1)::bigint as pages from part where {_PART_SEARCH} and p_size >= 10 and lower(p_type) like '%e%'")
+def product_search_count(s, d):
+    total = F.count("*")
+    return _found_parts(s, d).agg(total.alias("total"), F.lit(reading.page_number(5, 10)).alias("page"), F.greatest(F.ceil(total / 10), F.lit(1)).cast("bigint").alias("pages"))
+
+
+@query("select s_suppkey, s_name from supplier where lower(s_name) like '%1%' order by s_name, s_suppkey limit 10 offset 2")
+def supplier_search_page(s, d):
+    rows = reading.search(read(s, d, "supplier"), ["s_name"], "1").select("s_suppkey", "s_name")
+    return reading.page(rows, [F.asc("s_name"), F.asc("s_suppkey")], 2, 10)
+
+
+@query("select s_suppkey, s_name, s_nationkey from supplier where s_nationkey = 3")
+def tenant_suppliers(s, d):
+    return reading.tenant(read(s, d, "supplier"), "s_nationkey", 3).select("s_suppkey", "s_name", "s_nationkey")
+
+
+@query("select n_nationkey, n_name, nullif(n_regionkey, 0) as owner from nation where n_regionkey in (0, 1) order by nullif(n_regionkey, 0) nulls last, n_name limit 10")
+def own_or_global_types(s, d):
+    types = read(s, d, "nation").select("n_nationkey", "n_name", F.nullif("n_regionkey", F.lit(0)).alias("owner"))
+    return reading.page(reading.own_or_global(types, "owner", 1), [F.asc_nulls_last("owner"), F.asc("n_name")], 0, 10)
+
+
+@query("""
+    select event_id, event_type as action, strftime(ts, '%Y-%m-%d %H:%M:%S') as at, value from events
+    where user_id = 7 and event_type = 'view' and ts >= timestamp '2024-01-05' and ts <= timestamp '2024-01-25' order by ts desc, event_id desc limit 20 offset 3""")
+def usage_range_page(s, d):
+    rows = reading.matching(_usage(s, d), {"user_id": 7, "action": "view"}, {"ts": "2024-01-05 00:00:00"}, {"ts": "2024-01-25 00:00:00"})
+    return reading.page(rows, [F.desc("ts"), F.desc("event_id")], 3, 20).select("event_id", "action", C.stamp(F.col("ts")).alias("at"), "value")
+
+
+@query("""
+    with a as (
+        (select 'product' as kind, p_partkey::bigint as id, p_name as name, p_partkey::bigint as created from part where lower(p_name) like '%a%' order by 4 desc, 2 desc limit 10) union all
+        (select 'supplier', s_suppkey::bigint, s_name, s_suppkey::bigint from supplier where lower(s_name) like '%a%' order by 4 desc, 2 desc limit 10) union all
+        (select 'user', c_custkey::bigint, c_name, c_custkey::bigint from customer where lower(c_name) like '%a%' order by 4 desc, 2 desc limit 10))
+    select * from a order by created desc, id desc, kind limit 10""")
+def federated_search(s, d):
+    branch = lambda kind, t, key, name: (kind, reading.search(read(s, d, t), [name], "a"), key, name, F.col(key).cast("bigint"))
+    return reading.federated([branch("product", "part", "p_partkey", "p_name"), branch("supplier", "supplier", "s_suppkey", "s_name"), branch("user", "customer", "c_custkey", "c_name")], 10)
+
+
+@query("select p_partkey, p_name from part where lower(p_name) in (select lower(p_name) from part group by 1 having count(*) > 1)")
+def same_name_products(s, d):
+    return reading.same_name_elsewhere(read(s, d, "part"), "p_partkey", "p_name").select("p_partkey", "p_name")
+
+
+@query("select n_nationkey, n_name from nation where n_nationkey = 7 and (n_regionkey = 3 or n_regionkey = 0) or n_name = '7' limit 1")
+def type_resolution(s, d):
+    types = read(s, d, "nation").withColumn("owner", F.nullif("n_regionkey", F.lit(0)))
+    return reading.resolve(types, "7", "n_nationkey", "n_name", "owner", 3).select("n_nationkey", "n_name")
+
+
+@query("select distinct event_type as action from events")
+def action_listing(s, d):
+    return _usage(s, d).select("action").distinct()
+
+
+# Keep-latest, siblings, references
+
+
+@query("""
+    select o_orderkey, o_custkey, o_orderstatus from orders where o_orderstatus = 'P' or o_custkey is null or o_orderkey in (
+        select max(o_orderkey) from orders where o_orderstatus <> 'P' and o_custkey is not null group by o_custkey, o_orderpriority)""")
+def dedup_keep_latest(s, d):
+    rows = read(s, d, "orders").withColumn("k", F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")))
+    return lifecycle.keep_latest(rows, "o_orderkey", ["o_custkey", "k"]).select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+def _siblings(s, d):
+    return lifecycle.renumbered(read(s, d, "nation"), "n_regionkey", [F.desc("n_name"), F.asc("n_nationkey")])
+
+
+_SIBLINGS = "select *, (row_number() over (partition by n_regionkey order by n_name desc, n_nationkey) - 1)::int as position from nation"
+
+
+@query(f"select n_nationkey, n_regionkey, position from ({_SIBLINGS})")
+def sibling_renumber(s, d):
+    return _siblings(s, d).select("n_nationkey", "n_regionkey", "position")
+
+
+@query(f"""
+    with r as ({_SIBLINGS}), m as (select n_regionkey k, position p from r where n_nationkey = 12)
+    select n_nationkey, n_regionkey, (case when p > 0 and position = p then position - 1 when p > 0 and position = p - 1 then position + 1 else position end)::int as position
+    from r left join m on k = n_regionkey""")
+def sibling_move_up(s, d):
+    return lifecycle.moved_up(_siblings(s, d), "n_regionkey", "n_nationkey", 12).select("n_nationkey", "n_regionkey", "position")
+
+
+@query("select event_id, user_id from events where user_id not in (select c_custkey from customer where c_mktsegment = 'BUILDING') or user_id is null")
+def delete_cascade_usage(s, d):
+    gone = _users(s, d).where("plan = 'BUILDING'").select(F.col("user_id").alias("id"))
+    return lifecycle.without_children(_usage(s, d), "user_id", gone).select("event_id", "user_id")
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, case when s.k is null then l_suppkey end as l_suppkey from lineitem left join (select s_suppkey k from supplier where s_acctbal < 0) s on s.k = l_suppkey")
+def delete_supplier_set_null(s, d):
+    gone = read(s, d, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("id"))
+    return lifecycle.parent_set_null(read(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_suppkey", gone)
+
+
+@query("""
+    select i.id, case when o.o_orderkey is null then 'not_found' when o.o_custkey = 10 then 'deleted' else 'not_authorized' end as outcome
+    from (select unnest(range(-5, 1000)) as id union select o_orderkey from orders where o_custkey = 10) i left join orders o on o.o_orderkey = i.id""")
+def batch_delete_classify(s, d):
+    orders = read(s, d, "orders")
+    ids = s.range(-5, 1000).union(orders.where("o_custkey = 10").select("o_orderkey")).distinct()
+    return lifecycle.classify_batch(ids, orders, "o_orderkey", "o_custkey", 10)
+
+
+@query("select n_nationkey, n_nationkey in (select c_nationkey from customer where c_acctbal > 9000) as in_use from nation")
+def type_in_use(s, d):
+    return lifecycle.in_use(read(s, d, "nation"), "n_nationkey", read(s, d, "customer").where("c_acctbal > 9000"), "c_nationkey").select("n_nationkey", "in_use")
+
+
+@query("select event_id, user_id from events where user_id is not null and user_id not in (select c_custkey from customer where c_acctbal > 0)")
+def fk_rejects(s, d):
+    return lifecycle.orphans(_usage(s, d), "user_id", read(s, d, "customer").where("c_acctbal > 0"), "c_custkey").select("event_id", "user_id")
+
+
+@query("select r_regionkey, coalesce(string_agg(n_name, '|' order by n_nationkey), '') as names from region left join nation on n_regionkey = r_regionkey group by 1")
+def type_templates(s, d):
+    rows = lifecycle.nested(read(s, d, "region"), "r_regionkey", read(s, d, "nation"), "n_regionkey", ["n_name"], "n_nationkey", "templates")
+    return rows.select("r_regionkey", F.array_join(F.transform("templates", lambda t: t["n_name"]), "|").alias("names"))
+
+
+# Import
+
+_WRAPPED = "case p_partkey % 8 when 0 then ' NaN ' when 1 then ' #n/a' when 2 then chr(9) || 'None' when 3 then '  ' || p_type || chr(160) else p_type end"
+_CLEANED = "regexp_replace({0}, '^[\\s\\x{{A0}}]+|[\\s\\x{{A0}}]+$', '', 'g')"
+
+
+def _wrapped():
+    k = F.col("p_partkey") % 8
+    return F.when(k == 0, F.lit(" NaN ")).when(k == 1, F.lit(" #n/a")).when(k == 2, F.lit("\tNone")).when(k == 3, F.concat(F.lit("  "), F.col("p_type"), F.lit(" "))).otherwise(F.col("p_type"))
+
+
+@query(f"""
+    with c as (select p_partkey, {_CLEANED.format(f'({_WRAPPED})')} v from part)
+    select p_partkey, case when lower(v) not in ('', 'nan', 'none', '#n/a', 'na', '<na>') then v end as cell from c""")
+def clean_tokens(s, d):
+    return read(s, d, "part").select("p_partkey", C.clean(_wrapped()).alias("cell"))
+
+
+def _raw_parts(s, d):
+    """Parts as a supplier's file: every cell a string, some empty, headers as people write them."""
+    k = F.col("p_partkey")
+    return read(s, d, "part").select(
+        k, F.when(k % 5 != 0, F.col("p_name")).alias(" Nome "), F.when(k % 10 != 0, (k % 700).cast("string")).alias("SKU"), F.when(k % 3 == 0, F.col("p_brand")).alias("Marca"),
+        F.col("p_brand").alias("fabricante"), F.when(k % 20 != 0, F.col("p_type")).alias("Obs "), F.when(k % 7 == 0, F.lit("n/a")).otherwise(F.col("p_size").cast("string")).alias("Tam"),
+    )
+
+
+_HEADERS = [" Nome ", "SKU", "Marca", "fabricante", "Obs ", "Tam"]
+
+
+@query("""
+    with r as (select p_partkey k, case when p_partkey % 5 <> 0 then p_name end nome, case when p_partkey % 10 <> 0 then (p_partkey % 700)::varchar end sku, p_brand b,
+                      case when p_partkey % 20 <> 0 then p_type end obs, case when p_partkey % 7 = 0 then 'n/a' else p_size::varchar end tam from part)
+    select k as p_partkey, case when nome is null and sku is null then coalesce(obs, tam) else nome end as nome_base, sku as sku_original, b as marca,
+           concat_ws(';', 'Obs=' || obs, 'Tam=' || tam) as leftovers, case when nome is null and sku is null and obs is null and tam is null then 'no name and no SKU' end as reason from r""")
+def header_normalize(s, d):
+    out = ingest.standardise(_raw_parts(s, d), _HEADERS, None, ("p_partkey",))
+    pairs = F.transform(F.map_entries("leftovers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return out.select("p_partkey", "nome_base", "sku_original", "marca", F.array_join(pairs, ";").alias("leftovers"), "reason")
+
+
+@query("""
+    select p_partkey, concat_ws('; ', case when length(repeat(p_name, (p_partkey % 25)::int)) > 255 then 'nome_base: longer than 255' end,
+        case when length(repeat('9', (p_partkey % 16)::int)) > 13 then 'ean: longer than 13' end, case when p_retailprice - 1000 < 0 then 'preco_venda: negative' end,
+        case when trim(repeat(p_name, (p_partkey % 25)::int)) = '' then 'nome_base: missing' end) as failed
+    from part where length(repeat(p_name, (p_partkey % 25)::int)) > 255 or p_partkey % 16 > 13 or p_retailprice < 1000 or p_partkey % 25 = 0""")
+def validation_rejects(s, d):
+    k = F.col("p_partkey")
+    rules = ingest.failed_rules({"nome_base": F.repeat(F.col("p_name"), (k % 25).cast("int")), "ean": F.repeat(F.lit("9"), (k % 16).cast("int")), "preco_venda": F.col("p_retailprice") - 1000})
+    return read(s, d, "part").select("p_partkey", rules.alias("f")).where(F.size("f") > 0).select("p_partkey", F.array_join("f", "; ").alias("failed"))
+
+
+def _import_rows(s, d):
+    return _usage(s, d).select("user_id", "event_id", F.get_json_object("props", "$.k").alias("sku"), F.floor("value").cast("string").alias("ean"))
+
+
+_GREEDY = """
+    rows as (select user_id, event_id, json_extract_string(props, '$.k') sku, floor(value)::bigint::varchar ean, row_number() over (partition by user_id order by event_id) rn from events),
+    g as (
+        select user_id, event_id, rn, sku, ean, true as accepted, [sku] skus, [ean] eans from rows where rn = 1
+        union all
+        select r.user_id, r.event_id, r.rn, r.sku, r.ean, not (coalesce(list_contains(g.skus, r.sku), false) or coalesce(list_contains(g.eans, r.ean), false)),
+               case when coalesce(list_contains(g.skus, r.sku), false) or coalesce(list_contains(g.eans, r.ean), false) then g.skus else list_append(g.skus, r.sku) end,
+               case when coalesce(list_contains(g.skus, r.sku), false) or coalesce(list_contains(g.eans, r.ean), false) then g.eans else list_append(g.eans, r.ean) end
+        from g join rows r on r.user_id = g.user_id and r.rn = g.rn + 1)"""
+
+
+def _deduped(s, d):
+    return ingest.greedy_dedup(_import_rows(s, d), "user_id", "event_id", ["sku", "ean"])
+
+
+@query(f"with recursive {_GREEDY} select user_id, event_id, sku, ean, accepted from g")
+def greedy_import_dedup(s, d):
+    return _deduped(s, d).select("user_id", "event_id", "sku", "ean", "accepted")
+
+
+def _existing(s, d):
+    """Products before the import: for each user some SKUs and EANs."""
+    return _users(s, d).where("user_id % 2 = 0").select(F.col("user_id").alias("tenant"), (F.col("user_id") * 2).alias("id"), (F.col("user_id") % 97).cast("string").alias("sku"), (F.col("user_id") % 31).cast("string").alias("ean"), F.col("name").alias("label"))
+
+
+_UPSERT = f"""{_GREEDY},
+    p as (select c_custkey tenant, c_custkey * 2 id, (c_custkey % 97)::varchar sku, (c_custkey % 31)::varchar ean, c_name label from customer where c_custkey % 2 = 0),
+    a as (select user_id tenant, event_id, sku, ean, 'e' || event_id label from g where accepted),
+    m as (select a.*, coalesce(x.id, y.id) hit from a left join p x on x.tenant = a.tenant and x.sku = a.sku left join p y on y.tenant = a.tenant and y.ean = a.ean),
+    l as (select * from m where hit is not null qualify row_number() over (partition by tenant, hit order by event_id desc) = 1),
+    st as (
+        select p.tenant, p.id, case when l.hit is null then p.sku else l.sku end sku, case when l.hit is null then p.ean else l.ean end ean,
+               case when l.hit is null then p.label else l.label end as label, case when l.hit is null then 'unchanged' else 'updated' end as change from p left join l on l.tenant = p.tenant and l.hit = p.id
+        union all
+        select tenant, (select max(id) from p) + row_number() over (order by tenant, event_id), sku, ean, label, 'created' from m where hit is null)"""
+
+
+def _state(s, d):
+    good = _deduped(s, d).where("accepted").select(F.col("user_id").alias("tenant"), F.col("event_id").alias("row_no"), "sku", "ean", F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("label"))
+    return ingest.upsert(_existing(s, d), good, ["label"])
+
+
+@query(f"with recursive {_UPSERT} select tenant, id::bigint as id, sku, ean, label, change from st")
+def import_upsert_state(s, d):
+    return _state(s, d).select("tenant", F.col("id").cast("bigint").alias("id"), "sku", "ean", "label", "change")
+
+
+@query(f"""
+    with recursive {_UPSERT}
+    select tenant as user_id, id::bigint as product_id, log, action, credits from st join (values ('usage', 'CRIACAO_PRODUTO', 0), ('history', 'CRIACAO', null)) v(log, action, credits) on change = 'created'""")
+def import_audit_rows(s, d):
+    return ingest.audit(_state(s, d).where("change = 'created'"), "tenant", "id").withColumn("product_id", F.col("product_id").cast("bigint"))
+
+
+@query("""
+    select p_partkey, case when p_partkey % 6 = 0 then null when p_partkey % 6 = 1 then upper(p_name) else p_name end as p_name,
+           case when p_partkey % 4 = 0 then 1.0 else p_retailprice end as p_retailprice from part""")
+def partial_update(s, d):
+    part = read(s, d, "part").select("p_partkey", "p_name", "p_retailprice")
+    k = F.col("p_partkey")
+    patch = part.select(k, F.when(k % 6 == 1, F.upper("p_name")).alias("p_name"), F.lit(1.0).alias("p_retailprice"), (k % 6 <= 1).alias("set_p_name"), (k % 4 == 0).alias("set_p_retailprice"))
+    return ingest.patched(part, patch, "p_partkey", ["p_name", "p_retailprice"])
+
+
+@query(f"""
+    select c_custkey as user_id, coalesce(p.plan_limit, 50)::int as limit_products from customer left join {_LIMITS_SQL.replace('l(', 'p(')} on p.plan = c_mktsegment""")
+def quota_copies(s, d):
+    return _users(s, d).join(F.broadcast(_limits(s)), "plan", "left").select("user_id", F.coalesce("plan_limit", F.lit(50)).cast("int").alias("limit_products"))
+
+
+@query("""
+    select c_custkey as user_id, coalesce(nullif(case when c_custkey % 3 = 0 then '' else c_name end, ''), string_split('u' || c_custkey || '@x.org', '@')[1]) as name,
+           coalesce(nullif(case when c_custkey % 2 = 0 then 'google' else '' end, ''), 'facebook') as provider from customer""")
+def social_login_merge(s, d):
+    users = _users(s, d)
+    email = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@x.org"))
+    name = F.when(F.col("user_id") % 3 == 0, F.lit("")).otherwise(F.col("name"))
+    provider = F.when(F.col("user_id") % 2 == 0, F.lit("google")).otherwise(F.lit(""))
+    return users.select("user_id", F.coalesce(F.nullif(name, F.lit("")), F.element_at(F.split(email, "@"), 1)).alias("name"), F.coalesce(F.nullif(provider, F.lit("")), F.lit("facebook")).alias("provider"))
+
+
+@query("select r_name as name from region union select unnest(['AFRICA', 'eletronicos', 'vestuario'])")
+def seed_types(s, d):
+    return ingest.seeded(read(s, d, "region").select(F.col("r_name").alias("name")), s.createDataFrame([("AFRICA",), ("eletronicos",), ("vestuario",)], "name string"), "name")
+
+
+# Pages and text
+
+
+@query("""
+    select page_id, lower(string_split(string_split(url, '//')[-1], '/')[1]) as host,
+           nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '') as title from pages""")
+def page_host_title(s, d):
+    return read(s, d, "pages").select("page_id", C.host(F.col("url")).alias("host"), C.title(F.col("html")).alias("title"))
+
+
+@query("""
+    with u as (select page_id % 50 as grp, page_id, url, 'example.' || (case page_id % 50 % 3 when 0 then 'com' when 1 then 'net' else 'org' end) as dom from pages)
+    select grp, page_id, (row_number() over (partition by grp order by contains(lower(url), dom) desc, case when contains(lower(url), dom) then -page_id else page_id end))::int as place from u""")
+def url_priority(s, d):
+    grp = F.col("page_id") % 50
+    dom = F.concat(F.lit("example."), F.when(grp % 3 == 0, "com").when(grp % 3 == 1, "net").otherwise("org"))
+    urls = read(s, d, "pages").select(grp.alias("grp"), "page_id", "url", dom.alias("dom"))
+    return lifecycle.domain_first(urls, "grp", "page_id", "url", "dom").select("grp", "page_id", "place")
+
+
+@query("""
+    with f as (select event_id, event_id % 2 = 0 c, event_id % 3 = 0 l, event_id % 5 > 0 t, event_id % 7 > 0 a, event_id % 11 = 0 e from events)
+    select event_id, case when not a then 'FALHA_CONFIGURACAO_API_EXTERNA' when e and not c then 'FALHA_API_EXTERNA' when c and l then 'CONCLUIDO_SUCESSO'
+        when c then 'CONCLUIDO_COM_DADOS_PARCIAIS' when t then 'NENHUMA_FONTE_ENCONTRADA' else 'FALHOU' end as status from f""")
+def enrichment_status(s, d):
+    i = F.col("event_id")
+    return _usage(s, d).select("event_id", enrich.status(i % 2 == 0, i % 3 == 0, i % 5 > 0, i % 7 > 0, i % 11 == 0).alias("status"))
+
+
+_META_PAGES = [
+    (1, '<script type="application/ld+json">{"@type":"Product","name":" A  b ","sku":"S1","brand":{"name":"X"},"offers":{"price":"9.5","priceCurrency":"BRL","availability":"https://schema.org/InStock"}}</script><meta property="og:title" content="og">'),
+    (2, '<script type="application/ld+json">[{"@type":"Org"},{"@type":["Thing","Product"],"mpn":"M2","image":["u1","u2"],"offers":[{"lowPrice":3}]}]</script><meta property="og:title" content="T2"><meta property="og:description" content="D2">'),
+    (3, '<div itemscope><span itemprop="name">Micro</span><meta itemprop="price" content="7"></div><meta property="og:type" content="product"><meta property="og:brand" content="B3">'),
+    (4, '<meta property="og:title" content="only og"><meta property="og:brand" content="no product">'),
+    (5, "<p>nothing</p>"),
+]
+
+
+@query("""
+    select * from (values (1, 'A b', null, null, 'X', 'S1', '9.5', 'BRL', 'InStock'), (2, 'T2', 'D2', 'u1', null, 'M2', '3', null, null),
+        (3, 'Micro', null, null, 'B3', null, '7', null, null), (4, 'only og', null, null, null, null, null, null, null), (5, null, null, null, null, null, null, null, null))
+        t(page_id, name, short_description, image, brand, sku, price, currency, availability)""")
+def metadata_priority_merge(s, d):
+    return enrich.metadata(s.createDataFrame(_META_PAGES, "page_id int, html string")).drop("html")
+
+
+@query("select event_id, json_extract_string(props, '$.k') as k, try_cast(json_extract_string(props, '$.k') as int) as k_number, json_extract_string(props, '$.missing') as missing from events")
+def json_props_extract(s, d):
+    k = F.get_json_object("props", "$.k")
+    return _usage(s, d).select("event_id", k.alias("k"), k.try_cast("int").alias("k_number"), F.get_json_object("props", "$.missing").alias("missing"))
+
+
+@query("""
+    with p as (select page_id // 4 as product, page_id % 4 as place, case when page_id % 3 <> 0 then 'n' || page_id end as name, case when page_id % 2 = 0 then 'd' || page_id end as descr, case when page_id % 5 <> 0 then 't' || page_id end as txt from pages),
+    o as (select *, row_number() over w n, coalesce(max((name is not null and descr is not null)::int) over (partition by product order by place rows between unbounded preceding and 1 preceding), 0) stop from p window w as (partition by product order by place)),
+    u as (select * from o where n <= 2 and stop = 0)
+    select product, arg_max(name, n) filter (name is not null) as name, arg_max(descr, n) filter (descr is not null) as short_description, arg_min(txt, n) filter (txt is not null) as text, count(*)::bigint as n_pages from u group by product""")
+def cross_page_fold(s, d):
+    i = F.col("page_id")
+    tag = lambda t: F.concat(F.lit(t), i.cast("string"))
+    pages = read(s, d, "pages").select(F.floor(i / 4).cast("bigint").alias("product"), (i % 4).alias("place"), F.when(i % 3 != 0, tag("n")).alias("name"), F.when(i % 2 == 0, tag("d")).alias("short_description"), F.when(i % 5 != 0, tag("t")).alias("text"))
+    return enrich.folded(pages, "product", "place", ["name", "short_description"], "text")
+
+
+@query(r"""
+    select doc_id, coalesce(len(list_slice(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), 1, 3)), 0)::int as n_titles,
+           list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1] as first_title from documents""")
+def title_lines(s, d):
+    found = C.lines(F.col("text"), 3)
+    return read(s, d, "documents").select("doc_id", F.coalesce(F.size(found), F.lit(0)).alias("n_titles"), F.try_element_at(found, F.lit(1)).alias("first_title"))
+
+
+@query("select doc_id, case when length(text) > 200 then left(text, 200) || '...' else text end as short from documents")
+def shortened_texts(s, d):
+    return read(s, d, "documents").select("doc_id", C.shorten(F.col("text")).alias("short"))
+
+
+@query("select event_id, case event_id % 3 when 0 then 'note ' || props when 1 then props else '{ broken' end as said, case when event_id % 3 = 2 then '{ broken' else props end as found from events")
+def json_in_text(s, d):
+    i, p = F.col("event_id") % 3, F.col("props")
+    said = F.when(i == 0, F.concat(F.lit("note "), p)).when(i == 1, p).otherwise(F.lit("{ broken"))
+    return _usage(s, d).select("event_id", said.alias("said"), C.json_object_in(said).alias("found"))
+
+
+@query("select p_partkey, concat_ws(' ', p_name, p_brand, case when p_size > 25 then 'C' || p_size end, 'especificações técnicas') as phrase, concat_ws(chr(10), 'Nome: ' || left(p_name, 200), 'Marca: ' || left(p_brand, 200), p_type) as context from part")
+def search_phrases(s, d):
+    code = F.when(F.col("p_size") > 25, F.concat(F.lit("C"), F.col("p_size").cast("string")))
+    phrase = enrich.search_phrase(F.col("p_name"), F.col("p_brand"), code, F.lit(None).cast("string"))
+    return read(s, d, "part").select("p_partkey", phrase.alias("phrase"), enrich.prompt_context({"Nome": F.col("p_name"), "Código": F.lit(None).cast("string"), "Marca": F.col("p_brand")}, F.col("p_type")).alias("context"))
+
+
+@query("""
+    select * from (values (1, 'cor', 'azul'), (1, 'peso', '2 kg'), (2, 'cor', 'verde')) t(id, k, v)""")
+def kept_suggestions(s, d):
+    rows = s.createDataFrame([(1, [("cor", "azul"), ("peso", "2 kg"), ("x", "1"), ("cor", " ")]), (2, [("cor", "verde"), ("peso", None)]), (3, [])], "id int, got array<struct<key:string,value:string>>")
+    kept = enrich.kept_suggestions(F.col("got"), F.array(F.lit("cor"), F.lit("peso")))
+    return rows.select("id", F.explode(kept).alias("g")).select("id", F.col("g.key").alias("k"), F.col("g.value").alias("v"))
+
+
+@query("select * from (values (1, 'Nome', 'P0'), (1, 'Marca', 'M0: x'), (2, 'col_0', 'plain'), (2, 'col_1', 'lines')) t(page, k, v)")
+def region_key_values(s, d):
+    rows = s.createDataFrame([(1, "Nome: P0\nMarca: M0: x\nno pair"), (2, "plain\n\nlines"), (3, "")], "page int, text string")
+    return key_values(rows).select("page", F.explode("pairs").alias("k", "v"))
+
+
+@query()
+def page_main_text(s, d):
+    return read(s, d, "pages").select("page_id", C.visible_text(F.col("html")).alias("text"))

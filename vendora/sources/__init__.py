@@ -1,0 +1 @@
+"""Readers of tables and of supplier files."""

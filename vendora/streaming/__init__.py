@@ -1,0 +1 @@
+"""The reference has no stream operators; there is nothing to port here."""
