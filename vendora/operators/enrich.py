@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from vendora.functions.columns import squeeze
 
-#: Most pages read for a product, and lengths of text kept.
+#: End of a search phrase, most pages read for a product, and lengths of text kept.
+PHRASE_END = "especificações técnicas detalhadas"
 PAGES_READ, TEXT_KEPT, PROMPT_TEXT, FIELD_TEXT = 2, 15_000, 10_000, 200
 
 
@@ -84,14 +85,13 @@ def folded(pages: DataFrame, product: str, place: str, fields: list[str], text:
     return used.groupBy(product).agg(*last, first, F.count("*").alias("n_pages"))
 
 
-def status(collected: Column, llm: Column, tried: Column, any_api: Column, llm_error: Column) -> Column:
-    """Outcome of an enrichment from what happened."""
+def status(collected: Column, llm: Column, tried: Column, search_api: Column, llm_error: Column) -> Column:
+    """Outcome of an enrichment: what was collected decides first, then whether pages were tried, then what is configured."""
     return (
-        F.when(~any_api, "FALHA_CONFIGURACAO_API_EXTERNA")
-        .when(llm_error & ~collected, "FALHA_API_EXTERNA")
-        .when(collected & llm, "CONCLUIDO_SUCESSO")
-        .when(collected, "CONCLUIDO_COM_DADOS_PARCIAIS")
+        F.when(llm_error & ~collected, "FALHA_API_EXTERNA")
+        .when(collected, F.when(llm, "CONCLUIDO_SUCESSO").otherwise("CONCLUIDO_COM_DADOS_PARCIAIS"))
         .when(tried, "NENHUMA_FONTE_ENCONTRADA")
+        .when(~search_api, F.when(llm, "NENHUMA_FONTE_ENCONTRADA").otherwise("FALHA_CONFIGURACAO_API_EXTERNA"))
         .otherwise("FALHOU")
     )
 
@@ -108,7 +108,7 @@ def merged_maps(old: Column, new: Column) -> Column:
 
 
 def search_phrase(name: Column, brand: Column, code: Column, override: Column) -> Column:
-    return F.coalesce(F.nullif(override, F.lit("")), F.concat_ws(" ", name, brand, code, F.lit("especificações técnicas")))
+    return F.coalesce(F.nullif(override, F.lit("")), F.concat_ws(" ", name, brand, code, F.lit(PHRASE_END)))
 
 
 def prompt_context(pairs: dict[str, Column], text: Column) -> Column:

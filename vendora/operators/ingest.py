@@ -10,14 +10,14 @@ from vendora.plans.checkpoints import cut
 
 #: Header in lower case -> standard field.
 SYNONYMS = {
-    "nome": "nome_base", "nome do produto": "nome_base", "produto": "nome_base", "titulo": "nome_base", "name": "nome_base", "item": "nome_base",
-    "descrição": "descricao_original", "descricao": "descricao_original", "detalhes": "descricao_original", "description": "descricao_original",
-    "sku": "sku_original", "código": "sku_original", "codigo": "sku_original", "referencia": "sku_original", "ref": "sku_original",
-    "ean": "ean_original", "gtin": "ean_original", "código de barras": "ean_original", "barcode": "ean_original",
+    "nome": "nome_base", "produto": "nome_base", "item": "nome_base", "title": "nome_base", "título": "nome_base", "titulo": "nome_base",
+    "sku": "sku_original", "código": "sku_original", "codigo": "sku_original", "ref": "sku_original", "referência": "sku_original", "referencia": "sku_original",
     "marca": "marca", "fabricante": "marca", "brand": "marca",
     "categoria": "categoria_original", "category": "categoria_original",
-    "preço": "preco_original", "preco": "preco_original", "valor": "preco_original", "price": "preco_original",
-    "imagem": "imagem_url_original", "url_imagem": "imagem_url_original", "image_url": "imagem_url_original",
+    "descrição": "descricao_original", "descricao": "descricao_original", "description": "descricao_original",
+    "ean": "ean_original", "gtin": "ean_original", "upc": "ean_original",
+    "preço": "preco_original", "preco": "preco_original", "price": "preco_original", "valor": "preco_original",
+    "url_imagem": "imagem_url_original", "imagem": "imagem_url_original", "image_url": "imagem_url_original",
 }
 FIELDS = ("nome_base", "sku_original", "ean_original", "marca", "categoria_original", "descricao_original", "preco_original", "imagem_url_original")
 #: Fixed value: name of a product that has none.

@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from vendora.functions.columns import contains_any
 
 
+#: Kinds of usage and of history entries.
+USAGE_ACTIONS = (
+    "criacao_titulo_produto", "criacao_descricao_produto", "enriquecimento_web_produto", "otimizacao_seo_conteudo", "geracao_tags_produto", "analise_sentimento_reviews",
+    "traducao_conteudo_produto", "sumarizacao_caracteristicas", "sugestao_atributos_gemini", "criacao_produto", "outro",
+)
+HISTORY_ACTIONS = ("CRIACAO", "ATUALIZACAO", "DELECAO")
+
+
 def tenant(df: DataFrame, owner: str, user: int | None, admin: bool = False, open_without_user: bool = False) -> DataFrame:
     """Rows of the user; all for an administrator; without a user none, or all where the table is open."""
     if admin or (user is None and open_without_user):

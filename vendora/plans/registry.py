@@ -202,9 +202,9 @@ def type_resolution(s, d):
     return reading.resolve(types, "7", "n_nationkey", "n_name", "owner", 3).select("n_nationkey", "n_name")
 
 
-@query("select distinct event_type as action from events")
+@query("select unnest(['" + "', '".join(reading.USAGE_ACTIONS) + "']) as action")
 def action_listing(s, d):
-    return _usage(s, d).select("action").distinct()
+    return s.createDataFrame([(a,) for a in reading.USAGE_ACTIONS], "action string")
 
 
 # Keep-latest, siblings, references
@@ -439,8 +439,8 @@ def url_priority(s, d):
 
 @query("""
     with f as (select event_id, event_id % 2 = 0 c, event_id % 3 = 0 l, event_id % 5 > 0 t, event_id % 7 > 0 a, event_id % 11 = 0 e from events)
-    select event_id, case when not a then 'FALHA_CONFIGURACAO_API_EXTERNA' when e and not c then 'FALHA_API_EXTERNA' when c and l then 'CONCLUIDO_SUCESSO'
-        when c then 'CONCLUIDO_COM_DADOS_PARCIAIS' when t then 'NENHUMA_FONTE_ENCONTRADA' else 'FALHOU' end as status from f""")
+    select event_id, case when e and not c then 'FALHA_API_EXTERNA' when c and l then 'CONCLUIDO_SUCESSO' when c then 'CONCLUIDO_COM_DADOS_PARCIAIS'
+        when t or (l and not a) then 'NENHUMA_FONTE_ENCONTRADA' when not a then 'FALHA_CONFIGURACAO_API_EXTERNA' else 'FALHOU' end as status from f""")
 def enrichment_status(s, d):
     i = F.col("event_id")
     return _usage(s, d).select("event_id", enrich.status(i % 2 == 0, i % 3 == 0, i % 5 > 0, i % 7 > 0, i % 11 == 0).alias("status"))
@@ -501,7 +501,7 @@ def json_in_text(s, d):
     return _usage(s, d).select("event_id", said.alias("said"), C.json_object_in(said).alias("found"))
 
 
-@query("select p_partkey, concat_ws(' ', p_name, p_brand, case when p_size > 25 then 'C' || p_size end, 'especificações técnicas') as phrase, concat_ws(chr(10), 'Nome: ' || left(p_name, 200), 'Marca: ' || left(p_brand, 200), p_type) as context from part")
+@query("select p_partkey, concat_ws(' ', p_name, p_brand, case when p_size > 25 then 'C' || p_size end, 'especificações técnicas detalhadas') as phrase, concat_ws(chr(10), 'Nome: ' || left(p_name, 200), 'Marca: ' || left(p_brand, 200), p_type) as context from part")
 def search_phrases(s, d):
     code = F.when(F.col("p_size") > 25, F.concat(F.lit("C"), F.col("p_size").cast("string")))
     phrase = enrich.search_phrase(F.col("p_name"), F.col("p_brand"), code, F.lit(None).cast("string"))

@@ -15,7 +15,10 @@ DELIMITERS = ",;\t|"
 FALLBACK = (";", "\t", ",")
 ENCODINGS = ("utf-8-sig", "cp1252")
 SAMPLE_BYTES = 64 * 1024
-SPARK_NAMES = {"utf-8-sig": "UTF-8", "cp1252": "windows-1252"}
+#: Spark reads no Windows code page: such a file is read as Latin-1 and these characters are put right after.
+SPARK_NAMES = {"utf-8-sig": "UTF-8", "cp1252": "ISO-8859-1"}
+_LATIN = "".join(map(chr, range(0x80, 0xA0)))
+_WINDOWS = "".join(bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(0x80, 0xA0))
 
 
 def sniff(sample: bytes) -> tuple[str, str]:
@@ -32,7 +35,7 @@ def _decodes(sample: bytes, encoding: str) -> bool:
     try:
         sample.decode(encoding)
     except UnicodeDecodeError as e:
-        return e.start >= len(sample) - 3  # a character cut off by the sample's end
+        return len(sample) == SAMPLE_BYTES and e.start >= SAMPLE_BYTES - 3  # a character cut off by the end of the sample
     return True
 
 
@@ -50,6 +53,9 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encod
         found = sniff(bytes(raw))
         sep, encoding = sep or found[0], encoding or found[1]
     rows = spark.read.option("sep", sep).option("encoding", SPARK_NAMES.get(encoding, encoding)).option("header", True).option("multiLine", True).option("ignoreLeadingWhiteSpace", False).option("escape", '"').csv(path)
+    if encoding == "cp1252":
+        cells = [F.translate(F.col(f"`{c.replace('`', '``')}`"), _LATIN, _WINDOWS).alias(c.translate(str.maketrans(_LATIN, _WINDOWS))) for c in rows.columns]
+        return rows.select(*cells, F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row"))
     return rows.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row"))
 
 
