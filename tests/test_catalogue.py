@@ -141,3 +141,26 @@ def test_entry_without_llm(monkeypatch):
     assert "usage_by_plan" in entry.queries() and not any(k.startswith("op") for k in entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
     sys.modules.pop("__spark_entry__", None)
+
+
+def test_commit_of_a_staged_job(spark):
+    staged = '[{"sku":"1","ean":null,"nome_base":"New"},{"sku":null,"ean":"12345678901234567","nome_base":"Bad"},{"sku":"2","ean":null,"nome_base":"Two"}]'
+    jobs = spark.createDataFrame([(7, 1, "REVIEW", staged)], "id int, user_id int, status string, result_summary string")
+    products = spark.createDataFrame([(1, 3, "1", None, "Old")], "tenant bigint, id bigint, sku string, ean string, nome_base string")
+    state, jobs = ingest.commit_job(jobs, 7, products, "sku string, ean string, nome_base string", ["nome_base"])
+    assert sorted((r.id, r.nome_base, r.change) for r in state.collect()) == [(3, "New", "updated"), (4, "Two", "created")]
+    assert jobs.first().status == "COMPLETED"
+
+
+def test_reset_token_and_login(spark):
+    users = spark.sql("select 1 id, true is_active, 'h' hashed_password, sha2('tok', 256) reset_password_token, timestamp '2024-02-01 00:00:00' reset_password_token_expires_at")
+    assert reading.valid_reset(users, "tok", "2024-01-31").count() == 1
+    assert reading.valid_reset(users, "tok", "2024-03-01").count() == 0
+    assert reading.can_log_in(users).count() == 1
+
+
+def test_default_mapping(spark):
+    suppliers = spark.createDataFrame([(1, {"cod": "sku_original"})], "id int, default_column_mapping map<string,string>")
+    assert ingest.mapping_or_default(None, suppliers, 1) == {"cod": "sku_original"}
+    assert ingest.mapping_or_default({"a": "b"}, suppliers, 1) == {"a": "b"}
+    assert ingest.mapping_or_default(None, suppliers, 2) is None

@@ -162,3 +162,57 @@ def patched(df: DataFrame, patch: DataFrame, key: str, fields: list[str]) -> Dat
 def seeded(df: DataFrame, defaults: DataFrame, key: str) -> DataFrame:
     """df with the default rows that it lacks; a second time changes nothing."""
     return df.unionByName(defaults.join(df, key, "left_anti"), allowMissingColumns=True)
+
+
+def get_or_create(products: DataFrame, rows: DataFrame, fields: list[str]) -> DataFrame:
+    """State after rows that update the product with their SKU, else EAN, else are inserted; a row without both keys is inserted."""
+    return upsert(products, rows, fields)
+
+
+def commit_job(jobs: DataFrame, job_id: int, products: DataFrame, schema: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(products, jobs) after a staged job is committed: its valid rows are applied, invalid ones skipped, its status is COMPLETED.
+
+    result_summary holds the staged rows as a JSON list.
+    """
+    job = jobs.where((F.col("id") == job_id) & (F.col("status") == "REVIEW"))
+    rows = job.select(F.col("user_id").cast("bigint").alias("tenant"), F.posexplode(F.from_json("result_summary", f"array<struct<{schema}>>")).alias("row_no", "r")).select("tenant", F.col("row_no").cast("bigint").alias("row_no"), "r.*")
+    named = {c: F.col(c) for c in rows.columns if c in {*LENGTHS, *NOT_NEGATIVE}}
+    good = rows.where(F.size(failed_rules(named)) == 0) if named else rows
+    done = F.when((F.col("id") == job_id) & (F.col("status") == "REVIEW"), "COMPLETED").otherwise(F.col("status"))
+    return get_or_create(products, good, fields), jobs.withColumn("status", done)
+
+
+def coerced_json(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with json_error: the first of the columns whose text isn't a JSON object; null if all are, or are null."""
+    bad = [F.when(F.col(c).isNotNull() & (F.coalesce(F.schema_of_variant(F.try_parse_json(c)), F.lit("")).startswith("OBJECT") == F.lit(False)), F.lit(c)) for c in columns]
+    return df.withColumn("json_error", F.coalesce(*bad, F.lit(None).cast("string")))
+
+
+def coerced_options(text: Column) -> Column:
+    """(options, valid) of a text that must be a JSON list; null is valid."""
+    parsed = F.try_parse_json(text)
+    is_list = F.coalesce(F.schema_of_variant(parsed).startswith("ARRAY"), F.lit(False))
+    return F.struct(F.when(is_list, F.try_variant_get(parsed, "$", "array<string>")).alias("options"), (text.isNull() | is_list).alias("valid"))
+
+
+def mapping_or_default(mapping: dict[str, str] | None, suppliers: DataFrame, supplier_id: int) -> dict[str, str] | None:
+    """The mapping given, else the supplier's own; one row is read."""
+    if mapping is not None:
+        return mapping
+    row = suppliers.where(F.col("id") == supplier_id).select("default_column_mapping").first()
+    return row.default_column_mapping if row else None
+
+
+def page_plan(files: DataFrame, start: int = 1) -> DataFrame:
+    """(id, page) of the pages to process of each file, from start to its last page."""
+    last = F.coalesce("total_pages", F.lit(0))
+    return files.where(last >= start).select("id", F.explode(F.sequence(F.lit(start), last)).alias("page"))
+
+
+def page_texts(pages: DataFrame, wanted: list[int] | None = None, most: int = 20_000) -> DataFrame:
+    """Text fallback of a document without tables: one row for each page with text, its text in the leftovers."""
+    rows = pages.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    if wanted is not None:
+        rows = rows.where(F.col("page").isin(*wanted))
+    key = F.concat(F.lit("texto_completo_pagina_"), F.col("page").cast("string"))
+    return rows.select("page", F.create_map(key, F.substring("text", 1, most)).alias("leftovers"))

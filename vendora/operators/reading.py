@@ -94,3 +94,20 @@ def resolve(df: DataFrame, text: str, id_column: str, key_column: str, owner: st
     rank = F.when(by_id, 0).when(by_key & (F.col(owner) == user), 1).otherwise(2)
     found = own_or_global(df.where(F.coalesce(by_id, F.lit(False)) | F.coalesce(by_key, F.lit(False))), owner, user)
     return found.withColumn("_rank", rank).orderBy("_rank", id_column).limit(1).drop("_rank")
+
+
+def can_log_in(users: DataFrame) -> DataFrame:
+    """Active users with a password hash."""
+    return users.where(F.col("is_active") & F.col("hashed_password").isNotNull())
+
+
+def valid_reset(users: DataFrame, token: str, now: str) -> DataFrame:
+    """The user with this reset token (kept as its SHA-256), if it hasn't expired."""
+    return users.where((F.col("reset_password_token") == F.sha2(F.lit(token), 256)) & (F.col("reset_password_token_expires_at") >= F.to_timestamp(F.lit(now))))
+
+
+def key_conflicts(rows: DataFrame, existing: DataFrame, key: str, owner: str, row_id: str = "id") -> DataFrame:
+    """Rows whose key another row of the same owner, or a global one, already has."""
+    theirs = existing.select(F.col(key).alias("_key"), F.col(owner).alias("_owner"), F.col(row_id).alias("_id"))
+    same = (F.col(key) == F.col("_key")) & (F.col("_owner").isNull() | F.col("_owner").eqNullSafe(F.col(owner))) & ~F.col("_id").eqNullSafe(F.col(row_id))
+    return rows.join(theirs, same, "left_semi")

@@ -525,3 +525,50 @@ def region_key_values(s, d):
 @query()
 def page_main_text(s, d):
     return read(s, d, "pages").select("page_id", C.visible_text(F.col("html")).alias("text"))
+
+
+@query("select n_nationkey, n_name from nation where n_nationkey < 5 and (n_regionkey in (select n_regionkey from nation where n_nationkey >= 5))")
+def type_key_conflicts(s, d):
+    types = read(s, d, "nation").select("n_nationkey", "n_name", F.col("n_regionkey").cast("string").alias("key"), F.lit(None).cast("int").alias("owner"))
+    rows = types.where("n_nationkey < 5")
+    return reading.key_conflicts(rows, types.where("n_nationkey >= 5"), "key", "owner", "n_nationkey").select("n_nationkey", "n_name")
+
+
+@query("""
+    select event_id, case when event_id % 4 = 1 then 'b' when event_id % 4 = 2 then 'b' end as json_error from events""")
+def json_coercion(s, d):
+    i = F.col("event_id") % 4
+    rows = _usage(s, d).select("event_id", F.col("props").alias("a"), F.when(i == 1, F.lit("{ broken")).when(i == 2, F.lit("[1]")).when(i == 3, F.col("props")).alias("b"))
+    return ingest.coerced_json(rows, ["a", "b"]).select("event_id", "json_error")
+
+
+@query("""
+    select * from (values (1, 'a|b', true), (2, null, false), (3, null, true), (4, '', true), (5, null, false)) t(id, options, valid)""")
+def options_coercion(s, d):
+    rows = s.createDataFrame([(1, '["a","b"]'), (2, '{"a":1}'), (3, None), (4, "[]"), (5, "x,y")], "id int, text string")
+    made = rows.select("id", ingest.coerced_options(F.col("text")).alias("o"))
+    return made.select("id", F.array_join("o.options", "|").alias("options"), F.col("o.valid").alias("valid"))
+
+
+@query("select r_regionkey as id, unnest(range(2, (r_regionkey + 3)::bigint))::int as page from region")
+def import_page_plan(s, d):
+    files = read(s, d, "region").select(F.col("r_regionkey").alias("id"), (F.col("r_regionkey") + 2).alias("total_pages"))
+    return ingest.page_plan(files, 2)
+
+
+@query("select * from (values (1, 'texto_completo_pagina_1', 'A'), (3, 'texto_completo_pagina_3', 'C')) t(page, k, v)")
+def page_text_fallback(s, d):
+    rows = s.createDataFrame([(1, "A"), (2, "B"), (3, "C"), (4, " ")], "page int, text string")
+    return ingest.page_texts(rows, [1, 3, 4]).select("page", F.explode("leftovers").alias("k", "v"))
+
+
+@query(f"with recursive {_UPSERT} select (count(*) filter (change = 'created'))::bigint as created, (count(*) filter (change = 'updated'))::bigint as updated, (select count(*) from g where not accepted)::bigint as errors from st")
+def import_result_summary(s, d):
+    return lifecycle.result_summary(_state(s, d), _deduped(s, d).where("not accepted"))
+
+
+@query("select c_custkey, case when c_custkey % 5 = 0 then 'CONCLUIDO_SUCESSO' when c_custkey % 2 = 0 then 'CONCLUIDO_COM_DADOS_PARCIAIS' when c_custkey % 3 = 0 then 'CONCLUIDO_SUCESSO' else 'NENHUMA_FONTE_ENCONTRADA' end as status from customer")
+def status_by_parts(s, d):
+    k = F.col("c_custkey")
+    meta = (k % 5 == 0) | ((k % 2 != 0) & (k % 3 == 0))
+    return read(s, d, "customer").select("c_custkey", enrich.status_by_parts(k % 2 == 0, meta).alias("status"))
