@@ -50,6 +50,14 @@ def test_top_k_is_exact_with_ties_and_bad_vectors(spark):
     assert found == brute_top(rows, 5)
 
 
+def test_top_k_needs_several_rounds(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=16) * 20]) for i in range(1500)]
+    vectors = topk_search.integer_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    found = {tuple(r) for r in topk_search.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5).collect()}
+    assert found == brute_top(rows, 5)
+
+
 def test_top_k_of_nothing(spark):
     vectors = topk_search.integer_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>"))
     assert topk_search.top_k(vectors, vectors, 5).collect() == []

@@ -30,7 +30,6 @@ CELL_ROWS = 1024
 ENOUGH = 64
 #: Larger components would not give exact products; such vectors take no part.
 LARGEST = 1 << 24
-_SPAN = "lo bigint, width bigint"
 
 
 def integer_vectors(df: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -88,15 +87,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c))
     longest = vectors.groupBy("d").agg(F.max(norm).alias("most"))
     reach = (F.ceil(norm * F.col("most") * 1.000001) + 1).cast("bigint")
-    state = materialize(asked.join(longest, "d").select("vec_id", "v", "d", group(n_groups).alias("grp"), (-reach).alias("lo"), F.ceil((2 * reach + 1) / BINS).cast("bigint").alias("width"), F.lit(0).cast("bigint").alias("above"), F.lit(False).alias("done")))
+    state = materialize(asked.join(longest, "d").select("vec_id", "v", "d", group(n_groups).alias("grp"), (-reach).alias("lo"), (reach + 1).alias("hi"), F.ceil((2 * reach + 1) / BINS).cast("bigint").alias("width"), F.lit(0).cast("bigint").alias("above"), F.lit(False).alias("done")))
 
     def count(key, query_side: pa.Table, row_side: pa.Table) -> pa.Table:
         ids, bins, counts = [], [], []
-        lo, width = query_side.column("lo").to_numpy(), query_side.column("width").to_numpy()
+        lo, hi, width = (query_side.column(c).to_numpy() for c in ("lo", "hi", "width"))
         for part, _, scores, valid in _cell(query_side, row_side):
             place = (scores - lo[part][:, None]) // width[part][:, None]
             own = np.arange(scores.shape[0])[:, None] * BINS + np.clip(place, 0, BINS - 1)
-            found = np.bincount(own[valid & (place >= 0) & (place < BINS)], minlength=scores.shape[0] * BINS)
+            # Scores from hi on are counted in above already; the last bin may reach beyond hi.
+            found = np.bincount(own[valid & (place >= 0) & (scores < hi[part][:, None])], minlength=scores.shape[0] * BINS)
             at = np.flatnonzero(found)
             ids.append(query_side.column("vec_id").to_numpy()[part][at // BINS])
             bins.append(at % BINS)
@@ -121,7 +121,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         return pa.table({"query_id": join(out[0]), "vec_id": join(out[1]), "score": join(out[2])})
 
     def over_cells(questions: DataFrame, fn, schema: str) -> DataFrame:
-        spread = questions.select("vec_id", "v", "d", "grp", "lo", "width", each(n_cells).alias("cell"))
+        spread = questions.select("vec_id", "v", "d", "grp", "lo", "hi", "width", each(n_cells).alias("cell"))
         return spread.groupBy("grp", "cell", "d").cogroup(rows.groupBy("grp", "cell", "d")).applyInArrow(fn, schema)
 
     while True:
@@ -135,6 +135,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         nxt = found.select(
             "vec_id", "v", "d", "grp",
             F.when(few, F.col("lo")).otherwise(F.col("lo") + F.col("w.bin") * F.col("width")).alias("lo"),
+            F.when(few, F.col("hi")).otherwise(F.least("hi", F.col("lo") + (F.col("w.bin") + 1) * F.col("width"))).alias("hi"),
             F.when(few | (F.col("width") == 1), F.col("width")).otherwise(F.ceil(F.col("width") / BINS)).cast("bigint").alias("width"),
             F.when(few, F.col("above")).otherwise(F.col("w.above")).alias("above"),
             (few | (F.col("width") == 1) | (F.col("w.above") + F.col("w.n") <= ENOUGH)).alias("done"),
