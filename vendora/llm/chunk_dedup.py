@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vendora.llm.kernel import RangeHash, U, chunks, text_buffer
-from vendora.llm.store import PACKED, Deal, deal_out, gather, partitions_for
+from vendora.llm.store import PACKED, Deal, deal_out, gather, lean, partitions_for
 
 WINDOW = 16
 #: The top bits of the 16-bit gear hash that must be zero at a cut: 2**4 bytes between cuts on average.
@@ -138,9 +138,9 @@ def repeated_spans(docs: DataFrame, least: int = MIN_SPAN, within: bool = True)
     """
     rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").where("doc_id is not null")
     buckets = partitions_for(docs)
-    dealt = deal_out(rows.mapInArrow(_deal_chunks(buckets), PACKED), buckets)
-    found = deal_out(dealt.mapInArrow(_find_repeats(buckets, within), PACKED), buckets)
-    return found.mapInArrow(_spans(least), "doc_id bigint, start bigint, n_bytes bigint, first_doc_id bigint")
+    dealt = deal_out(rows.mapInArrow(lean(_deal_chunks(buckets)), PACKED), buckets)
+    found = deal_out(dealt.mapInArrow(lean(_find_repeats(buckets, within)), PACKED), buckets)
+    return found.mapInArrow(lean(_spans(least)), "doc_id bigint, start bigint, n_bytes bigint, first_doc_id bigint")
 
 
 def _without(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,4 +161,4 @@ def dedup_substrings(docs: DataFrame, least: int = MIN_SPAN) -> DataFrame:
     """doc_id, text without its repeated spans; a row for every row of docs."""
     gone = repeated_spans(docs, least).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_bytes")).alias("gone"))
     rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
-    return rows.join(gone.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_without, "doc_id bigint, text string")
+    return rows.join(gone.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(lean(_without), "doc_id bigint, text string")

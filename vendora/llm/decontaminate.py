@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vendora.llm.kernel import U, runs_of_sorted, shingle_hashes, words
+from vendora.llm.store import lean
 
 K1, B = 1.2, 0.75
 #: Share of an item's BM25 weight that a passage must cover to be verified.
@@ -233,7 +234,7 @@ def _shards(items: DataFrame) -> Iterator[Index]:
             yield pa.RecordBatch.from_arrays([pa.array(each[starts].view(np.int64)), pa.array(lengths.astype(np.int64)), pa.array(np.zeros(len(starts), np.int64))], ["term", "n", "words"])
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([sum(len(w) > 0 for w in found)], pa.int64()), pa.array([sum(map(len, found))], pa.int64())], ["term", "n", "words"])
 
-    counts = rows.select("text").mapInArrow(count, "term bigint, n bigint, words bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    counts = rows.select("text").mapInArrow(lean(count), "term bigint, n bigint, words bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
     whole = counts.where("term is null").first()
     if whole is None or not whole.n:
         return
@@ -244,7 +245,7 @@ def _shards(items: DataFrame) -> Iterator[Index]:
         if shards == 1:
             frequency = {r.term & (2**64 - 1): r.n for r in counts.where("term is not null").toLocalIterator()}
         else:
-            own = part.select("text").mapInArrow(count, "term bigint, n bigint, words bigint").where("term is not null").select("term").distinct()
+            own = part.select("text").mapInArrow(lean(count), "term bigint, n bigint, words bigint").where("term is not null").select("term").distinct()
             frequency = {r.term & (2**64 - 1): r.n for r in counts.join(own, "term").toLocalIterator()}
         yield Index(held, frequency, whole.n, whole.words / whole.n)
 
@@ -269,7 +270,7 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                 found = [(ids[row + r], own.ids[item], score, q, a) for row, _, hashes, firsts, _, _ in words(batch.column(1)) for r, item, score, q, a in leaks_of(own, hashes, firsts)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64() if i < 2 else pa.float64()) for i in range(5)], ["doc_id", "item_id", "score", "question_share", "answer_share"])
 
-        part = rows.mapInArrow(run, schema)
+        part = rows.mapInArrow(lean(run), schema)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -289,5 +290,5 @@ def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                         clean[row + r] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vendora.llm.kernel import chunks, runs_of_sorted
+from vendora.llm.store import lean
 
 PROFILE_SIZE = 300
 SAMPLE_DOCS = 1000
@@ -147,7 +148,7 @@ def learn(docs: DataFrame) -> Profiles:
                     sums = np.add.reduceat(np.concatenate([n for _, n in found])[order], starts)
                     yield pa.RecordBatch.from_arrays([pa.array([language] * len(starts)), pa.array(codes[order][starts].astype(np.int64)), pa.array(sums.astype(np.int64))], ["lang", "gram", "n"])
 
-    counts = sample.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(lean(count), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.asc("gram")))
     ranked: dict[str, list[int]] = {}
     for r in sorted(counts.withColumn("place", place).where(F.col("place") <= PROFILE_SIZE).collect(), key=lambda r: (r.lang, r.place)):
@@ -164,7 +165,7 @@ def predict_languages(docs: DataFrame, profiles: Profiles) -> DataFrame:
             found = [profiles.predict(letters) for _, letters in _pieces(batch, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], schema=schema)
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(lean(run), "doc_id bigint, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, profiles: Profiles) -> DataFrame:
@@ -175,4 +176,4 @@ def keep_identified(docs: DataFrame, profiles: Profiles) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([profiles.predict(letters)[0] != UNKNOWN for _, letters in _pieces(batch, at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 from vendora.llm.components import components
 from vendora.llm.kernel import RangeHash, U, chunks, mix, runs_of_sorted
-from vendora.llm.store import PACKED, Deal, deal_out, discard, gather, id_bitmap, in_bitmap, long_array, materialize, partitions_for
+from vendora.llm.store import PACKED, Deal, deal_out, discard, gather, id_bitmap, in_bitmap, lean, long_array, materialize, partitions_for
 
 SHORT_LIST = 64
-_CHUNK_CHARS = 1 << 20
+_CHUNK_CHARS = 1 << 19
 OCCURRENCE = np.dtype([("h", "<u8"), ("doc", "<i8"), ("line", "<u4"), ("size", "<u4")])
 KEY = np.dtype([("key", "<u8"), ("h", "<u8"), ("parity", "<u4")])
 LISTED = np.dtype([("key", "<u8"), ("h", "<u8"), ("parity", "<u4"), ("own", "u1"), ("comp", "<i8")])
@@ -326,10 +326,10 @@ def _verify(edits: int):
 def _links(rows: DataFrame, pairs: DataFrame, edits: int, least: int) -> DataFrame:
     pairs = materialize(pairs.distinct())
     ids = pairs.select(F.col("a").alias("h")).union(pairs.select("b"))
-    texts = materialize(rows.mapInArrow(_texts(id_bitmap(ids, "h"), least), "h bigint, points binary").dropDuplicates(["h"]))
+    texts = materialize(rows.mapInArrow(lean(_texts(id_bitmap(ids, "h"), least)), "h bigint, points binary").dropDuplicates(["h"]))
     x = texts.select(F.col("h").alias("a"), F.col("points").alias("x"))
     y = texts.select(F.col("h").alias("b"), F.col("points").alias("y"))
-    out = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(edits), "a bigint, b bigint"))
+    out = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lean(_verify(edits)), "a bigint, b bigint"))
     discard(texts)
     discard(pairs)
     return out
@@ -363,15 +363,15 @@ def repeated_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHA
     """(doc_id, line, size): places of lines, counted from 0, that repeat an earlier one or are within reach of its class; size in characters."""
     rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").where("doc_id is not null")
     buckets = partitions_for(docs)
-    matched = materialize(deal_out(rows.mapInArrow(_deal_lines(buckets, edits, least), PACKED), buckets).mapInArrow(_match(edits, short_list), _ROWS))
+    matched = materialize(deal_out(rows.mapInArrow(lean(_deal_lines(buckets, edits, least)), PACKED), buckets).mapInArrow(lean(_match(edits, short_list)), _ROWS))
     links = _links(rows, matched.where("kind = 0").select("a", "b"), edits, least)
     listed = matched.where("kind = 2").select(F.col("a").alias("h"), "payload")
     if not listed.isEmpty():
         labelled = listed.join(components(links).withColumnRenamed("id", "h"), "h", "left").select("payload", F.coalesce("component", "h").alias("comp"))
-        rest = deal_out(labelled.mapInArrow(_relabel(buckets), PACKED), buckets).mapInArrow(_match_rest(edits), _ROWS).select("a", "b")
+        rest = deal_out(labelled.mapInArrow(lean(_relabel(buckets)), PACKED), buckets).mapInArrow(lean(_match_rest(edits)), _ROWS).select("a", "b")
         links = links.union(_links(rows, rest, edits, least))
     found = materialize(components(links))
-    seen = materialize(matched.where("kind = 1").select("payload").mapInArrow(_firsts(id_bitmap(found, "id")), "kind int, h bigint, doc_id bigint, line int, size int"))
+    seen = materialize(matched.where("kind = 1").select("payload").mapInArrow(lean(_firsts(id_bitmap(found, "id"))), "kind int, h bigint, doc_id bigint, line int, size int"))
     discard(matched)
     firsts = seen.where("kind = 1").join(found.withColumnRenamed("id", "h"), "h").select("component", "doc_id", "line", "size")
     kept = firsts.groupBy("component").agg(F.min(F.struct("doc_id", "line")).alias("kept"))
@@ -412,7 +412,7 @@ def dedup_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _, _ in found], pa.string()), pa.array([x for _, x, _ in found], pa.int64()), pa.array([x for _, _, x in found], pa.int64())], ["doc_id", "text", "n_lines", "n_dropped"])
 
     rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
-    return _with_places(rows, edits, least).mapInArrow(run, "doc_id bigint, text string, n_lines bigint, n_dropped bigint")
+    return _with_places(rows, edits, least).mapInArrow(lean(run), "doc_id bigint, text string, n_lines bigint, n_dropped bigint")
 
 
 def drop_repeated_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS) -> DataFrame:
@@ -431,4 +431,4 @@ def drop_repeated_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MI
             keep = pa.array([bool(t) or not o for t, o in zip(texts, old, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1]).filter(keep)
 
-    return _with_places(docs, edits, least).mapInArrow(run, docs.schema)
+    return _with_places(docs, edits, least).mapInArrow(lean(run), docs.schema)

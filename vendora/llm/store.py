@@ -9,10 +9,12 @@ record width on disk, a few ns of CPU a record, and memory for one bucket.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from vendora.llm.kernel import U, mix
 
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 8 << 20
 PACKED = "bucket int, kind int, payload binary"
 _own_folder: list[str] = []
 
@@ -61,6 +63,53 @@ def partitions_for(df: DataFrame, rows_each: int = 5000) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows_each), 1)
 
 
+#: What a worker process keeps between tasks, and the operator it belongs to.
+_kept: dict[str, object] = {}
+_owner: list[str] = [""]
+
+
+def kept(key: str, make: Callable[[], object]):
+    """A value that a worker process keeps for the tasks of one operator."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def _trim() -> None:
+    """Give freed memory back: worker processes live on, and the executor's limit holds for all of them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def _claim(owner: str) -> None:
+    """Drop what another operator keeps."""
+    if _owner[0] != owner:
+        _owner[0] = owner
+        _kept.clear()
+        gc.collect()
+        _trim()
+
+
+def lean(fn, owner: str = ""):
+    """fn for mapInArrow that first drops what other operators keep in the worker and frees memory when it ends.
+
+    Inner functions travel by value with the globals they name, so what a worker keeps is
+    only reached through functions of this module.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _claim(owner)
+        try:
+            yield from fn(batches)
+        finally:
+            _trim()
+
+    return run
+
+
 class Deal:
     """Map side of a packed shuffle: deals records into buckets by key."""
 

@@ -14,6 +14,8 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from vendora.llm.store import lean
+
 MEMO_LIMIT = 400_000
 _NONE = -1
 
@@ -124,4 +126,4 @@ def count_tokens(docs: DataFrame, initial: list[str], later: list[str]) -> DataF
                 n_tokens.append(sum([memo[w] for w in found]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], schema=schema)
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id bigint, n_words bigint, n_tokens bigint")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(lean(run), "doc_id bigint, n_words bigint, n_tokens bigint")

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vendora.llm.store import lean
+
 #: Sampled labelled documents of each class.
 SAMPLE_DOCS = 1600
 ORDER = 5
@@ -225,4 +227,4 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             scores = [own.score(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], schema=schema)
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id bigint, score double")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(lean(run), "doc_id bigint, score double")
