@@ -6,9 +6,12 @@ later cut.  Chunks are known by a 96-bit digest; of equal chunks the first, by d
 place, is kept.  Adjacent repeated chunks form a span, and spans of at least MIN_SPAN
 bytes count as repeats; shorter ones (a common line, a phrase) are left alone.
 
-Chunk digests move as packed records twice: by digest to find repeats, and by document
-to join them into spans.  Nothing is expanded per group, so a group of thousands of
-copies costs its number of chunks.
+Chunk digests move as packed records.  Each map task first looks among the chunks that it
+holds: of equal ones only the first is sent to be compared by digest, with the others
+following it (by its place, of which a task's buffer bounds the number).  So a chunk
+with any number of copies costs its bucket one record for each buffer, not one for each
+copy, and followers learn the first document from the chunk they follow.  A last shuffle,
+by document, joins repeated chunks into spans.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vendora.llm.kernel import RangeHash, U, chunks, text_buffer
+from vendora.llm.kernel import RangeHash, U, chunks, mix, text_buffer
 from vendora.llm.store import PACKED, Deal, deal_out, gather, lean, partitions_for
 
 WINDOW = 16
@@ -34,7 +37,11 @@ _GEAR = _rng.integers(0, 1 << 16, 256, dtype=np.uint16)
 _CODES = _rng.integers(1, 2**63, (2, 256), dtype=np.uint64) * U(2) + U(1)
 
 CHUNK = np.dtype([("d1", "<u8"), ("d2", "<u4"), ("doc", "<i8"), ("at", "<u4"), ("size", "<u4")])
+#: A chunk (doc, at, size) that follows an equal one (lead, lead_at).
+FOLLOWER = np.dtype([("lead", "<i8"), ("lead_at", "<u4"), ("doc", "<i8"), ("at", "<u4"), ("size", "<u4")])
 REPEAT = np.dtype([("doc", "<i8"), ("at", "<u4"), ("size", "<u4"), ("first", "<i8")])
+#: Chunks that a map task holds before it sends them.
+BUFFER_CHUNKS = 300_000
 
 
 def cut_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,9 +77,40 @@ def cut_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
+def _place(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return mix(doc.astype(U) * U(0x9E3779B97F4A7C15) + at.astype(U))
+
+
+def _leads(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """x sorted by digest and place, and for each the index of the first equal one."""
+    x = x[np.lexsort((x["at"], x["doc"], x["d2"], x["d1"]))]
+    new = np.concatenate(([True], (x["d1"][1:] != x["d1"][:-1]) | (x["d2"][1:] != x["d2"][:-1])))
+    return x, np.flatnonzero(new)[np.cumsum(new) - 1]
+
+
+def _followers(x: np.ndarray, first: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    out = np.empty(int(pick.sum()), FOLLOWER)
+    out["lead"], out["lead_at"] = x["doc"][first][pick], x["at"][first][pick]
+    out["doc"], out["at"], out["size"] = x["doc"][pick], x["at"][pick], x["size"][pick]
+    return out
+
+
 def _deal_chunks(buckets: int):
+    """Kind 0: first chunks of each buffer, by digest.  Kind 1: the others, by the place of the one they follow."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Deal(buckets, CHUNK)
+        firsts, others = Deal(buckets, CHUNK, 0), Deal(buckets, FOLLOWER, 1)
+
+        def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            if held:
+                x, first = _leads(np.concatenate(held))
+                own = first == np.arange(len(x))
+                yield from firsts.add(x["d1"][own], x[own])
+                # A repeated row repeats its chunks' places: it is no later occurrence of itself.
+                part = _followers(x, first, (x["doc"] != x["doc"][first]) | (x["at"] != x["at"][first]))
+                yield from others.add(_place(part["lead"], part["lead_at"]), part)
+
+        held: list[np.ndarray] = []
         for batch in batches:
             ids = batch.column(0).to_numpy()
             data, offsets = text_buffer(batch.column(1))
@@ -86,24 +124,54 @@ def _deal_chunks(buckets: int):
                 made["d1"] = RangeHash(_CODES[0][part]).of(start, stop)
                 made["d2"] = (RangeHash(_CODES[1][part]).of(start, stop) >> U(32)).astype(np.uint32)
                 made["doc"], made["at"], made["size"] = ids[row + doc], start - own[doc], stop - start
-                yield from out.add(made["d1"], made)
-        yield from out.flush()
+                held.append(made)
+                if sum(map(len, held)) >= BUFFER_CHUNKS:
+                    yield from send(held)
+                    held = []
+        yield from send(held)
+        yield from firsts.flush()
+        yield from others.flush()
 
     return run
 
 
-def _find_repeats(buckets: int, within: bool):
+def _find_repeats(buckets: int):
+    """Kind 0: leads that follow a chunk of another task (or buffer), by their own place.  Kind 1: followers, as they came."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = gather(batches, {0: CHUNK, 1: FOLLOWER})
+        known, others = Deal(buckets, FOLLOWER, 0), Deal(buckets, FOLLOWER, 1)
+        if len(found[0]):
+            x, first = _leads(found[0])
+            part = _followers(x, first, (x["doc"] != x["doc"][first]) | (x["at"] != x["at"][first]))
+            yield from known.add(_place(part["doc"], part["at"]), part)
+        yield from others.add(_place(found[1]["lead"], found[1]["lead_at"]), found[1])
+        yield from known.flush()
+        yield from others.flush()
+
+    return run
+
+
+def _resolve(buckets: int, within: bool):
+    """All repeats with the document of the first equal chunk, by document."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = gather(batches, {0: CHUNK})[0]
+        found = gather(batches, {0: FOLLOWER, 1: FOLLOWER})
         out = Deal(buckets, REPEAT)
-        if len(x):
-            x = x[np.lexsort((x["at"], x["doc"], x["d2"], x["d1"]))]
-            new = np.concatenate(([True], (x["d1"][1:] != x["d1"][:-1]) | (x["d2"][1:] != x["d2"][:-1])))
-            first = np.flatnonzero(new)[np.cumsum(new) - 1]
-            # A repeated row repeats its chunks' places: it is no later occurrence of itself.
-            later = (x["doc"] != x["doc"][first]) | (within & (x["at"] != x["at"][first]))
-            made = np.empty(int(later.sum()), REPEAT)
-            made["doc"], made["at"], made["size"], made["first"] = x["doc"][later], x["at"][later], x["size"][later], x["doc"][first][later]
+        known, others = found[0], found[1]
+        first = others["lead"].copy()
+        if len(known) and len(others):
+            keys = _place(known["doc"], known["at"])
+            order = np.argsort(keys, kind="stable")
+            at = order[np.minimum(np.searchsorted(keys[order], _place(others["lead"], others["lead_at"])), len(keys) - 1)]
+            same = (known["doc"][at] == others["lead"]) & (known["at"][at] == others["lead_at"])
+            first[same] = known["lead"][at][same]
+        for part, of in ((known, known["lead"]), (others, first)):
+            if not within:
+                across = part["doc"] != of
+                part, of = part[across], of[across]
+            made = np.empty(len(part), REPEAT)
+            made["doc"], made["at"], made["size"], made["first"] = part["doc"], part["at"], part["size"], of
             yield from out.add(made["doc"].astype(U), made)
         yield from out.flush()
 
@@ -139,8 +207,9 @@ def repeated_spans(docs: DataFrame, least: int = MIN_SPAN, within: bool = True)
     rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").where("doc_id is not null")
     buckets = partitions_for(docs)
     dealt = deal_out(rows.mapInArrow(lean(_deal_chunks(buckets)), PACKED), buckets)
-    found = deal_out(dealt.mapInArrow(lean(_find_repeats(buckets, within)), PACKED), buckets)
-    return found.mapInArrow(lean(_spans(least)), "doc_id bigint, start bigint, n_bytes bigint, first_doc_id bigint")
+    found = deal_out(dealt.mapInArrow(lean(_find_repeats(buckets)), PACKED), buckets)
+    resolved = deal_out(found.mapInArrow(lean(_resolve(buckets, within)), PACKED), buckets)
+    return resolved.mapInArrow(lean(_spans(least)), "doc_id bigint, start bigint, n_bytes bigint, first_doc_id bigint")
 
 
 def _without(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
