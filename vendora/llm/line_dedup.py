@@ -12,7 +12,9 @@ give candidate pairs, less those whose letter parities differ in more bits than
 MAX_EDITS edits can change.  Of lists longer than SHORT_LIST each line is paired with
 the first one; pairs between lines that this doesn't link follow in a second round.
 Candidates are verified on their texts by a banded bit-parallel edit distance, many
-pairs at a time.  Equality of lines is equality of 64-bit hashes.
+pairs at a time.  Of equal lines that a map task holds only the first is sent to be
+compared; the others are later occurrences whatever the rest holds, and go straight to
+their documents' places.  Equality of lines is equality of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -156,15 +158,38 @@ def _hashed_lines(texts: list[str | None], least: int):
         yield points, ranges, start, length, doc + row, number, ranges.of(start, start + length)
 
 
+#: Line occurrences that a map task holds before it sends them.
+BUFFER_LINES = 300_000
+
+
+def _split_firsts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First occurrences of lines, and later ones; a repeated row repeats its lines' places and is no later occurrence of itself."""
+    x = x[np.lexsort((x["line"], x["doc"], x["h"]))]
+    new = np.concatenate(([True], x["h"][1:] != x["h"][:-1])) if len(x) else np.empty(0, bool)
+    start = np.flatnonzero(new)[np.cumsum(new) - 1]
+    return x[new], x[(x["doc"] != x["doc"][start]) | (x["line"] != x["line"][start])]
+
+
 def _deal_lines(buckets: int, edits: int, least: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, own, probe = Deal(buckets, OCCURRENCE, 0), Deal(buckets, KEY, 1), Deal(buckets, KEY, 2)
+        seen, own, probe, later = Deal(buckets, OCCURRENCE, 0), Deal(buckets, KEY, 1), Deal(buckets, KEY, 2), Deal(buckets, OCCURRENCE, 3)
+        held: list[np.ndarray] = []
+
+        def send() -> Iterator[pa.RecordBatch]:
+            if held:
+                first, others = _split_firsts(np.concatenate(held))
+                held.clear()
+                yield from seen.add(first["h"], first)
+                yield from later.add(others["doc"].astype(U), others)
+
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for points, ranges, start, length, row, number, h in _hashed_lines(batch.column(1).to_pylist(), least):
                 part = np.empty(len(h), OCCURRENCE)
                 part["h"], part["doc"], part["line"], part["size"] = h, ids[row], number, length
-                yield from seen.add(h, part)
+                held.append(part)
+                if sum(map(len, held)) >= BUFFER_LINES:
+                    yield from send()
                 # Copies within the chunk have the same keys.
                 _, first = np.unique(h, return_index=True)
                 h, start, length = h[first], start[first], length[first]
@@ -173,9 +198,9 @@ def _deal_lines(buckets: int, edits: int, least: int):
                     part = np.empty(len(rows), KEY)
                     part["key"], part["h"], part["parity"] = keys, h[rows], parity[rows]
                     yield from (own if is_index else probe).add(keys, part)
-        yield from seen.flush()
-        yield from own.flush()
-        yield from probe.flush()
+        yield from send()
+        for deal in (seen, own, probe, later):
+            yield from deal.flush()
 
     return run
 
@@ -216,11 +241,12 @@ def _row_batch(kind: int, a: np.ndarray, b: np.ndarray, payload: list | None = N
 
 
 def _match(edits: int, short_list: int):
-    """Kind 0: candidate pairs.  Kind 1: occurrences, as one payload.  Kind 2: a line of a long list (line, list), with its record."""
+    """Kind 0: candidate pairs.  Kind 1: occurrences, as one payload.  Kind 2: a line of a long list (line, list), with its record.  Kind 3: later occurrences, as one payload."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = gather(batches, {0: OCCURRENCE, 1: KEY, 2: KEY})
-        yield _row_batch(1, np.zeros(1, np.int64), np.zeros(1, np.int64), [found[0].tobytes()])
+        found = gather(batches, {0: OCCURRENCE, 1: KEY, 2: KEY, 3: OCCURRENCE})
+        for kind in (0, 3):
+            yield _row_batch(max(kind, 1), np.zeros(1, np.int64), np.zeros(1, np.int64), [found[kind].tobytes()])
         own, probe = _unique(found[1]), _unique(found[2])
         pairs = _Pairs(edits)
         starts, lengths = runs_of_sorted(own["key"])
@@ -336,25 +362,16 @@ def _links(rows: DataFrame, pairs: DataFrame, edits: int, least: int) -> DataFra
 
 
 def _firsts(bitmap: bytes):
-    """Kind 0: occurrences (document, line) after a line's first, with the size.  Kind 1: first occurrences of linked lines (line, document)."""
+    """Kind 0: later occurrences (document, line), with the size.  Kind 1: first occurrences of linked lines."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for payload in batch.column(0):
+            for kind, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 x = np.frombuffer(payload.as_buffer(), OCCURRENCE)
-                x = x[np.lexsort((x["line"], x["doc"], x["h"]))]
-                if not len(x):
-                    continue
-                same = (x["h"][1:] == x["h"][:-1]) & ((x["doc"][1:] != x["doc"][:-1]) | (x["line"][1:] != x["line"][:-1]))
-                new = np.concatenate(([True], x["h"][1:] != x["h"][:-1]))
-                start = np.flatnonzero(new)[np.cumsum(new) - 1]
-                # A repeated row repeats its lines' places: it is no later occurrence of itself.
-                first = (x["doc"] == x["doc"][start]) & (x["line"] == x["line"][start])
-                linked = in_bitmap(bitmap, x["h"].copy().view(np.int64)) & new
-                later = ~first & np.concatenate(([False], same))
-                for kind, pick in ((0, later), (1, linked)):
-                    y = x[pick]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), kind, np.int32)), long_array(y["h"].copy()), pa.array(y["doc"].copy()), pa.array(y["line"].astype(np.int32)), pa.array(y["size"].astype(np.int32))], ["kind", "h", "doc_id", "line", "size"])
+                first, later = _split_firsts(x) if kind == 1 else (x[:0], x)
+                first = first[in_bitmap(bitmap, first["h"].copy().view(np.int64))]
+                for out, y in ((0, later), (1, first)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), out, np.int32)), long_array(y["h"].copy()), pa.array(y["doc"].copy()), pa.array(y["line"].astype(np.int32)), pa.array(y["size"].astype(np.int32))], ["kind", "h", "doc_id", "line", "size"])
 
     return run
 
@@ -371,7 +388,7 @@ def repeated_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHA
         rest = deal_out(labelled.mapInArrow(lean(_relabel(buckets)), PACKED), buckets).mapInArrow(lean(_match_rest(edits)), _ROWS).select("a", "b")
         links = links.union(_links(rows, rest, edits, least))
     found = materialize(components(links))
-    seen = materialize(matched.where("kind = 1").select("payload").mapInArrow(lean(_firsts(id_bitmap(found, "id"))), "kind int, h bigint, doc_id bigint, line int, size int"))
+    seen = materialize(matched.where("kind in (1, 3)").select("kind", "payload").mapInArrow(lean(_firsts(id_bitmap(found, "id"))), "kind int, h bigint, doc_id bigint, line int, size int"))
     discard(matched)
     firsts = seen.where("kind = 1").join(found.withColumnRenamed("id", "h"), "h").select("component", "doc_id", "line", "size")
     kept = firsts.groupBy("component").agg(F.min(F.struct("doc_id", "line")).alias("kept"))
