@@ -157,7 +157,11 @@ def learn(docs: DataFrame) -> Profiles:
 
 
 def predict_languages(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """doc_id, lang_pred, score for every row of docs; only doc_id and text are read."""
+    """doc_id, lang_pred, score for every row of docs; only doc_id and text are read.
+
+    A null or empty text, or one without letters, is UNKNOWN with score 0, and so is any
+    text if there are no profiles.  Repeated rows give repeated rows.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
