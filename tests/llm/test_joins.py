@@ -71,6 +71,41 @@ def test_ngram_join_is_exact(spark, short_list):
     assert found == brute_ngram(rows)
 
 
+@pytest.mark.parametrize("short_list", [64, 3])
+def test_ngram_join_links_sets_of_unequal_size(spark, short_list):
+    """Words appended or deleted at either end: links at exactly 80/100, and pairs just below."""
+    rng = random.Random(13)
+    texts = []
+    for i in range(60):
+        n = rng.choice([8, 20, 40, 60])
+        base = [f"g{i}w{j}" for j in range(n + 4)]
+        more = lambda k: [f"g{i}n{rng.randrange(10**9)}" for _ in range(k)]
+        texts.append(base)
+        # With five copies the shingles of base are long lists where short_list is 3.
+        for _ in range(1 if i % 2 else 5):
+            texts.append(base + more(n // 4 + rng.randrange(2)) if i % 3 else more(n // 4) + base)
+        if i % 4 == 0:
+            texts.append(base[n // 5 + rng.randrange(2) :])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(spark.createDataFrame(rows, DOC), short_list).collect()}
+    assert found == brute_ngram(rows)
+
+
+def test_prefixes_of_linked_sets_share_what_is_needed():
+    rng = np.random.default_rng(3)
+    for a in range(1, 120):
+        for b in range(a, a * 5 // 4 + 1):
+            shared = -(-4 * (a + b) // 9)
+            if shared > a:
+                continue
+            assert ngram_join.needed(np.int64(a), np.int64(b)) >= max(ngram_join.slack(a), ngram_join.slack(b))
+            for _ in range(5):
+                order = rng.permutation(a + b - shared)
+                x, y = np.sort(order[:a]), np.sort(order[a - shared :])
+                both = np.intersect1d(x[: ngram_join.prefix_size(a)], y[: ngram_join.prefix_size(b)])
+                assert len(both) >= ngram_join.needed(np.int64(a), np.int64(b))
+
+
 def test_ngram_join_edges(spark):
     empty = spark.createDataFrame([], DOC)
     assert ngram_join.ngram_components(empty).collect() == []

@@ -73,8 +73,12 @@ def prefix_size(n):
 
 
 def needed(a, b):
-    """Shingles that the prefixes of sets of a and b shingles share if the sets reach the threshold."""
-    return np.maximum(-(-4 * (a + b) // 9) - np.minimum(a - prefix_size(a), b - prefix_size(b)), 1)
+    """Shingles that the prefixes of sets of a and b shingles share if the sets reach the threshold.
+
+    Shared shingles outside may all lie behind the prefix that ends first, which can be
+    that of either set.  At least slack(a) and slack(b) for sizes that allow a link.
+    """
+    return np.maximum(-(-4 * (a + b) // 9) - np.maximum(a - prefix_size(a), b - prefix_size(b)), 1)
 
 
 def divide_skip(lists: list[list[int]], least: int) -> dict[int, int]:
