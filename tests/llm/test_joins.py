@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from vendora.llm import chunk_dedup, line_dedup, ngram_join
+from vendora.llm import chunk_dedup, line_dedup, ngram_join, queries
 from vendora.llm.components import components
 
 DOC = "doc_id bigint, text string"
@@ -224,6 +224,23 @@ def test_substring_dedup_matches_brute_force(spark):
     assert len(repeated - {r[0] for r in found}) <= len(passages)  # each passage's first document keeps it
 
 
+def test_registered_substring_dedup_reports_repeats_within_a_document(spark, tmp_path):
+    rng = random.Random(17)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghié") for _ in range(rng.randint(1, 9))) for _ in range(n))
+    body, shared = say(200), say(60)
+    rows = [(1, f"{say(20)} {shared}"), (2, f"{say(10)} {body} {say(15)} {body} {say(5)}"), (3, f"{body} {shared} {say(9)} {shared}"), (4, say(80))]
+    # Chunks that come first in the document and in an earlier one take turns in its second half.
+    mixed = " ".join(x for i in range(0, 60, 6) for x in (" ".join(shared.split()[i : i + 6]), say(6)))
+    rows += [(5, f"{mixed} {say(9)} {mixed}")]
+    spark.createDataFrame(rows, DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {tuple(r) for r in queries.op10_substring_dedup(spark, str(tmp_path)).collect()}
+    assert found == brute_spans(rows, chunk_dedup.MIN_SPAN)
+    own = [r for r in found if r[0] == 2]
+    assert [r[3] for r in own] == [2] and own[0][2] > 0.8 * len(body.encode())
+    last = max(r for r in found if r[0] == 5)
+    assert last[3] == 1 and last[2] > 0.8 * len(mixed.encode())
+
+
 def test_substring_dedup_edges(spark):
     assert chunk_dedup.repeated_spans(spark.createDataFrame([], DOC)).collect() == []
     text = " ".join(f"word{i}" for i in range(100))
