@@ -58,6 +58,17 @@ def test_top_k_needs_several_rounds(spark):
     assert found == brute_top(rows, 5)
 
 
+def test_top_k_keeps_vectors_with_large_components(spark):
+    rng = random.Random(14)
+    rows = [(i, [rng.choice([1.0, 300.25, -70_000.5, 1e6, rng.random()]) for _ in range(4)]) for i in range(120)]
+    rows += [(150, [1e7, 1.0, 0.0, -2.0]), (151, [70_000.0]), (200, [1.0]), (250, [-65_536.0])]
+    top = lambda rows: topk_search.top_k(v := topk_search.integer_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")), v.where("vec_id % 50 = 0"), 5)
+    assert {tuple(r) for r in top(rows).collect()} == brute_top(rows, 5)
+    for x in (1e9, 1e300):
+        with pytest.raises(Exception, match="64 bits"):
+            top([(0, [x]), (1, [x])]).collect()
+
+
 def test_top_k_of_nothing(spark):
     vectors = topk_search.integer_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>"))
     assert topk_search.top_k(vectors, vectors, 5).collect() == []

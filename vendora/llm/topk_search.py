@@ -28,20 +28,22 @@ QUERY_GROUP = 4096
 CELL_ROWS = 1024
 #: A query needs no further round when so many scores, besides ties, are left.
 ENOUGH = 64
-#: Larger components would not give exact products; such vectors take no part.
-LARGEST = 1 << 24
+#: Scores are 64-bit integers, and so are the distances between them: a query whose bound is larger raises.
+MOST_SCORE = 2.0**62
 
 
 def integer_vectors(df: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """vec_id, v array<bigint> with floor(256 * x) of each component.
 
     Left out are rows whose id or vector is null, and vectors with a component that is
-    null, not finite, or at least LARGEST after scaling.  An empty vector stays.
+    null or not finite.  An empty vector stays.  A component beyond 64 bits after
+    scaling raises.
     """
     x = F.col(vector_column).cast("array<double>")
     rows = df.select(F.col(id_column).cast("bigint").alias("vec_id"), x.alias("x")).where("vec_id is not null and x is not null")
-    rows = rows.where(F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < LARGEST / 256)))
-    return rows.select("vec_id", F.transform("x", lambda c: F.floor(c * 256.0)).alias("v"))
+    rows = rows.where(F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))))
+    whole = lambda c: F.when(F.abs(c) < 2.0**55, F.floor(c * 256.0)).otherwise(F.raise_error(F.lit("a component exceeds 64 bits")).cast("bigint"))
+    return rows.select("vec_id", F.transform("x", whole).alias("v"))
 
 
 def _matrix(table: pa.Table) -> np.ndarray:
@@ -74,7 +76,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     Both inputs are vec_id, v as integer_vectors gives them.  A row with the query's own
     id is no candidate; a query with fewer candidates returns all; vectors of another
     length are no candidates.  If a query id repeats, its least vector asks; if a candidate
-    id repeats, each of its rows counts.
+    id repeats, each of its rows counts.  Raises where a score could exceed MOST_SCORE.
     """
     vectors = materialize(vectors.withColumn("d", F.size("v")))
     asked = queries.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("d", F.size("v"))
@@ -83,11 +85,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     group = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     rows = vectors.select("vec_id", "v", "d", group(n_cells).alias("cell"), each(n_groups).alias("grp"))
-    # Bounds of all scores of a query: |q| |v| by Cauchy-Schwarz, rounded up, for the longest v of its length.
+    # Bounds of all scores of a query: |q| |v| by Cauchy-Schwarz, rounded up, for the longest v of its length and another id.
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c))
-    longest = vectors.groupBy("d").agg(F.max(norm).alias("most"))
-    reach = (F.ceil(norm * F.col("most") * 1.000001) + 1).cast("bigint")
-    state = materialize(asked.join(longest, "d").select("vec_id", "v", "d", group(n_groups).alias("grp"), (-reach).alias("lo"), (reach + 1).alias("hi"), F.ceil((2 * reach + 1) / BINS).cast("bigint").alias("width"), F.lit(0).cast("bigint").alias("above"), F.lit(False).alias("done")))
+    norms = vectors.groupBy("d", "vec_id").agg(F.max(norm).alias("most"))
+    top = norms.groupBy("d").agg(F.max(F.struct("most", "vec_id")).alias("top"))
+    second = norms.join(top, "d").where(F.col("vec_id") != F.col("top.vec_id")).groupBy("d").agg(F.max("most").alias("second"))
+    longest = top.join(second, "d", "left")
+    most = F.when(F.col("vec_id") == F.col("top.vec_id"), F.coalesce("second", F.lit(0.0))).otherwise(F.col("top.most"))
+    bound = norm * most * 1.000001
+    reach = F.when(bound < MOST_SCORE, (F.ceil(bound) + 1).cast("bigint")).otherwise(F.raise_error(F.lit("a score could exceed 64 bits")).cast("bigint"))
+    state = materialize(asked.join(longest, "d").select("vec_id", "v", "d", group(n_groups).alias("grp"), (-reach).alias("lo"), (reach + 1).alias("hi"), (F.floor(reach / (BINS // 2)) + 1).cast("bigint").alias("width"), F.lit(0).cast("bigint").alias("above"), F.lit(False).alias("done")))
 
     def count(key, query_side: pa.Table, row_side: pa.Table) -> pa.Table:
         ids, bins, counts = [], [], []
@@ -136,7 +143,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             "vec_id", "v", "d", "grp",
             F.when(few, F.col("lo")).otherwise(F.col("lo") + F.col("w.bin") * F.col("width")).alias("lo"),
             F.when(few, F.col("hi")).otherwise(F.least("hi", F.col("lo") + (F.col("w.bin") + 1) * F.col("width"))).alias("hi"),
-            F.when(few | (F.col("width") == 1), F.col("width")).otherwise(F.ceil(F.col("width") / BINS)).cast("bigint").alias("width"),
+            F.when(few | (F.col("width") == 1), F.col("width")).otherwise(F.expr(f"(width + {BINS - 1}) div {BINS}")).cast("bigint").alias("width"),
             F.when(few, F.col("above")).otherwise(F.col("w.above")).alias("above"),
             (few | (F.col("width") == 1) | (F.col("w.above") + F.col("w.n") <= ENOUGH)).alias("done"),
         )
