@@ -136,6 +136,12 @@ def test_languages(spark):
     assert language_id.predict_languages(docs, none).where("lang_pred <> 'und'").count() == 0
 
 
+def test_letters_pass_where_no_profile_exists(spark):
+    rows = [(1, "abc", None), (2, " 12 !?", None), (3, None, None), (4, "é", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert sorted(r.doc_id for r in language_id.keep_identified(docs, language_id.learn(docs)).collect()) == [1, 4]
+
+
 def test_toxicity_separates_held_out_documents(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice(["an", "re", "ti", "lo", "sh", "e"]) for _ in range(rng.randint(1, 4)))

@@ -173,11 +173,14 @@ def predict_languages(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """The rows of docs whose text has a language by the profiles, with all their columns; one narrow pass."""
+    """The rows of docs whose text has a language by the profiles, with all their columns; one narrow pass.
+
+    If there are no profiles, texts with letters stay.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([profiles.predict(letters)[0] != UNKNOWN for _, letters in _pieces(batch, at)], pa.bool_()))
+            yield batch.filter(pa.array([bool(profiles.predict(letters)[0] != UNKNOWN if profiles.languages else letters.any()) for _, letters in _pieces(batch, at)], pa.bool_()))
 
     return docs.mapInArrow(lean(run), docs.schema)
