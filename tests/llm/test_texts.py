@@ -142,6 +142,12 @@ def test_letters_pass_where_no_profile_exists(spark):
     assert sorted(r.doc_id for r in language_id.keep_identified(docs, language_id.learn(docs)).collect()) == [1, 4]
 
 
+def test_every_language_is_learned(spark):
+    rows = [(i, chr(0x4E00 + i % 230) * 9, f"x{i % 230:03}") for i in range(230 * 4)]
+    profiles = language_id.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert profiles.languages == sorted({r[2] for r in rows})
+
+
 def test_toxicity_separates_held_out_documents(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice(["an", "re", "ti", "lo", "sh", "e"]) for _ in range(rng.randint(1, 4)))

@@ -25,8 +25,6 @@ from vendora.llm.store import lean
 
 PROFILE_SIZE = 300
 SAMPLE_DOCS = 1000
-#: Languages learned: those with the most rows.
-MAX_LANGUAGES = 200
 #: A document is compared by as many n-grams as this, and at least as it has.
 DOCUMENT_GRAMS = 300
 UNKNOWN = "und"
@@ -124,12 +122,12 @@ def is_held_out():
 def learn(docs: DataFrame) -> Profiles:
     """Profiles from rows with a language that are not held out.
 
-    Sampling rates, a row for each of at most MAX_LANGUAGES languages, are broadcast, so
+    Sampling rates, a row for each language, are broadcast, so
     texts aren't shuffled.  N-gram counts are summed before the shuffle and again after
     it; the driver gets PROFILE_SIZE n-grams of each language.
     """
     rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text", "cast(lang as string) lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~is_held_out())
-    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
+    counted = rows.groupBy("lang").count()
     rates = F.broadcast(counted.select("lang", (F.lit(float(SAMPLE_DOCS)) / F.col("count")).alias("rate")))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     sample = rows.join(rates, "lang").where(draw < F.col("rate")).select("lang", "text")
