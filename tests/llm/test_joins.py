@@ -193,37 +193,92 @@ def test_line_dedup_edges(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], DOC)).collect() == []
 
 
-def brute_spans(rows, least):
+def plain_chunks(raw):
+    """(start, end) of the chunks of one text, byte by byte."""
+    gear, cuts, mark = 0, [], -chunk_dedup.MIN_CHUNK
+    for i, x in enumerate(raw):
+        gear = (gear << 1 & 0xFFFF) + int(chunk_dedup._GEAR[x]) & 0xFFFF
+        if gear >> 16 - chunk_dedup.CUT_BITS == 0:
+            if i + 1 - mark >= chunk_dedup.MIN_CHUNK:
+                cuts.append(i + 1)
+            mark = i + 1
+
+    def whole(at):
+        while at < len(raw) and raw[at] & 0xC0 == 0x80:
+            at += 1
+        return at
+
+    bounds = sorted({0, len(raw), *map(whole, cuts)})
+    for s, e in list(zip(bounds, bounds[1:], strict=False)):
+        bounds += [whole(x) for x in range(s + chunk_dedup.MAX_CHUNK, e, chunk_dedup.MAX_CHUNK)]
+    bounds = sorted(set(bounds))
+    return list(zip(bounds, bounds[1:], strict=False))
+
+
+def brute_spans(rows, least, within=True):
+    """Spans of overlapping repeated units; rows of one doc_id must have one text."""
     seen, marked = {}, {}
     for i, text in sorted(rows, key=lambda r: r[0]):
         raw = (text or "").encode()
-        start, end, _ = chunk_dedup.cut_points(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])) if raw else ([], [], [])
-        for s, e in zip(start, end, strict=True):
-            first = seen.setdefault(raw[s:e], (i, int(s)))
-            if first != (i, int(s)):
-                marked[i, int(s)] = (int(e), first[0])
-    out = {}
-    for (i, s), (e, first) in sorted(marked.items()):
-        prior = next((k for k, v in out.items() if k[0] == i and v[0] == s), None)
-        if prior:
-            out[prior] = (e, min(out[prior][1], first))
-        else:
-            out[i, s] = (e, first)
-    return {(i, s, e - s, f) for (i, s), (e, f) in out.items() if e - s >= least}
-
-
-def test_substring_dedup_matches_brute_force(spark):
+        own = plain_chunks(raw) if raw else []
+        units = [(own[j][0], own[j + 1][1]) for j in range(len(own) - 1)] + [c for c in own if len(own) == 1 or c[1] - c[0] >= least]
+        for s, e in sorted(units):
+            first = seen.setdefault(raw[s:e], (i, s))
+            if first != (i, s) and (within or first[0] != i):
+                marked.setdefault(i, []).append((s, e, first[0]))
+    out = set()
+    for i, found in marked.items():
+        spans = []
+        for s, e, first in sorted(found):
+            if spans and s < spans[-1][1]:
+                spans[-1] = (spans[-1][0], max(e, spans[-1][1]), min(first, spans[-1][2]))
+            else:
+                spans.append((s, e, first))
+        out |= {(i, s, e - s, f) for s, e, f in spans if e - s >= least}
+    return out
+
+
+def spans_of(df):
+    return {tuple(r)[:4] for r in df.collect()}
+
+
+@pytest.mark.parametrize("within", [True, False])
+def test_substring_dedup_matches_brute_force(spark, within):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefghié") for _ in range(rng.randint(1, 9)))
     passages = [" ".join(word() for _ in range(60)) for _ in range(5)]
     rows = [(i, " ".join(word() for _ in range(rng.randint(0, 80))) + " " + rng.choice(passages) + " " + word()) for i in range(40)]
-    rows += [(50, None), (51, ""), (52, rows[0][1]), (53, "ab" * 20_000), (54, "é" * 2000)]
-    found = {tuple(r) for r in chunk_dedup.repeated_spans(spark.createDataFrame(rows, DOC)).collect()}
-    assert found == brute_spans(rows, chunk_dedup.MIN_SPAN)
+    rows += [(50, None), (51, ""), (52, rows[0][1]), (53, "ab" * 20_000), (54, "é" * 2000), (55, "short"), (56, "short"), (57, rows[3][1] + " " + rows[3][1])]
+    found = spans_of(chunk_dedup.repeated_spans(spark.createDataFrame(rows, DOC).selectExpr("*", "1 text_hash", "2 first_doc_id"), within=within))
+    assert found == brute_spans(rows, chunk_dedup.MIN_SPAN, within)
     repeated = {i for i, t in rows if t and any(p in t for p in passages)}
     assert len(repeated - {r[0] for r in found}) <= len(passages)  # each passage's first document keeps it
 
 
+def test_chunks_of_long_texts_and_of_neighbours(monkeypatch):
+    """Cuts depend on a text alone, not on what lies beside it or on the windows it is worked off in."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefg é\n") for _ in range(n)).encode() for n in (3000, 7, 900, 1, 40, 2500)]
+    bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    start, end, row = chunk_dedup.cut_points(np.frombuffer(b"".join(texts), np.uint8), bounds)
+    for i, raw in enumerate(texts):
+        want = plain_chunks(raw)
+        assert [(int(s - bounds[i]), int(e - bounds[i])) for s, e, r in zip(start, end, row, strict=True) if r == i] == want
+        with monkeypatch.context() as m:
+            m.setattr(chunk_dedup, "CHUNK_BYTES", 100)
+            s, e, _ = chunk_dedup.cut_points(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+            assert list(zip(s.tolist(), e.tolist(), strict=True)) == want
+
+
+def test_insertions_move_no_later_cut():
+    rng = random.Random(3)
+    raw = "".join(rng.choice("abcdefghij ") for _ in range(20_000)).encode()
+    moved = raw[:5000] + b"inserted" + raw[5000:]
+    ends = lambda x, low, high: [e for _, e in plain_chunks(x) if low <= e < high]
+    assert ends(raw, 0, 5000) == ends(moved, 0, 5000)
+    assert [e + 8 for e in ends(raw, 5024, 30_000)] == ends(moved, 5032, 30_000)
+
+
 def test_registered_substring_dedup_reports_repeats_within_a_document(spark, tmp_path):
     rng = random.Random(17)
     say = lambda n: " ".join("".join(rng.choice("abcdefghié") for _ in range(rng.randint(1, 9))) for _ in range(n))
@@ -232,13 +287,78 @@ def test_registered_substring_dedup_reports_repeats_within_a_document(spark, tmp
     # Chunks that come first in the document and in an earlier one take turns in its second half.
     mixed = " ".join(x for i in range(0, 60, 6) for x in (" ".join(shared.split()[i : i + 6]), say(6)))
     rows += [(5, f"{mixed} {say(9)} {mixed}")]
+    # Two passages that have never stood side by side are two spans.
+    rows += [(6, f"{shared} {body}")]
     spark.createDataFrame(rows, DOC).write.parquet(f"{tmp_path}/documents.parquet")
-    found = {tuple(r) for r in queries.op10_substring_dedup(spark, str(tmp_path)).collect()}
+    found = spans_of(queries.op10_substring_dedup(spark, str(tmp_path)))
     assert found == brute_spans(rows, chunk_dedup.MIN_SPAN)
     own = [r for r in found if r[0] == 2]
     assert [r[3] for r in own] == [2] and own[0][2] > 0.8 * len(body.encode())
     last = max(r for r in found if r[0] == 5)
-    assert last[3] == 1 and last[2] > 0.8 * len(mixed.encode())
+    assert last[2] > 0.8 * len(mixed.encode())
+    assert len([r for r in found if r[0] == 6]) == 2
+
+
+def test_rows_of_one_doc_id_keep_their_own_substrings(spark):
+    """(0, A), (1, A), (1, B): B is nowhere else, so nothing of it may go, whatever A's places are."""
+    rng = random.Random(18)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghi") for _ in range(rng.randint(1, 9))) for _ in range(n))
+    a, b = say(90), say(90)
+    rows = spark.createDataFrame([(0, a), (1, a), (1, b), (1, b), (None, a)], DOC)
+    left = sorted((r.doc_id is None, r.doc_id, r.text == b, len(r.text)) for r in chunk_dedup.dedup_substrings(rows).collect())
+    assert [x[3] for x in left if x[2]] == [len(b)] * 2
+    assert [x[3] for x in left if x[1] == 0] == [len(a)] and [x[3] for x in left if x[0]] == [len(a)]
+    assert [x[3] for x in left if x[1] == 1 and not x[2]][0] < 80
+
+
+def test_rows_of_one_doc_id_keep_their_own_lines(spark):
+    a, b = "an ordinary line of A, thirty!", "something else that B has only"
+    assert len(a) == len(b) == 30
+    rows = spark.createDataFrame([(0, a), (1, a), (1, b)], DOC)
+    assert sorted(r.text for r in line_dedup.drop_repeated_lines(rows).collect()) == [a, b]
+    assert sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(rows).collect()) == [(0, a), (1, ""), (1, b)]
+
+
+def test_lines_with_equal_polynomials_differ(spark):
+    """The Thue-Morse word and its complement have equal polynomials modulo 2**64, for any odd base."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = spark.createDataFrame([(0, word), (1, other), (2, word)], DOC)
+    assert {(r.doc_id, r.line) for r in line_dedup.repeated_lines(rows).collect()} == {(2, 0)}
+
+
+def test_rows_of_one_doc_id_and_identical_rows_in_the_join_stage(spark):
+    a, b, c = ("the quick brown fox jumps over the lazy dog today", "a wholly different text of some nine or ten words", "one two three four five six seven eight nine ten")
+    rows = [(0, a, 0), (1, a, 1), (1, b, 2), (2, c, 3), (2, c, 4), (2, c, 5), (5, None, 6), (5, None, 7), (None, a, 8), (None, a, 9), (6, "", 10), (3, b, 11)]
+    docs = spark.createDataFrame(rows, DOC + ", n bigint").selectExpr("*", "1 vertex", "2 stays", "3 count", "4 _gone_from", "5 first")
+    kept = ngram_join.keep_first_of_components(docs)
+    assert kept.columns == docs.columns
+    found = [r.n for r in kept.collect()]
+    assert len(found) == len(set(found)) and len({3, 4, 5} & set(found)) == 1
+    assert set(found) - {3, 4, 5} == {0, 2, 6, 7, 8, 9, 10}
+    comps = sorted((r.doc_id, r.component_id) for r in ngram_join.ngram_components(docs.where("doc_id < 4")).collect())
+    assert comps == [(0, 0), (1, 0), (1, 1), (2, 2), (2, 2), (2, 2), (3, 1)]
+
+
+def test_columns_of_the_line_stage_may_have_any_names(spark):
+    line = "a line that is long enough"
+    docs = spark.createDataFrame([(1, line, 26), (2, f"{line}\nand another one of its own", 53), (3, line, 26), (4, None, 0)], DOC + ", n_chars int").selectExpr("*", "1 _gone", "2 _gone_from", "3 _gone_text", "4 line", "5 h", "6 text_hash")
+    kept = line_dedup.drop_repeated_lines(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in kept.collect() if r.text) == [(1, line, 26), (2, "and another one of its own", 26)]
+
+
+def test_very_long_texts(spark):
+    """20 MB in one text: of many lines, of one line, and without any space."""
+    rng = random.Random(6)
+    said = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(20_000))
+    many = "\n".join(f"{said[i % 90_000 :][:90]} {i}" for i in range(0, 6_600_000, 30))
+    assert len(many) > 2e7
+    rows = [(1, many), (2, many), (3, said.replace(" ", "") * 180), (4, said * 150), (5, said.replace(" ", "") * 180)]
+    docs = spark.createDataFrame(rows[:2], DOC).unionByName(spark.createDataFrame(rows[2:], DOC)).repartition(5)
+    assert {r.doc_id: r.component_id for r in ngram_join.ngram_components(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 3}
+    spans = chunk_dedup.repeated_spans(docs).groupBy("doc_id").sum("n_bytes").collect()
+    assert all(r[1] > 0.9 * len(rows[r.doc_id - 1][1]) for r in spans if r.doc_id in (2, 5))
 
 
 def test_substring_dedup_edges(spark):
@@ -247,5 +367,6 @@ def test_substring_dedup_edges(spark):
     rows = spark.createDataFrame([(1, text), (1, text), (None, text), (2, "x " + text)], DOC)
     found = chunk_dedup.repeated_spans(rows).collect()
     assert {(r.doc_id, r.first_doc_id) for r in found} == {(2, 1)}
+    assert chunk_dedup.dedup_substrings(spark.createDataFrame([], DOC)).collect() == []
     left = {r.doc_id: r.text for r in chunk_dedup.dedup_substrings(rows).collect()}
     assert left[1] == left[None] == text and left[2].startswith("x ") and len(left[2]) < 60

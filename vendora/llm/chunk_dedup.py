@@ -2,16 +2,21 @@
 
 A gear rolling hash over the last WINDOW bytes cuts each text into chunks of about 25 bytes
 on average, so a cut depends on the bytes before it alone and an insertion moves no
-later cut.  Chunks are known by a 96-bit digest; of equal chunks the first, by doc_id and
-place, is kept.  Adjacent repeated chunks form a span, and spans of at least MIN_SPAN
+later cut.  The units compared are two adjacent chunks, and single chunks that are long
+enough by themselves; they are known by a 96-bit digest, and of equal units the first, by
+doc_id, text and place, is kept.  Repeated units that overlap form a span, so every
+junction of chunks within a span has occurred before, and spans of at least MIN_SPAN
 bytes count as repeats; shorter ones (a common line, a phrase) are left alone.
 
-Chunk digests move as packed records.  Each map task first looks among the chunks that it
-holds: of equal ones only the first is sent to be compared by digest, with the others
-following it (by its place, of which a task's buffer bounds the number).  So a chunk
-with any number of copies costs its bucket one record for each buffer, not one for each
-copy, and followers learn the first document from the chunk they follow.  A last shuffle,
-by document, joins repeated chunks into spans.
+A row is known by its doc_id and a hash of its text, so rows that repeat a doc_id with
+other texts keep their own places.
+
+Digests move as packed records.  Each map task first looks among the units that it holds:
+of equal ones only the first is sent to be compared by digest, with the others following
+it (by its place, of which a task's buffer bounds the number).  So a unit with any number
+of copies costs its bucket one record for each buffer, not one for each copy, and
+followers learn the first document from the unit they follow.  A last shuffle, by row,
+joins repeated units into spans.
 """
 
 from __future__ import annotations
@@ -23,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vendora.llm.kernel import RangeHash, U, chunks, mix, text_buffer
-from vendora.llm.store import PACKED, Deal, deal_out, gather, lean, partitions_for
+from vendora.llm.kernel import CHUNK_BYTES, U, chunks, hash_ranges, mix, text_buffer
+from vendora.llm.store import PACKED, Deal, buckets_for, deal_out, gather, lean
 
 WINDOW = 16
 #: The top bits of the 16-bit gear hash that must be zero at a cut: 2**4 bytes between cuts on average.
@@ -36,30 +41,42 @@ _rng = np.random.Generator(np.random.PCG64(7))
 _GEAR = _rng.integers(0, 1 << 16, 256, dtype=np.uint16)
 _CODES = _rng.integers(1, 2**63, (2, 256), dtype=np.uint64) * U(2) + U(1)
 
-CHUNK = np.dtype([("d1", "<u8"), ("d2", "<u4"), ("doc", "<i8"), ("at", "<u4"), ("size", "<u4")])
-#: A chunk (doc, at, size) that follows an equal one (lead, lead_at).
-FOLLOWER = np.dtype([("lead", "<i8"), ("lead_at", "<u4"), ("doc", "<i8"), ("at", "<u4"), ("size", "<u4")])
-REPEAT = np.dtype([("doc", "<i8"), ("at", "<u4"), ("size", "<u4"), ("first", "<i8")])
-#: Chunks that a map task holds before it sends them.
-BUFFER_CHUNKS = 300_000
+UNIT = np.dtype([("d1", "<u8"), ("d2", "<u4"), ("doc", "<i8"), ("text", "<i8"), ("at", "<u4"), ("size", "<u4")])
+#: A unit (doc, text, at, size) that follows an equal one (lead, lead_text, lead_at).
+FOLLOWER = np.dtype([("lead", "<i8"), ("lead_text", "<i8"), ("lead_at", "<u4"), ("doc", "<i8"), ("text", "<i8"), ("at", "<u4"), ("size", "<u4")])
+REPEAT = np.dtype([("doc", "<i8"), ("text", "<i8"), ("at", "<u4"), ("size", "<u4"), ("first", "<i8")])
+#: Units that a map task holds before it sends them.
+BUFFER_UNITS = 300_000
 
 
-def cut_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text number of the chunks of texts that lie side by side in data (offsets from 0)."""
+def _marks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places after which the gear hash of the last WINDOW bytes of a text marks a cut."""
     rows = len(offsets) - 1
-    sizes = np.diff(offsets)
-    row_of = np.repeat(np.arange(rows), sizes)
+    if rows == 1 and len(data) > CHUNK_BYTES + WINDOW:
+        found = []
+        for at in range(0, len(data), CHUNK_BYTES):
+            low = max(at - WINDOW + 1, 0)
+            found.append(_marks(data[low : at + CHUNK_BYTES], np.array([0, 0])) + low)
+            found[-1] = found[-1][found[-1] > at]
+        return np.concatenate(found)
     # Zeros between texts keep the hash within its text.
-    gear = np.zeros(len(data) + WINDOW * rows, np.uint16)
-    place = np.arange(len(data)) + WINDOW * row_of
+    place = np.arange(len(data)) + WINDOW * np.repeat(np.arange(rows), np.diff(offsets)) if rows > 1 else slice(None)
+    gear = np.zeros(len(data) + WINDOW * (rows - 1), np.uint16)
     gear[place] = _GEAR[data]
     width = 1
     while width < WINDOW:
         gear[width:] = gear[width:] + (gear[:-width] << np.uint16(width))
         width *= 2
-    cut = np.flatnonzero((gear[place] >> np.uint16(16 - CUT_BITS)) == 0) + 1
+    return np.flatnonzero((gear[place] >> np.uint16(16 - CUT_BITS)) == 0) + 1
+
+
+def cut_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text number of the chunks of texts that lie side by side in data (offsets from 0)."""
+    cut = _marks(data, offsets)
     before = np.concatenate(([-MIN_CHUNK], cut[:-1]))
-    cut = cut[cut - before >= MIN_CHUNK]
+    of = np.searchsorted(offsets, cut - 1, "right")
+    # A mark so soon after another one of its text, whether that is a cut or not, is no cut.
+    cut = cut[(cut - before >= MIN_CHUNK) | np.concatenate(([True], of[1:] != of[:-1]))[: len(cut)]]
     for _ in range(3):  # not inside a character
         inside = np.zeros(len(cut), bool)
         ok = cut < len(data)
@@ -77,55 +94,78 @@ def cut_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
-def _place(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return mix(doc.astype(U) * U(0x9E3779B97F4A7C15) + at.astype(U))
+def units(start: np.ndarray, end: np.ndarray, doc: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text number of the units made of chunks: neighbours in a text, chunks of at least `least` bytes, and the chunk of a text that has one only."""
+    together = np.flatnonzero(doc[1:] == doc[:-1])
+    paired = np.zeros(len(start), bool)
+    paired[together] = paired[together + 1] = True
+    single = np.flatnonzero((end - start >= least) | ~paired)
+    return np.concatenate((start[together], start[single])), np.concatenate((end[together + 1], end[single])), np.concatenate((doc[together], doc[single]))
+
+
+def _place(doc: np.ndarray, text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return mix((doc.astype(U) ^ mix(text.astype(U))) * U(0x9E3779B97F4A7C15) + at.astype(U))
+
+
+def _elsewhere(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which units aren't at the place of the first equal one: a repeated row repeats its units' places and is no later occurrence of itself."""
+    return (x["doc"] != x["doc"][first]) | (x["text"] != x["text"][first]) | (x["at"] != x["at"][first])
 
 
 def _leads(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """x sorted by digest and place, and for each the index of the first equal one."""
-    x = x[np.lexsort((x["at"], x["doc"], x["d2"], x["d1"]))]
+    x = x[np.lexsort((x["at"], x["text"], x["doc"], x["d2"], x["d1"]))]
     new = np.concatenate(([True], (x["d1"][1:] != x["d1"][:-1]) | (x["d2"][1:] != x["d2"][:-1])))
     return x, np.flatnonzero(new)[np.cumsum(new) - 1]
 
 
 def _followers(x: np.ndarray, first: np.ndarray, pick: np.ndarray) -> np.ndarray:
     out = np.empty(int(pick.sum()), FOLLOWER)
-    out["lead"], out["lead_at"] = x["doc"][first][pick], x["at"][first][pick]
-    out["doc"], out["at"], out["size"] = x["doc"][pick], x["at"][pick], x["size"][pick]
+    for name, of in (("lead", "doc"), ("lead_text", "text"), ("lead_at", "at")):
+        out[name] = x[of][first][pick]
+    for name in ("doc", "text", "at", "size"):
+        out[name] = x[name][pick]
     return out
 
 
-def _deal_chunks(buckets: int):
-    """Kind 0: first chunks of each buffer, by digest.  Kind 1: the others, by the place of the one they follow."""
+def _at_lead(x: np.ndarray) -> np.ndarray:
+    return _place(x["lead"], x["lead_text"], x["lead_at"])
+
+
+def _at_self(x: np.ndarray) -> np.ndarray:
+    return _place(x["doc"], x["text"], x["at"])
+
+
+def _deal_units(buckets: int, least: int):
+    """Kind 0: first units of each buffer, by digest.  Kind 1: the others, by the place of the one they follow."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        firsts, others = Deal(buckets, CHUNK, 0), Deal(buckets, FOLLOWER, 1)
+        firsts, others = Deal(buckets, UNIT, 0), Deal(buckets, FOLLOWER, 1)
 
         def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             if held:
                 x, first = _leads(np.concatenate(held))
                 own = first == np.arange(len(x))
                 yield from firsts.add(x["d1"][own], x[own])
-                # A repeated row repeats its chunks' places: it is no later occurrence of itself.
-                part = _followers(x, first, (x["doc"] != x["doc"][first]) | (x["at"] != x["at"][first]))
-                yield from others.add(_place(part["lead"], part["lead_at"]), part)
+                part = _followers(x, first, _elsewhere(x, first))
+                yield from others.add(_at_lead(part), part)
 
         held: list[np.ndarray] = []
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, keys = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             data, offsets = text_buffer(batch.column(1))
             for row, end in chunks(offsets):
                 part = data[offsets[row] : offsets[end]]
                 if not len(part):
                     continue
                 own = offsets[row : end + 1] - offsets[row]
-                start, stop, doc = cut_points(part, own)
-                made = np.empty(len(start), CHUNK)
-                made["d1"] = RangeHash(_CODES[0][part]).of(start, stop)
-                made["d2"] = (RangeHash(_CODES[1][part]).of(start, stop) >> U(32)).astype(np.uint32)
-                made["doc"], made["at"], made["size"] = ids[row + doc], start - own[doc], stop - start
+                start, stop, doc = units(*cut_points(part, own), least)
+                made = np.empty(len(start), UNIT)
+                made["d1"] = hash_ranges(_CODES[0], part, start, stop)
+                made["d2"] = (hash_ranges(_CODES[1], part, start, stop) >> U(32)).astype(np.uint32)
+                made["doc"], made["text"], made["at"], made["size"] = ids[row + doc], keys[row + doc], start - own[doc], stop - start
                 held.append(made)
-                if sum(map(len, held)) >= BUFFER_CHUNKS:
+                if sum(map(len, held)) >= BUFFER_UNITS:
                     yield from send(held)
                     held = []
         yield from send(held)
@@ -136,16 +176,16 @@ def _deal_chunks(buckets: int):
 
 
 def _find_repeats(buckets: int):
-    """Kind 0: leads that follow a chunk of another task (or buffer), by their own place.  Kind 1: followers, as they came."""
+    """Kind 0: leads that follow a unit of another task (or buffer), by their own place.  Kind 1: followers, as they came."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = gather(batches, {0: CHUNK, 1: FOLLOWER})
         known, others = Deal(buckets, FOLLOWER, 0), Deal(buckets, FOLLOWER, 1)
-        if len(found[0]):
-            x, first = _leads(found[0])
-            part = _followers(x, first, (x["doc"] != x["doc"][first]) | (x["at"] != x["at"][first]))
-            yield from known.add(_place(part["doc"], part["at"]), part)
-        yield from others.add(_place(found[1]["lead"], found[1]["lead_at"]), found[1])
+        for found in gather(batches, {0: (UNIT, lambda x: x["d1"]), 1: (FOLLOWER, _at_lead)}):
+            if len(found[0]):
+                x, first = _leads(found[0])
+                part = _followers(x, first, _elsewhere(x, first))
+                yield from known.add(_at_self(part), part)
+            yield from others.add(_at_lead(found[1]), found[1])
         yield from known.flush()
         yield from others.flush()
 
@@ -153,63 +193,75 @@ def _find_repeats(buckets: int):
 
 
 def _resolve(buckets: int, within: bool):
-    """All repeats with the document of the first equal chunk, by document."""
+    """All repeats with the document of the first equal unit, by row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = gather(batches, {0: FOLLOWER, 1: FOLLOWER})
         out = Deal(buckets, REPEAT)
-        known, others = found[0], found[1]
-        first = others["lead"].copy()
-        if len(known) and len(others):
-            keys = _place(known["doc"], known["at"])
-            order = np.argsort(keys, kind="stable")
-            at = order[np.minimum(np.searchsorted(keys[order], _place(others["lead"], others["lead_at"])), len(keys) - 1)]
-            same = (known["doc"][at] == others["lead"]) & (known["at"][at] == others["lead_at"])
-            first[same] = known["lead"][at][same]
-        for part, of in ((known, known["lead"]), (others, first)):
-            if not within:
-                across = part["doc"] != of
-                part, of = part[across], of[across]
-            made = np.empty(len(part), REPEAT)
-            made["doc"], made["at"], made["size"], made["first"] = part["doc"], part["at"], part["size"], of
-            yield from out.add(made["doc"].astype(U), made)
+        for found in gather(batches, {0: (FOLLOWER, _at_self), 1: (FOLLOWER, _at_lead)}):
+            known, others = found[0], found[1]
+            first = others["lead"].copy()
+            if len(known) and len(others):
+                # Units of different sizes can begin at one place; their leads are the same where the sizes are.
+                keys = _at_self(known) + known["size"]
+                order = np.argsort(keys, kind="stable")
+                at = order[np.minimum(np.searchsorted(keys[order], _at_lead(others) + others["size"]), len(keys) - 1)]
+                same = (known["doc"][at] == others["lead"]) & (known["text"][at] == others["lead_text"]) & (known["at"][at] == others["lead_at"]) & (known["size"][at] == others["size"])
+                first[same] = known["lead"][at][same]
+            for part, of in ((known, known["lead"]), (others, first)):
+                if not within:
+                    across = part["doc"] != of
+                    part, of = part[across], of[across]
+                made = np.empty(len(part), REPEAT)
+                for name in ("doc", "text", "at", "size"):
+                    made[name] = part[name]
+                made["first"] = of
+                yield from out.add(_row_key(made), made)
         yield from out.flush()
 
     return run
 
 
+def _row_key(x: np.ndarray) -> np.ndarray:
+    return x["doc"].astype(U) ^ mix(x["text"].astype(U))
+
+
 def _spans(least: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = gather(batches, {0: REPEAT})[0]
-        if not len(x):
-            return
-        x = x[np.lexsort((x["at"], x["doc"]))]
-        x = x[np.concatenate(([True], (x["doc"][1:] != x["doc"][:-1]) | (x["at"][1:] != x["at"][:-1])))]
-        new = np.concatenate(([True], (x["doc"][1:] != x["doc"][:-1]) | (x["at"][1:] != x["at"][:-1] + x["size"][:-1])))
-        start = np.flatnonzero(new)
-        size = np.add.reduceat(x["size"].astype(np.int64), start)
-        first = np.minimum.reduceat(x["first"], start)
-        good = size >= least
-        start = start[good]
-        yield pa.RecordBatch.from_arrays([pa.array(x["doc"][start]), pa.array(x["at"][start].astype(np.int64)), pa.array(size[good]), pa.array(first[good])], ["doc_id", "start", "n_bytes", "first_doc_id"])
+        for found in gather(batches, {0: (REPEAT, _row_key)}):
+            x = found[0]
+            if not len(x):
+                continue
+            x = x[np.lexsort((x["at"], x["text"], x["doc"]))]
+            row = np.cumsum(np.concatenate(([0], (x["doc"][1:] != x["doc"][:-1]) | (x["text"][1:] != x["text"][:-1]))))
+            # The furthest end so far within the row; rows lie behind each other on one line.
+            at = x["at"].astype(np.int64) + (row << 33)
+            end = np.maximum.accumulate(at + x["size"])
+            start = np.flatnonzero(np.concatenate(([True], at[1:] >= end[:-1])))
+            size = end[np.concatenate((start[1:], [len(x)])) - 1] - at[start]
+            first = np.minimum.reduceat(x["first"], start)
+            good = size >= least
+            start = start[good]
+            yield pa.RecordBatch.from_arrays([pa.array(x["doc"][start]), pa.array(x["at"][start].astype(np.int64)), pa.array(size[good]), pa.array(first[good]), pa.array(x["text"][start])], ["doc_id", "start", "n_bytes", "first_doc_id", "text_hash"])
 
     return run
 
 
 def repeated_spans(docs: DataFrame, least: int = MIN_SPAN, within: bool = True) -> DataFrame:
-    """doc_id, start and n_bytes of each repeated span (in bytes of UTF-8), first_doc_id.
-
-    first_doc_id is the least document in which a chunk of the span comes first; it may
-    be doc_id itself, unless within is false: then only repeats across documents count.  Only doc_id and text are read; null and empty texts have no
-    spans; rows without doc_id take no part; rows that repeat a doc_id and text are one
-    occurrence.
+    """doc_id, start and n_bytes of each repeated span (in bytes of UTF-8), first_doc_id, text_hash.
+
+    first_doc_id is the least document in which a unit of the span comes first; it may
+    be doc_id itself, unless within is false: then only repeats across documents count.
+    text_hash (xxhash64 of the text) tells the rows of one doc_id apart.  Only doc_id and
+    text are read; null and empty texts have no spans; rows without doc_id take no part;
+    rows that repeat a doc_id and text are one occurrence; of rows with one doc_id and
+    different texts the one with the lesser text_hash comes first.
     """
-    rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").where("doc_id is not null")
-    buckets = partitions_for(docs)
-    dealt = deal_out(rows.mapInArrow(lean(_deal_chunks(buckets)), PACKED), buckets)
+    rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").where("doc_id is not null").withColumn("text_hash", F.xxhash64("text"))
+    buckets = buckets_for(docs, "text", 2.0)
+    dealt = deal_out(rows.mapInArrow(lean(_deal_units(buckets, least)), PACKED), buckets)
     found = deal_out(dealt.mapInArrow(lean(_find_repeats(buckets)), PACKED), buckets)
     resolved = deal_out(found.mapInArrow(lean(_resolve(buckets, within)), PACKED), buckets)
-    return resolved.mapInArrow(lean(_spans(least)), "doc_id bigint, start bigint, n_bytes bigint, first_doc_id bigint")
+    return resolved.mapInArrow(lean(_spans(least)), "doc_id bigint, start bigint, n_bytes bigint, first_doc_id bigint, text_hash bigint")
 
 
 def _without(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +279,12 @@ def _without(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dedup_substrings(docs: DataFrame, least: int = MIN_SPAN) -> DataFrame:
-    """doc_id, text without its repeated spans; a row for every row of docs."""
-    gone = repeated_spans(docs, least).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_bytes")).alias("gone"))
-    rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
-    return rows.join(gone.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(lean(_without), "doc_id bigint, text string")
+    """doc_id, text without its repeated spans; a row for every row of docs.
+
+    Null and empty texts and the texts of rows without doc_id stay as they are; a text may
+    become empty; rows that repeat a doc_id and text lose the same spans, those with
+    another text their own.  Other columns of docs are ignored.
+    """
+    gone = repeated_spans(docs, least).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n_bytes")).alias("gone"))
+    rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").withColumn("text_hash", F.xxhash64("text"))
+    return rows.join(gone.hint("shuffle_hash"), ["doc_id", "text_hash"], "left").select("doc_id", "text", "gone").mapInArrow(lean(_without), "doc_id bigint, text string")

@@ -16,9 +16,9 @@ def _least(pairs: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the least id reachable by links (a, b), for every linked id.
 
-    Self links and nulls are ignored.  Each round writes its edges, at most one for
-    each vertex and former edge, to the shared folder; rounds grow with the logarithm
-    of the longest path.
+    Ids are of any ordered type.  Self links and nulls are ignored.  Each round writes its
+    edges, at most one for each vertex and former edge, to the shared folder; rounds grow
+    with the logarithm of the longest path.  The result is such a table too.
     """
     pairs = links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     pairs = materialize(pairs)
@@ -36,4 +36,6 @@ def components(links: DataFrame) -> DataFrame:
         if state == seen:
             break
         seen = state
-    return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).union(pairs.select("v", "v").distinct())
+    found = materialize(pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).union(pairs.select("v", "v").distinct()))
+    discard(pairs)
+    return found

@@ -3,8 +3,9 @@
 Texts arrive in Arrow batches; their UTF-8 bytes are one contiguous buffer.  The
 functions here find words, hash byte ranges and build shingle sets with a fixed
 number of numpy passes over that buffer, in chunks of bounded size, so that a task
-needs a few tens of MB however long a text or a batch is (a single text larger than
-a chunk is its own chunk).
+needs a few tens of MB however long a batch is.  A single text larger than a chunk is
+its own chunk: its bytes are hashed a few MB at a time, and it costs about four bytes
+for each of its own besides a few numbers a word.
 
 Hashes are 64-bit: a word is a polynomial over random byte codes modulo 2**64,
 finished by a mixer; a shingle combines five mixed words.  Equality of shingles is
@@ -13,7 +14,7 @@ equality of hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,43 @@ class RangeHash:
         return mix((self.sums[end] - self.sums[start]) * inv[start] + (end - start).astype(U))
 
 
+class LongRangeHash:
+    """As RangeHash, for sequences of any length: nothing is kept, each range is summed CHUNK_BYTES codes at a time."""
+
+    def __init__(self, values: np.ndarray, code: Callable[[np.ndarray], np.ndarray]):
+        self.values, self.code = values, code
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        sums = np.zeros(len(start), U)
+        powers = _power(_BASE, CHUNK_BYTES)
+        for i, (low, high) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):
+            for at in range(low, high, CHUNK_BYTES):
+                part = self.code(self.values[at : min(at + CHUNK_BYTES, high)])
+                sums[i : i + 1] += (part * powers[: len(part)]).sum(dtype=U, keepdims=True) * U(pow(_BASE, at - low, 1 << 64))
+        return mix(sums + (end - start).astype(U))
+
+
+def hash_ranges(codes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """RangeHash(codes[data]).of(start, end), a few MB of data at a time."""
+    if len(data) <= 2 * CHUNK_BYTES:
+        return RangeHash(codes[data]).of(start, end) if len(data) else np.empty(0, U)
+    out = np.empty(len(start), U)
+    order = np.argsort(start, kind="stable")
+    at = 0
+    while at < len(order):
+        low = int(start[order[at]])
+        stop = max(int(np.searchsorted(start[order], low + CHUNK_BYTES)), at + 1)
+        pick = order[at:stop]
+        near = pick[end[pick] <= low + 2 * CHUNK_BYTES]
+        part = RangeHash(codes[data[low : low + 2 * CHUNK_BYTES]])
+        out[near] = part.of(start[near] - low, end[near] - low)
+        far = pick[end[pick] > low + 2 * CHUNK_BYTES]
+        if len(far):
+            out[far] = LongRangeHash(data, lambda x: codes[x]).of(start[far], end[far])
+        at = stop
+    return out
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (len + 1) of a string or binary column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -125,7 +163,7 @@ def words(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, int, np.n
     for row, end in chunks(offsets):
         part = data[offsets[row] : offsets[end]]
         starts, ends, firsts = word_bounds(part, offsets[row : end + 1] - offsets[row])
-        hashes = RangeHash(codes[part]).of(starts, ends) if len(part) else np.empty(0, U)
+        hashes = hash_ranges(codes, part, starts, ends)
         yield row, end, hashes, firsts, starts, ends
 
 

@@ -14,7 +14,12 @@ the first one; pairs between lines that this doesn't link follow in a second rou
 Candidates are verified on their texts by a banded bit-parallel edit distance, many
 pairs at a time.  Of equal lines that a map task holds only the first is sent to be
 compared; the others are later occurrences whatever the rest holds, and go straight to
-their documents' places.  Equality of lines is equality of 64-bit hashes.
+their documents' places.
+
+Lines are equal if their 128-bit hashes (h, k; xxh3 of the whole line) are; keys and
+candidates carry h alone, and everything that decides about a line carries both.  A row
+is known by its doc_id and a hash of its text, so rows that repeat a doc_id with other
+texts keep their own places.
 """
 
 from __future__ import annotations
@@ -23,16 +28,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vendora.llm.components import components
-from vendora.llm.kernel import RangeHash, U, chunks, mix, runs_of_sorted
-from vendora.llm.store import PACKED, Deal, deal_out, discard, gather, id_bitmap, in_bitmap, lean, long_array, materialize, partitions_for
+from vendora.llm.kernel import LongRangeHash, RangeHash, U, chunks, mix, runs_of_sorted
+from vendora.llm.store import PACKED, Deal, Tables, buckets_for, deal_out, fresh, gather, id_bitmap, in_bitmap, lean, long_array
 
 SHORT_LIST = 64
 _CHUNK_CHARS = 1 << 19
-OCCURRENCE = np.dtype([("h", "<u8"), ("doc", "<i8"), ("line", "<u4"), ("size", "<u4")])
+OCCURRENCE = np.dtype([("h", "<u8"), ("k", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("line", "<u4")])
 KEY = np.dtype([("key", "<u8"), ("h", "<u8"), ("parity", "<u4")])
 LISTED = np.dtype([("key", "<u8"), ("h", "<u8"), ("parity", "<u4"), ("own", "u1"), ("comp", "<i8")])
 MAX_EDITS = 2
@@ -89,6 +95,17 @@ def lines_of(points: np.ndarray, offsets: np.ndarray):
     return start, ends - start, doc, np.arange(len(start)) - np.searchsorted(start, offsets[:-1])[doc]
 
 
+def _trimmed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """a and b without what they share at their ends, which leaves the distance as it is."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    head = int(differ[0]) if len(differ) else n
+    a, b, n = a[head:], b[head:], n - head
+    differ = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1])
+    tail = int(differ[0]) if len(differ) else n
+    return a[: len(a) - tail], b[: len(b) - tail]
+
+
 def edit_distances(a: list[np.ndarray], b: list[np.ndarray], most: int) -> np.ndarray:
     """Edit distances of pairs of code point arrays, or most + 1 where they exceed most (at most 30).
 
@@ -146,28 +163,65 @@ def _parities(points: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.n
     return sums[start + length] ^ sums[start]
 
 
-def _hashed_lines(texts: list[str | None], least: int):
-    """For chunks of texts: first row, points, hashes of ranges, and start, length, row, number and hash of the lines compared."""
+def _windows(text: str) -> Iterator[tuple[int, str]]:
+    """(number of the first line, lines) of parts of a text that end at line feeds, of about _CHUNK_CHARS or of one line."""
+    at = number = 0
+    while len(text) - at > _CHUNK_CHARS:
+        end = text.rfind("\n", at, at + _CHUNK_CHARS)
+        if end < 0:
+            end = text.find("\n", at)
+            if end < 0:
+                break
+        part = text[at:end]
+        yield number, part
+        number += part.count("\n") + 1
+        at = end + 1
+    yield number, text[at:]
+
+
+def _parts(texts: list[str | None]) -> Iterator[tuple[list[int], list[int], list[str]]]:
+    """Chunks of texts: their rows, the numbers of their first lines, and the texts; long texts come in windows."""
     sizes = np.concatenate(([0], np.cumsum([len(t or "") + 1 for t in texts])))
     for row, end in chunks(sizes, _CHUNK_CHARS):
-        points, offsets = code_points([t or "" for t in texts[row:end]])
+        if end == row + 1 and sizes[end] - sizes[row] > _CHUNK_CHARS:
+            for number, part in _windows(texts[row]):
+                yield [row], [number], [part]
+        else:
+            yield list(range(row, end)), [0] * (end - row), [t or "" for t in texts[row:end]]
+
+
+def _codes(points: np.ndarray) -> np.ndarray:
+    return mix(points.astype(U) + U(77))
+
+
+def _hashed_lines(texts: list[str | None], least: int):
+    """For chunks of texts: points, hashes of ranges, and start, length, row, number and hashes (h, k) of the lines compared."""
+    for rows, numbers, part in _parts(texts):
+        points, offsets = code_points(part)
         start, length, doc, number = lines_of(points, offsets)
         keep = length >= least
         start, length, doc, number = start[keep], length[keep], doc[keep], number[keep]
-        ranges = RangeHash(mix(points.astype(U) + U(77)))
-        yield points, ranges, start, length, doc + row, number, ranges.of(start, start + length)
+        ranges = RangeHash(_codes(points)) if len(points) <= 4 * _CHUNK_CHARS else LongRangeHash(points, _codes)
+        raw = memoryview(points).cast("B")
+        digests = b"".join([xxhash.xxh3_128_digest(raw[4 * s : 4 * (s + n)]) for s, n in zip(start.tolist(), length.tolist(), strict=True)])
+        both = np.frombuffer(digests, U).reshape(-1, 2)
+        yield points, ranges, start, length, np.array(rows, np.int64)[doc], number + np.array(numbers, np.int64)[doc], both[:, 0].copy(), both[:, 1].copy()
 
 
 #: Line occurrences that a map task holds before it sends them.
 BUFFER_LINES = 300_000
 
 
+def _hash_of(x: np.ndarray) -> np.ndarray:
+    return x["h"]
+
+
 def _split_firsts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First occurrences of lines, and later ones; a repeated row repeats its lines' places and is no later occurrence of itself."""
-    x = x[np.lexsort((x["line"], x["doc"], x["h"]))]
-    new = np.concatenate(([True], x["h"][1:] != x["h"][:-1])) if len(x) else np.empty(0, bool)
+    x = x[np.lexsort((x["line"], x["text"], x["doc"], x["k"], x["h"]))]
+    new = np.concatenate(([True], (x["h"][1:] != x["h"][:-1]) | (x["k"][1:] != x["k"][:-1]))) if len(x) else np.empty(0, bool)
     start = np.flatnonzero(new)[np.cumsum(new) - 1]
-    return x[new], x[(x["doc"] != x["doc"][start]) | (x["line"] != x["line"][start])]
+    return x[new], x[(x["doc"] != x["doc"][start]) | (x["text"] != x["text"][start]) | (x["line"] != x["line"][start])]
 
 
 def _deal_lines(buckets: int, edits: int, least: int):
@@ -183,15 +237,16 @@ def _deal_lines(buckets: int, edits: int, least: int):
                 yield from later.add(others["doc"].astype(U), others)
 
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for points, ranges, start, length, row, number, h in _hashed_lines(batch.column(1).to_pylist(), least):
+            ids, keys_of_texts = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            for points, ranges, start, length, row, number, h, k in _hashed_lines(batch.column(1).to_pylist(), least):
                 part = np.empty(len(h), OCCURRENCE)
-                part["h"], part["doc"], part["line"], part["size"] = h, ids[row], number, length
+                part["h"], part["k"], part["doc"], part["text"], part["line"] = h, k, ids[row], keys_of_texts[row], number
                 held.append(part)
                 if sum(map(len, held)) >= BUFFER_LINES:
                     yield from send()
                 # Copies within the chunk have the same keys.
-                _, first = np.unique(h, return_index=True)
+                order = np.lexsort((k, h))
+                first = order[np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (k[order][1:] != k[order][:-1])))] if len(h) else order
                 h, start, length = h[first], start[first], length[first]
                 parity = _parities(points, start, length)
                 for is_index, rows, keys in join_keys(ranges, start, length, edits):
@@ -240,11 +295,19 @@ def _row_batch(kind: int, a: np.ndarray, b: np.ndarray, payload: list | None = N
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), long_array(a), long_array(b), pa.array(payload or [None] * len(a), pa.binary())], ["kind", "a", "b", "payload"])
 
 
+def _key_of(x: np.ndarray) -> np.ndarray:
+    return x["key"]
+
+
 def _match(edits: int, short_list: int):
-    """Kind 0: candidate pairs.  Kind 1: occurrences, as one payload.  Kind 2: a line of a long list (line, list), with its record.  Kind 3: later occurrences, as one payload."""
+    """Kind 0: candidate pairs.  Kind 1: occurrences, as payloads that hold all those of a line.  Kind 2: a line of a long list (line, list), with its record.  Kind 3: later occurrences, as payloads."""
+    keys = {0: (OCCURRENCE, _hash_of), 1: (KEY, _key_of), 2: (KEY, _key_of), 3: (OCCURRENCE, lambda x: x["doc"].astype(U))}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = gather(batches, {0: OCCURRENCE, 1: KEY, 2: KEY, 3: OCCURRENCE})
+        for found in gather(batches, keys):
+            yield from match(found)
+
+    def match(found: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for kind in (0, 3):
             yield _row_batch(max(kind, 1), np.zeros(1, np.int64), np.zeros(1, np.int64), [found[kind].tobytes()])
         own, probe = _unique(found[1]), _unique(found[2])
@@ -296,7 +359,10 @@ def _match_rest(edits: int):
     """Pairs of long lists whose lines are in different components."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = gather(batches, {0: LISTED})[0]
+        for found in gather(batches, {0: (LISTED, _key_of)}):
+            yield match(found[0])
+
+    def match(found: np.ndarray) -> pa.RecordBatch:
         found = found[np.lexsort((found["h"], found["own"], found["key"]))]
         pairs = _Pairs(edits)
         starts, lengths = runs_of_sorted(found["key"])
@@ -308,25 +374,27 @@ def _match_rest(edits: int):
                 part = mine[at : at + step]
                 i, j = np.nonzero(part["comp"][:, None] != own["comp"][None, :])
                 pairs.add(part[i], own[j])
-        yield pairs.batch()
+        return pairs.batch()
 
     return run
 
 
 def _texts(bitmap: bytes, least: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[int] = set()
+        sent: set[tuple[int, int]] = set()
         for batch in batches:
-            for points, _, start, length, _, _, h in _hashed_lines(batch.column(1).to_pylist(), least):
-                lines, texts = [], []
+            for points, _, start, length, _, _, h, k in _hashed_lines(batch.column(1).to_pylist(), least):
+                lines, others, texts = [], [], []
                 for i in np.flatnonzero(in_bitmap(bitmap, h.view(np.int64))):
-                    if int(h[i]) not in sent:
+                    line = int(h[i]), int(k[i])
+                    if line not in sent:
                         if len(sent) > 300_000:
                             sent.clear()
-                        sent.add(int(h[i]))
+                        sent.add(line)
                         lines.append(h[i])
+                        others.append(k[i])
                         texts.append(points[start[i] : start[i] + length[i]].tobytes())
-                yield pa.RecordBatch.from_arrays([long_array(np.array(lines, U)), pa.array(texts, pa.binary())], ["h", "points"])
+                yield pa.RecordBatch.from_arrays([long_array(np.array(lines, U)), long_array(np.array(others, U)), pa.array(texts, pa.binary())], ["h", "k", "points"])
 
     return run
 
@@ -334,8 +402,8 @@ def _texts(bitmap: bytes, least: int):
 def _verify(edits: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [np.frombuffer(v.as_buffer(), np.uint32) for v in batch.column(2)]
-            y = [np.frombuffer(v.as_buffer(), np.uint32) for v in batch.column(3)]
+            ends = [_trimmed(*(np.frombuffer(v.as_buffer(), np.uint32) for v in pair)) for pair in zip(batch.column(4), batch.column(5), strict=True)]
+            x, y = [a for a, _ in ends], [b for _, b in ends]
             order = np.argsort([len(v) for v in y], kind="stable") if y else []
             good = np.zeros(len(x), bool)
             at = 0
@@ -344,25 +412,24 @@ def _verify(edits: int):
                 part = order[at : at + n]
                 good[part] = edit_distances([x[i] for i in part], [y[i] for i in part], edits) <= edits
                 at += n
-            yield batch.select([0, 1]).filter(pa.array(good))
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(good))
 
     return run
 
 
-def _links(rows: DataFrame, pairs: DataFrame, edits: int, least: int) -> DataFrame:
-    pairs = materialize(pairs.distinct())
+def _links(tables: Tables, rows: DataFrame, pairs: DataFrame, edits: int, least: int) -> DataFrame:
+    """Candidates (a, b) verified on their texts: links (a, b) of lines, each a struct (h, k)."""
+    pairs = tables.write(pairs.distinct())
     ids = pairs.select(F.col("a").alias("h")).union(pairs.select("b"))
-    texts = materialize(rows.mapInArrow(lean(_texts(id_bitmap(ids, "h"), least)), "h bigint, points binary").dropDuplicates(["h"]))
-    x = texts.select(F.col("h").alias("a"), F.col("points").alias("x"))
-    y = texts.select(F.col("h").alias("b"), F.col("points").alias("y"))
-    out = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lean(_verify(edits)), "a bigint, b bigint"))
-    discard(texts)
-    discard(pairs)
-    return out
+    texts = tables.write(rows.mapInArrow(lean(_texts(id_bitmap(ids, "h"), least)), "h bigint, k bigint, points binary").dropDuplicates(["h", "k"]))
+    x = texts.select(F.col("h").alias("a"), F.col("k").alias("ak"), F.col("points").alias("x"))
+    y = texts.select(F.col("h").alias("b"), F.col("k").alias("bk"), F.col("points").alias("y"))
+    near = pairs.join(x, "a").join(y, "b").select("a", "ak", "b", "bk", "x", "y").mapInArrow(lean(_verify(edits)), "a bigint, ak bigint, b bigint, bk bigint")
+    return tables.write(near.select(F.struct(F.col("a").alias("h"), F.col("ak").alias("k")).alias("a"), F.struct(F.col("b").alias("h"), F.col("bk").alias("k")).alias("b")))
 
 
 def _firsts(bitmap: bytes):
-    """Kind 0: later occurrences (document, line), with the size.  Kind 1: first occurrences of linked lines."""
+    """Kind 0: later occurrences (row, line).  Kind 1: first occurrences of linked lines."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -371,47 +438,61 @@ def _firsts(bitmap: bytes):
                 first, later = _split_firsts(x) if kind == 1 else (x[:0], x)
                 first = first[in_bitmap(bitmap, first["h"].copy().view(np.int64))]
                 for out, y in ((0, later), (1, first)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), out, np.int32)), long_array(y["h"].copy()), pa.array(y["doc"].copy()), pa.array(y["line"].astype(np.int32)), pa.array(y["size"].astype(np.int32))], ["kind", "h", "doc_id", "line", "size"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), out, np.int32)), long_array(y["h"].copy()), long_array(y["k"].copy()), pa.array(y["doc"].copy()), pa.array(y["text"].copy()), pa.array(y["line"].astype(np.int32))], ["kind", "h", "k", "doc_id", "text_hash", "line"])
 
     return run
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").withColumn("text_hash", F.xxhash64("text"))
+
+
 def repeated_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS, short_list: int = SHORT_LIST) -> DataFrame:
-    """(doc_id, line, size): places of lines, counted from 0, that repeat an earlier one or are within reach of its class; size in characters."""
-    rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").where("doc_id is not null")
-    buckets = partitions_for(docs)
-    matched = materialize(deal_out(rows.mapInArrow(lean(_deal_lines(buckets, edits, least)), PACKED), buckets).mapInArrow(lean(_match(edits, short_list)), _ROWS))
-    links = _links(rows, matched.where("kind = 0").select("a", "b"), edits, least)
+    """(doc_id, text_hash, line): places of lines, counted from 0, that repeat an earlier one or are within reach of its class.
+
+    text_hash (xxhash64 of the text) tells the rows of one doc_id apart; the lesser comes
+    first.  A later occurrence of an equal line within a row counts as well.  Null and empty
+    texts have no lines; rows without doc_id take no part; rows that repeat a doc_id and
+    text are one occurrence.
+    """
+    tables = Tables()
+    rows = _keyed(docs).where("doc_id is not null")
+    buckets = buckets_for(docs, "text", 2.0)
+    matched = tables.write(deal_out(rows.mapInArrow(lean(_deal_lines(buckets, edits, least)), PACKED), buckets).mapInArrow(lean(_match(edits, short_list)), _ROWS))
+    links = _links(tables, rows, matched.where("kind = 0").select("a", "b"), edits, least)
     listed = matched.where("kind = 2").select(F.col("a").alias("h"), "payload")
     if not listed.isEmpty():
-        labelled = listed.join(components(links).withColumnRenamed("id", "h"), "h", "left").select("payload", F.coalesce("component", "h").alias("comp"))
+        found = tables.own(components(links)).select(F.col("id.h").alias("h"), F.xxhash64("component").alias("component"))
+        labelled = listed.join(found, "h", "left").select("payload", F.coalesce("component", "h").alias("comp"))
         rest = deal_out(labelled.mapInArrow(lean(_relabel(buckets)), PACKED), buckets).mapInArrow(lean(_match_rest(edits)), _ROWS).select("a", "b")
-        links = links.union(_links(rows, rest, edits, least))
-    found = materialize(components(links))
-    seen = materialize(matched.where("kind in (1, 3)").select("kind", "payload").mapInArrow(lean(_firsts(id_bitmap(found, "id"))), "kind int, h bigint, doc_id bigint, line int, size int"))
-    discard(matched)
-    firsts = seen.where("kind = 1").join(found.withColumnRenamed("id", "h"), "h").select("component", "doc_id", "line", "size")
-    kept = firsts.groupBy("component").agg(F.min(F.struct("doc_id", "line")).alias("kept"))
-    others = firsts.join(kept, "component").where(F.struct("doc_id", "line") != F.col("kept")).select("doc_id", "line", "size")
-    return seen.where("kind = 0").select("doc_id", "line", "size").unionByName(others)
-
-
-def _without(text: str | None, gone: list[dict] | None) -> tuple[str | None, int, int]:
-    """Text without the lines at these places, its number of lines, and how many went."""
+        links = links.union(_links(tables, rows, rest, edits, least))
+    found = tables.own(components(links))
+    linked = found.select(F.col("id.h").alias("h"), F.col("id.k").alias("k"), "component")
+    seen = tables.write(matched.where("kind in (1, 3)").select("kind", "payload").mapInArrow(lean(_firsts(id_bitmap(linked, "h"))), "kind int, h bigint, k bigint, doc_id bigint, text_hash bigint, line int"))
+    place = F.struct("doc_id", "text_hash", "line")
+    firsts = seen.where("kind = 1").join(linked, ["h", "k"]).select("component", place.alias("place"))
+    kept = firsts.groupBy("component").agg(F.min("place").alias("kept"))
+    others = firsts.join(kept, "component").where("place <> kept").select("place.*")
+    return tables.close(seen.where("kind = 0").select("doc_id", "text_hash", "line").unionByName(others))
+
+
+def _without(text: str | None, gone: list[int] | None) -> tuple[str | None, int, int]:
+    """Text without the lines of these numbers, its number of lines, and how many went."""
     if not text:
         return text, 0, 0
-    lines = text.split("\n")
     if not gone:
-        return text, len(lines), 0
-    out = {x["line"] for x in gone if x["line"] < len(lines) and len(lines[x["line"]]) == x["size"]}
+        return text, text.count("\n") + 1, 0
+    lines, out = text.split("\n"), set(gone)
     kept = [x for i, x in enumerate(lines) if i not in out]
     return "\n".join(kept), len(lines), len(lines) - len(kept)
 
 
 def _with_places(docs: DataFrame, edits: int, least: int) -> DataFrame:
-    """docs with a last column of the places of their repeated lines; the lists are small, so they are the hashed side."""
-    gone = repeated_lines(docs, edits, least).groupBy("doc_id").agg(F.collect_set(F.struct("line", "size")).alias("_gone")).withColumnRenamed("doc_id", "_gone_from")
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("bigint") == F.col("_gone_from"), "left").drop("_gone_from")
+    """docs with a last column of the numbers of their repeated lines; the lists are small, so they are the hashed side."""
+    of, text, gone = fresh(docs, "_gone_from"), fresh(docs, "_gone_text"), fresh(docs, "_gone")
+    places = repeated_lines(docs, edits, least).groupBy(F.col("doc_id").alias(of), F.col("text_hash").alias(text)).agg(F.collect_set("line").alias(gone))
+    rows = docs.withColumns({of: F.col("doc_id").cast("bigint"), text: F.xxhash64(F.col("text").cast("string"))})
+    return rows.join(places.hint("shuffle_hash"), [of, text], "left").select(*(F.col(f"`{c}`") for c in docs.columns), gone)
 
 
 def dedup_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS) -> DataFrame:
@@ -420,7 +501,8 @@ def dedup_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS)
     Only doc_id and text are read.  Null and empty texts have no lines and stay as they
     are, and so does the text of a row without doc_id.  A text may lose all its lines
     and become empty.  Rows that repeat a doc_id and text are one occurrence: none of
-    them loses a line to another.
+    them loses a line to another; rows that repeat a doc_id with other texts are told
+    apart.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -433,7 +515,11 @@ def dedup_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS)
 
 
 def drop_repeated_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS) -> DataFrame:
-    """docs with their own columns: text without repeated lines, n_chars its length; rows that had lines and lose them all go."""
+    """docs with their own columns: text without repeated lines, n_chars its length; rows that had lines and lose them all go.
+
+    Null and empty texts stay, and so do rows without doc_id; repeated rows are treated
+    as by dedup_lines; an n_chars is changed only where its text is.
+    """
     at, chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,9 +22,12 @@ share at least T shingles, where T follows from the two sizes.
 6. Links give connected components.
 
 So no list is expanded into all its pairs unless it is short, and no pair that reaches
-the threshold is lost.  Postings are moved as
-packed records; sets of candidates are read again from the texts, which a bitmap of
-bounded size selects.
+the threshold is lost.  Postings are moved as packed records; sets of candidates are read
+again from the texts, which a bitmap of bounded size selects.
+
+A class is known by 128 bits (cls, chk) of a digest of its set.  Postings and candidates
+carry cls alone, which can at worst add candidates; whatever links or names classes
+carries both.  A row is known by its doc_id and a hash of its text.
 """
 
 from __future__ import annotations
@@ -42,7 +45,7 @@ from pyspark.sql import functions as F
 
 from vendora.llm.components import components
 from vendora.llm.kernel import U, runs_of_sorted, shingle_sets
-from vendora.llm.store import PACKED, Deal, deal_out, discard, gather, id_bitmap, in_bitmap, lean, long_array, materialize, partitions_for
+from vendora.llm.store import PACKED, Deal, Tables, buckets_for, deal_out, fresh, gather, id_bitmap, in_bitmap, lean, long_array
 
 SHINGLE = 5
 #: Links need 100 * intersection >= 80 * union.
@@ -51,7 +54,7 @@ BLOCK_SHINGLES = 500_000
 #: Weight of the logarithm in DivideSkip's choice of the number of long lists.
 DIVIDE_WEIGHT = 0.5
 
-DOC = np.dtype([("doc", "<i8"), ("cls", "<u8"), ("n", "<u4")])
+DOC = np.dtype([("doc", "<i8"), ("text", "<i8"), ("cls", "<u8"), ("chk", "<u8"), ("n", "<u4")])
 POST = np.dtype([("tok", "<u8"), ("cls", "<u8"), ("n", "<u4")])
 OCC = np.dtype([("q", "<u8"), ("c", "<u8"), ("tok", "<u4"), ("need", "<u4")])
 LONG = np.dtype([("q", "<u8"), ("tok", "<u8"), ("n", "<u4")])
@@ -122,25 +125,39 @@ def divide_skip(lists: list[list[int]], least: int) -> dict[int, int]:
     return out
 
 
-def class_of(shingles: np.ndarray) -> int:
-    return int.from_bytes(blake2b(shingles.tobytes(), digest_size=8).digest(), "little")
+def class_of(shingles: np.ndarray) -> tuple[int, int]:
+    """(cls, chk) of a sorted set."""
+    digest = blake2b(shingles.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little")
+
+
+def _token(x: np.ndarray) -> np.ndarray:
+    return x["tok"]
+
+
+def _query(x: np.ndarray) -> np.ndarray:
+    return x["q"]
+
+
+def _doc(x: np.ndarray) -> np.ndarray:
+    return x["doc"].astype(U)
 
 
 def _postings(buckets: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, posts = Deal(buckets, DOC, 0), Deal(buckets, POST, 1)
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, texts = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             rows, out = [], []
             for row, mine in shingle_sets(batch.column(1), SHINGLE):
                 n = len(mine)
-                cls = class_of(mine) if n else 0
-                rows.append((ids[row], cls, n))
-                if n and cls not in seen:
+                both = cls, chk = class_of(mine) if n else (0, 0)
+                rows.append((ids[row], texts[row], cls, chk, n))
+                if n and both not in seen:
                     if len(seen) > 300_000:
                         seen.clear()
-                    seen.add(cls)
+                    seen.add(both)
                     part = np.empty(int(prefix_size(n)), POST)
                     part["tok"], part["cls"], part["n"] = mine[: len(part)], cls, n
                     out.append(part)
@@ -176,26 +193,30 @@ def _pairs(cls: np.ndarray, n: np.ndarray, tok: np.ndarray, starts: np.ndarray,
             yield out
 
 
+def _by_list(post: np.ndarray) -> np.ndarray:
+    """Postings by shingle and class, without repeats."""
+    post = post[np.lexsort((post["cls"], post["tok"]))]
+    if len(post):
+        post = post[np.concatenate(([True], (post["tok"][1:] != post["tok"][:-1]) | (post["cls"][1:] != post["cls"][:-1])))]
+    return post
+
+
 def _lists(buckets: int, short_list: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = gather(batches, {0: DOC, 1: POST})
-        keep = Deal(1, DOC, 0)
-        yield from keep.add(found[0]["doc"].astype(U), found[0])
+        keep, occ, told = Deal(1, DOC, 0), Deal(buckets, OCC, 1), Deal(buckets, LONG, 2)
+        for found in gather(batches, {0: (DOC, _doc), 1: (POST, _token)}):
+            yield from keep.add(_doc(found[0]), found[0])
+            post = _by_list(found[1])
+            starts, lengths = runs_of_sorted(post["tok"])
+            short = (lengths > 1) & (lengths <= short_list)
+            for part in _pairs(post["cls"], post["n"], post["tok"], starts[short], lengths[short]):
+                yield from occ.add(part["q"], part)
+            for start, length in zip(starts[lengths > short_list], lengths[lengths > short_list], strict=True):
+                mine = post[start : start + length]
+                part = np.empty(length, LONG)
+                part["q"], part["tok"], part["n"] = mine["cls"], mine["tok"], mine["n"]
+                yield from told.add(part["q"], part)
         yield from keep.flush()
-        post = found[1]
-        post = post[np.lexsort((post["cls"], post["tok"]))]
-        if len(post):
-            post = post[np.concatenate(([True], (post["tok"][1:] != post["tok"][:-1]) | (post["cls"][1:] != post["cls"][:-1])))]
-        starts, lengths = runs_of_sorted(post["tok"])
-        occ, told = Deal(buckets, OCC, 1), Deal(buckets, LONG, 2)
-        short = (lengths > 1) & (lengths <= short_list)
-        for part in _pairs(post["cls"], post["n"], post["tok"], starts[short], lengths[short]):
-            yield from occ.add(part["q"], part)
-        for start, length in zip(starts[lengths > short_list], lengths[lengths > short_list], strict=True):
-            mine = post[start : start + length]
-            part = np.empty(length, LONG)
-            part["q"], part["tok"], part["n"] = mine["cls"], mine["tok"], mine["n"]
-            yield from told.add(part["q"], part)
         yield from occ.flush()
         yield from told.flush()
 
@@ -226,15 +247,16 @@ def _search(occ: np.ndarray, long_lists: dict[int, int]) -> Iterator[tuple[int,
 
 def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (a, b) of candidates, and rows (a, null, payload, n) with the long lists of classes that may share those alone."""
-    found = gather(batches, {1: OCC, 2: LONG})
-    told = found[2][np.argsort(found[2]["q"], kind="stable")]
-    starts, lengths = runs_of_sorted(told["q"])
-    long_lists = dict(zip(told["q"][starts].tolist(), lengths.tolist(), strict=True))
-    pairs = list(_search(found[1], long_lists))
-    heavy = [(told["q"][s], int(told["n"][s]), np.sort(told["tok"][s : s + k]).tobytes()) for s, k in zip(starts, lengths, strict=True) if k >= slack(int(told["n"][s]))]
-    a = np.array([x for x, _ in pairs] + [x for x, _, _ in heavy], U)
-    b = pa.array([int(np.uint64(x).view(np.int64)) for _, x in pairs] + [None] * len(heavy), pa.int64())
-    yield pa.RecordBatch.from_arrays([long_array(a), b, pa.array([None] * len(pairs) + [x for _, _, x in heavy], pa.binary()), pa.array([None] * len(pairs) + [n for _, n, _ in heavy], pa.int64())], ["a", "b", "toks", "n"])
+    for found in gather(batches, {1: (OCC, _query), 2: (LONG, _query)}):
+        told = found[2][np.argsort(found[2]["q"], kind="stable")]
+        starts, lengths = runs_of_sorted(told["q"])
+        long_lists = dict(zip(told["q"][starts].tolist(), lengths.tolist(), strict=True))
+        pairs = list(_search(found[1], long_lists))
+        sizes = np.minimum.reduceat(told["n"], starts) if len(starts) else starts
+        heavy = [(told["q"][s], int(n), np.sort(told["tok"][s : s + k]).tobytes()) for s, k, n in zip(starts, lengths, sizes, strict=True) if k >= slack(int(n))]
+        a = np.array([x for x, _ in pairs] + [x for x, _, _ in heavy], U)
+        b = pa.array([int(np.uint64(x).view(np.int64)) for _, x in pairs] + [None] * len(heavy), pa.int64())
+        yield pa.RecordBatch.from_arrays([long_array(a), b, pa.array([None] * len(pairs) + [x for _, _, x in heavy], pa.binary()), pa.array([None] * len(pairs) + [n for _, n, _ in heavy], pa.int64())], ["a", "b", "toks", "n"])
 
 
 def _heavy_postings(buckets: int):
@@ -255,19 +277,16 @@ def _heavy_lists(buckets: int, short_list: int):
     """Short lists in full, pivots in long ones."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        post = gather(batches, {0: HEAVY})[0]
-        post = post[np.lexsort((post["cls"], post["tok"]))]
-        if len(post):
-            post = post[np.concatenate(([True], (post["tok"][1:] != post["tok"][:-1]) | (post["cls"][1:] != post["cls"][:-1])))]
-        starts, lengths = runs_of_sorted(post["tok"])
         occ = Deal(buckets, OCC, 1)
-        short = (lengths > 1) & (lengths <= short_list)
-        for part in _pairs(post["cls"], post["n"], post["tok"], starts[short], lengths[short]):
-            yield from occ.add(part["q"], part)
-        for start, length in zip(starts[lengths > short_list], lengths[lengths > short_list], strict=True):
-            mine = post[start : start + length]
-            part = _pivots(mine)
-            yield from occ.add(part["q"], part)
+        for found in gather(batches, {0: (HEAVY, _token)}):
+            post = _by_list(found[0])
+            starts, lengths = runs_of_sorted(post["tok"])
+            short = (lengths > 1) & (lengths <= short_list)
+            for part in _pairs(post["cls"], post["n"], post["tok"], starts[short], lengths[short]):
+                yield from occ.add(part["q"], part)
+            for start, length in zip(starts[lengths > short_list], lengths[lengths > short_list], strict=True):
+                part = _pivots(post[start : start + length])
+                yield from occ.add(part["q"], part)
         yield from occ.flush()
 
     return run
@@ -297,48 +316,82 @@ def _pivots(mine: np.ndarray) -> np.ndarray:
     return _records(mine, mine[np.repeat(starts, lengths)])
 
 
+_LINK = "a bigint, ak bigint, b bigint, bk bigint"
+
+
 def _block_search(key, block: pa.Table, queries: pa.Table) -> pa.Table:
-    """Links (a, b) between queries and sets of a block that are in different components."""
-    out_a, out_b = [], []
+    """Links (a, ak, b, bk) between queries and sets of a block that are in different components."""
+    out: list[list[np.ndarray]] = [[], [], [], []]
     if block.num_rows and queries.num_rows:
         sets = [np.frombuffer(x.as_buffer(), U) for x in block.column("shingles").combine_chunks()]
         sizes = np.array([len(x) for x in sets], np.int64)
         every = np.concatenate(sets)
         order = np.argsort(every, kind="stable")
         every, holder = every[order], np.repeat(np.arange(len(sets)), sizes)[order]
-        own, comps = block.column("cls").to_numpy(), block.column("comp").to_numpy()
-        for cls, comp, x in zip(queries.column("q").to_pylist(), queries.column("q_comp").to_pylist(), queries.column("q_shingles").combine_chunks(), strict=True):
+        own, keys, comps = (block.column(c).to_numpy() for c in ("cls", "chk", "comp"))
+        asked = [queries.column(c).to_pylist() for c in ("q", "qk", "q_comp")]
+        for cls, chk, comp, x in zip(*asked, queries.column("q_shingles").combine_chunks(), strict=True):
             mine = np.frombuffer(x.as_buffer(), U)
-            first = np.searchsorted(every, mine)
-            n = np.searchsorted(every, mine, "right") - first
-            if np.count_nonzero(n) < least_overlap(len(mine)):
+            shared = _shared(every, holder, mine, sizes)
+            if shared is None:
                 continue
-            at = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            shared = np.bincount(holder[at], minlength=len(sets))
-            good = np.flatnonzero((100 * shared >= 80 * (len(mine) + sizes - shared)) & (comps != comp) & (own != cls))
-            out_a.append(np.full(len(good), cls, np.int64))
-            out_b.append(own[good])
+            good = np.flatnonzero((100 * shared >= 80 * (len(mine) + sizes - shared)) & (comps != comp))
+            for held, y in zip(out, (np.full(len(good), cls, np.int64), np.full(len(good), chk, np.int64), own[good], keys[good]), strict=True):
+                held.append(y)
     join = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64())
-    return pa.table({"a": join(out_a), "b": join(out_b)})
+    return pa.table({name: join(x) for name, x in zip(("a", "ak", "b", "bk"), out, strict=True)})
+
+
+def _shared(every: np.ndarray, holder: np.ndarray, mine: np.ndarray, sizes: np.ndarray) -> np.ndarray | None:
+    """Shingles that a query shares with each set of a block (at least for sets that can link); None if no set can.
+
+    every, holder: the block's inverted lists, side by side.  The lists that are longest are
+    left out of the merge, as many as the least overlap allows, and probed by binary
+    search for the sets that the others leave.
+    """
+    least = int(least_overlap(len(mine)))
+    first = np.searchsorted(every, mine)
+    n = np.searchsorted(every, mine, "right") - first
+    if np.count_nonzero(n) < least:
+        return None
+    order = np.argsort(n, kind="stable")
+    first, n = first[order], n[order]
+    probed = min(least - 1, int(least / (DIVIDE_WEIGHT * math.log2(int(n[-1]) + 1) + 1)))
+    short, long = slice(0, len(n) - probed), range(len(n) - probed, len(n))
+    at = np.repeat(first[short] - np.concatenate(([0], np.cumsum(n[short])[:-1])), n[short]) + np.arange(n[short].sum())
+    shared = np.bincount(holder[at], minlength=len(sizes))
+    left = np.flatnonzero(shared >= least - probed)
+    if not len(left):
+        return None
+    for i in long:
+        members = holder[first[i] : first[i] + n[i]]
+        if len(members):
+            place = np.minimum(np.searchsorted(members, left), len(members) - 1)
+            shared[left] += members[place] == left
+    out = np.zeros(len(sizes), np.int64)
+    out[left] = shared[left]
+    return out
 
 
 def _documents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for payload in batch.column(0):
             x = np.frombuffer(payload.as_buffer(), DOC)
-            yield pa.RecordBatch.from_arrays([long_array(x["doc"]), long_array(np.ascontiguousarray(x["cls"])), pa.array(x["n"].astype(np.int64))], ["doc_id", "cls", "n"])
+            columns = [long_array(np.ascontiguousarray(x[c])) for c in ("doc", "text", "cls", "chk", "n")]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "cls", "chk", "n"])
 
 
 def _sets(bitmap: bytes):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(in_bitmap(bitmap, batch.column(0).to_numpy())))
-            classes, sets = [], []
+            names, sets = [], []
             for _, mine in shingle_sets(batch.column(1), SHINGLE):
                 if len(mine):
-                    classes.append(np.uint64(class_of(mine)).view(np.int64))
+                    names.append(class_of(mine))
                     sets.append(mine.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.binary())], ["cls", "shingles"])
+            both = np.array(names, U).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([long_array(both[:, 0]), long_array(both[:, 1]), pa.array(sets, pa.binary())], ["cls", "chk", "shingles"])
 
     return run
 
@@ -356,71 +409,65 @@ def reaches(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        good = [reaches(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-        yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+        good = [reaches(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)) for x, y in zip(batch.column(4), batch.column(5), strict=True)]
+        yield batch.select([0, 1, 2, 3]).filter(pa.array(good, pa.bool_()))
 
 
-def _sets_of(rows: DataFrame, firsts: DataFrame) -> DataFrame:
-    return materialize(rows.mapInArrow(lean(_sets(id_bitmap(firsts, "first"))), "cls bigint, shingles binary"))
+def _sets_of(tables: Tables, rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    return tables.write(rows.mapInArrow(lean(_sets(id_bitmap(firsts, "first"))), "cls bigint, chk bigint, shingles binary"))
 
 
-def _named(links: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links of classes as links of their first documents."""
-    first = lambda c: classes.select(F.col("cls").alias(c), F.col("first").alias(f"first_{c}"))
-    return materialize(links.distinct().join(first("a"), "a").join(first("b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b")))
+def _named(tables: Tables, links: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, ak, b, bk) as links (a, b) of vertices (first, cls, chk)."""
+    side = lambda c: classes.select(F.col("cls").alias(c), F.col("chk").alias(f"{c}k"), F.struct("first", "cls", "chk").alias(f"v{c}"))
+    return tables.write(links.distinct().join(side("a"), ["a", "ak"]).join(side("b"), ["b", "bk"]).select(F.col("va").alias("a"), F.col("vb").alias("b")))
 
 
-def _links(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Verified pairs (a, b), as first documents of their classes."""
-    pairs = materialize(pairs.select("a", "b").distinct())
-    sets = _sets_of(rows, pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes, "cls").select("first"))
-    left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y"))
-    out = _named(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(lean(_verify), "a bigint, b bigint"), classes)
-    discard(sets)
-    discard(pairs)
-    return out
+def _links(tables: Tables, rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Candidates (a, b) verified on whole sets, as links of vertices."""
+    pairs = tables.write(pairs.select("a", "b").distinct())
+    sets = _sets_of(tables, rows, pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes, "cls").select("first"))
+    left = sets.select(F.col("cls").alias("a"), F.col("chk").alias("ak"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("cls").alias("b"), F.col("chk").alias("bk"), F.col("shingles").alias("y"))
+    return _named(tables, pairs.join(left, "a").join(right, "b").select("a", "ak", "b", "bk", "x", "y").mapInArrow(lean(_verify), _LINK), classes)
 
 
-def _rest_links(rows: DataFrame, classes: DataFrame, heavy: DataFrame, links: DataFrame) -> DataFrame:
+def _rest_links(tables: Tables, rows: DataFrame, classes: DataFrame, heavy: DataFrame, links: DataFrame) -> DataFrame:
     """Links that pivots may have missed among the classes of heavy (cls, n)."""
-    firsts = heavy.join(classes, "cls")
-    labelled = firsts.join(components(links), F.col("first") == F.col("id"), "left").select("cls", "n", "first", F.coalesce("component", "first").alias("comp"))
-    labelled = materialize(labelled.withColumn("band", F.floor(F.log("n") / math.log(1.25)).cast("int")))
+    firsts = heavy.join(classes, "cls").withColumn("id", F.struct("first", "cls", "chk"))
+    labelled = firsts.join(tables.own(components(links)), "id", "left").select("cls", "chk", "n", "first", F.xxhash64(F.coalesce("component", "id")).alias("comp"))
+    labelled = tables.write(labelled.withColumn("band", F.floor(F.log("n") / math.log(1.25)).cast("int")))
     main = labelled.groupBy("comp").count().orderBy(F.desc("count"), "comp").limit(1).select(F.col("comp").alias("main"))
-    sets = _sets_of(rows, firsts.select("first"))
+    sets = _sets_of(tables, rows, firsts.select("first"))
     # Number of blocks of each band: a row for each band there is, a few dozen.
     bands = labelled.groupBy("band").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    whole = labelled.join(sets.dropDuplicates(["cls"]), "cls")
+    whole = tables.write(labelled.join(sets.dropDuplicates(["cls", "chk"]), ["cls", "chk"]))
     block = lambda n: F.pmod(F.xxhash64("cls"), n).cast("int")
     rest = whole.join(F.broadcast(main), F.col("comp") == F.col("main"), "left_anti")
     asked = max(1, -(-int(rest.agg(F.sum("n")).first()[0] or 0) // (4 * BLOCK_SHINGLES)))
     cell = ("band", "block", "turn")
-    index = whole.join(F.broadcast(bands), "band").select("band", block(F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("turn"), "cls", "comp", "shingles")
+    index = whole.join(F.broadcast(bands), "band").select("band", block(F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("turn"), "cls", "chk", "comp", "shingles")
     near = rest.withColumn("band", F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1))))).join(F.broadcast(bands), "band")
-    queries = near.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), block(F.lit(asked)).alias("turn"), F.col("cls").alias("q"), F.col("comp").alias("q_comp"), F.col("shingles").alias("q_shingles"))
-    queries = queries.toDF(*(f"q_{c}" for c in cell), "q", "q_comp", "q_shingles")
-    found = index.groupBy(*cell).cogroup(queries.groupBy(*(f"q_{c}" for c in cell))).applyInArrow(_block_search, "a bigint, b bigint")
-    out = _named(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), classes)
-    discard(sets)
-    return out
+    queries = near.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), block(F.lit(asked)).alias("turn"), F.col("cls").alias("q"), F.col("chk").alias("qk"), F.col("comp").alias("q_comp"), F.col("shingles").alias("q_shingles"))
+    queries = queries.toDF(*(f"q_{c}" for c in cell), "q", "qk", "q_comp", "q_shingles")
+    found = index.groupBy(*cell).cogroup(queries.groupBy(*(f"q_{c}" for c in cell))).applyInArrow(_block_search, _LINK)
+    a, b = F.struct(F.col("a").alias("c"), F.col("ak").alias("k")), F.struct(F.col("b").alias("c"), F.col("bk").alias("k"))
+    ordered = found.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
+    return _named(tables, ordered.select(F.col("a.c").alias("a"), F.col("a.k").alias("ak"), F.col("b.c").alias("b"), F.col("b.k").alias("bk")), classes)
 
 
-def ngram_components(docs: DataFrame, short_list: int = SHORT_LIST) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable by links) for every row of docs.
+def _classified(tables: Tables, docs: DataFrame, short_list: int) -> DataFrame:
+    """doc_id, text_hash, n, vertex of every row of docs (doc_id, text, text_hash) that has a doc_id.
 
-    Only doc_id and text are read.  A null or empty text, or one without words, has no
-    shingles and links with nothing.  Rows that repeat a doc_id are told apart by their
-    texts.  A row without doc_id takes no part; its component is null.
+    vertex is the least class reachable by links, a struct whose first field is its least
+    doc_id; null where a text has no shingles.
     """
-    every = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
-    rows = every.where("doc_id is not null")
-    buckets = partitions_for(docs)
-    lists = materialize(deal_out(rows.mapInArrow(lean(_postings(buckets)), PACKED), buckets).mapInArrow(lean(_lists(buckets, short_list)), PACKED))
-    numbered = materialize(lists.where("kind = 0").select("payload").mapInArrow(lean(_documents), "doc_id bigint, cls bigint, n bigint"))
-    classes = materialize(numbered.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first")))
-    searched = materialize(deal_out(lists.where("kind > 0"), buckets).mapInArrow(lean(_candidates), "a bigint, b bigint, toks binary, n bigint"))
-    discard(lists)
+    rows = docs.where("doc_id is not null")
+    buckets = buckets_for(docs, "text", 1.5)
+    lists = tables.write(deal_out(rows.mapInArrow(lean(_postings(buckets)), PACKED), buckets).mapInArrow(lean(_lists(buckets, short_list)), PACKED))
+    numbered = tables.write(lists.where("kind = 0").select("payload").mapInArrow(lean(_documents), "doc_id bigint, text_hash bigint, cls bigint, chk bigint, n bigint"))
+    classes = tables.write(numbered.where("n > 0").groupBy("cls", "chk").agg(F.min("doc_id").alias("first")))
+    searched = tables.write(deal_out(lists.where("kind > 0"), buckets).mapInArrow(lean(_candidates), "a bigint, b bigint, toks binary, n bigint"))
     pairs, heavy = searched.where("b is not null").select("a", "b"), searched.where("b is null")
 
     any_heavy = not heavy.isEmpty()
@@ -428,22 +475,53 @@ def ngram_components(docs: DataFrame, short_list: int = SHORT_LIST) -> DataFrame
         posts = deal_out(heavy.select("a", "toks", "n").mapInArrow(lean(_heavy_postings(buckets)), PACKED), buckets)
         near = deal_out(posts.mapInArrow(lean(_heavy_lists(buckets, short_list)), PACKED), buckets).mapInArrow(lean(_candidates), "a bigint, b bigint, toks binary, n bigint")
         pairs = pairs.union(near.where("b is not null").select("a", "b"))
-    links = _links(rows, classes, pairs)
+    links = _links(tables, rows, classes, pairs)
     if any_heavy:
-        links = links.union(_rest_links(rows, classes, heavy.select(F.col("a").alias("cls"), "n"), links))
-    found = components(links)
-    joined = numbered.join(classes.join(found, F.col("first") == F.col("id"), "left").select("cls", F.coalesce("component", "first").alias("component_id")), "cls", "left")
-    least = joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        links = links.union(_rest_links(tables, rows, classes, heavy.select(F.col("a").alias("cls"), "n"), links))
+    found = tables.own(components(links))
+    vertices = classes.withColumn("id", F.struct("first", "cls", "chk")).join(found, "id", "left").select("cls", "chk", F.coalesce("component", "id").alias("vertex"))
+    return numbered.join(vertices, ["cls", "chk"], "left").select("doc_id", "text_hash", "n", "vertex")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").withColumn("text_hash", F.xxhash64("text"))
+
+
+def ngram_components(docs: DataFrame, short_list: int = SHORT_LIST) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id reachable by links) for every row of docs.
+
+    Only doc_id and text are read.  A null or empty text, or one without words, has no
+    shingles and links with nothing.  Rows that repeat a doc_id are told apart by their
+    texts.  A row without doc_id takes no part; its component is null.
+    """
+    tables, every = Tables(), _keyed(docs)
+    least = _classified(tables, every, short_list).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("vertex.first", "doc_id").alias("component_id"))
 
     def count_only(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = [len(mine) for _, mine in shingle_sets(batch.column(1), SHINGLE)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), batch.column(0)], ["doc_id", "n_shingles", "component_id"])
 
-    return least.unionByName(every.where("doc_id is null").mapInArrow(lean(count_only), "doc_id bigint, n_shingles bigint, component_id bigint"))
+    return tables.close(least.unionByName(every.where("doc_id is null").mapInArrow(lean(count_only), "doc_id bigint, n_shingles bigint, component_id bigint")))
 
 
-def keep_first_of_components(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are their component's least document, and those without doc_id; all columns."""
-    gone = ngram_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def keep_first_of_components(docs: DataFrame, short_list: int = SHORT_LIST) -> DataFrame:
+    """One row of each component, with all its columns: the least by doc_id, then by the hash of its text; of identical rows any one.
+
+    Rows without doc_id stay, and so do all rows whose text is null or has no words.
+    """
+    tables = Tables()
+    rows = _classified(tables, _keyed(docs), short_list).where("vertex is not null").select("vertex", F.struct("doc_id", "text_hash").alias("row"))
+    # Rows of a component are as many as its copies: the minimum and its count are formed before the shuffle.
+    counted = tables.write(rows.groupBy("vertex", "row").count())
+    kept = counted.groupBy("vertex").agg(F.min("row").alias("kept"))
+    of, text = fresh(docs, "_gone_from"), fresh(docs, "_gone_text")
+    fate = counted.join(kept, "vertex").select(F.col("row.doc_id").alias(of), F.col("row.text_hash").alias(text), (F.col("row") == F.col("kept")).alias("stays"), "count")
+    fate = tables.close(fate.where("not stays or count > 1"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumns({of: F.col("doc_id").cast("bigint"), text: F.xxhash64(F.col("text").cast("string"))})
+    out = keyed.join(fate.where("not stays").select(of, text), [of, text], "left_anti")
+    twice = fate.where("stays").select(of, text)
+    if not twice.isEmpty():  # rows that are there more than once
+        out = out.join(twice, [of, text], "left_anti").unionByName(out.join(twice, [of, text], "left_semi").dropDuplicates([of, text]))
+    return out.select(*own)

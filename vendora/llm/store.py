@@ -3,7 +3,9 @@
 A packed shuffle moves fixed-width binary records instead of rows.  Map tasks deal
 records into buckets by a 64-bit key and send each bucket's records as one binary
 value; all records of a key meet in one reduce task, as numpy arrays.  It costs the
-record width on disk, a few ns of CPU a record, and memory for one bucket.
+record width on disk and a few ns of CPU a record.  The number of buckets follows from
+bytes: BUCKET_BYTES of records each, which a reduce task works off in parts of
+PART_BYTES by key, so it holds one bucket as it came and sorts one part at a time.
 """
 
 from __future__ import annotations
@@ -23,44 +25,89 @@ from pyspark.sql import functions as F
 
 from vendora.llm.kernel import U, mix
 
-FLUSH_BYTES = 8 << 20
+#: Records that a map task holds before it sends them; more where there are many buckets, so that payloads stay long.
+FLUSH_BYTES, MOST_FLUSH_BYTES, LEAST_PAYLOAD = 8 << 20, 64 << 20, 512
+BUCKET_BYTES = 128 << 20
+PART_BYTES = 16 << 20
 PACKED = "bucket int, kind int, payload binary"
 _own_folder: list[str] = []
+#: Paths that materialize wrote and discard hasn't deleted.
+_live: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where it is unset (tests on one machine)."""
+    """spark.checkpoint.dir of the session; a temporary folder only where that is unset and Spark runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="vendora-"))
         atexit.register(shutil.rmtree, _own_folder[0], True)
     return "file://" + _own_folder[0]
 
 
+class Tables:
+    """Intermediate tables of one run of an operator, all dropped together."""
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
+
+    def own(self, df: DataFrame) -> DataFrame:
+        """A table that materialize wrote, to be dropped by close."""
+        self.made.append(df)
+        return df
+
+    def write(self, df: DataFrame) -> DataFrame:
+        return self.own(materialize(df))
+
+    def close(self, result: DataFrame) -> DataFrame:
+        """result written by itself, so that nothing reads the tables any more, and the tables dropped."""
+        out = materialize(result)
+        for df in self.made:
+            discard(df)
+        return out
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/vendora-{uuid.uuid4().hex}"
+    _live.add(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._vendora_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    _live.discard(path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what materialize wrote, once nothing will read it again."""
     path = getattr(df, "_vendora_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        hadoop = jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
+        _delete(df.sparkSession, path)
+
+
+def live() -> set[str]:
+    return set(_live)
+
 
+def discard_since(spark: SparkSession, before: set[str], keep: DataFrame) -> None:
+    """Delete every table written since live() gave before, but keep."""
+    for path in _live - before - {getattr(keep, "_vendora_path", "")}:
+        _delete(spark, path)
 
-def partitions_for(df: DataFrame, rows_each: int = 5000) -> int:
-    """Buckets for a shuffle of what df's rows give: the session's setting, and more where a bucket would exceed rows_each rows."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows_each), 1)
+
+def buckets_for(df: DataFrame, column: str, growth: float = 1.0) -> int:
+    """Buckets for a shuffle of growth bytes for each byte of a text column: the session's number of partitions, and more where a bucket would exceed BUCKET_BYTES."""
+    held = df.agg(F.sum(F.octet_length(F.col(column).cast("string")).cast("bigint"))).first()[0] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(held * growth) // BUCKET_BYTES), 1)
 
 
 #: What a worker process keeps between tasks, and the operator it belongs to.
@@ -115,6 +162,7 @@ class Deal:
 
     def __init__(self, buckets: int, dtype: np.dtype, kind: int = 0):
         self.buckets, self.dtype, self.kind = buckets, np.dtype(dtype), kind
+        self.limit = min(max(FLUSH_BYTES, buckets * LEAST_PAYLOAD), MOST_FLUSH_BYTES)
         self.keys: list[np.ndarray] = []
         self.records: list[np.ndarray] = []
         self.held = 0
@@ -125,7 +173,7 @@ class Deal:
             self.keys.append(((mix(keys) >> U(32)) % U(self.buckets)).astype(np.uint32))
             self.records.append(records)
             self.held += records.nbytes
-            if self.held >= FLUSH_BYTES:
+            if self.held >= self.limit:
                 yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
@@ -141,41 +189,69 @@ class Deal:
         yield pa.RecordBatch.from_arrays([pa.array(keys[starts].astype(np.int32)), pa.array(np.full(len(starts), self.kind, np.int32)), payload], ["bucket", "kind", "payload"])
 
 
-def gather(batches: Iterable[pa.RecordBatch], dtypes: dict[int, np.dtype]) -> dict[int, np.ndarray]:
-    """Reduce side: all records of the task, by kind."""
-    held: dict[int, list[np.ndarray]] = {k: [] for k in dtypes}
+def gather(batches: Iterable[pa.RecordBatch], kinds: dict[int, tuple[np.dtype, Callable[[np.ndarray], np.ndarray]]]) -> Iterator[dict[int, np.ndarray]]:
+    """Reduce side: the records of the task by kind, in parts of about PART_BYTES; records with equal keys are in one part.
+
+    kinds: kind -> record type and a function that gives the records' keys.
+    """
+    held: dict[int, list[np.ndarray]] = {k: [] for k in kinds}
+    size = 0
     for batch in batches:
-        kinds = batch.column(1).to_numpy()
         column = batch.column(2)
-        for i, kind in enumerate(kinds):
-            held[int(kind)].append(np.frombuffer(column[i].as_buffer(), dtypes[int(kind)]))
-    return {k: np.concatenate(v) if v else np.empty(0, dtypes[k]) for k, v in held.items()}
+        for i, kind in enumerate(batch.column(1).to_numpy()):
+            held[int(kind)].append(np.frombuffer(column[i].as_buffer(), kinds[int(kind)][0]))
+            size += held[int(kind)][-1].nbytes
+    parts = min(-(-size // PART_BYTES), 60_000)
+    if parts <= 1:
+        yield {k: np.concatenate(v) if v else np.empty(0, kinds[k][0]) for k, v in held.items()}
+        return
+    bounds: dict[int, list[np.ndarray]] = {k: [] for k in kinds}
+    for k, arrays in held.items():
+        for i, x in enumerate(arrays):
+            # The low bits of the mixed key; the bucket came from the high ones.
+            part = ((mix(kinds[k][1](x)) & U(0xFFFFFFFF)) % U(parts)).astype(np.uint16)
+            arrays[i] = x[np.argsort(part, kind="stable")]
+            bounds[k].append(np.concatenate(([0], np.cumsum(np.bincount(part, minlength=parts)))))
+    for p in range(parts):
+        yield {k: np.concatenate([x[b[p] : b[p + 1]] for x, b in zip(held[k], bounds[k], strict=True)]) if held[k] else np.empty(0, kinds[k][0]) for k in kinds}
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores in front until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def deal_out(df: DataFrame, buckets: int) -> DataFrame:
     return df.repartition(buckets, "bucket")
 
 
-#: Bits of an id bitmap: 4 MB, whatever the data.
-BITMAP_BITS = 1 << 25
+#: Least and greatest number of bits of an id bitmap (4 and 64 MB); between them, 16 for each id.
+BITMAP_BITS, MOST_BITMAP_BITS = 1 << 25, 1 << 29
 _BUCKET_BITS = 4096 * 8
 
 
 def id_bitmap(ids: DataFrame, column: str) -> bytes:
-    """A one-hash Bloom filter of a column of longs, OR-ed on the executors; at most BITMAP_BITS bits reach the driver.
+    """A one-hash Bloom filter of a column of longs, OR-ed on the executors; at most MOST_BITMAP_BITS bits reach the driver.
 
     It only spares work: what passes it by chance is dropped by the join that follows.
     """
-    slot = F.pmod(F.col(column), F.lit(BITMAP_BITS))
-    rows = ids.select(slot.alias("slot")).groupBy((slot_bucket := F.floor(F.col("slot") / _BUCKET_BITS)).cast("int").alias("b")).agg(F.bitmap_construct_agg(F.col("slot") % _BUCKET_BITS).alias("bits"))
-    out = bytearray(BITMAP_BITS // 8)
+    bits = BITMAP_BITS
+    n = ids.count()
+    while bits < MOST_BITMAP_BITS and bits < 16 * n:
+        bits *= 2
+    slot = F.pmod(F.col(column), F.lit(bits))
+    rows = ids.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / _BUCKET_BITS).cast("int").alias("b")).agg(F.bitmap_construct_agg(F.col("slot") % _BUCKET_BITS).alias("bits"))
+    out = bytearray(bits // 8)
     for row in rows.collect():
         out[row.b * 4096 : row.b * 4096 + 4096] = row.bits
     return bytes(out)
 
 
 def in_bitmap(bitmap: bytes, ids: np.ndarray) -> np.ndarray:
-    slot = np.mod(ids.astype(np.int64), BITMAP_BITS)
+    slot = np.mod(ids.astype(np.int64), len(bitmap) * 8)
     return (np.frombuffer(bitmap, np.uint8)[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
