@@ -1,17 +1,20 @@
 """Exact top-k search by distributed histogram selection.
 
 Vectors are cut into blocks: a cell holds one group of queries and one group of
-candidates, and each cell scores all its pairs by one matrix product.  Round by round,
-every cell counts its scores in BINS bins of each query's present range, the counts are
-summed over cells, and each query's range shrinks to the bin that holds its k-th
-largest score, until the scores from that bin upwards are few or the bin is one value
-wide.  A last pass returns scores at or above the range's lower end (from each cell at
-most its k best, which loses nothing), and ties go to the smaller id.
+candidates, and each cell scores all its pairs by matrix products.  Round by round,
+every cell counts its scores in BINS bins of each query's present range, in one histogram
+for each of its queries; the counts are summed over cells, and each query's range
+shrinks to the bin that holds its k-th largest score, until the scores from that bin
+upwards are few or the bin is one value wide.  A last pass returns scores at or above the
+range's lower end (from each cell at most its k best, which loses nothing), and ties go to
+the smaller id.
 
 Groups are dealt by a hash of the id, so no source or repeated vector makes a cell
-large.  Candidates are sent once for each group of QUERY_GROUP queries, and queries
-once for each group of CELL_ROWS candidates; nothing is broadcast or collected but the
-two counts that set the number of groups.
+large.  Cells are as large as memory allows (GROUP_ROWS queries by CELL_ROWS candidates),
+and there are at least as many as shuffle partitions.  So histograms grow with queries
+times cells, not with pairs, and a row is sent once for each group of the other side, in
+the narrowest integers that hold every component; nothing is broadcast or collected but the
+counts that set the number of groups.
 """
 
 from __future__ import annotations
@@ -21,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vendora.llm.store import discard, materialize
+from vendora.llm.store import Tables
 
 BINS = 256
-QUERY_GROUP = 4096
-CELL_ROWS = 1024
+GROUP_ROWS = 16_384
+CELL_ROWS = 65_536
+#: Queries and candidates of a cell that are scored at a time.
+_QUERIES, _ROWS = 256, 8192
 #: A query needs no further round when so many scores, besides ties, are left.
 ENOUGH = 64
 #: Scores are 64-bit integers, and so are the distances between them: a query whose bound is larger raises.
@@ -59,15 +64,35 @@ def _products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return queries @ rows.T
 
 
-def _cell(query_side: pa.Table, row_side: pa.Table, chunk: int = 512):
-    """(indices of queries, ids of rows, scores with the query's own id masked) for slices of a cell."""
+def _scores(query_side: pa.Table, row_side: pa.Table):
+    """For each slice of a cell's queries, (slice, scores of a slice of rows, ids of the rows, which aren't the query's own) for all slices of rows."""
     if not query_side.num_rows or not row_side.num_rows:
         return
     queries, rows = _matrix(query_side), _matrix(row_side)
     own, ids = query_side.column("vec_id").to_numpy(), row_side.column("vec_id").to_numpy()
-    for at in range(0, len(own), chunk):
-        part = slice(at, at + chunk)
-        yield part, ids, _products(queries[part], rows), ids[None, :] != own[part][:, None]
+
+    def over(part: slice):
+        for low in range(0, len(ids), _ROWS):
+            some = slice(low, low + _ROWS)
+            yield _products(queries[part].astype(np.int64), rows[some].astype(np.int64)), ids[some], ids[some][None, :] != own[part][:, None]
+
+    for at in range(0, len(own), _QUERIES):
+        part = slice(at, at + _QUERIES)
+        yield part, over(part)
+
+
+def _best_of(at: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query, by score and then the smaller id."""
+    order = np.lexsort((ids, -scores, at))
+    at, ids, scores = at[order], ids[order], scores[order]
+    keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return at[keep], ids[keep], scores[keep]
+
+
+def _width(vectors: DataFrame) -> tuple[int, str]:
+    """Number of vectors, and the narrowest integer type that holds all their components."""
+    n, most = vectors.agg(F.count("*"), F.max(F.greatest(F.array_max("v"), -F.array_min("v") - 1))).first()
+    return n, next(name for name, bits in (("smallint", 15), ("int", 31), ("bigint", 63)) if (most or 0) < 1 << bits)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -78,15 +103,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     length are no candidates.  If a query id repeats, its least vector asks; if a candidate
     id repeats, each of its rows counts.  Raises where a score could exceed MOST_SCORE.
     """
-    vectors = materialize(vectors.withColumn("d", F.size("v")))
+    tables = Tables()
+    n_rows, kind = _width(vectors)
+    vectors = tables.write(vectors.select("vec_id", F.col("v").cast(f"array<{kind}>").alias("v"), F.size("v").alias("d")))
     asked = queries.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("d", F.size("v"))
-    n_groups = max(1, -(-asked.count() // QUERY_GROUP))
-    n_cells = max(1, -(-vectors.count() // CELL_ROWS))
+    n_asked, other = _width(asked)
+    asked = tables.write(asked.withColumn("v", F.col("v").cast(f"array<{other}>")))
+    n_groups = max(1, -(-n_asked // GROUP_ROWS))
+    least = -(-int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n_groups)
+    n_cells = max(1, -(-n_rows // CELL_ROWS), min(least, -(-n_rows // _QUERIES)))
     group = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     rows = vectors.select("vec_id", "v", "d", group(n_cells).alias("cell"), each(n_groups).alias("grp"))
     # Bounds of all scores of a query: |q| |v| by Cauchy-Schwarz, rounded up, for the longest v of its length and another id.
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double")))
     norms = vectors.groupBy("d", "vec_id").agg(F.max(norm).alias("most"))
     top = norms.groupBy("d").agg(F.max(F.struct("most", "vec_id")).alias("top"))
     second = norms.join(top, "d").where(F.col("vec_id") != F.col("top.vec_id")).groupBy("d").agg(F.max("most").alias("second"))
@@ -94,16 +124,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     most = F.when(F.col("vec_id") == F.col("top.vec_id"), F.coalesce("second", F.lit(0.0))).otherwise(F.col("top.most"))
     bound = norm * most * 1.000001
     reach = F.when(bound < MOST_SCORE, (F.ceil(bound) + 1).cast("bigint")).otherwise(F.raise_error(F.lit("a score could exceed 64 bits")).cast("bigint"))
-    state = materialize(asked.join(longest, "d").select("vec_id", "v", "d", group(n_groups).alias("grp"), (-reach).alias("lo"), (reach + 1).alias("hi"), (F.floor(reach / (BINS // 2)) + 1).cast("bigint").alias("width"), F.lit(0).cast("bigint").alias("above"), F.lit(False).alias("done")))
+    state = tables.write(asked.join(longest, "d").select("vec_id", "v", "d", group(n_groups).alias("grp"), (-reach).alias("lo"), (reach + 1).alias("hi"), (F.floor(reach / (BINS // 2)) + 1).cast("bigint").alias("width"), F.lit(0).cast("bigint").alias("above"), F.lit(False).alias("done")))
 
     def count(key, query_side: pa.Table, row_side: pa.Table) -> pa.Table:
         ids, bins, counts = [], [], []
-        lo, hi, width = (query_side.column(c).to_numpy() for c in ("lo", "hi", "width"))
-        for part, _, scores, valid in _cell(query_side, row_side):
-            place = (scores - lo[part][:, None]) // width[part][:, None]
-            own = np.arange(scores.shape[0])[:, None] * BINS + np.clip(place, 0, BINS - 1)
-            # Scores from hi on are counted in above already; the last bin may reach beyond hi.
-            found = np.bincount(own[valid & (place >= 0) & (scores < hi[part][:, None])], minlength=scores.shape[0] * BINS)
+        lo, hi, width = (query_side.column(c).to_numpy()[:, None] for c in ("lo", "hi", "width"))
+        for part, slices in _scores(query_side, row_side):
+            found = np.zeros(len(lo[part]) * BINS, np.int64)
+            for scores, _, valid in slices:
+                place = (scores - lo[part]) // width[part]
+                own = np.arange(scores.shape[0])[:, None] * BINS + np.clip(place, 0, BINS - 1)
+                # Scores from hi on are counted in above already; the last bin may reach beyond hi.
+                found += np.bincount(own[valid & (place >= 0) & (scores < hi[part])], minlength=len(found))
             at = np.flatnonzero(found)
             ids.append(query_side.column("vec_id").to_numpy()[part][at // BINS])
             bins.append(at % BINS)
@@ -113,17 +145,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     def best(key, query_side: pa.Table, row_side: pa.Table) -> pa.Table:
         out = [[], [], []]
-        lo = query_side.column("lo").to_numpy()
-        for part, ids, scores, valid in _cell(query_side, row_side):
-            at, to = np.nonzero(valid & (scores >= lo[part][:, None]))
-            found = scores[at, to]
-            order = np.lexsort((ids[to], -found, at))
-            at, to, found = at[order], to[order], found[order]
-            first = np.searchsorted(at, at)
-            keep = np.arange(len(at)) - first < k
-            out[0].append(query_side.column("vec_id").to_numpy()[part][at[keep]])
-            out[1].append(ids[to[keep]])
-            out[2].append(found[keep])
+        lo = query_side.column("lo").to_numpy()[:, None]
+        for part, slices in _scores(query_side, row_side):
+            held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
+            for scores, ids, valid in slices:
+                at, to = np.nonzero(valid & (scores >= lo[part]))
+                held = _best_of(*(np.concatenate(x) for x in zip(held, (at, ids[to], scores[at, to]), strict=True)), k)
+            out[0].append(query_side.column("vec_id").to_numpy()[part][held[0]])
+            out[1].append(held[1])
+            out[2].append(held[2])
         join = lambda x: pa.array(np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64))
         return pa.table({"query_id": join(out[0]), "vec_id": join(out[1]), "score": join(out[2])})
 
@@ -147,11 +177,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             F.when(few, F.col("above")).otherwise(F.col("w.above")).alias("above"),
             (few | (F.col("width") == 1) | (F.col("w.above") + F.col("w.n") <= ENOUGH)).alias("done"),
         )
-        new = materialize(state.where("done").unionByName(nxt))
-        discard(state)
-        state = new
+        state = tables.write(state.where("done").unionByName(nxt))
         if state.where(~F.col("done")).isEmpty():
             break
     found = over_cells(state, best, "query_id bigint, vec_id bigint, score bigint")
     listed = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("t"))
-    return listed.select("query_id", F.posexplode("t").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
+    return tables.close(listed.select("query_id", F.posexplode("t").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score")))
