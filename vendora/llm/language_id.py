@@ -28,57 +28,84 @@ SAMPLE_DOCS = 1000
 #: A document is compared by as many n-grams as this, and at least as it has.
 DOCUMENT_GRAMS = 300
 UNKNOWN = "und"
-_CODES = 1024
+#: Characters of text worked on at a time.
+WINDOW = 1 << 20
+#: A letter's code is its code point, below this; an n-gram's code holds up to three of them.
+_CODES = 1 << 20
 
 
-def _letter_classes() -> np.ndarray:
-    """Code point -> class: 0 for no letter, else 1..1023; letters up to U+024F have classes of their own."""
-    points = np.arange(0x10000)
-    letter = np.fromiter((chr(i).isalpha() and not 0xD800 <= i < 0xE000 for i in points), bool, len(points))
-    return np.where(letter, np.where(points < 0x250, points, 0x250 + points % (_CODES - 0x250)), 0).astype(np.int32)
+_tables: list[np.ndarray] = []
 
 
-_classes: list[np.ndarray] = []
+def _letter_table() -> np.ndarray:
+    """Code point -> itself if it is a letter, else 0; made once in a process."""
+    if not _tables:
+        _tables.append(np.fromiter((i if chr(i).isalpha() else 0 for i in range(_CODES)), np.int64, _CODES))
+    return _tables[0]
 
 
 def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Letter classes of the lower-cased texts, a 0 after each, and offsets."""
-    if not _classes:
-        _classes.append(_letter_classes())
-    joined = "\x00".join(texts) + "\x00"
-    joined = joined.lower() if joined.isascii() else "\x00".join(t.lower() for t in texts) + "\x00"
-    points = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
-    table = _classes[0]
-    out = table[np.minimum(points, 0xFFFF)]
-    high = np.flatnonzero(points > 0xFFFF)
-    for i in high:
-        out[i] = 0x250 + int(points[i]) % (_CODES - 0x250) if chr(points[i]).isalpha() else 0
-    sizes = np.fromiter((len(t.lower()) + 1 for t in texts), np.int64, len(texts))
-    return out, np.concatenate(([0], np.cumsum(sizes)))
-
-
-def grams(letters: np.ndarray) -> np.ndarray:
-    """Codes of all 1- to 3-grams, with one mark for the end or start of a word; other characters are left out."""
-    keep = letters != 0
-    keep[1:] |= letters[:-1] != 0
-    x = np.concatenate((np.zeros(1, np.int32), letters[keep]))
-    one = x[x != 0]
-    two = x[:-1] * _CODES + x[1:]
-    three = two[:-1] * _CODES + x[2:]
-    return np.concatenate((one, two[(x[:-1] != 0) & (x[1:] != 0)] + (1 << 30), three[x[1:-1] != 0] + 0))
+    """Letters of the lower-cased texts as code points, 0 for other characters and after each text, and offsets.
+
+    Code points from 2**20 on (a private plane) are no letters.
+    """
+    low = [t.lower() for t in texts]
+    points = np.frombuffer(("\x00".join(low) + "\x00").encode("utf-32-le", "replace"), np.uint32)
+    out = _letter_table()[np.minimum(points, _CODES - 1)]
+    return out, np.concatenate(([0], np.cumsum(np.fromiter((len(t) + 1 for t in low), np.int64, len(low)))))
+
 
+def grams(letters: np.ndarray, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all 1- to 3-grams, with one mark (0) for the end or start of a word; other characters are left out.
 
-def _counts(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    every = np.sort(grams(letters))
+    Letters a, b, c give a, a * 2**20 + b and (a * 2**20 + b) * 2**20 + c, where the mark can
+    be a or c of three; 3-grams that begin with the mark are shifted out of the way of the
+    2-grams.  before: what an earlier window of the same text left, the second result.
+    """
+    last = np.zeros(1, np.int64) if before is None else before
+    keep = letters != 0
+    keep[1:] |= letters[:-1] != 0
+    if len(keep) and last[-1]:
+        keep[0] = True
+    x = np.concatenate((last, letters[keep]))
+    old = len(last)
+    one = x[old:][x[old:] != 0]
+    two = x[old - 1 : -1] * _CODES + x[old:]
+    pairs = two[(x[old - 1 : -1] != 0) & (x[old:] != 0)]
+    three = (x[:-2] * _CODES + x[1:-1]) * _CODES + x[2:]
+    three[x[:-2] == 0] += np.int64(1) << 61
+    return np.concatenate((one, pairs, three[x[1:-1] != 0])), x[-2:]
+
+
+def _runs(every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    every = np.sort(every)
     starts, lengths = runs_of_sorted(every)
     return every[starts], lengths
 
 
-def top_grams(letters: np.ndarray, limit: int) -> np.ndarray:
-    """The most frequent n-grams; ties go to the smaller code."""
-    codes, counts = _counts(letters)
-    order = np.sort(((np.int64(1) << 31) - counts << 32) | codes)[:limit]
-    return order & 0xFFFFFFFF
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes in order with the sums of their counts."""
+    codes = np.concatenate([c for c, _ in parts])
+    order = np.argsort(codes, kind="stable")
+    starts, _ = runs_of_sorted(codes[order])
+    counts = np.concatenate([n for _, n in parts])[order]
+    return codes[order][starts], np.add.reduceat(counts, starts) if len(starts) else counts
+
+
+def _long_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """N-gram counts of a text of any length, WINDOW characters at a time."""
+    low, before, parts = text.lower(), None, []
+    for at in range(0, len(low), WINDOW):
+        letters, _ = _letters([low[at : at + WINDOW]])
+        found, before = grams(letters[:-1], before)
+        parts = [_summed([*parts, _runs(found)])]
+    found, _ = grams(np.zeros(1, np.int64), before)
+    return _summed([*parts, _runs(found)])
+
+
+def top_grams(codes: np.ndarray, counts: np.ndarray, limit: int) -> np.ndarray:
+    """The most frequent n-grams of codes in order; ties go to the smaller code."""
+    return codes[np.argsort(-counts, kind="stable")[:limit]]
 
 
 class Profiles:
@@ -89,11 +116,11 @@ class Profiles:
         for j, language in enumerate(self.languages):
             self.ranks[np.searchsorted(self.codes, ranked[language]), j] = np.arange(len(ranked[language]))
 
-    def predict(self, letters: np.ndarray) -> tuple[str, float]:
-        """Without letters, or without profiles: UNKNOWN and 0.  Ties go to the first language in order."""
-        if not self.languages or not letters.any():
+    def predict(self, codes: np.ndarray, counts: np.ndarray) -> tuple[str, float]:
+        """Without n-grams, or without profiles: UNKNOWN and 0.  Ties go to the first language in order."""
+        if not self.languages or not len(codes):
             return UNKNOWN, 0.0
-        top = top_grams(letters, DOCUMENT_GRAMS)
+        top = top_grams(codes, counts, DOCUMENT_GRAMS)
         at = np.searchsorted(self.codes, top)
         at[self.codes[np.minimum(at, len(self.codes) - 1)] != top] = len(self.codes)
         ranks = self.ranks[at]
@@ -104,14 +131,17 @@ class Profiles:
         return self.languages[best], 1.0 - float(far[best]) / (PROFILE_SIZE * len(top))
 
 
-def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, letter classes) of each text, a bounded chunk at a time."""
+def _gram_counts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, n-grams, counts) of each text, a bounded chunk at a time."""
     texts = batch.column(column).to_pylist()
     sizes = np.concatenate(([0], np.cumsum([len(t or "") for t in texts])))
-    for row, end in chunks(sizes, 1 << 20):
+    for row, end in chunks(sizes, WINDOW):
+        if end == row + 1 and sizes[end] - sizes[row] > WINDOW:
+            yield row, *_long_counts(texts[row])
+            continue
         letters, offsets = _letters([t or "" for t in texts[row:end]])
         for i in range(end - row):
-            yield row + i, letters[offsets[i] : offsets[i + 1]]
+            yield row + i, *_runs(grams(letters[offsets[i] : offsets[i + 1]])[0])
 
 
 def is_held_out():
@@ -136,15 +166,11 @@ def learn(docs: DataFrame) -> Profiles:
         for batch in batches:
             languages = batch.column(0).to_pylist()
             held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-            for row, letters in _pieces(batch, 1):
-                held.setdefault(languages[row], []).append(_counts(letters))
+            for row, codes, counts in _gram_counts(batch, 1):
+                held.setdefault(languages[row], []).append((codes, counts))
             for language, found in held.items():
-                codes = np.concatenate([c for c, _ in found])
-                order = np.argsort(codes, kind="stable")
-                starts, _ = runs_of_sorted(codes[order])
-                if len(starts):
-                    sums = np.add.reduceat(np.concatenate([n for _, n in found])[order], starts)
-                    yield pa.RecordBatch.from_arrays([pa.array([language] * len(starts)), pa.array(codes[order][starts].astype(np.int64)), pa.array(sums.astype(np.int64))], ["lang", "gram", "n"])
+                codes, sums = _summed(found)
+                yield pa.RecordBatch.from_arrays([pa.array([language] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(sums.astype(np.int64))], ["lang", "gram", "n"])
 
     counts = sample.mapInArrow(lean(count), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.asc("gram")))
@@ -164,21 +190,35 @@ def predict_languages(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [profiles.predict(letters) for _, letters in _pieces(batch, 1)]
+            found = [profiles.predict(codes, counts) for _, codes, counts in _gram_counts(batch, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], schema=schema)
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(lean(run), "doc_id bigint, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """The rows of docs whose text has a language by the profiles, with all their columns; one narrow pass.
+    """The rows of docs whose text has a language, with all their columns; one narrow pass.
 
-    If there are no profiles, texts with letters stay.
+    A text has one if it has letters: distances choose a language, they reject none, and
+    where there are no profiles texts with letters stay too.  A null in a string column
+    lang becomes the predicted language.  Null and empty texts and texts without letters
+    go; repeated rows are kept or go alike; no column but text (and lang) is touched.
     """
     at = docs.columns.index("text")
+    label = docs.columns.index("lang") if dict(docs.dtypes).get("lang") == "string" else None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([bool(profiles.predict(letters)[0] != UNKNOWN if profiles.languages else letters.any()) for _, letters in _pieces(batch, at)], pa.bool_()))
+            keep, named = [], []
+            for _, codes, counts in _gram_counts(batch, at):
+                found = profiles.predict(codes, counts)[0]
+                keep.append(len(codes) > 0)
+                named.append(found if found != UNKNOWN else None)
+            if label is not None:
+                old = batch.column(label).to_pylist()
+                columns = batch.columns
+                columns[label] = pa.array([o if o is not None else n for o, n in zip(old, named, strict=True)], columns[label].type)
+                batch = pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(lean(run), docs.schema)
