@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vendora.llm import chat_format, chunk_dedup, decontaminate, language_id, line_dedup, ngram_join, piece_codec, token_counts, topk_search, toxicity
+from vendora.llm.store import discard
 
 QUERY_STEP = 50
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -58,12 +59,14 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(1).selectExpr("-7L conv_id", f"explode(array(struct(0L as turn, 'user' as role, '{said}' as text), struct(1L as turn, 'assistant' as role, '{said}' as text))) x").select("conv_id", "x.*")
     rows = table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as bigint) conv_id", "cast(turn as bigint) turn", "cast(role as string) role", "cast(text as string) text").unionByName(extra)
-    return chat_format.digests(chat_format.format_turn_rows(rows))
+    return chat_format.digests(chat_format.format_table(rows))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = toxicity.fit(*toxicity.sample_labelled(docs, labels))
+    sample, rate = toxicity.sample_labelled(docs, labels)
+    model = toxicity.fit(sample, rate)
+    discard(sample)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     return toxicity.score_documents(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 

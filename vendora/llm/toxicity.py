@@ -1,25 +1,27 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two character models of words, one of toxic and one of ordinary documents, with
-interpolated Kneser-Ney smoothing.  Orders above SHARED_ORDERS have counts of their
-class; below, both classes back off to the same pooled continuation counts, so rare
-expressions that neither class has shown score alike.  A toxic document is ordinary
-text with a share BLEND of words from the toxic model.  A document's score is the
-log-likelihood ratio of the two summed over its different words, divided by their number plus a
-constant,
-and mapped to 0..1 by a logistic curve fitted on sampled documents that did not train
-the models it is fitted with.
-
-The models are fitted on a bounded sample of labelled rows: SAMPLE_DOCS of each class,
-those with the smallest hash of doc_id.  Scoring covers every document and its whole
-text in one narrow pass; word ratios are memoised in a table of bounded size.
+Two character models of tokens (words, numbers, other marks), one of toxic and one of
+ordinary documents, with interpolated Kneser-Ney smoothing.  Orders above SHARED_ORDERS
+have counts of their class; below, both classes back off to the same continuation
+counts, pooled over the classes, so rare expressions that neither class has shown score
+alike.  A toxic document is ordinary text with a share BLEND of its tokens from the toxic
+model, an ordinary one has none.  The evidence is the difference of the whole text's two
+log-likelihoods for each token, every occurrence counted; PRIOR_TOKENS neutral tokens are
+added to the length, so that a few words alone decide little.  A logistic curve, fitted
+on sampled documents that didn't train the models it is fitted with, maps it to 0..1.
+
+The models are fitted on a bounded sample of labelled rows: SAMPLE_DOCS of each label,
+those with the smallest hash of doc_id.  Their n-grams are counted and their evidence is
+measured on the executors; the driver gets n-gram counts and two numbers a document, no
+text.  Scoring covers every document and its whole text in one narrow pass; token ratios
+are memoised in a table of bounded size.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,57 +29,76 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vendora.llm.store import lean
+from vendora.llm.store import discard, lean, materialize
 
-#: Sampled labelled documents of each class.
+#: Sampled labelled documents of each label.
 SAMPLE_DOCS = 1600
 ORDER = 5
 SHARED_ORDERS = 2
 DISCOUNT = 0.75
-#: Added to a document's number of different words, so a few words alone decide little.
-LENGTH_SHRINK = 50.0
-#: Share of a toxic document's words that come from the toxic model; the rest come from the ordinary one.
+#: Neutral tokens added to a document's length.
+PRIOR_TOKENS = 50.0
+#: Share of a toxic document's tokens that come from the toxic model; the rest come from the ordinary one.
 BLEND = 0.005
 MEMO_LIMIT = 400_000
 THRESHOLD = 0.7
-_WORD = re.compile(r"[^\W\d_]+")
-
-
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+#: Characters of a text that are split into tokens at a time.
+WINDOW = 1 << 20
+#: Longer tokens come in parts.
+_TOKEN = re.compile(r"[^\W\d_]{1,1000}|\d{1,1000}|[^\w\s]|_")
+START, STOP = "^" * (ORDER - 1), "$"
+
+
+def token_windows(text: str | None) -> Iterator[list[str]]:
+    """Tokens in lower case, a window of the text after another."""
+    low, at = (text or "").lower(), 0
+    while at < len(low):
+        end = min(len(low), at + WINDOW)
+        found = _TOKEN.findall(low, at, end)
+        if end < len(low) and len(found) > 1 and low.endswith(found[-1], at, end):
+            end -= len(found.pop())  # it may go on in the next window
+        yield found
+        at = end
+
+
+def grams_of(tokens: Counter | Iterable[str]) -> Counter:
+    """Counts of the n-grams of ORDER characters of padded tokens; each ends with a character of a token or its stop."""
+    out: Counter = Counter()
+    for token, n in Counter(tokens).items():
+        padded = START + token + STOP
+        for i in range(len(token) + 1):
+            out[padded[i : i + ORDER]] += n
+    return out
 
 
 class ClassModels:
-    """Kneser-Ney character models of classes 0 and 1, from word counts."""
-
-    def __init__(self, counts: tuple[dict[str, int], dict[str, int]]):
-        # grams[k][class]: k-gram -> count at the highest order, number of different left neighbours below it
-        raw = [Counter(), Counter()]
-        for c in (0, 1):
-            for word, n in counts[c].items():
-                padded = "^" * (ORDER - 1) + word + "$"
-                for i in range(ORDER - 1, len(padded)):
-                    raw[c][padded[i - ORDER + 1 : i + 1]] += n
+    """Kneser-Ney character models of classes 0 and 1, from the counts of their n-grams of ORDER characters."""
+
+    def __init__(self, counts: tuple[Counter, Counter]):
+        # own[c] at a level: n-gram -> its count at the highest order, below it the number of different left neighbours.
         self.levels: list[tuple] = []
-        grams = raw
+        own, seen = list(counts), [set(counts[0]), set(counts[1])]
         for k in range(ORDER, 0, -1):
-            own = grams if k > SHARED_ORDERS else [pooled := grams[0] + grams[1], pooled]
+            if k < ORDER:
+                # Different (left neighbour, n-gram) pairs are the n-grams one longer that occur.
+                longer = seen
+                seen = [{g[1:] for g in x} for x in longer]
+                if k > SHARED_ORDERS:
+                    own = [Counter(g[1:] for g in x) for x in longer]
+                else:
+                    pooled = Counter(g[1:] for g in longer[0] | longer[1])
+                    own = [pooled, pooled]
             total, kinds = [Counter(), Counter()], [Counter(), Counter()]
             for c in (0, 1):
                 for g, n in own[c].items():
                     total[c][g[:-1]] += n
                     kinds[c][g[:-1]] += 1
             self.levels.append((own, total, kinds))
-            if k > 1:
-                lower = [Counter(), Counter()]
-                for c in (0, 1):
-                    for g in grams[c]:
-                        lower[c][g[1:]] += 1
-                grams = lower
-        self.letters = len(self.levels[-1][0][0]) + 1
+        self.letters = len(self.levels[-1][0][0]) + 1  # one more for characters never seen
         self.known: dict[str, float] = {}
 
-    def _probability(self, c: int, gram: str) -> float:
+    def probability(self, c: int, gram: str) -> float:
+        """P of the last character of an n-gram after the others, by class c."""
         p = 1.0 / self.letters
         for k in range(1, ORDER + 1):
             own, total, kinds = self.levels[ORDER - k]
@@ -88,18 +109,18 @@ class ClassModels:
         return p
 
     def _step(self, gram: str) -> float:
-        out = math.log(self._probability(1, gram)) - math.log(self._probability(0, gram))
+        out = math.log(self.probability(1, gram)) - math.log(self.probability(0, gram))
         if len(self.known) >= MEMO_LIMIT:
             self.known.clear()
         self.known[gram] = out
         return out
 
-    def ratio(self, word: str) -> float:
-        """log P(word | toxic) - log P(word | ordinary)."""
-        padded = "^" * (ORDER - 1) + word + "$"
+    def ratio(self, token: str) -> float:
+        """log P(token | toxic model) - log P(token | ordinary model)."""
+        padded = START + token + STOP
         known = self.known
         out = 0.0
-        for i in range(len(word) + 1):
+        for i in range(len(token) + 1):
             gram = padded[i : i + ORDER]
             step = known.get(gram)
             out += self._step(gram) if step is None else step
@@ -113,22 +134,28 @@ class ClassModels:
 
 
 class _Memo(dict):
+    """Token -> log P(token | toxic document) - log P(token | ordinary document)."""
+
     def __init__(self, models: ClassModels):
         super().__init__()
         self.models = models
 
-    def __missing__(self, word: str) -> float:
+    def __missing__(self, token: str) -> float:
         if len(self) >= MEMO_LIMIT:
             self.clear()
-        out = math.log1p(BLEND * math.expm1(min(self.models.ratio(word), 30.0)))
-        if len(word) <= 40:
-            self[word] = out
+        out = math.log1p(BLEND * math.expm1(min(self.models.ratio(token), 30.0)))
+        if len(token) <= 40:
+            self[token] = out
         return out
 
 
-def document_ratio(memo: dict, text: str | None) -> float:
-    found = set(words_of(text))
-    return sum([memo[w] for w in found]) / (len(found) + LENGTH_SHRINK)
+def evidence(memo: dict, text: str | None) -> float:
+    """Difference of a text's log-likelihoods for each token."""
+    n, total = 0, 0.0
+    for tokens in token_windows(text):
+        n += len(tokens)
+        total += sum([memo[t] for t in tokens])
+    return total / (n + PRIOR_TOKENS)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -150,12 +177,14 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 class ToxicityModel:
+    """Models and curve; without models every text scores the same."""
+
     def __init__(self, models: ClassModels | None, intercept: float, slope: float):
         self.models, self.intercept, self.slope = models, intercept, slope
-        self.memo = _Memo(models) if models else defaultdict(float)
+        self.memo = _Memo(models) if models else None
 
     def score(self, text: str | None) -> float:
-        x = self.intercept + self.slope * document_ratio(self.memo, text)
+        x = self.intercept + (self.slope * evidence(self.memo, text) if self.models else 0.0)
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, x))))
 
     def __getstate__(self):
@@ -165,55 +194,67 @@ class ToxicityModel:
         self.__init__(*state)
 
 
-def fit(sample: list[tuple[str, int]], rate: float) -> ToxicityModel:
-    """sample: (text, label); rate: the score of a text if a label has no rows.
+def sample_labelled(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS) -> tuple[DataFrame, float]:
+    """(text, toxic, half) of at most size different rows of each label, and the share of label 1.
+
+    Rows whose crc32(doc_id) mod 3 is 1 are left out, and so are null labels and doc_ids
+    labelled both ways.  Ids are chosen from labels alone and rows, where an id has
+    several texts, by a hash of the text: both are bounded top-k without texts.
+    """
+    ids = labels.selectExpr("cast(doc_id as bigint) doc_id", "cast(toxic as int) toxic").where("toxic in (0, 1) and crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1")
+    ids = ids.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most")).where("toxic = _most").drop("_most")
+    n, ones = ids.agg(F.count("*"), F.sum("toxic")).first()
+
+    def first(rows: DataFrame, *more: str) -> DataFrame:
+        parts = [rows.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id", *more).limit(size) for c in (0, 1)]
+        return parts[0].unionByName(parts[1])
+
+    chosen = F.broadcast(first(ids))  # at most 2 * size narrow rows
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").withColumn("_t", F.xxhash64("text"))
+    keys = materialize(first(rows.select("doc_id", "toxic", "_t").distinct(), "_t").withColumn("half", F.pmod(F.xxhash64("doc_id", "_t"), F.lit(2)).cast("int")))
+    picked = rows.join(F.broadcast(keys.select("doc_id", "_t", "half")), ["doc_id", "_t"])
+    sample = materialize(picked.groupBy("doc_id", "_t", "toxic", "half").agg(F.first("text").alias("text")).select("text", "toxic", "half"))
+    discard(keys)
+    return sample, float(ones or 0) / n if n else 0.0
+
 
-    Both classes weigh the same in the curve: 0.5 is where they are as likely at equal shares.
+def fit(sample: DataFrame, rate: float) -> ToxicityModel:
+    """sample: text, toxic, half (0 or 1); rate: the score of every text if a label has no rows.
 
-    The curve is fitted on ratios by models of the other half, so no text scores itself.
-    Without rows of both labels every text scores the rate.
+    Both labels weigh the same in the curve: 0.5 is where they are as likely at equal
+    shares.  The curve is fitted on evidence by models of the other half, so no text
+    scores itself.
     """
-    by = [[t for t, y in sample if y == c] for c in (0, 1)]
-    if not by[0] or not by[1]:
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], Counter] = {}
+        for batch in batches:
+            for text, toxic, half in zip(*(batch.column(i) for i in range(3)), strict=True):
+                for tokens in token_windows(text.as_py()):
+                    held.setdefault((toxic.as_py(), half.as_py()), Counter()).update(tokens)
+        for (toxic, half), tokens in held.items():
+            found = grams_of(tokens)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), toxic, np.int32)), pa.array(np.full(len(found), half, np.int32)), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["toxic", "half", "gram", "n"])
+
+    rows = sample.mapInArrow(lean(count), "toxic int, half int, gram string, n bigint").groupBy("toxic", "half", "gram").agg(F.sum("n").alias("n"))
+    parts = [[Counter(), Counter()], [Counter(), Counter()]]
+    for r in rows.toLocalIterator():
+        parts[r.half][r.toxic][r.gram] = r.n
+    if not all(parts[0][c] or parts[1][c] for c in (0, 1)):
         return ToxicityModel(None, math.log((rate + 1e-6) / (1 - rate + 1e-6)), 0.0)
+    halves = sample.sparkSession.sparkContext.broadcast([ClassModels((part[0], part[1])) for part in parts])
 
-    def models(keep) -> ClassModels:
-        # Equal volumes of text: else the smaller class gives unseen words more room.
-        counts = [Counter(), Counter()]
-        for c in (0, 1):
-            for i, t in enumerate(by[c]):
-                if keep(i):
-                    counts[c].update(words_of(t))
-        return ClassModels((counts[0], counts[1]))
-
-    xs, ys, ws = [], [], []
-    for half in (0, 1):
-        memo = _Memo(models(lambda i, h=half: i % 2 != h))
-        for c in (0, 1):
-            for i, t in enumerate(by[c]):
-                if i % 2 == half:
-                    xs.append(document_ratio(memo, t))
-                    ys.append(c)
-                    ws.append(0.5 / len(by[c]) * len(sample))
-    a, b = fit_curve(np.array(xs), np.array(ys, float), np.array(ws))
-    return ToxicityModel(models(lambda i: True), a, b)
-
-
-def sample_labelled(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS) -> tuple[list[tuple[str, int]], float]:
-    """At most size documents of each label whose crc32(doc_id) mod 3 is not 1, and the share of label 1.
-
-    The ids are chosen from labels alone (a bounded top-k by hash), so the documents
-    are read once and only chosen texts leave the executors.
-    """
-    ids = labels.selectExpr("cast(doc_id as bigint) doc_id", "cast(toxic as int) toxic").where("toxic in (0, 1) and crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1")
-    n, ones = ids.agg(F.count("*"), F.sum("toxic")).first()
-    chosen = None
-    for c in (0, 1):
-        part = ids.where(F.col("toxic") == c).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").join(F.broadcast(chosen), "doc_id")
-    rows = sorted((r.doc_id, r.toxic, r.text or "") for r in texts.toLocalIterator())
-    return [(t, y) for _, y, t in rows], (ones or 0) / n if n else 0.0
+    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memos = [_Memo(m) for m in halves.value]
+        for batch in batches:
+            x = [evidence(memos[1 - half.as_py()], text.as_py()) for text, half in zip(batch.column(0), batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column(1)], ["x", "toxic"])
+
+    found = sorted(map(tuple, sample.mapInArrow(lean(measure), "x double, toxic int").collect()))  # at most two rows a sampled document
+    x, y = np.array([r[0] for r in found]), np.array([r[1] for r in found], float)
+    weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
+    a, b = fit_curve(x, y, weight)
+    return ToxicityModel(ClassModels((parts[0][0] + parts[1][0], parts[0][1] + parts[1][1])), a, b)
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
