@@ -4,8 +4,10 @@ Test items form an inverted index; passages of the documents are the queries.  A
 posting's BM25 weight is divided by its item's total weight, so a score is the share of
 an item's weight that a passage covers, and one threshold serves all items.
 
-Passages are windows of twice the longest item's length that overlap by half, so any
-item lies whole in one of them.  For each passage a bound on its best score comes
+Items are classed by length: a class holds items of up to 16, 32, 64, ... words, and has
+an index and passages of its own, windows of twice that length that overlap by half.  So
+an item lies whole in a passage of its class, and whether it is found doesn't depend on
+which other items there are.  For each passage a bound on its best score comes
 first, for whole batches of text at once: terms so common that together they give no
 item more than half the threshold count nothing, and the weights of the other terms
 must reach the rest, at first summed over all words and then for one item.  Passages
@@ -13,8 +15,9 @@ that pass are run through block-max WAND, which returns every item at or above t
 threshold.  Each hit is verified on n-grams: the passage must hold shares
 of the item's question and of its answer (its last sentence).
 
-The index is sent to the executors in shards of at most SHARD_ITEMS items; each shard
-is one pass over the documents.  Document frequencies are those of all items.
+The index is sent to the executors in shards of about SHARD_BYTES of item text (and at
+most one item more); each shard is one pass over the documents.  Document frequencies are
+those of all items.
 """
 
 from __future__ import annotations
@@ -38,7 +41,9 @@ THRESHOLD = 0.5
 NGRAM = 5
 #: Shares of the n-grams of question and answer that a leak must hold.
 QUESTION_SHARE = ANSWER_SHARE = 0.5
-SHARD_ITEMS = 20_000
+SHARD_BYTES = 8 << 20
+#: Words of the items of the first class; each further class has items of up to twice as many.
+LEAST_CLASS = 16
 BLOCK = 16
 _LAST_SENTENCE = re.compile(r"^(.*[.!?]\s+)(\S.*)$", re.S)
 
@@ -61,14 +66,11 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 class Index:
-    """Inverted index of one shard of items with normalised BM25 weights and block maxima."""
-
-    def __init__(self, items: list[tuple[int, str]], frequency: dict[int, int], n_items: int, mean_size: float):
-        tokens = hashed_words([t for _, t in items])
-        keep = [i for i, w in enumerate(tokens) if len(w)]
-        self.ids = [items[i][0] for i in keep]
-        tokens = [tokens[i] for i in keep]
-        self.step = max([16, *(len(w) for w in tokens)])
+    """Inverted index of the items of one class and shard, with normalised BM25 weights and block maxima."""
+
+    def __init__(self, items: list[tuple[int, str]], tokens: list[np.ndarray], step: int, frequency: dict[int, int], n_items: int, mean_size: float):
+        self.ids = [i for i, _ in items]
+        self.step = step
         postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for i, w in enumerate(tokens):
             terms, counts = np.unique(w, return_counts=True)
@@ -85,7 +87,7 @@ class Index:
         self.bounds = np.array([max(x) for _, x in self.lists] + [0.0])
         self.blocks = [[max(x[b : b + BLOCK]) for b in range(0, len(x), BLOCK)] for _, x in self.lists]
         # Common terms, the longest lists first, as long as they give no item more than half the threshold.
-        common = np.zeros(len(keep))
+        common = np.zeros(len(items))
         self.bound_of = self.bounds.copy()
         self.left_out = 0.0
         for t in sorted(range(len(self.lists)), key=lambda t: (-len(self.lists[t][0]), t)):
@@ -101,7 +103,7 @@ class Index:
         own = [x for t, x in enumerate(self.lists) if self.bound_of[t]]
         self.items = np.array([i for ids, _ in own for i in ids], np.int64)
         self.weights = np.array([w for _, x in own for w in x])
-        parts = [question_and_answer(items[i][1]) for i in keep]
+        parts = [question_and_answer(text) for _, text in items]
         self.questions = [self._grams(w) for w in hashed_words([q for q, _ in parts])]
         self.answers = [self._grams(w) for w in hashed_words([a for _, a in parts])]
 
@@ -191,6 +193,22 @@ class Index:
         return out[0], out[1]
 
 
+def length_class(words: int) -> int:
+    """Greatest number of words of an item's class."""
+    return max(LEAST_CLASS, 1 << (words - 1).bit_length())
+
+
+def indexes(items: list[tuple[int, str]], frequency: dict[int, int], n_items: int, mean_size: float) -> list[Index]:
+    """An index for each class of the items that have words."""
+    classes: dict[int, tuple[list, list]] = {}
+    for item, tokens in zip(items, hashed_words([t for _, t in items]), strict=True):
+        if len(tokens):
+            own = classes.setdefault(length_class(len(tokens)), ([], []))
+            own[0].append(item)
+            own[1].append(tokens)
+    return [Index(*own, step, frequency, n_items, mean_size) for step, own in sorted(classes.items())]
+
+
 def leaks_of(index: Index, hashes: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[int, int, float, float, float]]:
     """(row, item, score, question share, answer share) of the leaks in a chunk of texts; each item's best passage."""
     numbers = index.term_numbers(hashes)
@@ -222,8 +240,8 @@ def leaks_of(index: Index, hashes: np.ndarray, firsts: np.ndarray) -> Iterator[t
         yield r, item, score, q, a
 
 
-def _shards(items: DataFrame) -> Iterator[Index]:
-    """Indexes of at most SHARD_ITEMS items each; the driver holds one at a time."""
+def _shards(items: DataFrame) -> Iterator[list[Index]]:
+    """Indexes of about SHARD_BYTES of items at a time; the driver holds one shard."""
     rows = items.selectExpr("cast(item_id as bigint) item_id", "cast(text as string) text").where("item_id is not null and text is not null")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,16 +256,19 @@ def _shards(items: DataFrame) -> Iterator[Index]:
     whole = counts.where("term is null").first()
     if whole is None or not whole.n:
         return
-    shards = -(-whole.n // SHARD_ITEMS)
+    size = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0]
+    shards = -(-size // SHARD_BYTES)
     for k in range(shards):
-        part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k)
+        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
         held = [(r.item_id, r.text) for r in part.orderBy("item_id", "text").toLocalIterator()]
         if shards == 1:
             frequency = {r.term & (2**64 - 1): r.n for r in counts.where("term is not null").toLocalIterator()}
         else:
             own = part.select("text").mapInArrow(lean(count), "term bigint, n bigint, words bigint").where("term is not null").select("term").distinct()
             frequency = {r.term & (2**64 - 1): r.n for r in counts.join(own, "term").toLocalIterator()}
-        yield Index(held, frequency, whole.n, whole.words / whole.n)
+        made = indexes(held, frequency, whole.n, whole.words / whole.n)
+        if made:
+            yield made
 
 
 def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -255,19 +276,19 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     Only doc_id, text, item_id and text are read.  Null and empty texts, and items
     without words, match nothing; a row without doc_id is reported with a null id;
-    repeated rows are reported each.  Documents without leaks have no row.
+    repeated rows, of documents and of items, are reported each.  An item's shares and
+    score are those of the passage that scores best.  Documents without leaks have no row.
     """
     schema = "doc_id bigint, item_id bigint, score double, question_share double, answer_share double"
     rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
     out = None
-    for index in _shards(items):
-        shipped = docs.sparkSession.sparkContext.broadcast(index)
+    for shard in _shards(items):
+        shipped = docs.sparkSession.sparkContext.broadcast(shard)
 
         def run(batches: Iterable[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            own = shipped.value
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                found = [(ids[row + r], own.ids[item], score, q, a) for row, _, hashes, firsts, _, _ in words(batch.column(1)) for r, item, score, q, a in leaks_of(own, hashes, firsts)]
+                found = [(ids[row + r], own.ids[item], score, q, a) for row, _, hashes, firsts, _, _ in words(batch.column(1)) for own in shipped.value for r, item, score, q, a in leaks_of(own, hashes, firsts)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64() if i < 2 else pa.float64()) for i in range(5)], ["doc_id", "item_id", "score", "question_share", "answer_share"])
 
         part = rows.mapInArrow(lean(run), schema)
@@ -276,18 +297,21 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that leak no item, with all their columns; one narrow pass for each shard of items."""
+    """The rows of docs that leak no item, with all their columns; one narrow pass for each shard of items.
+
+    Null and empty texts stay; repeated rows stay or go alike; without items all stay.
+    """
     at = docs.columns.index("text")
-    for index in _shards(items):
-        shipped = docs.sparkSession.sparkContext.broadcast(index)
+    for shard in _shards(items):
+        shipped = docs.sparkSession.sparkContext.broadcast(shard)
 
         def run(batches: Iterable[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            own = shipped.value
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 for row, _, hashes, firsts, _, _ in words(batch.column(at)):
-                    for r, *_ in leaks_of(own, hashes, firsts):
-                        clean[row + r] = False
+                    for own in shipped.value:
+                        for r, *_ in leaks_of(own, hashes, firsts):
+                            clean[row + r] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(lean(run), docs.schema)
