@@ -136,6 +136,51 @@ def test_languages(spark):
     assert language_id.predict_languages(docs, none).where("lang_pred <> 'und'").count() == 0
 
 
+def plain_grams(text):
+    """Counts of 1- to 3-grams of the lower-cased letters, with a mark at both ends of words."""
+    out = {}
+    low = "".join(c if c.isalpha() else " " for c in text.lower())
+    for w in low.split():
+        padded = f" {w} "
+        for g in [*w, *(w[i : i + 2] for i in range(len(w) - 1)), *(padded[i : i + 3] for i in range(len(padded) - 2))]:
+            out[g] = out.get(g, 0) + 1
+    return out
+
+
+def plain_rank(counts, limit):
+    """Ties by length, but 3-grams that start a word last, then by letters; the mark comes first."""
+    return sorted(counts, key=lambda g: (-counts[g], len(g) + (len(g) == 3 and g[0] == " "), [0 if c == " " else ord(c) for c in g]))[:limit]
+
+
+def test_predictions_are_the_nearest_out_of_place_profiles(spark):
+    rng = random.Random(21)
+    letters = {"x1": "abcdeé", "x2": "cdefgß", "x3": "日本の語文"}
+    say = lambda lang, n: " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randint(1, 6))) for _ in range(n))
+    rows = [(i, say(f"x{i % 3 + 1}", rng.randint(0, 60)) + rng.choice(["", " 1?", " MIX ß日"]), f"x{i % 3 + 1}") for i in range(240)]
+    rows += [(300, "a", None), (301, "a", None), (302, say("x1", 40_000), "x1"), (302, say("x1", 40_000), "x1"), (303, "abc" * 400_000, "x1")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    sums = {}
+    for i, text, lang in rows:
+        if lang and zlib.crc32(str(i).encode()) % 5:
+            for g, n in plain_grams(text).items():
+                sums.setdefault(lang, {}).setdefault(g, 0)
+                sums[lang][g] += n
+    profiles = {lang: {g: r for r, g in enumerate(plain_rank(c, language_id.PROFILE_SIZE))} for lang, c in sums.items()}
+    want = []
+    for i, text, _ in rows:
+        top = plain_rank(plain_grams(text), language_id.DOCUMENT_GRAMS)
+        far = {lang: sum(min(abs(p[g] - r), language_id.PROFILE_SIZE) if g in p else language_id.PROFILE_SIZE for r, g in enumerate(top)) for lang, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        want.append((i, best if top else "und", round(1 - far[best] / (language_id.PROFILE_SIZE * len(top)), 9) if top else 0.0))
+    found = language_id.predict_languages(docs, language_id.learn(docs)).collect()
+    assert sorted((r.doc_id, r.lang_pred, round(r.score, 9)) for r in found) == sorted(want)
+
+
+def test_ties_between_languages_go_to_the_first(spark):
+    docs = spark.createDataFrame([(i, "ab ba", "y" if i % 2 else "x") for i in range(40)], "doc_id bigint, text string, lang string")
+    assert {r.lang_pred for r in language_id.predict_languages(docs, language_id.learn(docs)).collect()} == {"x"}
+
+
 def test_letters_pass_where_no_profile_exists(spark):
     rows = [(1, "abc", None), (2, " 12 !?", None), (3, None, None), (4, "é", None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
@@ -168,8 +213,79 @@ def test_toxicity_separates_held_out_documents(spark):
     held = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 3 == 1]
     assert np.mean([(found[i] >= toxicity.THRESHOLD) == (i % 4 == 0) for i in held]) > 0.97
     assert found[1000] < 0.5 and found[1001] < 0.5
-    alone = toxicity.fit([], 0.25)
-    assert abs(alone.score("x") - 0.25) < 1e-3
+    assert abs(toxicity.fit(spark.createDataFrame([], "text string, toxic int, half int"), 0.25).score("x") - 0.25) < 1e-3
+
+
+def plain_kneser_ney(counts, c, gram):
+    """Interpolated Kneser-Ney by its definition, over the n-grams of both classes."""
+    longest = [set(x) for x in counts]
+    ends = lambda x, k: {g[-k:] for g in x}
+
+    def left(k, c):
+        # Different n-grams one longer that end with each n-gram of k.
+        from_ = ends(longest[0], k + 1) | ends(longest[1], k + 1) if k <= toxicity.SHARED_ORDERS else ends(longest[c], k + 1)
+        out = {}
+        for g in from_:
+            out[g[1:]] = out.get(g[1:], 0) + 1
+        return out
+
+    p = 1 / (len(left(1, c)) + 1)
+    for k in range(1, toxicity.ORDER + 1):
+        own = dict(counts[c]) if k == toxicity.ORDER else left(k, c)
+        g = gram[-k:]
+        same = {x: n for x, n in own.items() if x[:-1] == g[:-1]}
+        if same:
+            p = (max(same.get(g, 0) - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * len(same) * p) / sum(same.values())
+    return p
+
+
+def test_kneser_ney_by_its_definition():
+    rng = random.Random(22)
+    counts = tuple(toxicity.grams_of("".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(60)) for letters in ("abc", "bcd"))
+    models = toxicity.ClassModels(counts)
+    seen = sorted({g for x in counts for g in x})
+    letters = sorted({g[-1] for g in seen})
+    for gram in rng.sample(seen, 30) + ["zzzzz", "^^^^z", "abcdz"]:
+        for c in (0, 1):
+            assert math.isclose(models.probability(c, gram), plain_kneser_ney(counts, c, gram), rel_tol=1e-12)
+            # Of all characters and one never seen: the probabilities after a context sum to 1.
+            assert math.isclose(sum(models.probability(c, gram[:-1] + x) for x in [*letters, "\u2603"]), 1, rel_tol=1e-9)
+    text = "ab bcd, aabb 12 bcd zz"
+    tokens = ["ab", "bcd", ",", "aabb", "12", "bcd", "zz"]
+    total = 0.0
+    for t in tokens:
+        padded = toxicity.START + t + toxicity.STOP
+        p = [math.prod(plain_kneser_ney(counts, c, padded[i : i + toxicity.ORDER]) for i in range(len(t) + 1)) for c in (0, 1)]
+        total += math.log((1 - toxicity.BLEND) * p[0] + toxicity.BLEND * p[1]) - math.log(p[0])
+    assert math.isclose(toxicity.evidence(toxicity._Memo(models), text), total / (len(tokens) + toxicity.PRIOR_TOKENS), rel_tol=1e-9)
+
+
+def test_tokens_of_long_texts_show_no_cut(monkeypatch):
+    rng = random.Random(23)
+    text = "".join(rng.choice("ab1 ,_é") for _ in range(3000)) + "x" * 300
+    tokens = lambda: [t for part in toxicity.token_windows(text) for t in part]
+    whole = tokens()
+    monkeypatch.setattr(toxicity, "WINDOW", 101)
+    assert "".join(whole) == "".join(text.split()) == "".join(tokens())
+    assert tokens()[: len(whole) - 1] == whole[:-1]
+
+
+def test_toxicity_edges(spark):
+    rows = [(i, f"w{i} calm day" if i % 2 else f"w{i} vile rot") for i in range(60)]
+    rows += [(1, "calm " * 30), (100, "calm " * 1_000_000), (100, "calm " * 1_000_000), (5, None)]
+    docs = spark.createDataFrame(rows, DOC).selectExpr("*", "1 toxic", "2 half", "3 _t")
+    # 3 is labelled both ways and 5 repeats; neither stops the fit.
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(60)] + [(3, 1), (5, 0), (None, 1), (7, None)], "doc_id bigint, toxic int").selectExpr("*", "'x' text", "0 quality")
+    sample, rate = toxicity.sample_labelled(docs, labels)
+    assert sample.count() <= 64 and 0 < rate < 1
+    assert sample.where("toxic = 1 and text like '%w3 calm%'").count() == 0
+    few, _ = toxicity.sample_labelled(docs, labels, 3)
+    assert few.groupBy("toxic").count().where("count <> 3").count() == 0
+    scores = toxicity.score_documents(docs, toxicity.fit(sample, rate)).collect()
+    assert len(scores) == len(rows) and all(0 <= r.score <= 1 for r in scores)
+    same = [r.score for r in scores if r.doc_id == 100]
+    assert same[0] == same[1] < 0.5
+    assert toxicity.score_documents(docs.limit(0), toxicity.fit(sample, rate)).collect() == []
 
 
 # Decontamination
@@ -208,6 +324,79 @@ def test_leaks_match_brute_force(spark):
     assert decontaminate.find_leaks(spark.createDataFrame(rows, DOC), spark.createDataFrame([], "item_id bigint, text string")).count() == 0
 
 
+def plain_leaks(rows, items):
+    """BM25 shares over windows of an item's own class, and shares of the n-grams of question and answer, by their definitions."""
+    split = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").split()
+    every = [(i, t, split(t)) for i, t in items if split(t)]
+    n, mean = len(every), sum(len(w) for *_, w in every) / max(len(every), 1)
+    df = {}
+    for *_, w in every:
+        for t in set(w):
+            df[t] = df.get(t, 0) + 1
+    gram = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    out = []
+    for i, item, w in every:
+        idf = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for t in set(w)}
+        weight = {t: idf[t] * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t in set(w)}
+        step = 16
+        while step < len(w):
+            step *= 2
+        parts = [split(p) for p in decontaminate.question_and_answer(item)]
+        for d, text in rows:
+            words, best = split(text), None
+            for at in range(0, max(len(words) - step, 1), step) if words else ():
+                passage = words[at : at + 2 * step]
+                score = sum(x for t, x in weight.items() if t in set(passage)) / sum(weight.values())
+                shares = [len(gram(p, k := max(1, min(5, len(p)))) & gram(passage, k)) / len(gram(p, k)) if p else 1.0 for p in parts]
+                if score >= 0.5 - 1e-9 and min(shares) >= 0.5:
+                    best = max(best or (0, 0, 0), (score, *shares))
+            if best:
+                out.append((d, i, *(round(x, 6) for x in best)))
+    return sorted(out, key=str)
+
+
+def test_leaks_match_brute_force_at_all_shares(spark, monkeypatch):
+    rng = random.Random(24)
+    vocabulary = [f"c{i}" for i in range(10)] * 20 + [f"r{i}" for i in range(500)]
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, " ".join(say(rng.choice([5, 12, 20, 40, 90, 150]))) + ". " + " ".join(say(rng.randint(1, 9)))) for i in range(40)]
+    items += [(50, items[0][1]), (50, items[0][1]), (51, None), (52, ""), (53, "single"), (54, "Q? A")]
+    rows = []
+    for i in range(160):
+        said = items[i % 40][1].split()
+        # Parts of items, with words changed: shares from 0 to 1.
+        low, high = sorted((rng.randint(0, len(said)), rng.randint(0, len(said))))
+        said = said[low // 4 : len(said) - (len(said) - high) // 6]
+        for _ in range(rng.randint(0, 1 + len(said) // 14)):
+            if said:
+                said[rng.randrange(len(said))] = rng.choice(vocabulary)
+        rows.append((i, " ".join(say(rng.randint(0, 200)) + said + say(rng.randint(0, 200)))))
+    rows += [(300, rows[3][1]), (301, None), (302, ""), (None, items[1][1]), (303, items[2][1] + " x" * 60_000)]
+    docs = spark.createDataFrame(rows, DOC).selectExpr("*", "1 item_id", "2 score")
+    bench = spark.createDataFrame(items, "item_id bigint, text string").selectExpr("*", "3 doc_id")
+    want = plain_leaks(rows, items)
+    shares = [x for r in want for x in r[3:]]
+    assert len(want) > 50 and min(shares) < 0.7
+    result = lambda: sorted(((r.doc_id, r.item_id, round(r.score, 6), round(r.question_share, 6), round(r.answer_share, 6)) for r in decontaminate.find_leaks(docs, bench).collect()), key=str)
+    assert result() == want
+    # Neither shards nor other items decide: several shards give the same.
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 2000)
+    assert result() == want
+    kept = decontaminate.drop_leaks(docs, bench)
+    gone = {r[0] for r in want}
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((i for i, _ in rows if i not in gone), key=str)
+    assert kept.columns == docs.columns
+    assert decontaminate.find_leaks(docs.limit(0), bench).collect() == []
+
+
+def test_a_long_item_hides_no_short_one(spark):
+    item = " ".join(f"q{i}" for i in range(20)) + ". " + " ".join(f"a{i}" for i in range(6))
+    docs = spark.createDataFrame([(1, "x " * 3000 + item + " y" * 3000)], DOC)
+    for more in ([], [(2, " ".join(f"z{i}" for i in range(1000)))]):
+        found = decontaminate.find_leaks(docs, spark.createDataFrame([(1, item), *more], "item_id bigint, text string"))
+        assert [(r.doc_id, r.item_id) for r in found.collect()] == [(1, 1)]
+
+
 def test_block_max_wand_returns_all_above_threshold():
     rng = random.Random(8)
     items = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(rng.randint(5, 30)))) for i in range(300)]
@@ -216,7 +405,7 @@ def test_block_max_wand_returns_all_above_threshold():
     for w in tokens:
         for t in np.unique(w).tolist():
             frequency[t] = frequency.get(t, 0) + 1
-    index = decontaminate.Index(items, frequency, len(items), sum(map(len, tokens)) / len(tokens))
+    index = decontaminate.Index(items, tokens, 32, frequency, len(items), sum(map(len, tokens)) / len(tokens))
     for _ in range(100):
         terms = sorted(rng.sample(range(len(index.terms)), rng.randint(1, 40)))
         scores = {}
@@ -265,9 +454,34 @@ def test_json_records_of_mixed_layouts(spark):
     records = ['{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}', '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}', '{"question":"q","answer":"a"}', '{"prompt":"q","completion":"a"}', '{"x":1}', "no json", None, "[]"]
     found = {r.conv_id: r for r in chat_format.turns_of_json(spark.createDataFrame(list(enumerate(records)), "conv_id bigint, record string")).collect()}
     assert all([tuple(t) for t in found[i].turns] == [("user", "q"), ("assistant", "a")] for i in range(4))
-    assert all(found[i].turns is None and found[i].layout is None for i in range(4, 8))
-    formatted = chat_format.format_turns(spark.createDataFrame(list(enumerate(records)), "conv_id bigint, record string").transform(chat_format.turns_of_json))
-    assert sorted(r.n_turns for r in formatted.collect()) == [0, 0, 0, 0, 2, 2, 2, 2]
+    assert all(found[i].turns is None for i in range(4, 8))
+    turns = spark.createDataFrame(list(enumerate(records)), "conv_id bigint, record string").transform(chat_format.turns_of_json)
+    assert [r.n_turns for r in chat_format.format_turns(turns).collect()] == [2, 2, 2, 2]
+    assert sorted(r.conv_id for r in chat_format.unmapped(turns).collect()) == [4, 5, 6, 7]
+
+
+def test_extra_fields_change_no_layout(spark):
+    records = ['{"id":1,"messages":[{"role":"user","content":"q","at":3},{"role":"assistant","content":"a"}],"meta":{"x":[1]}}', '{"prompt":"q","response":"a","score":0.5}', '{"messages":[]}', '{"prompt":"q","answer":"a"}']
+    turns = chat_format.turns_of_json(spark.createDataFrame(list(enumerate(records)), "conv_id bigint, record string"))
+    found = {r.conv_id: r for r in turns.collect()}
+    assert all([tuple(t) for t in found[i].turns] == [("user", "q"), ("assistant", "a")] for i in (0, 1))
+    assert {r.conv_id: r.paths for r in chat_format.unmapped(turns).collect()} == {2: [], 3: ["answer", "prompt"]}
+    typed = spark.createDataFrame([(1, "x", "q", "a")], "conv_id bigint, id string, prompt string, response string")
+    assert [tuple(t) for t in chat_format.turns_by_row(typed).first().turns] == [("user", "q"), ("assistant", "a")]
+
+
+def test_the_fingerprint_selects_the_mapping_of_the_query(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a")], "conv_id bigint, turn bigint, role string, text string")
+    rows.write.parquet(f"{tmp_path}/conversations.parquet")
+    before = {r.conv_id: r.loss_chars for r in queries.op7_chat_format(spark, str(tmp_path)).collect()}
+    monkeypatch.setitem(chat_format.BY_TURN, ("role", "text", "turn"), {"turn": "turn", "role": "role", "text": "concat(text, '!')"})
+    after = {r.conv_id: r.loss_chars for r in queries.op7_chat_format(spark, str(tmp_path)).collect()}
+    assert before == {1: 1, -7: 21} and after == {1: 2, -7: 22}
+    for df in (rows.withColumnRenamed("text", "content"), rows.withColumn("more", F.lit(1))):
+        assert sorted((r.turn, r.role) for r in chat_format.canonical_turns(df).collect()) == [(0, "user"), (1, "assistant")]
+    monkeypatch.delitem(chat_format.BY_TURN, ("role", "text", "turn"))
+    with pytest.raises(ValueError, match="turn"):
+        queries.op7_chat_format(spark, str(tmp_path))
 
 
 # Pipeline

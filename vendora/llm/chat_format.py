@@ -1,9 +1,10 @@
 """Chat formatting with schema fingerprints, in DataFrame functions only.
 
-A layout is known by its fingerprint: the hash of its sorted nested field paths.  The
-fingerprint selects a declarative mapping (a table of column expressions) to canonical
-turns.  Typed tables are fingerprinted by their schema, JSON records row by row, so one
-column may mix prompts, instructions and message lists.
+A layout is known by its fingerprint: the hash of its sorted nested field paths, of those
+paths that any layout uses; other fields are ignored.  The fingerprint selects a
+declarative mapping, a SQL expression over the fields, to canonical turns.  Typed tables
+are fingerprinted by their schema, JSON records row by row, so one column may mix
+prompts, instructions and message lists; both use the same table of mappings.
 
 Template: each turn is ``<|turn|>role<|text|>text<|end|>``.  Inside roles and texts a
 backslash is doubled, and one is put after the first character of every control string
@@ -33,7 +34,7 @@ def unescape(text: Column) -> Column:
 
 
 def field_paths(kind: T.DataType, at: str = "") -> list[str]:
-    """Nested field paths of a type; [] stands for array elements, leaves carry their type's name."""
+    """Sorted nested field paths of a type; [] stands for the elements of an array."""
     if isinstance(kind, T.StructType):
         return sorted(p for f in kind.fields for p in field_paths(f.dataType, f"{at}.{f.name}" if at else f.name))
     if isinstance(kind, T.ArrayType):
@@ -46,98 +47,122 @@ def fingerprint(paths: list[str]) -> str:
 
 
 def _list(column: str, role: str, text: str) -> str:
-    return f"transform({column}, m -> struct(cast(m.{role} as string) as role, cast(m.{text} as string) as text))"
+    return f"transform({column}, m -> struct({role} as role, cast(m.{text} as string) as text))"
 
 
-def _pair(user: str, assistant: str) -> str:
-    return f"array(struct('user' as role, cast({user} as string) as text), struct('assistant' as role, cast({assistant} as string) as text))"
+def _said(*turns: tuple[str, str]) -> str:
+    return "array(" + ", ".join(f"struct('{role}' as role, cast({text} as string) as text)" for role, text in turns) + ")"
 
 
-#: Field paths of a layout (besides conv_id) -> SQL expression of its turns, over typed columns.
+_FROM = "case m.`from` when 'human' then 'user' when 'gpt' then 'assistant' else cast(m.`from` as string) end"
+_ROLE = "cast(m.role as string)"
+#: Field paths of a layout -> SQL expression of a record's turns.
 LAYOUTS: dict[tuple[str, ...], str] = {
-    ("messages[].content", "messages[].role"): _list("messages", "role", "content"),
-    ("messages[].role", "messages[].text"): _list("messages", "role", "text"),
-    ("conversations[].from", "conversations[].value"): "transform(conversations, m -> struct(case m.`from` when 'human' then 'user' when 'gpt' then 'assistant' else cast(m.`from` as string) end as role, cast(m.value as string) as text))",
-    ("prompt", "response"): _pair("prompt", "response"),
-    ("completion", "prompt"): _pair("prompt", "completion"),
-    ("answer", "question"): _pair("question", "answer"),
-    ("instruction", "output"): _pair("instruction", "output"),
-    ("input", "instruction", "output"): _pair("concat_ws('\\n\\n', instruction, nullif(input, ''))", "output"),
-    ("prompt", "response", "system"): "concat(array(struct('system' as role, cast(system as string) as text)), " + _pair("prompt", "response") + ")",
+    ("messages[].content", "messages[].role"): _list("messages", _ROLE, "content"),
+    ("messages[].role", "messages[].text"): _list("messages", _ROLE, "text"),
+    ("conversations[].from", "conversations[].value"): _list("conversations", _FROM, "value"),
+    ("prompt", "response"): _said(("user", "prompt"), ("assistant", "response")),
+    ("completion", "prompt"): _said(("user", "prompt"), ("assistant", "completion")),
+    ("answer", "question"): _said(("user", "question"), ("assistant", "answer")),
+    ("instruction", "output"): _said(("user", "instruction"), ("assistant", "output")),
+    ("input", "instruction", "output"): _said(("user", "concat_ws('\\n\\n', instruction, nullif(input, ''))"), ("assistant", "output")),
+    ("prompt", "response", "system"): _said(("system", "system"), ("user", "prompt"), ("assistant", "response")),
 }
-#: One row for each turn.
-BY_TURN = ("role", "text", "turn")
-MAPPINGS = {fingerprint(list(paths)): sql for paths, sql in LAYOUTS.items()}
+#: Layouts of tables with one row for each turn: field paths -> SQL expressions of turn, role and text.
+BY_TURN: dict[tuple[str, ...], dict[str, str]] = {
+    ("role", "text", "turn"): {"turn": "turn", "role": "role", "text": "text"},
+    ("content", "role", "turn"): {"turn": "turn", "role": "role", "text": "content"},
+}
+
+
+def known_paths() -> set[str]:
+    """Paths that make up fingerprints of records."""
+    return {p for paths in LAYOUTS for p in paths}
+
+
+def _layout_of(df: DataFrame, id_column: str) -> tuple[dict | str | None, list[str]]:
+    """The mapping of a typed table, if its fingerprint has one, and all its paths.
+
+    A table is fingerprinted as one of records by the paths of LAYOUTS, and else as one of turns by those of BY_TURN.
+    """
+    paths = [p for f in df.schema.fields if f.name != id_column for p in field_paths(f.dataType, f.name)]
+    for table in (LAYOUTS, BY_TURN):
+        known = {p for x in table for p in x}
+        mapping = {fingerprint(list(x)): to for x, to in table.items()}.get(fingerprint([p for p in paths if p in known]))
+        if mapping is not None:
+            return mapping, paths
+    return None, paths
+
 
+def canonical_turns(df: DataFrame, id_column: str = "conv_id") -> DataFrame:
+    """conv_id, turn, role, text: a row for each turn of a typed table in any known layout, of records or of turns.
 
-def _typed(df: DataFrame, id_column: str) -> tuple[str, ...]:
-    return tuple(sorted(p for f in df.schema.fields if f.name != id_column for p in field_paths(f.dataType, f.name)))
+    Columns that no layout uses are ignored.  An unknown layout is an error that names
+    its paths.  A record whose list of turns is null or empty has no row.
+    """
+    mapping, paths = _layout_of(df, id_column)
+    if mapping is None:
+        raise ValueError(f"no mapping for the layout {sorted(paths)}")
+    key = F.col(id_column).cast("bigint").alias("conv_id")
+    if isinstance(mapping, dict):
+        return df.select(key, F.expr(mapping["turn"]).cast("bigint").alias("turn"), F.expr(mapping["role"]).cast("string").alias("role"), F.expr(mapping["text"]).cast("string").alias("text"))
+    return df.select(key, F.posexplode(F.expr(mapping).cast(TURNS)).alias("turn", "m")).select("conv_id", F.col("turn").cast("bigint").alias("turn"), "m.role", "m.text")
 
 
 def turns_by_row(df: DataFrame, id_column: str = "conv_id") -> DataFrame:
-    """conv_id, turns for a table of whole conversations in a known layout; an unknown one is an error that names its paths."""
-    paths = _typed(df, id_column)
-    sql = MAPPINGS.get(fingerprint(list(paths)))
-    if sql is None:
-        raise ValueError(f"no mapping for the layout {paths}")
-    return df.select(F.col(id_column).cast("bigint").alias("conv_id"), F.expr(sql).cast(TURNS).alias("turns"))
-
-
-#: For JSON records: a layout's paths -> the type to read its records as.
-_JSON_TYPES = {
-    ("messages[].content", "messages[].role"): "messages array<struct<role string, content string>>",
-    ("messages[].role", "messages[].text"): "messages array<struct<role string, text string>>",
-    ("conversations[].from", "conversations[].value"): "conversations array<struct<`from` string, value string>>",
-}
+    """conv_id, turns for a typed table of whole records in a known layout; an unknown one is an error that names its paths."""
+    mapping, paths = _layout_of(df, id_column)
+    if not isinstance(mapping, str):
+        raise ValueError(f"no mapping for the layout {sorted(paths)}")
+    return df.select(F.col(id_column).cast("bigint").alias("conv_id"), F.expr(mapping).cast(TURNS).alias("turns"))
+
+
+def _record_type() -> str:
+    """The type that holds every path of LAYOUTS, for reading JSON records."""
+    lists: dict[str, set[str]] = {}
+    plain = set()
+    for path in known_paths():
+        if "[]." in path:
+            lists.setdefault(path.split("[].")[0], set()).add(path.split("[].")[1])
+        else:
+            plain.add(path)
+    fields = [f"`{p}` string" for p in sorted(plain)] + [f"`{p}` array<struct<{', '.join(f'`{x}`: string' for x in sorted(own))}>>" for p, own in sorted(lists.items())]
+    return ", ".join(fields)
+
+
+def record_paths(record: Column) -> Column:
+    """Sorted paths of a JSON object that any layout uses; of a list's elements, those that any of them has.  Null for other JSON."""
+    known = F.array(*(F.lit(p) for p in sorted(known_paths())))
+    top = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
+    found = top
+    for name in sorted({p.split("[].")[0] for p in known_paths() if "[]." in p}):
+        elements = F.from_json(F.get_json_object(record, f"$.{name}"), "array<string>")
+        inner = F.flatten(F.filter(F.transform(elements, lambda e: F.json_object_keys(e)), lambda k: k.isNotNull()))
+        prefix = F.lit(f"{name}[].")
+        below = F.transform(inner, lambda k: F.concat(prefix, k))  # noqa: B023
+        found = F.concat(found, F.coalesce(below, F.array().cast("array<string>")))
+    return F.when(F.json_object_keys(record).isNotNull(), F.array_sort(F.array_intersect(F.array_distinct(found), known)))
 
 
 def turns_of_json(df: DataFrame, id_column: str = "conv_id", json_column: str = "record") -> DataFrame:
-    """conv_id, turns, layout for JSON records of mixed layouts.
+    """conv_id, turns, layout (fingerprint), paths for JSON records of mixed layouts; a row for every row of df.
 
-    Each record is fingerprinted by itself.  turns and layout are null for records that
-    aren't objects or whose layout has no mapping.
+    Each record is fingerprinted by itself; fields that no layout uses are ignored.
+    turns is null for records that aren't objects or whose fingerprint has no mapping
+    (unmapped lists them).  Numbers and other scalars are taken as their JSON text.
     """
-    parsed = F.try_parse_json(F.col(json_column))
-    shape = F.regexp_replace(F.schema_of_variant(parsed), r": (?:STRING|VOID|BIGINT|BOOLEAN|DOUBLE|DECIMAL\([^)]*\))", "")
-    shapes, turns = {}, None
-    for paths in LAYOUTS:
-        fields = _JSON_TYPES.get(paths) or ", ".join(f"{p} string" for p in paths)
-        name = paths[0].split("[")[0]
-        shapes[paths] = f"OBJECT<{name}: ARRAY<OBJECT<{', '.join(p.split('.')[1] for p in sorted(paths))}>>>" if "[]" in paths[0] else f"OBJECT<{', '.join(sorted(paths))}>"
-        match = F.col("_shape") == F.lit(hashlib.sha256(shapes[paths].encode()).hexdigest())
-        value = F.from_json(F.col(json_column), fields)
-        made = _over(value, paths)
-        turns = F.when(match, made) if turns is None else turns.when(match, made)
-    known = None
-    for paths in LAYOUTS:
-        match = F.col("_shape") == F.lit(hashlib.sha256(shapes[paths].encode()).hexdigest())
-        known = F.when(match, F.lit(fingerprint(list(paths)))) if known is None else known.when(match, F.lit(fingerprint(list(paths))))
-    rows = df.select(F.col(id_column).cast("bigint").alias("conv_id"), F.col(json_column), F.sha2(shape, 256).alias("_shape"))
-    return rows.select("conv_id", turns.cast(TURNS).alias("turns"), known.alias("layout"))
-
-
-def _over(record: Column, paths: tuple[str, ...]) -> Column:
-    """The turns of one parsed record; the same mappings as for typed tables, by their paths."""
-    if "[]" in paths[0]:
-        column = paths[0].split("[")[0]
-        role, text = ("from", "value") if column == "conversations" else ("role", "content" if "messages[].content" in paths else "text")
-        names = {"human": "user", "gpt": "assistant"} if role == "from" else {}
-
-        def turn(m: Column) -> Column:
-            who = m[role]
-            for old, new in names.items():
-                who = F.when(m[role] == old, F.lit(new)).otherwise(who)
-            return F.struct(who.alias("role"), m[text].alias("text"))
-
-        return F.transform(record[column], turn)
-    user = record["instruction"] if "instruction" in paths else record["prompt"] if "prompt" in paths else record["question"]
-    if "input" in paths:
-        user = F.concat_ws("\n\n", user, F.nullif(record["input"], F.lit("")))
-    answer = record[next(p for p in ("response", "completion", "answer", "output") if p in paths)]
-    out = [F.struct(F.lit("user").alias("role"), user.alias("text")), F.struct(F.lit("assistant").alias("role"), answer.alias("text"))]
-    if "system" in paths:
-        out.insert(0, F.struct(F.lit("system").alias("role"), record["system"].alias("text")))
-    return F.array(*out)
+    rows = df.select(F.col(id_column).cast("bigint").alias("conv_id"), F.col(json_column).cast("string").alias("record"))
+    rows = rows.select("conv_id", record_paths(F.col("record")).alias("paths"), F.from_json("record", _record_type()).alias("r"))
+    rows = rows.withColumn("layout", F.sha2(F.array_join("paths", "\n"), 256)).select("conv_id", "paths", "layout", "r.*")
+    turns = F.lit(None).cast(TURNS)
+    for paths, sql in LAYOUTS.items():
+        turns = F.when(F.col("layout") == fingerprint(list(paths)), F.expr(sql).cast(TURNS)).otherwise(turns)
+    return rows.select("conv_id", turns.alias("turns"), "layout", "paths")
+
+
+def unmapped(turns: DataFrame) -> DataFrame:
+    """conv_id, layout, paths of the records that turns_of_json gave no turns: those to look at before they are lost."""
+    return turns.where("turns is null").select("conv_id", "layout", "paths")
 
 
 def format_turn_rows(df: DataFrame, id_column: str = "conv_id") -> DataFrame:
@@ -164,11 +189,20 @@ def format_turn_rows(df: DataFrame, id_column: str = "conv_id") -> DataFrame:
     return grouped.select("conv_id", F.size("t").cast("bigint").alias("n_turns"), F.array_join(F.transform("t", lambda x: x["piece"]), "").alias("formatted"), F.filter(F.transform("t", lambda x: x["span"]), lambda s: s.isNotNull()).alias("loss_spans"))
 
 
+def format_table(df: DataFrame, id_column: str = "conv_id") -> DataFrame:
+    """Format a typed table in any known layout, which its fingerprint tells: conv_id, n_turns, formatted, loss_spans."""
+    return format_turn_rows(canonical_turns(df, id_column))
+
+
 def format_turns(df: DataFrame) -> DataFrame:
-    """Format conv_id, turns as turns_by_row and turns_of_json give them; a null list is a conversation without turns."""
-    turns = df.select("conv_id", F.posexplode(F.coalesce("turns", F.array().cast(TURNS))).alias("turn", "m"))
+    """Format conv_id, turns as turns_by_row and turns_of_json give them.
+
+    An empty list is a conversation without turns.  A null one is no conversation: its
+    record has no mapping, and is listed by unmapped instead.
+    """
+    turns = df.select("conv_id", F.posexplode("turns").alias("turn", "m"))
     some = format_turn_rows(turns.select("conv_id", "turn", "m.role", "m.text"))
-    none = df.where(F.coalesce(F.size("turns"), F.lit(0)) <= 0).select("conv_id", F.lit(0).cast("bigint").alias("n_turns"), F.lit("").alias("formatted"), F.array().cast("array<struct<start bigint, length bigint>>").alias("loss_spans"))
+    none = df.where(F.size("turns") == 0).select("conv_id", F.lit(0).cast("bigint").alias("n_turns"), F.lit("").alias("formatted"), F.array().cast("array<struct<start bigint, length bigint>>").alias("loss_spans"))
     return some.unionByName(none)
 
 
