@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's docs.  All but the last return the columns of
-documents; the last returns the token ids.
+documents; the last returns the token ids.  Every stage takes null and empty texts, texts
+of any length, rows without doc_id, repeated rows and doc_ids, columns of any other name
+and an empty table; what becomes of them is said at each stage and its operator.
 """
 
 from __future__ import annotations
@@ -11,31 +13,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vendora.llm import decontaminate, language_id, line_dedup, ngram_join, piece_codec
 from vendora.llm.queries import piece_model, table
-from vendora.llm.store import discard, materialize
+from vendora.llm.store import discard_since, live, materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language is found (null texts, texts without letters) go."""
+    """Documents in which no language is found (null texts, texts without letters) go; a null lang becomes the one found."""
     return language_id.keep_identified(docs, language_id.learn(docs))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat or nearly repeat an earlier one go, and documents of which nothing is left."""
+    """Lines that repeat or nearly repeat an earlier one go, and documents of which nothing is left; n_chars follows the text."""
     return line_dedup.drop_repeated_lines(docs)
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least doc_id stays."""
+    """Of each group of near copies the row with the least doc_id stays; of identical rows one."""
     return ngram_join.keep_first_of_components(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty texts stay."""
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and whether they decode to the text."""
+    """doc_id, n_tokens, ids and whether they decode to the text; of a null or empty text the end id alone."""
     return piece_codec.encode_documents(docs, piece_model())
 
 
@@ -52,10 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; tables that stages wrote on the way are deleted as soon as the next stage has been written."""
     docs = table(spark, sf_dir, "documents")
-    for number, (_, stage) in enumerate(STAGES):
-        done = materialize(stage(spark, docs, sf_dir))
-        if number:
-            discard(docs)
-        docs = done
+    before = live()
+    for _, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir))
+        discard_since(spark, before, docs)
     return docs
