@@ -1,13 +1,16 @@
 """Catalogue operators on small fixtures."""
 
+import random
 import re
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from vendora.functions import columns as C
 from vendora.operators import analytics, enrich, ingest, lifecycle, reading
-from vendora.sources import delimited
+from vendora.plans import checkpoints
+from vendora.sources import catalogue, delimited, pages, workbook
 
 NO_PRODUCTS = "tenant bigint, id bigint, sku string, ean string, nome_base string, marca string"
 
@@ -15,28 +18,97 @@ NO_PRODUCTS = "tenant bigint, id bigint, sku string, ean string, nome_base strin
 def imported(spark, header, rows, products=None, mapping=None):
     raw = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "row bigint, " + ", ".join(f"`{h}` string" for h in header))
     before = spark.createDataFrame(products or [], NO_PRODUCTS)
-    return ingest.import_rows(raw, header, before, 1, "row", mapping)
+    return ingest.import_rows(raw, header, before, 1, "row", mapping, product_type=3)
 
 
 def test_import_valid_and_empty_row(spark):
     state, errors, audit = imported(spark, ["nome", "sku"], [("Produto Válido", "123"), ("", " nan ")])
     assert [(r.sku, r.nome_base, r.change) for r in state.collect()] == [("123", "Produto Válido", "created")]
-    assert [(r.error, r.duplicado) for r in errors.collect()] == [(ingest.REASON, False)]
+    assert [(r.error, r.duplicado, r.linha_original, r.product_type_id) for r in errors.collect()] == [(ingest.REASON, False, {"nome": "", "sku": " nan "}, 3)]
     assert sorted((r.log, r.action) for r in audit.collect()) == [("history", "CRIACAO"), ("usage", "CRIACAO_PRODUTO")]
 
 
 def test_import_duplicates(spark):
     state, errors, _ = imported(spark, ["nome", "sku", "ean"], [("ProdA", "111", "999"), ("ProdB", "111", "888"), ("ProdC", "222", "999")])
     assert [r.nome_base for r in state.collect()] == ["ProdA"]
-    assert [r.duplicado for r in errors.collect()] == [True, True]
+    assert sorted((r.row, r.duplicado, r.linha_original["sku_original"]) for r in errors.collect()) == [(1, True, "111"), (2, True, "222")]
 
 
 def test_import_updates_by_sku(spark):
-    state, _, audit = imported(spark, ["nome", "sku"], [("Novo", "999")], [(1, 5, "999", None, "Antigo", None), (2, 6, "999", None, "Outro", None)])
+    result = imported(spark, ["nome", "sku"], [("Novo", "999")], [(1, 5, "999", None, "Antigo", None), (2, 6, "999", None, "Outro", None)])
+    state, _, audit = result
+    assert [(r.id, r.before.nome_base, r.after.nome_base) for r in result.updates().collect()] == [(5, "Antigo", "Novo")]
     assert sorted((r.tenant, r.id, r.nome_base, r.change) for r in state.collect()) == [(1, 5, "Novo", "updated"), (2, 6, "Outro", "unchanged")]
     assert audit.count() == 0
 
 
+def test_import_keeps_every_field_and_reader_errors(spark):
+    header = ["nome", "sku", "categoria", "descricao", "erro_processamento_csv", "Cor"]
+    raw = spark.createDataFrame([(1, "P", "1", "Cat", "Desc", None, "x"), (2, "Q", "2", None, None, "bad line", None), (3, None, None, None, None, None, "só a cor")], "row bigint, " + ", ".join(f"`{h}` string" for h in header))
+    products = spark.createDataFrame([], "tenant bigint, id bigint, sku string, ean string, nome_base string, descricao_original string, marca string, categoria_original string, fornecedor_id int, product_type_id int, preco_venda double")
+    state, errors, _ = ingest.import_rows(raw, header, products, 1, "row", supplier=7)
+    found = sorted((r.nome_base, r.descricao_original, r.categoria_original, r.fornecedor_id, r.product_type_id) for r in state.collect())
+    assert found == [("P", "Desc", "Cat", 7, None), ("só a cor", None, None, 7, None)]
+    assert [(r.row, r.error) for r in errors.collect()] == [(2, "bad line")]
+
+
+def plain_greedy(rows):
+    taken, out = {}, set()
+    for t, o, *keys in sorted(rows, key=lambda r: r[:2]):
+        own = [(t, i, k) for i, k in enumerate(keys) if k is not None]
+        if not any(taken.get(k) for k in own):
+            taken |= dict.fromkeys(own, True)
+            out.add((t, o))
+    return out
+
+
+@pytest.mark.parametrize("most", [500_000, 20])
+def test_greedy_dedup_is_the_sequential_rule(spark, most):
+    """With most = 20 the larger tenants are split into groups that share no key."""
+    rng = random.Random(1)
+    rows = [(t, o, str(rng.randrange(n)) if rng.random() < 0.8 else None, str(rng.randrange(n)) if rng.random() < 0.8 else None) for t, n in ((1, 400), (2, 30), (3, 5)) for o in range(n // 2 + 10)]
+    rows += [(4, o, f"s{o // 2}", f"e{(o + 1) // 2}") for o in range(60)]  # one long chain
+    df = spark.createDataFrame(rows, "t int, o int, sku string, ean string")
+    marked = ingest.greedy_dedup(df, "t", "o", ["sku", "ean"], most).collect()
+    assert len(marked) == len(rows) and {(r.t, r.o) for r in marked if r.accepted} == plain_greedy(rows)
+
+
+def plain_one_by_one(products, rows):
+    """products: (tenant, id, sku, ean, x); rows: (tenant, row_no, sku, ean, x, given)."""
+    state = [dict(zip(("t", "id", "sku", "ean", "x"), p, strict=True)) | {"c": "unchanged"} for p in sorted(products, key=lambda p: p[1])]
+    new = []
+    for t, n, *values, given in sorted(rows, key=lambda r: r[:2]):
+        row = dict(zip(("sku", "ean", "x"), values, strict=True))
+        key = "sku" if row["sku"] else "ean" if row["ean"] else None
+        hit = next((p for p in state + new if key and p["t"] == t and p[key] == row[key]), None)
+        if hit is None:
+            new.append({c: row[c] if c in given else None for c in row} | {"t": t, "n": n, "c": "created"})
+        else:
+            hit |= {c: row[c] for c in given}
+            hit["c"] = "updated" if hit["c"] == "unchanged" else hit["c"]
+    top = max((p["id"] for p in state), default=0)
+    for i, p in enumerate(sorted(new, key=lambda p: (p["t"], p["n"])), 1):
+        p["id"] = top + i
+    return sorted(((p["t"], p["id"], p["sku"], p["ean"], p["x"], p["c"]) for p in state + new), key=str)
+
+
+@pytest.mark.parametrize("most", [500_000, 15])
+def test_get_or_create_is_one_after_another(spark, most):
+    rng = random.Random(2)
+    pick = lambda n: rng.choice([None, "", *map(str, range(n))])
+    products = [(t, t * 100 + i, str(i) if i % 3 else None, str(i % 5) if i % 2 else None, "old") for t in (1, 2) for i in range(12)]
+    rows = [(t, n, pick(14), pick(9), f"x{n}", rng.sample(["sku", "ean", "x"], rng.randint(1, 3))) for t in (1, 2, 3) for n in range(50)]
+    # A row finds by its keys, whether it sets them or not.
+    found = ingest.get_or_create(spark.createDataFrame(products, "tenant bigint, id bigint, sku string, ean string, x string"), spark.createDataFrame(rows, "tenant bigint, row_no bigint, sku string, ean string, x string, given array<string>"), ["x"], most)
+    assert sorted(map(tuple, found.select("tenant", "id", "sku", "ean", "x", "change").collect()), key=str) == plain_one_by_one(products, rows)
+
+
+def test_two_rows_of_a_new_sku_are_one_product(spark):
+    products = spark.createDataFrame([], "tenant bigint, id bigint, sku string, ean string, x string")
+    rows = spark.createDataFrame([(1, 0, "A", None, "first"), (1, 1, "A", None, "second")], "tenant bigint, row_no bigint, sku string, ean string, x string")
+    assert [(r.id, r.x, r.change) for r in ingest.get_or_create(products, rows, ["x"]).collect()] == [(1, "second", "created")]
+
+
 def test_greedy_dedup_depends_on_order(spark):
     rows = spark.createDataFrame([(1, 1, "111", "999"), (1, 2, "111", "888"), (1, 3, "222", "999"), (1, 4, "333", "888"), (2, 1, "111", None), (2, 2, None, None), (2, 3, None, None)], "t int, o int, sku string, ean string")
     found = {(r.t, r.o) for r in ingest.greedy_dedup(rows, "t", "o", ["sku", "ean"]).where("accepted").collect()}
@@ -115,6 +187,110 @@ def test_delimited_files(spark, tmp_path, encoding, sep, row):
     assert tuple(head.first()) == tuple(row.split(sep))
 
 
+def test_delimited_rows_of_other_widths_and_files_of_other_dialects(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes('nome,sku,nome\nA,1,last\nB\n\nC,3,z,more,"x, ""y"""\n"two\nlines",4,w\n'.encode())
+    (tmp_path / "b.csv").write_bytes("\ufeffnome;cor\nD;azulão\n".encode())
+    (tmp_path / "c.csv").write_bytes("nome\tcor\nE€\tpreço\n".encode("cp1252"))
+    rows = delimited.read_delimited(spark, str(tmp_path), surplus=True)
+    found = {r.nome: r for r in rows.collect()}
+    assert set(found) == {"last", None, "z", "w", "D", "E€"}
+    assert found["z"].sku == "3" and delimited.surplus_cells(found["z"]["None"]) == ["more", 'x, "y"']
+    assert found["last"]["None"] is None and (found["D"].cor, found["E€"].cor, found["D"].sku) == ("azulão", "preço", None)
+    assert found[None].sku is None
+    order = [r.sku for r in rows.where("sku is not null").orderBy("_file", "_row").collect()]
+    assert order == ["1", "3", "4"]
+    plain = delimited.read_delimited(spark, str(tmp_path / "b.csv"), multi_line=False)
+    assert [tuple(r) for r in plain.select("nome", "cor").collect()] == [("D", "azulão")]
+    with pytest.raises(FileNotFoundError):
+        delimited.read_delimited(spark, str(tmp_path / "none*.csv"))
+
+
+def test_the_head_of_a_large_file_is_enough(spark, tmp_path):
+    path = tmp_path / "large.csv"
+    path.write_bytes(b"nome;sku\n" + b"abc;1\n" * 100_000)
+    assert delimited.head_of(spark, str(path)) == path.read_bytes()[: delimited.SAMPLE_BYTES]
+    rows = delimited.read_delimited(spark, str(path), multi_line=False)
+    assert rows.count() == 100_000 and rows.columns == ["nome", "sku", "_file", "_row"]
+
+
+def workbook_file(path, sheets):
+    """A minimal xlsx: shared strings for the first sheet, inline ones and numbers for the others."""
+    main, rel = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"', "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{n}" sheetId="{i + 1}" r:id="r{i}"/>' for i, n in enumerate(sheets)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{i}" Type="{rel}/worksheet" Target="worksheets/s{i}.xml"/>' for i in range(len(sheets))) + "</Relationships>")
+        shared = []
+        for i, rows in enumerate(sheets.values()):
+            body = ""
+            for y, row in enumerate(rows, 1):
+                cells = ""
+                for x, value in enumerate(row):
+                    at = f'{"ABCDEFGH"[x]}{y}'
+                    if isinstance(value, int):
+                        cells += f'<c r="{at}"><v>{value}</v></c>'
+                    elif value and i == 0:
+                        cells += f'<c r="{at}" t="s"><v>{len(shared)}</v></c>'
+                        shared.append(value)
+                    elif value:
+                        cells += f'<c r="{at}" t="inlineStr"><is><t>{value}</t></is></c>'
+                body += f'<row r="{y}">{cells}</row>'
+            z.writestr(f"xl/worksheets/s{i}.xml", f"<worksheet {main}><sheetData>{body}</sheetData></worksheet>")
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}>" + "".join(f"<si><t>{x}</t></si>" for x in shared) + "</sst>")
+
+
+def test_workbooks_and_dispatch(spark, tmp_path):
+    path = str(tmp_path / "f.xlsx")
+    workbook_file(path, {"Primeira": [["nome", "sku"], ["A", "A1"], [None, None], ["B", 7]], "Segunda": [["sku", "nome"], ["C1", "C"]]})
+    rows = workbook.read_workbook(spark, path)
+    assert sorted((r.sheet, r.row, r.cells["nome"], r.cells["sku"]) for r in rows.collect()) == [("Primeira", 0, "A", "A1"), ("Primeira", 2, "B", "7"), ("Segunda", 0, "C", "C1")]
+    assert [r.cells["nome"] for r in workbook.read_workbook(spark, path, "Segunda").collect()] == ["C"]
+    table = catalogue.read_file(spark, path)
+    assert [r.nome for r in table.orderBy("_row").collect()] == ["A", "B", "C"]
+    headers, head = catalogue.preview_file(spark, path)
+    assert set(headers) == {"nome", "sku"} and sorted(r.nome for r in head.collect()) == ["A", "B"]
+    (tmp_path / "g.csv").write_text("nome,sku\nX,1\n")
+    assert catalogue.preview_file(spark, str(tmp_path / "g.csv"))[1].first().nome == "X"
+    (tmp_path / "bad.xlsx").write_bytes(b"no zip")
+    assert list(workbook.read_workbook(spark, str(tmp_path / "bad.xlsx")).first().cells) == ["erro_processamento_excel"]
+    for other in ("a.txt", "a.pdf"):
+        with pytest.raises(ValueError):
+            catalogue.read_file(spark, other)
+
+
+def test_pages_without_tables_and_regions(spark):
+    kind = "page int, text string, tables array<array<array<string>>>"
+    rows = spark.createDataFrame([(1, "A", None), (2, "B", []), (3, "C", None), (4, " ", None)], kind)
+    assert sorted((r.page, *r.leftovers.items()) for r in pages.page_texts(rows, [1, 3, 4]).collect()) == [(1, ("texto_completo_pagina_1", "A")), (3, ("texto_completo_pagina_3", "C"))]
+    grid = spark.createDataFrame([(2, "x", [[["A", "B"], ["1", "2"]]])], kind)
+    full = pages.full_page(grid).first()
+    assert full.table == [["1", "2"]] and full.text == "x"
+    assert [(r.headers, r.rows) for r in pages.single_page(grid).collect()] == [(["A", "B"], [["1", "2"]])]
+    empty = spark.createDataFrame([(1, "", None)], kind)
+    assert pages.region_pairs(empty).count() == 0
+    assert [(r.headers, r.rows) for r in pages.region_rows(empty).collect()] == [([], [])]
+    regions = spark.createDataFrame([(i, f"Nome: P{i}\nMarca: M{i}", None) for i in range(2)], kind)
+    assert sorted((r.page, r.pairs["Nome"], r.pairs["Marca"]) for r in pages.region_pairs(regions).collect()) == [(0, "P0", "M0"), (1, "P1", "M1")]
+
+
+def test_tables_are_deleted_and_need_a_shared_folder(spark, monkeypatch):
+    before = checkpoints.live()
+    tables = checkpoints.Tables()
+    made = tables.write(spark.range(3))
+    out = tables.close(made.where("id > 0"))
+    assert checkpoints.live() - before == {out._vendora_path} and out.count() == 2
+    checkpoints.discard(out)
+    assert checkpoints.live() == before
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        checkpoints.shared_folder(Cluster)
+
+
 def test_grid_rows(spark):
     grid = spark.createDataFrame([([["A", ""], ["1", "2"], ["only one"]],)], "grid array<array<string>>")
     assert [r.cells for r in delimited.grid_rows(grid).collect()] == [{"A": "1", "coluna_vazia_1": "2"}]
@@ -149,7 +325,9 @@ def test_commit_of_a_staged_job(spark):
     staged = '[{"sku":"1","ean":null,"nome_base":"New"},{"sku":null,"ean":"12345678901234567","nome_base":"Bad"},{"sku":"2","ean":null,"nome_base":"Two"}]'
     jobs = spark.createDataFrame([(7, 1, "REVIEW", staged)], "id int, user_id int, status string, result_summary string")
     products = spark.createDataFrame([(1, 3, "1", None, "Old")], "tenant bigint, id bigint, sku string, ean string, nome_base string")
-    state, jobs = ingest.commit_job(jobs, 7, products, "sku string, ean string, nome_base string", ["nome_base"])
+    nobody = ingest.commit_job(jobs, 7, 2, products, "sku string, ean string, nome_base string", ["nome_base"])
+    assert [r.change for r in nobody[0].collect()] == ["unchanged"] and nobody[1].first().status == "REVIEW"
+    state, jobs = ingest.commit_job(jobs, 7, 1, products, "sku string, ean string, nome_base string", ["nome_base"])
     assert sorted((r.id, r.nome_base, r.change) for r in state.collect()) == [(3, "New", "updated"), (4, "Two", "created")]
     assert jobs.first().status == "COMPLETED"
 

@@ -28,7 +28,7 @@ def squeeze(c: Column) -> Column:
     return F.nullif(s, F.lit(""))
 
 
-def contains_any(columns: list[str], term: str) -> Column:
+def contains_any(columns: list[str] | tuple[str, ...], term: str) -> Column:
     """Case-insensitive search of a term in any of the columns; % and _ in it stay wildcards."""
     pattern = f"%{term.lower()}%"
     return reduce(or_, [F.coalesce(F.lower(F.col(c)).like(pattern), F.lit(False)) for c in columns])

@@ -27,15 +27,20 @@ def usage_by_action(usage: DataFrame, as_of: str) -> DataFrame:
     return usage.where(since_month_start(F.col("ts"), as_of)).groupBy("action").agg(F.count("*").alias("n_uses"))
 
 
+def usage_by_user(usage: DataFrame, as_of: str, prefix: str = "") -> DataFrame:
+    """user_id, n_uses of the month, of actions that start with prefix in any case."""
+    rows = usage.where(since_month_start(F.col("ts"), as_of) & F.lower("action").like(f"{prefix.lower()}%"))
+    return rows.groupBy("user_id").agg(F.count("*").alias("n_uses"))
+
+
 def user_activity(page_of_users: DataFrame, products: DataFrame, usage: DataFrame, as_of: str) -> DataFrame:
     """user_id, name, n_products, n_uses of one page of users.
 
-    The page has at most 200 rows, so it is broadcast and both tables are filtered by it
-    before they are counted.
+    The page has at most 200 rows: their ids are a filter that the scans of both tables get.
     """
-    ids = F.broadcast(page_of_users.select("user_id"))
-    made = products.join(ids, "user_id", "left_semi").groupBy("user_id").agg(F.count("*").alias("n_products"))
-    used = usage.where(since_month_start(F.col("ts"), as_of)).join(ids, "user_id", "left_semi").groupBy("user_id").agg(F.count("*").alias("n_uses"))
+    ids = [r.user_id for r in page_of_users.select("user_id").collect()]
+    made = products.where(F.col("user_id").isin(ids)).groupBy("user_id").agg(F.count("*").alias("n_products"))
+    used = usage.where(since_month_start(F.col("ts"), as_of) & F.col("user_id").isin(ids)).groupBy("user_id").agg(F.count("*").alias("n_uses"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     return page_of_users.join(made, "user_id", "left").join(used, "user_id", "left").select("user_id", "name", zero("n_products"), zero("n_uses"))
 

@@ -9,7 +9,7 @@ from vendora.functions.columns import squeeze
 
 #: End of a search phrase, most pages read for a product, and lengths of text kept.
 PHRASE_END = "especificações técnicas detalhadas"
-PAGES_READ, TEXT_KEPT, PROMPT_TEXT, FIELD_TEXT = 2, 15_000, 10_000, 200
+PAGES_READ, TEXT_KEPT, PROMPT_TEXT, SHORT_PROMPT_TEXT, FIELD_TEXT = 2, 15_000, 10_000, 1_000, 200
 
 
 def _json(value: Column, path: str) -> Column:
@@ -27,7 +27,10 @@ def json_ld_product(html: Column) -> Column:
 
 
 def open_graph(html: Column, name: str) -> Column:
-    return squeeze(F.nullif(F.regexp_extract(html, rf"(?is)<meta[^>]*property=[\"']{name}[\"'][^>]*content=[\"'](.*?)[\"']", 1), F.lit("")))
+    """Content of the first meta element with this property, in whatever order its attributes stand."""
+    tag = F.regexp_extract(html, rf"(?is)<meta\b(?=[^>]*\bproperty\s*=\s*[\"']{name}[\"'])[^>]*>", 0)
+    quoted = lambda q: F.nullif(F.regexp_extract(tag, rf"(?is)\bcontent\s*=\s*{q}(.*?){q}", 1), F.lit(""))
+    return squeeze(F.coalesce(quoted('"'), quoted("'")))
 
 
 def microdata(html: Column, name: str) -> Column:
@@ -85,10 +88,11 @@ def folded(pages: DataFrame, product: str, place: str, fields: list[str], text:
     return used.groupBy(product).agg(*last, first, F.count("*").alias("n_pages"))
 
 
-def status(collected: Column, llm: Column, tried: Column, search_api: Column, llm_error: Column) -> Column:
-    """Outcome of an enrichment: what was collected decides first, then whether pages were tried, then what is configured."""
+def status(collected: Column, llm: Column, tried: Column, search_api: Column, llm_error: Column, stuck: Column | None = None) -> Column:
+    """Outcome of an enrichment: what was collected decides first, then whether pages were tried, then what is configured; one that never came to an end failed."""
     return (
-        F.when(llm_error & ~collected, "FALHA_API_EXTERNA")
+        F.when(F.lit(False) if stuck is None else stuck, "FALHOU")
+        .when(llm_error & ~collected, "FALHA_API_EXTERNA")
         .when(collected, F.when(llm, "CONCLUIDO_SUCESSO").otherwise("CONCLUIDO_COM_DADOS_PARCIAIS"))
         .when(tried, "NENHUMA_FONTE_ENCONTRADA")
         .when(~search_api, F.when(llm, "NENHUMA_FONTE_ENCONTRADA").otherwise("FALHA_CONFIGURACAO_API_EXTERNA"))
@@ -101,6 +105,11 @@ def status_by_parts(text: Column, meta: Column) -> Column:
     return F.when(~text & ~meta, "NENHUMA_FONTE_ENCONTRADA").when(text & ~meta, "CONCLUIDO_COM_DADOS_PARCIAIS").otherwise("CONCLUIDO_SUCESSO")
 
 
+def kept_text(text: Column) -> Column:
+    """The part of a page's text that is stored with its status."""
+    return F.substring(text, 1, TEXT_KEPT)
+
+
 def merged_maps(old: Column, new: Column) -> Column:
     """new over old; a null in new leaves an existing key as it is."""
     keep = F.map_filter(new, lambda k, v: v.isNotNull() | ~F.map_contains_key(old, k))
@@ -111,10 +120,10 @@ def search_phrase(name: Column, brand: Column, code: Column, override: Column) -
     return F.coalesce(F.nullif(override, F.lit("")), F.concat_ws(" ", name, brand, code, F.lit(PHRASE_END)))
 
 
-def prompt_context(pairs: dict[str, Column], text: Column) -> Column:
-    """Labelled lines of the fields that have a value, then the text; both cut to their lengths."""
+def prompt_context(pairs: dict[str, Column], text: Column, most: int = PROMPT_TEXT) -> Column:
+    """Labelled lines of the fields that have a value, then the text; both cut to their lengths (SHORT_PROMPT_TEXT for suggestions)."""
     lines = [F.when(c.isNotNull(), F.concat(F.lit(f"{label}: "), F.substring(c, 1, FIELD_TEXT))) for label, c in pairs.items()]
-    return F.concat_ws("\n", *lines, F.substring(text, 1, PROMPT_TEXT))
+    return F.concat_ws("\n", *lines, F.substring(text, 1, most))
 
 
 def kept_suggestions(suggestions: Column, known: Column) -> Column:

@@ -52,12 +52,24 @@ def renumbered(df: DataFrame, parent: str, order: list, name: str = "position")
     return df.withColumn(name, (F.row_number().over(Window.partitionBy(parent).orderBy(*order)) - 1).cast("int"))
 
 
-def moved_up(numbered: DataFrame, parent: str, key: str, chosen: int, name: str = "position") -> DataFrame:
-    """Siblings after one of them swaps places with the one before it; the first stays."""
-    w = Window.partitionBy(parent).orderBy(name)
-    me, next_is = F.col(key) == chosen, F.lead(key).over(w) == chosen
-    first = F.col(name) == 0
-    return numbered.withColumn(name, F.when(me & ~first, F.col(name) - 1).when(F.coalesce(next_is, F.lit(False)), F.col(name) + 1).otherwise(F.col(name)).cast("int"))
+def moved(df: DataFrame, parent: str, key: str, chosen: int, up: bool, name: str = "position") -> DataFrame:
+    """df after the row with the chosen key swaps places with the sibling before (up) or after it, renumbered from 0; at an edge nothing moves.
+
+    Siblings stand in order of their number and then of the key, nulls last; if one of them
+    has none, they are numbered by their places first.  Siblings with equal numbers stand by
+    key before and after.
+    """
+    siblings = Window.partitionBy(parent)
+    placed = siblings.orderBy(F.asc_nulls_last(name), F.asc(key))
+    rows = df.withColumn("_at", F.row_number().over(placed) - 1).withColumn("_of", F.when(F.max(F.col(name).isNull()).over(siblings), F.col("_at")).otherwise(F.col(name)))
+    mine = F.max(F.when(F.col(key) == chosen, F.col("_at"))).over(siblings)
+    last = F.max("_at").over(siblings)
+    rows = rows.withColumn("_me", mine).withColumn("_to", F.when(F.lit(up), F.when(mine > 0, mine - 1)).otherwise(F.when(mine < last, mine + 1)))
+    number_at = lambda place: F.max(F.when(F.col("_at") == place, F.col("_of"))).over(siblings)
+    rows = rows.withColumn("_mine", number_at(F.col("_me"))).withColumn("_theirs", number_at(F.col("_to")))
+    swapped = F.when(F.col("_to").isNull(), F.col("_of")).when(F.col("_at") == F.col("_me"), F.col("_theirs")).when(F.col("_at") == F.col("_to"), F.col("_mine")).otherwise(F.col("_of"))
+    again = siblings.orderBy("_new", key)
+    return rows.withColumn("_new", swapped).withColumn(name, (F.row_number().over(again) - 1).cast("int")).select(*df.columns)
 
 
 def domain_first(urls: DataFrame, group: str, position: str, url: str, domain: str) -> DataFrame:
@@ -74,6 +86,17 @@ def nested(parents: DataFrame, key: str, children: DataFrame, child_key: str, fi
     return joined.withColumn(name, F.coalesce(name, F.array().cast(joined.schema[name].dataType)))
 
 
+def product_details(products: DataFrame, suppliers: DataFrame, types: DataFrame, templates: DataFrame) -> DataFrame:
+    """products with supplier_name, type_name and the type's attribute templates in order, null or empty without them.
+
+    products: supplier_id, type_id; suppliers: id, name; types: id, name; templates: type_id, display_order, attribute_key.
+    """
+    named = products.join(suppliers.select(F.col("id").alias("supplier_id"), F.col("name").alias("supplier_name")), "supplier_id", "left")
+    kinds = nested(types.select(F.col("id").alias("type_id"), F.col("name").alias("type_name")), "type_id", templates, "type_id", ["attribute_key"], "display_order", "templates")
+    joined = named.join(kinds, "type_id", "left")
+    return joined.withColumn("templates", F.coalesce("templates", F.array().cast(joined.schema["templates"].dataType)))
+
+
 def progress(files: DataFrame) -> DataFrame:
     """Import files with pages left and done: a file is done only when it is imported."""
     return files.withColumn("left", F.greatest(F.coalesce("total_pages", F.lit(0)) - F.col("pages_processed"), F.lit(0))).withColumn("done", F.col("status") == "IMPORTED")

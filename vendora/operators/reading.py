@@ -14,6 +14,10 @@ USAGE_ACTIONS = (
     "traducao_conteudo_produto", "sumarizacao_caracteristicas", "sugestao_atributos_gemini", "criacao_produto", "outro",
 )
 HISTORY_ACTIONS = ("CRIACAO", "ATUALIZACAO", "DELECAO")
+#: Columns that searches look at.
+PRODUCT_SEARCH = ("nome_base", "nome_chat_api", "descricao_original", "descricao_chat_api", "sku", "ean", "marca", "modelo")
+SUPPLIER_SEARCH = ("nome", "email_contato", "contato_principal")
+TYPE_SEARCH = ("key_name", "friendly_name", "description")
 
 
 def tenant(df: DataFrame, owner: str, user: int | None, admin: bool = False, open_without_user: bool = False) -> DataFrame:
@@ -45,7 +49,7 @@ def matching(df: DataFrame, equals: dict | None = None, at_least: dict | None =
     return df
 
 
-def search(df: DataFrame, columns: list[str], term: str | None) -> DataFrame:
+def search(df: DataFrame, columns: list[str] | tuple[str, ...], term: str | None) -> DataFrame:
     return df.where(contains_any(columns, term)) if term else df
 
 
@@ -62,6 +66,12 @@ def page(df: DataFrame, order: list[Column], skip: int = 0, limit: int = 10, mos
     return df.orderBy(*order).offset(skip).limit(limit)
 
 
+def held_page(df: DataFrame, order: list[Column], skip: int = 0, limit: int = 10, most: int = 200) -> DataFrame:
+    """page, computed once and held by the driver (at most most rows), for joins that read it more than once."""
+    rows = page(df, order, skip, limit, most)
+    return df.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
 def page_number(skip: int, limit: int) -> int:
     return skip // limit + 1
 
@@ -106,6 +116,12 @@ def valid_reset(users: DataFrame, token: str, now: str) -> DataFrame:
     return users.where((F.col("reset_password_token") == F.sha2(F.lit(token), 256)) & (F.col("reset_password_token_expires_at") >= F.to_timestamp(F.lit(now))))
 
 
+def attribute_conflicts(rows: DataFrame, existing: DataFrame) -> DataFrame:
+    """Rows (id, type_id, attribute_key) whose key another attribute of their type already has."""
+    theirs = existing.select("type_id", "attribute_key", F.col("id").alias("_id"))
+    return rows.join(theirs, (rows["type_id"] == theirs["type_id"]) & (rows["attribute_key"] == theirs["attribute_key"]) & ~theirs["_id"].eqNullSafe(rows["id"]), "left_semi")
+
+
 def key_conflicts(rows: DataFrame, existing: DataFrame, key: str, owner: str, row_id: str = "id") -> DataFrame:
     """Rows whose key another row of the same owner, or a global one, already has."""
     theirs = existing.select(F.col(key).alias("_key"), F.col(owner).alias("_owner"), F.col(row_id).alias("_id"))

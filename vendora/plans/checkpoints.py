@@ -1,21 +1,87 @@
-"""Cutting the lineage of iterative plans in the folder the executors share."""
+"""Intermediate tables in the folder that driver and executors share.
+
+They cut the lineage of iterative plans and survive lost executors; whoever makes one
+drops it when nothing reads it any more.
+"""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+#: Paths that materialize wrote and discard hasn't deleted.
+_live: set[str] = set()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Eager checkpoint in spark.checkpoint.dir; in a temporary folder only where that is unset."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not _own:
-        _own.append(tempfile.mkdtemp(prefix="vendora-cut-"))
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; a temporary folder only where that is unset and Spark runs on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="vendora-"))
         atexit.register(shutil.rmtree, _own[0], True)
-        spark.sparkContext.setCheckpointDir(_own[0])
-    return df.checkpoint()
+    return "file://" + _own[0]
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/vendora-{uuid.uuid4().hex}"
+    _live.add(path)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._vendora_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    _live.discard(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what materialize wrote, once nothing will read it again."""
+    path = getattr(df, "_vendora_path", None)
+    if path:
+        _delete(df.sparkSession, path)
+
+
+def live() -> set[str]:
+    return set(_live)
+
+
+def discard_since(spark: SparkSession, before: set[str], keep: DataFrame) -> None:
+    """Delete every table written since live() gave before, but keep."""
+    for path in _live - before - {getattr(keep, "_vendora_path", "")}:
+        _delete(spark, path)
+
+
+class Tables:
+    """Intermediate tables of one run of an operator, all dropped together."""
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
+
+    def own(self, df: DataFrame) -> DataFrame:
+        """A table that materialize wrote, to be dropped by close."""
+        self.made.append(df)
+        return df
+
+    def write(self, df: DataFrame) -> DataFrame:
+        return self.own(materialize(df))
+
+    def close(self, result: DataFrame) -> DataFrame:
+        """result written by itself, so that nothing reads the tables any more, and the tables dropped."""
+        out = materialize(result)
+        for df in self.made:
+            discard(df)
+        return out

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vendora.functions import columns as C
 from vendora.operators import analytics, enrich, ingest, lifecycle, reading
-from vendora.sources.delimited import key_values
+from vendora.sources import pages as P
 from vendora.sources.tables import read
 
 AS_OF = "2024-01-31"
@@ -85,7 +85,7 @@ def usage_by_action(s, d):
     left join (select o_custkey k, count(*) n from orders group by 1) p on p.k = u.user_id
     left join (select user_id k, count(*) n from events where {_MONTH} group by 1) e on e.k = u.user_id""")
 def user_activity_page(s, d):
-    users = reading.page(_users(s, d).select("user_id", "name"), [F.asc("user_id")], 20, 100)
+    users = reading.held_page(_users(s, d).select("user_id", "name"), [F.asc("user_id")], 20, 100)
     return analytics.user_activity(users, read(s, d, "orders").select(F.col("o_custkey").alias("user_id")), _usage(s, d), AS_OF)
 
 
@@ -105,8 +105,9 @@ def status_bar_scaled(s, d):
     select e.event_id, c.c_name as name, e.event_type as action, strftime(e.ts, '%Y-%m-%d %H:%M:%S') as at
     from (select * from events order by ts desc, event_id desc limit 10) e left join customer c on c.c_custkey = e.user_id""")
 def recent_activity(s, d):
-    top = reading.page(_usage(s, d), [F.desc("ts"), F.desc("event_id")], 0, 10, 50)
-    users = read(s, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name")).join(F.broadcast(top.select("user_id")), "user_id", "left_semi")
+    top = reading.held_page(_usage(s, d).select("event_id", "user_id", "action", "ts"), [F.desc("ts"), F.desc("event_id")], 0, 10, 50)
+    ids = [r.user_id for r in top.select("user_id").collect()]
+    users = read(s, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name")).where(F.col("user_id").isin(ids))
     return top.join(users, "user_id", "left").select("event_id", "name", "action", C.stamp(F.col("ts")).alias("at"))
 
 
@@ -129,8 +130,7 @@ def credit_check(s, d):
 
 @query(f"select user_id, count(*)::bigint as n_uses from events where {_MONTH} and lower(event_type) like 'p%' group by 1")
 def usage_by_user_and_prefix(s, d):
-    rows = _usage(s, d).where(C.since_month_start(F.col("ts"), AS_OF) & F.lower("action").like("p%"))
-    return rows.groupBy("user_id").agg(F.count("*").alias("n_uses"))
+    return analytics.usage_by_user(_usage(s, d), AS_OF, "p")
 
 
 # Reading
@@ -155,10 +155,42 @@ def product_search_count(s, d):
     return _found_parts(s, d).agg(total.alias("total"), F.lit(reading.page_number(5, 10)).alias("page"), F.greatest(F.ceil(total / 10), F.lit(1)).cast("bigint").alias("pages"))
 
 
-@query("select s_suppkey, s_name from supplier where lower(s_name) like '%1%' order by s_name, s_suppkey limit 10 offset 2")
+@query("""
+    select s_suppkey, s_name from supplier left join nation on n_nationkey = s_nationkey
+    where lower(s_name) like '%11%' or lower('s' || s_suppkey || '@x.org') like '%11%' or lower(n_name) like '%11%' order by s_name, s_suppkey limit 10 offset 2""")
 def supplier_search_page(s, d):
-    rows = reading.search(read(s, d, "supplier"), ["s_name"], "1").select("s_suppkey", "s_name")
-    return reading.page(rows, [F.asc("s_name"), F.asc("s_suppkey")], 2, 10)
+    named = read(s, d, "supplier").join(F.broadcast(read(s, d, "nation")), F.col("n_nationkey") == F.col("s_nationkey"), "left")
+    rows = named.select("s_suppkey", F.col("s_name").alias("nome"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit("@x.org")).alias("email_contato"), F.col("n_name").alias("contato_principal"))
+    found = reading.search(rows, reading.SUPPLIER_SEARCH, "11").select("s_suppkey", F.col("nome").alias("s_name"))
+    return reading.page(found, [F.asc("s_name"), F.asc("s_suppkey")], 2, 10)
+
+
+@query("select s_suppkey, s_name from supplier where lower(s_name) like '%7%' order by s_name, s_suppkey limit 10")
+def admin_supplier_search(s, d):
+    found = reading.matching(read(s, d, "supplier").select("s_suppkey", "s_name"), contains={"s_name": "7"})
+    return reading.page(found, [F.asc("s_name"), F.asc("s_suppkey")], 0, 10)
+
+
+@query("select n_nationkey, n_name from nation left join region on r_regionkey = n_regionkey where lower('t' || n_nationkey) like '%a%' or lower(n_name) like '%a%' or lower(r_name) like '%a%' order by n_name, n_nationkey limit 200")
+def type_search_page(s, d):
+    named = read(s, d, "nation").join(F.broadcast(read(s, d, "region")), F.col("r_regionkey") == F.col("n_regionkey"), "left")
+    rows = named.select("n_nationkey", F.concat(F.lit("t"), F.col("n_nationkey").cast("string")).alias("key_name"), F.col("n_name").alias("friendly_name"), F.col("r_name").alias("description"))
+    found = reading.search(rows, reading.TYPE_SEARCH, "A").select("n_nationkey", F.col("friendly_name").alias("n_name"))
+    return reading.page(found, [F.asc("n_name"), F.asc("n_nationkey")], 0, 200)
+
+
+@query("""
+    select p_partkey, p_name from part where lower(p_name) like '%re%' or lower('chat ' || p_type) like '%re%' or lower('d' || p_partkey) like '%re%' or lower(p_brand || p_type) like '%re%'
+        or lower('s' || p_partkey) like '%re%' or lower((p_partkey * 7)::varchar) like '%re%' or lower(p_brand) like '%re%' or lower('m' || p_size) like '%re%'
+    order by p_partkey desc limit 50 offset 5""")
+def product_search_all_columns(s, d):
+    k = F.col("p_partkey").cast("string")
+    rows = read(s, d, "part").select(
+        "p_partkey", F.col("p_name").alias("nome_base"), F.concat(F.lit("chat "), F.col("p_type")).alias("nome_chat_api"), F.concat(F.lit("d"), k).alias("descricao_original"), F.concat("p_brand", "p_type").alias("descricao_chat_api"),
+        F.concat(F.lit("s"), k).alias("sku"), (F.col("p_partkey") * 7).cast("string").alias("ean"), F.col("p_brand").alias("marca"), F.concat(F.lit("m"), F.col("p_size").cast("string")).alias("modelo"),
+    )
+    found = reading.search(rows, reading.PRODUCT_SEARCH, "RE").select("p_partkey", F.col("nome_base").alias("p_name"))
+    return reading.page(found, [F.desc("p_partkey")], 5, 50)
 
 
 @query("select s_suppkey, s_name, s_nationkey from supplier where s_nationkey = 3")
@@ -196,12 +228,26 @@ def same_name_products(s, d):
     return reading.same_name_elsewhere(read(s, d, "part"), "p_partkey", "p_name").select("p_partkey", "p_name")
 
 
-@query("select n_nationkey, n_name from nation where n_nationkey = 7 and (n_regionkey = 3 or n_regionkey = 0) or n_name = '7' limit 1")
+@query("""
+    select n_nationkey, n_name from nation
+    where (n_nationkey = 7 or n_name = '7') and (n_regionkey = 3 or n_regionkey is null or n_nationkey % 2 = 1)
+    order by case when n_nationkey = 7 then 0 when n_regionkey = 3 and n_nationkey % 2 = 0 then 1 else 2 end, n_nationkey limit 1""")
 def type_resolution(s, d):
-    types = read(s, d, "nation").withColumn("owner", F.nullif("n_regionkey", F.lit(0)))
+    # Types of odd number are global.
+    types = read(s, d, "nation").withColumn("owner", F.when(F.col("n_nationkey") % 2 == 0, F.col("n_regionkey")))
     return reading.resolve(types, "7", "n_nationkey", "n_name", "owner", 3).select("n_nationkey", "n_name")
 
 
+@query("""
+    with t as (select n_nationkey, n_name, case when n_nationkey % 3 > 0 then n_regionkey end as owner from nation),
+    f as (select *, row_number() over (partition by n_name order by (owner is null), n_nationkey) r from t where owner = 2 or owner is null)
+    select n_nationkey, n_name from f where r = 1 and n_name = (select max(n_name) from f)""")
+def type_resolution_by_key(s, d):
+    types = read(s, d, "nation").withColumn("owner", F.when(F.col("n_nationkey") % 3 > 0, F.col("n_regionkey")))
+    last = reading.own_or_global(types, "owner", 2).agg(F.max("n_name")).first()[0]
+    return reading.resolve(types, last, "n_nationkey", "n_name", "owner", 2).select("n_nationkey", "n_name")
+
+
 @query("select unnest(['" + "', '".join(reading.USAGE_ACTIONS) + "']) as action")
 def action_listing(s, d):
     return s.createDataFrame([(a,) for a in reading.USAGE_ACTIONS], "action string")
@@ -230,12 +276,56 @@ def sibling_renumber(s, d):
     return _siblings(s, d).select("n_nationkey", "n_regionkey", "position")
 
 
-@query(f"""
-    with r as ({_SIBLINGS}), m as (select n_regionkey k, position p from r where n_nationkey = 12)
-    select n_nationkey, n_regionkey, (case when p > 0 and position = p then position - 1 when p > 0 and position = p - 1 then position + 1 else position end)::int as position
-    from r left join m on k = n_regionkey""")
+_TEMPLATES = "(select n_nationkey, n_regionkey, case when n_regionkey = 1 and n_nationkey % 2 = 0 then null else (25 - n_nationkey) // 2 end as position from nation)"
+
+
+def _moved_sql(chosen: int, step: int) -> str:
+    return f"""
+    with a as (select *, row_number() over (partition by n_regionkey order by position nulls last, n_nationkey) - 1 as plc, max((position is null)::int) over (partition by n_regionkey) as gap from {_TEMPLATES}),
+    o as (select n_nationkey, n_regionkey, plc, case when gap = 1 then plc else position end as num from a),
+    m as (select n_regionkey k, plc p, num v from o where n_nationkey = {chosen}),
+    t as (select m.k, m.p, m.v, o.plc tp, o.num tv from m join o on o.n_regionkey = m.k and o.plc = m.p + {step}),
+    w as (select o.n_nationkey, o.n_regionkey, case when o.plc = t.p then t.tv when o.plc = t.tp then t.v else o.num end as num from o left join t on t.k = o.n_regionkey)
+    select n_nationkey, n_regionkey, (row_number() over (partition by n_regionkey order by num, n_nationkey) - 1)::int as position from w"""
+
+
+def _templates(s, d):
+    place = F.when((F.col("n_regionkey") == 1) & (F.col("n_nationkey") % 2 == 0), F.lit(None)).otherwise(F.floor((25 - F.col("n_nationkey")) / 2))
+    return read(s, d, "nation").select("n_nationkey", "n_regionkey", place.cast("int").alias("position"))
+
+
+@query(_moved_sql(12, -1))
 def sibling_move_up(s, d):
-    return lifecycle.moved_up(_siblings(s, d), "n_regionkey", "n_nationkey", 12).select("n_nationkey", "n_regionkey", "position")
+    return lifecycle.moved(_templates(s, d), "n_regionkey", "n_nationkey", 12, True)
+
+
+@query(_moved_sql(7, 1))
+def sibling_move_down(s, d):
+    return lifecycle.moved(_templates(s, d), "n_regionkey", "n_nationkey", 7, False)
+
+
+@query(_moved_sql(1, 1))
+def sibling_first_numbering(s, d):
+    """A type whose attributes have no numbers yet gets them when one is moved."""
+    return lifecycle.moved(_templates(s, d), "n_regionkey", "n_nationkey", 1, False)
+
+
+@query("""
+    select p_partkey, s_name as supplier_name, r_name as type_name, coalesce(string_agg(n_name, '|' order by n_nationkey), '') as templates
+    from part left join supplier on s_suppkey = p_partkey % 120 left join region on r_regionkey = p_size % 7 left join nation on n_regionkey = r_regionkey group by 1, 2, 3""")
+def product_details(s, d):
+    products = read(s, d, "part").select("p_partkey", (F.col("p_partkey") % 120).alias("supplier_id"), (F.col("p_size") % 7).alias("type_id"))
+    suppliers = read(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    types = read(s, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
+    templates = read(s, d, "nation").select(F.col("n_regionkey").alias("type_id"), F.col("n_nationkey").alias("display_order"), F.col("n_name").alias("attribute_key"))
+    rows = lifecycle.product_details(products, suppliers, types, templates)
+    return rows.select("p_partkey", "supplier_name", "type_name", F.array_join(F.transform("templates", lambda t: t["attribute_key"]), "|").alias("templates"))
+
+
+@query("select n_nationkey from nation a where exists (select 1 from nation b where b.n_regionkey = a.n_regionkey and left(b.n_name, 8) = left(a.n_name, 8) and b.n_nationkey <> a.n_nationkey)")
+def attribute_key_conflicts(s, d):
+    rows = read(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("type_id"), F.substring("n_name", 1, 8).alias("attribute_key"))
+    return reading.attribute_conflicts(rows, rows).select(F.col("id").alias("n_nationkey"))
 
 
 @query("select event_id, user_id from events where user_id not in (select c_custkey from customer where c_mktsegment = 'BUILDING') or user_id is null")
@@ -395,21 +485,28 @@ def partial_update(s, d):
     return ingest.patched(part, patch, "p_partkey", ["p_name", "p_retailprice"])
 
 
-@query(f"""
-    select c_custkey as user_id, coalesce(p.plan_limit, 50)::int as limit_products from customer left join {_LIMITS_SQL.replace('l(', 'p(')} on p.plan = c_mktsegment""")
+@query("""
+    select c_custkey as user_id, coalesce(p.a, 50)::int as limite_produtos, (case when p.plan is null then 10 else p.b end)::int as limite_enriquecimento_web, coalesce(p.c, 20)::int as limite_geracao_ia
+    from customer left join (values ('AUTOMOBILE', 5, 6, 7), ('BUILDING', 0, null, 9), ('MACHINERY', 1000, 500, 2000)) p(plan, a, b, c) on p.plan = c_mktsegment""")
 def quota_copies(s, d):
-    return _users(s, d).join(F.broadcast(_limits(s)), "plan", "left").select("user_id", F.coalesce("plan_limit", F.lit(50)).cast("int").alias("limit_products"))
+    plans = s.createDataFrame([("AUTOMOBILE", 5, 6, 7), ("BUILDING", 0, None, 9), ("MACHINERY", 1000, 500, 2000)], "plan string, " + ", ".join(f"{c} int" for c in ingest.DEFAULT_LIMITS))
+    return ingest.with_quotas(_users(s, d), plans).select("user_id", *ingest.DEFAULT_LIMITS)
 
 
 @query("""
-    select c_custkey as user_id, coalesce(nullif(case when c_custkey % 3 = 0 then '' else c_name end, ''), string_split('u' || c_custkey || '@x.org', '@')[1]) as name,
-           coalesce(nullif(case when c_custkey % 2 = 0 then 'google' else '' end, ''), 'facebook') as provider from customer""")
+    with u as (select c_custkey k, 'u' || c_custkey || '@x.org' email, case when c_custkey % 3 = 0 then '' else c_name end as name, case when c_custkey % 2 = 0 then 'google' end as provider, c_custkey % 5 > 0 as is_active from customer),
+    l as (select 'u' || (s_suppkey * 3 - 20) || '@x.org' email, case when s_suppkey % 4 > 0 then s_name end as name from supplier)
+    select u.email, case when u.name = '' and is_active then coalesce(l.name, u.name) else u.name end as name, case when is_active and l.email is not null then coalesce(provider, 'facebook') else provider end as provider, false as is_new
+    from u left join l using (email)
+    union all select email, coalesce(name, string_split(email, '@')[1]), 'facebook', true from l where email not in (select email from u)""")
 def social_login_merge(s, d):
-    users = _users(s, d)
-    email = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@x.org"))
-    name = F.when(F.col("user_id") % 3 == 0, F.lit("")).otherwise(F.col("name"))
-    provider = F.when(F.col("user_id") % 2 == 0, F.lit("google")).otherwise(F.lit(""))
-    return users.select("user_id", F.coalesce(F.nullif(name, F.lit("")), F.element_at(F.split(email, "@"), 1)).alias("name"), F.coalesce(F.nullif(provider, F.lit("")), F.lit("facebook")).alias("provider"))
+    email = lambda k: F.concat(F.lit("u"), k.cast("string"), F.lit("@x.org"))
+    k = F.col("user_id")
+    users = _users(s, d).select(email(k).alias("email"), F.when(k % 3 == 0, F.lit("")).otherwise(F.col("name")).alias("name"), F.when(k % 2 == 0, F.lit("google")).alias("provider"), F.lit(None).cast("string").alias("provider_user_id"), (k % 5 > 0).alias("is_active"), F.lit(False).alias("is_new"))
+    n = F.col("s_suppkey")
+    logins = read(s, d, "supplier").select(email(n * 3 - 20).alias("email"), F.when(n % 4 > 0, F.col("s_name")).alias("name"), F.lit("facebook").alias("provider"), n.cast("string").alias("provider_user_id"))
+    after, _ = ingest.social_logins(users, logins)
+    return after.select("email", "name", "provider", F.coalesce("is_new", F.lit(True)).alias("is_new"))
 
 
 @query("select r_name as name from region union select unnest(['AFRICA', 'eletronicos', 'vestuario'])")
@@ -417,6 +514,190 @@ def seed_types(s, d):
     return ingest.seeded(read(s, d, "region").select(F.col("r_name").alias("name")), s.createDataFrame([("AFRICA",), ("eletronicos",), ("vestuario",)], "name string"), "name")
 
 
+# A whole file
+
+_FILE_HEADERS = ["Nome", "SKU", "EAN", "fabricante", "Categoria", "Descricao", "Obs", "erro_processamento_csv"]
+
+
+def _file(s, d):
+    """Parts as one supplier's file: names, keys, categories, descriptions, leftovers, and lines that a reader couldn't read."""
+    k = F.col("p_partkey")
+    n = k.cast("string")
+    return read(s, d, "part").select(
+        k, F.when(k % 5 != 0, F.col("p_name")).alias("Nome"), F.when(k % 4 != 0, F.concat(F.lit("S"), (k % 900).cast("string"))).alias("SKU"),
+        F.when(k % 97 == 0, F.repeat(F.lit("9"), F.lit(20))).when(k % 3 != 0, (k % 1300).cast("string")).alias("EAN"), F.col("p_brand").alias("fabricante"), F.col("p_type").alias("Categoria"),
+        F.when(k % 6 != 0, F.concat(F.lit("D"), n)).alias("Descricao"), F.when(k % 2 == 0, F.col("p_type")).otherwise(F.lit(" NA ")).alias("Obs"), F.when(k % 211 == 0, F.concat(F.lit("bad line "), n)).alias("erro_processamento_csv"),
+    )
+
+
+def _catalogue(s, d):
+    """Suppliers as products of two tenants before the import."""
+    k = F.col("s_suppkey")
+    return read(s, d, "supplier").select(
+        (k % 4 == 3).cast("bigint").alias("tenant"), k.alias("id"), F.concat(F.lit("S"), (k * 5).cast("string")).alias("sku"), (k * 7).cast("string").alias("ean"),
+        F.col("s_name").alias("nome_base"), F.lit("old").alias("descricao_original"), F.lit(None).cast("string").alias("marca"), F.lit("c").alias("categoria_original"), F.lit(1).alias("fornecedor_id"), F.lit(9).alias("product_type_id"), F.col("s_acctbal").alias("preco_venda"),
+    )
+
+
+def _imported(s, d):
+    return ingest.import_rows(_file(s, d), _FILE_HEADERS, _catalogue(s, d), 0, "p_partkey", {"obs": "observacao"}, supplier=77, product_type=4)
+
+
+_WHOLE = """
+    f as (
+        select p_partkey k, case when p_partkey % 5 <> 0 then p_name end nome, case when p_partkey % 4 <> 0 then 'S' || (p_partkey % 900) end sku,
+               case when p_partkey % 97 = 0 then repeat('9', 20) when p_partkey % 3 <> 0 then (p_partkey % 1300)::varchar end ean, p_brand marca, p_type cat,
+               case when p_partkey % 6 <> 0 then 'D' || p_partkey end descr, case when p_partkey % 2 = 0 then p_type end obs, case when p_partkey % 211 = 0 then 'bad line ' || p_partkey end bad from part),
+    c as (select *, coalesce(bad, case when nome is null and sku is null and obs is null then 'no name and no SKU' end) reason, case when nome is null and sku is null then obs else nome end base from f),
+    v as (select *, coalesce(reason, case when length(ean) > 13 then 'ean: longer than 13' end) error from c),
+    rows as (select *, row_number() over (order by k) rn from v where error is null),
+    g as (
+        select k, rn, true as accepted, [sku] skus, [ean] eans from rows where rn = 1
+        union all
+        select r.k, r.rn, not (coalesce(list_contains(g.skus, r.sku), false) or coalesce(list_contains(g.eans, r.ean), false)),
+               case when coalesce(list_contains(g.skus, r.sku), false) or coalesce(list_contains(g.eans, r.ean), false) or r.sku is null then g.skus else list_append(g.skus, r.sku) end,
+               case when coalesce(list_contains(g.skus, r.sku), false) or coalesce(list_contains(g.eans, r.ean), false) or r.ean is null then g.eans else list_append(g.eans, r.ean) end
+        from g join rows r on r.rn = g.rn + 1),
+    p as (select (s_suppkey % 4 = 3)::bigint tenant, s_suppkey id, 'S' || (s_suppkey * 5) sku, (s_suppkey * 7)::varchar ean, s_name, s_acctbal from supplier),
+    a as (select r.*, coalesce(base, sku, 'Produto Importado') as named from g join rows r using (k) where accepted),
+    m as (select a.*, coalesce(x.id, y.id) hit from a left join p x on x.tenant = 0 and x.sku = a.sku left join p y on y.tenant = 0 and y.ean = a.ean),
+    l as (select * from m where hit is not null qualify row_number() over (partition by hit order by k desc) = 1),
+    st as (
+        select p.tenant, p.id, case when l.hit is null then p.sku else l.sku end sku, case when l.hit is null then p.ean else l.ean end ean, case when l.hit is null then p.s_name else l.named end nome_base,
+               case when l.hit is null then 'old' else l.descr end descricao_original, l.marca, case when l.hit is null then 'c' else l.cat end categoria_original, case when l.hit is null then 1 else 77 end fornecedor_id,
+               case when l.hit is null then 9 else 4 end product_type_id, p.s_acctbal preco_venda, case when l.hit is null then 'unchanged' else 'updated' end as change, p.s_name old_name, p.sku old_sku from p left join l on p.tenant = 0 and l.hit = p.id
+        union all
+        select 0, (select max(id) from p) + row_number() over (order by k), sku, ean, named, descr, marca, cat, 77, 4, null, 'created', null, null from m where hit is null)"""
+
+
+@query(f"with recursive {_WHOLE} select tenant, id::bigint as id, sku, ean, nome_base, descricao_original, marca, categoria_original, fornecedor_id::int as fornecedor_id, product_type_id::int as product_type_id, preco_venda, change from st")
+def whole_import_state(s, d):
+    return _imported(s, d).state.drop("before")
+
+
+@query(f"""
+    with recursive {_WHOLE}
+    select k as p_partkey, error, false as duplicado, 4 as product_type_id, case when reason is null then base else nome end as name, sku, coalesce(ean, '') as ean, coalesce(bad, '') as bad from v where error is not null
+    union all select r.k, 'duplicate SKU or EAN', true, 4, base, sku, coalesce(ean, ''), '' from g join rows r using (k) where not accepted""")
+def whole_import_errors(s, d):
+    errors = _imported(s, d).errors
+    cell = lambda *names: F.coalesce(*(F.try_element_at("linha_original", F.lit(n)) for n in names))
+    blank = F.lit("")
+    return errors.select("p_partkey", "error", "duplicado", "product_type_id", cell("Nome", "nome_base").alias("name"), cell("SKU", "sku_original").alias("sku"), F.coalesce(cell("EAN", "ean_original"), blank).alias("ean"), F.coalesce(cell("erro_processamento_csv"), blank).alias("bad"))
+
+
+@query(f"with recursive {_WHOLE} select id::bigint as id, old_name, nome_base as new_name, old_sku, sku as new_sku from st where change = 'updated'")
+def whole_import_updates(s, d):
+    return _imported(s, d).updates().select("id", F.col("before.nome_base").alias("old_name"), F.col("after.nome_base").alias("new_name"), F.col("before.sku").alias("old_sku"), F.col("after.sku").alias("new_sku"))
+
+
+@query(f"""
+    with recursive {_WHOLE}
+    select r_regionkey as id, case r_regionkey when 1 then 'IMPORTED' when 2 then 'FAILED' when 3 then 'PROCESSING' else 'UPLOADED' end as status, (case when r_regionkey = 3 then 4 when r_regionkey in (1, 2) then 1 end)::int as total_pages,
+        (case r_regionkey when 1 then 1 when 3 then 1 else 0 end)::int as pages_processed, (case r_regionkey when 1 then 77 when 2 then 78 when 3 then 79 end)::int as fornecedor_id,
+        case when r_regionkey = 1 then '{{"created":' || (select count(*) from st where change = 'created') || ',"updated":' || (select count(*) from st where change = 'updated') || ',"errors":' || ((select count(*) from v where error is not null) + (select count(*) from g where not accepted)) || '}}' end as result_summary
+    from region""")
+def import_job_status(s, d):
+    none = lambda kind: F.lit(None).cast(kind)
+    files = read(s, d, "region").select(F.col("r_regionkey").alias("id"), F.lit("UPLOADED").alias("status"), none("int").alias("total_pages"), F.lit(0).alias("pages_processed"), none("int").alias("fornecedor_id"), none("string").alias("result_summary"))
+    files = ingest.finished_import(ingest.started_import(files, 1, 77), 1, _imported(s, d))
+    files = ingest.finished_import(ingest.started_import(files, 2, 78), 2, None)
+    return ingest.page_done(ingest.started_import(files, 3, 79, 4), 3)
+
+
+_ONE_BY_ONE = """
+    r as (
+        select user_id tenant, event_id rn, case when event_id % 11 > 0 and event_id % 2 = 0 then json_extract_string(props, '$.k') end sku,
+               case when event_id % 11 > 0 and event_id % 2 = 1 then floor(value)::bigint::varchar end ean, 'e' || event_id as label from events),
+    p as (select c_custkey tenant, c_custkey * 2 id, (c_custkey % 97)::varchar sku, (c_custkey % 31)::varchar ean, c_name as label from customer where c_custkey % 2 = 0),
+    m as (select r.*, coalesce(x.id, y.id) hit from r left join p x on x.tenant = r.tenant and x.sku = r.sku left join p y on r.sku is null and y.tenant = r.tenant and y.ean = r.ean),
+    t as (select *, case when hit is not null then 'p' || hit when sku is not null then 's' || sku when ean is not null then 'e' || ean else 'n' || rn end target from m),
+    n as (select tenant, target, any_value(hit) hit, min(rn) first, any_value(sku) sku, any_value(ean) ean, arg_max(label, rn) as label from t group by 1, 2)"""
+
+
+@query(f"""
+    with {_ONE_BY_ONE}
+    select p.tenant, p.id::bigint as id, p.sku, p.ean, coalesce(n.label, p.label) as label, case when n.hit is null then 'unchanged' else 'updated' end as change from p left join n on n.tenant = p.tenant and n.hit = p.id
+    union all select tenant, ((select max(id) from p) + row_number() over (order by tenant, first))::bigint, sku, ean, label, 'created' from n where hit is null""")
+def get_or_create_state(s, d):
+    i = F.col("event_id")
+    keyed = i % 11 > 0
+    rows = _usage(s, d).select(
+        F.col("user_id").alias("tenant"), i.alias("row_no"), F.when(keyed & (i % 2 == 0), F.get_json_object("props", "$.k")).alias("sku"), F.when(keyed & (i % 2 == 1), F.floor("value").cast("string")).alias("ean"), F.concat(F.lit("e"), i.cast("string")).alias("label"),
+        F.when(keyed & (i % 2 == 0), F.array(F.lit("sku"), F.lit("label"))).otherwise(F.array(F.lit("ean"), F.lit("label"))).alias("given"),
+    )
+    return ingest.get_or_create(_existing(s, d), rows, ["label"])
+
+
+@query("""
+    with r as (select p_partkey rn, case when p_partkey % 3 > 0 then 'S' || p_partkey % 700 end sku, case when p_partkey % 3 = 0 then repeat('7', (p_partkey % 15)::int) || p_partkey % 50 end ean, p_name as nome from part),
+    v as (select * from r where coalesce(length(ean), 0) <= 13),
+    p as (select s_suppkey id, 'S' || s_suppkey as sku, s_name as nome from supplier),
+    t as (select v.*, p.id hit, case when v.sku is not null then 's' || v.sku else 'e' || v.ean end target from v left join p using (sku)),
+    n as (select target, any_value(hit) hit, min(rn) first, any_value(sku) sku, any_value(ean) ean, arg_max(nome, rn) as nome from t group by 1)
+    select p.id::bigint as id, p.sku, null::varchar as ean, coalesce(n.nome, p.nome) as nome_base, case when n.hit is null then 'unchanged' else 'updated' end as change, 'COMPLETED' as status from p left join n on n.hit = p.id
+    union all select ((select max(id) from p) + row_number() over (order by first))::bigint, sku, ean, nome, 'created', 'COMPLETED' from n where hit is null""")
+def staged_commit_state(s, d):
+    """A supplier's file staged as the JSON of one job, and committed."""
+    k = F.col("p_partkey")
+    one = F.struct(F.when(k % 3 > 0, F.concat(F.lit("S"), (k % 700).cast("string"))).alias("sku"), F.when(k % 3 == 0, F.concat(F.repeat(F.lit("7"), (k % 15).cast("int")), (k % 50).cast("string"))).alias("ean"), F.col("p_name").alias("nome_base"))
+    staged = read(s, d, "part").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct(k, one.alias("x")))), lambda r: r["x"])).alias("result_summary"))
+    jobs = staged.select(F.lit(5).alias("id"), F.lit(1).alias("user_id"), F.lit("REVIEW").alias("status"), "result_summary")
+    products = read(s, d, "supplier").select(F.lit(1).cast("bigint").alias("tenant"), F.col("s_suppkey").alias("id"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("sku"), F.lit(None).cast("string").alias("ean"), F.col("s_name").alias("nome_base"))
+    state, after = ingest.commit_job(jobs, 5, 1, products, "sku string, ean string, nome_base string", ["nome_base"])
+    return state.join(F.broadcast(after.select("status"))).select("id", "sku", "ean", "nome_base", "change", "status")  # one job
+
+
+@query("""
+    select event_id, user_id, event_type as action, value, 'e' || event_id as note from events
+    union all select 1000000 + c_custkey, c_custkey, case when c_custkey % 2 = 0 then c_mktsegment else 'outro' end, 0.0, null from customer""")
+def insert_with_defaults(s, d):
+    log = _usage(s, d).select("event_id", "user_id", "action", "value", F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("note"))
+    k = F.col("user_id")
+    rows = _users(s, d).select((k + 1000000).alias("event_id"), "user_id", F.when(k % 2 == 0, F.col("plan")).alias("action"))
+    return ingest.inserted(log, rows, {"action": "outro", "value": 0.0})
+
+
+@query("select c_custkey as user_id from customer where c_custkey % 7 > 0 and c_custkey % 5 > 0")
+def login_filter(s, d):
+    k = F.col("user_id")
+    users = _users(s, d).select("user_id", (k % 7 > 0).alias("is_active"), F.when(k % 5 > 0, F.lit("h")).alias("hashed_password"))
+    return reading.can_log_in(users).select("user_id")
+
+
+@query("select c_custkey as user_id from customer where c_custkey % 100 = 42 and c_custkey % 3 > 0")
+def reset_token_filter(s, d):
+    k = F.col("user_id")
+    users = _users(s, d).select("user_id", F.sha2((k % 100).cast("string"), 256).alias("reset_password_token"), F.when(k % 3 > 0, F.lit("2024-02-01 00:00:00")).otherwise(F.lit("2024-01-01 00:00:00")).cast("timestamp").alias("reset_password_token_expires_at"))
+    return reading.valid_reset(users, "42", "2024-01-31 00:00:00").select("user_id")
+
+
+@query("""
+    select c_custkey as user_id, case when c_custkey % 2 = 0 then c_name || '|' else '' end || 'ana|bia' as actors, (case when c_custkey % 2 = 0 then 3 else 2 end)::int as n from customer""")
+def log_append(s, d):
+    kind = "array<struct<timestamp:string,actor:string,action:string>>"
+    old = F.when(F.col("user_id") % 2 == 0, F.array(F.struct(F.lit("t").alias("timestamp"), F.col("name").alias("actor"), F.lit("x").alias("action"))).cast(kind))
+    rows = lifecycle.with_log_entry(lifecycle.with_log_entry(_users(s, d).withColumn("log", old), "log", "ana", "a", "t0"), "log", "bia", "b", "t1")
+    return rows.select("user_id", F.array_join(F.transform("log", lambda e: e["actor"]), "|").alias("actors"), F.size("log").alias("n"))
+
+
+@query("""
+    select event_id, case when event_id % 2 = 0 then 'a=1;' else '' end || 'b=' || case when event_id % 3 = 0 then '2' else event_type end || case when event_id % 5 = 0 then '' else ';c=x' end as merged, case when event_id % 4 = 0 then null else event_type end as first_text from events""")
+def merged_attributes(s, d):
+    i = F.col("event_id")
+    some = lambda on, k, v: F.when(on, F.create_map(F.lit(k), v)).otherwise(F.create_map().cast("map<string,string>"))
+    old = F.map_concat(some(i % 2 == 0, "a", F.lit("1")), F.create_map(F.lit("b"), F.lit("2")))
+    new = F.map_concat(F.create_map(F.lit("b"), F.when(i % 3 > 0, F.col("action"))), some(i % 5 > 0, "c", F.lit("x")))
+    merged = F.array_sort(F.map_entries(enrich.merged_maps(old, new)))
+    first = C.first_text(F.array(F.lit(None).cast("string"), F.lit(" "), F.when(i % 4 > 0, F.col("action"))))
+    return _usage(s, d).select("event_id", F.array_join(F.transform(merged, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("merged"), first.alias("first_text"))
+
+
+@query("select p_partkey, array_to_string(list_filter(list_transform(string_split(p_name || ', ,' || p_type, ','), lambda x: trim(x)), lambda x: x <> ''), '|') as parts from part")
+def split_lists(s, d):
+    return read(s, d, "part").select("p_partkey", F.array_join(C.split_list(F.concat("p_name", F.lit(", ,"), "p_type")), "|").alias("parts"))
+
+
 # Pages and text
 
 
@@ -438,29 +719,34 @@ def url_priority(s, d):
 
 
 @query("""
-    with f as (select event_id, event_id % 2 = 0 c, event_id % 3 = 0 l, event_id % 5 > 0 t, event_id % 7 > 0 a, event_id % 11 = 0 e from events)
-    select event_id, case when e and not c then 'FALHA_API_EXTERNA' when c and l then 'CONCLUIDO_SUCESSO' when c then 'CONCLUIDO_COM_DADOS_PARCIAIS'
+    with f as (select event_id, event_id % 2 = 0 c, event_id % 3 = 0 l, event_id % 5 > 0 t, event_id % 7 > 0 a, event_id % 11 = 0 e, event_id % 13 = 0 stuck from events)
+    select event_id, case when stuck then 'FALHOU' when e and not c then 'FALHA_API_EXTERNA' when c and l then 'CONCLUIDO_SUCESSO' when c then 'CONCLUIDO_COM_DADOS_PARCIAIS'
         when t or (l and not a) then 'NENHUMA_FONTE_ENCONTRADA' when not a then 'FALHA_CONFIGURACAO_API_EXTERNA' else 'FALHOU' end as status from f""")
 def enrichment_status(s, d):
     i = F.col("event_id")
-    return _usage(s, d).select("event_id", enrich.status(i % 2 == 0, i % 3 == 0, i % 5 > 0, i % 7 > 0, i % 11 == 0).alias("status"))
+    return _usage(s, d).select("event_id", enrich.status(i % 2 == 0, i % 3 == 0, i % 5 > 0, i % 7 > 0, i % 11 == 0, i % 13 == 0).alias("status"))
 
 
-_META_PAGES = [
-    (1, '<script type="application/ld+json">{"@type":"Product","name":" A  b ","sku":"S1","brand":{"name":"X"},"offers":{"price":"9.5","priceCurrency":"BRL","availability":"https://schema.org/InStock"}}</script><meta property="og:title" content="og">'),
-    (2, '<script type="application/ld+json">[{"@type":"Org"},{"@type":["Thing","Product"],"mpn":"M2","image":["u1","u2"],"offers":[{"lowPrice":3}]}]</script><meta property="og:title" content="T2"><meta property="og:description" content="D2">'),
-    (3, '<div itemscope><span itemprop="name">Micro</span><meta itemprop="price" content="7"></div><meta property="og:type" content="product"><meta property="og:brand" content="B3">'),
-    (4, '<meta property="og:title" content="only og"><meta property="og:brand" content="no product">'),
-    (5, "<p>nothing</p>"),
-]
+def _marked_pages(s, d):
+    """pages with metadata of five kinds put in front of their html, by number."""
+    i, n = F.col("page_id") % 5, F.col("page_id").cast("string")
+    text = lambda *parts: F.concat(*(n if p is None else F.lit(p) for p in parts))
+    head = (
+        F.when(i == 0, text('<script type="application/ld+json">{"@type":"Product","name":" A  ', None, ' ","sku":"S', None, '","brand":{"name":"X"},"offers":{"price":"9.5","priceCurrency":"BRL","availability":"https://schema.org/InStock"}}</script><meta property="og:title" content="og">'))
+        .when(i == 1, text('<script type="application/ld+json">[{"@type":"Org"},{"@type":["Thing","Product"],"mpn":"M', None, '","image":["u1","u2"],"offers":[{"lowPrice":3}]}]</script><meta content="T', None, '" property="og:title"><meta property="og:description" content="it\'s">'))
+        .when(i == 2, text('<div itemscope><span itemprop="name">Micro ', None, '</span><meta itemprop="price" content="7"></div><meta property="og:type" content="product"><meta content=\'B3\' property=\'og:brand\'>'))
+        .when(i == 3, text('<meta property="og:title" content="only ', None, '"><meta property="og:brand" content="no product">'))
+        .otherwise(F.lit(""))
+    )
+    return read(s, d, "pages").select("page_id", F.concat(head, F.col("html")).alias("html"))
 
 
 @query("""
-    select * from (values (1, 'A b', null, null, 'X', 'S1', '9.5', 'BRL', 'InStock'), (2, 'T2', 'D2', 'u1', null, 'M2', '3', null, null),
-        (3, 'Micro', null, null, 'B3', null, '7', null, null), (4, 'only og', null, null, null, null, null, null, null), (5, null, null, null, null, null, null, null, null))
-        t(page_id, name, short_description, image, brand, sku, price, currency, availability)""")
+    select page_id, case page_id % 5 when 0 then 'A ' || page_id when 1 then 'T' || page_id when 2 then 'Micro ' || page_id when 3 then 'only ' || page_id end as name, case when page_id % 5 = 1 then 'it''s' end as short_description,
+        case when page_id % 5 = 1 then 'u1' end as image, case page_id % 5 when 0 then 'X' when 2 then 'B3' end as brand, case page_id % 5 when 0 then 'S' || page_id when 1 then 'M' || page_id end as sku,
+        case page_id % 5 when 0 then '9.5' when 1 then '3' when 2 then '7' end as price, case when page_id % 5 = 0 then 'BRL' end as currency, case when page_id % 5 = 0 then 'InStock' end as availability from pages""")
 def metadata_priority_merge(s, d):
-    return enrich.metadata(s.createDataFrame(_META_PAGES, "page_id int, html string")).drop("html")
+    return enrich.metadata(_marked_pages(s, d)).drop("html")
 
 
 @query("select event_id, json_extract_string(props, '$.k') as k, try_cast(json_extract_string(props, '$.k') as int) as k_number, json_extract_string(props, '$.missing') as missing from events")
@@ -501,28 +787,47 @@ def json_in_text(s, d):
     return _usage(s, d).select("event_id", said.alias("said"), C.json_object_in(said).alias("found"))
 
 
-@query("select p_partkey, concat_ws(' ', p_name, p_brand, case when p_size > 25 then 'C' || p_size end, 'especificações técnicas detalhadas') as phrase, concat_ws(chr(10), 'Nome: ' || left(p_name, 200), 'Marca: ' || left(p_brand, 200), p_type) as context from part")
+@query("""
+    select p_partkey, concat_ws(' ', p_name, p_brand, case when p_size > 25 then 'C' || p_size end, 'especificações técnicas detalhadas') as phrase,
+        concat_ws(chr(10), 'Nome: ' || left(p_name, 200), 'Marca: ' || left(p_brand, 200), p_type) as context, concat_ws(chr(10), 'Marca: ' || left(repeat(p_brand, 40), 200), left(repeat(p_type, 90), 1000)) as short_context from part""")
 def search_phrases(s, d):
     code = F.when(F.col("p_size") > 25, F.concat(F.lit("C"), F.col("p_size").cast("string")))
     phrase = enrich.search_phrase(F.col("p_name"), F.col("p_brand"), code, F.lit(None).cast("string"))
-    return read(s, d, "part").select("p_partkey", phrase.alias("phrase"), enrich.prompt_context({"Nome": F.col("p_name"), "Código": F.lit(None).cast("string"), "Marca": F.col("p_brand")}, F.col("p_type")).alias("context"))
+    context = enrich.prompt_context({"Nome": F.col("p_name"), "Código": F.lit(None).cast("string"), "Marca": F.col("p_brand")}, F.col("p_type"))
+    short = enrich.prompt_context({"Marca": F.repeat("p_brand", F.lit(40))}, F.repeat("p_type", F.lit(90)), enrich.SHORT_PROMPT_TEXT)
+    return read(s, d, "part").select("p_partkey", phrase.alias("phrase"), context.alias("context"), short.alias("short_context"))
 
 
-@query("""
-    select * from (values (1, 'cor', 'azul'), (1, 'peso', '2 kg'), (2, 'cor', 'verde')) t(id, k, v)""")
+@query("select p_partkey, 'cor' as k, p_name as v from part where p_partkey % 3 > 0 union all select p_partkey, 'peso', p_size::varchar || ' kg' from part where p_partkey % 4 > 1")
 def kept_suggestions(s, d):
-    rows = s.createDataFrame([(1, [("cor", "azul"), ("peso", "2 kg"), ("x", "1"), ("cor", " ")]), (2, [("cor", "verde"), ("peso", None)]), (3, [])], "id int, got array<struct<key:string,value:string>>")
-    kept = enrich.kept_suggestions(F.col("got"), F.array(F.lit("cor"), F.lit("peso")))
-    return rows.select("id", F.explode(kept).alias("g")).select("id", F.col("g.key").alias("k"), F.col("g.value").alias("v"))
+    k = F.col("p_partkey")
+    one = lambda key, value: F.struct(F.lit(key).alias("key"), value.cast("string").alias("value"))
+    got = F.array(one("cor", F.when(k % 3 > 0, F.col("p_name")).otherwise(F.lit(" "))), one("x", F.col("p_type")), one("peso", F.when(k % 4 > 1, F.concat(F.col("p_size").cast("string"), F.lit(" kg")))))
+    rows = read(s, d, "part").select("p_partkey", F.explode(enrich.kept_suggestions(got, F.array(F.lit("cor"), F.lit("peso")))).alias("g"))
+    return rows.select("p_partkey", F.col("g.key").alias("k"), F.col("g.value").alias("v"))
 
 
-@query("select * from (values (1, 'Nome', 'P0'), (1, 'Marca', 'M0: x'), (2, 'col_0', 'plain'), (2, 'col_1', 'lines')) t(page, k, v)")
+@query("""
+    select p_partkey as page, case when p_partkey % 3 = 2 then coalesce(nullif(p_name, ''), p_brand) else p_name end as nome_base, case when p_partkey % 3 < 2 then p_brand || ': x' end as marca,
+        case when p_partkey % 3 = 2 then 2 when p_partkey % 3 = 1 then 1 else 0 end as n_leftovers from part""")
 def region_key_values(s, d):
-    rows = s.createDataFrame([(1, "Nome: P0\nMarca: M0: x\nno pair"), (2, "plain\n\nlines"), (3, "")], "page int, text string")
-    return key_values(rows).select("page", F.explode("pairs").alias("k", "v"))
+    """Regions of pages as text to pairs, and these to standard fields."""
+    kind = F.col("p_partkey") % 3
+    text = F.when(kind == 0, F.concat(F.lit("Nome: "), "p_name", F.lit("\nMarca :  "), "p_brand", F.lit(": x\nno pair"))).when(kind == 1, F.concat(F.lit(" nome:"), "p_name", F.lit("\n\nMarca: "), "p_brand", F.lit(": x\nCor: azul"))).otherwise(F.concat("p_name", F.lit("\n \n"), "p_brand"))
+    pairs = P.region_pairs(read(s, d, "part").select(F.col("p_partkey").alias("page"), text.alias("text")))
+    headers = ["nome", "Nome", "Marca", "Cor", "col_0", "col_1"]
+    cells = pairs.select("page", *(F.try_element_at("pairs", F.lit(h)).alias(f"h{i}") for i, h in enumerate(headers)))
+    named = ingest.standardise(cells.toDF("page", "nome", "Nome ", *headers[2:]), ["nome", "Nome ", *headers[2:]], None, ("page",))
+    return named.select("page", "nome_base", "marca", F.size("leftovers").alias("n_leftovers"))
+
 
+_GONE_TAGS = "|".join(rf"<{t}\b.*?</{t}\s*>" for t in ("script", "style", "nav", "header", "footer", "noscript", "head"))
 
-@query()
+
+@query(rf"""
+    with t as (select page_id, regexp_replace(regexp_replace(html, '(?is){_GONE_TAGS}|<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g') as t from pages),
+    e as (select page_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') as t from t)
+    select page_id, nullif(trim(regexp_replace(t, '\s+', ' ', 'g')), '') as text from e""")
 def page_main_text(s, d):
     return read(s, d, "pages").select("page_id", C.visible_text(F.col("html")).alias("text"))
 
@@ -543,11 +848,12 @@ def json_coercion(s, d):
 
 
 @query("""
-    select * from (values (1, 'a|b', true), (2, null, false), (3, null, true), (4, '', true), (5, null, false)) t(id, options, valid)""")
+    select event_id, case when event_id % 5 in (0, 3) then case when event_id % 5 = 0 then event_type || '|b' else '' end end as options, event_id % 5 in (0, 2, 3) as valid from events""")
 def options_coercion(s, d):
-    rows = s.createDataFrame([(1, '["a","b"]'), (2, '{"a":1}'), (3, None), (4, "[]"), (5, "x,y")], "id int, text string")
-    made = rows.select("id", ingest.coerced_options(F.col("text")).alias("o"))
-    return made.select("id", F.array_join("o.options", "|").alias("options"), F.col("o.valid").alias("valid"))
+    i = F.col("event_id") % 5
+    text = F.when(i == 0, F.concat(F.lit('["'), "action", F.lit('","b"]'))).when(i == 1, F.col("props")).when(i == 3, F.lit("[]")).when(i == 4, F.concat("action", F.lit(",y")))
+    made = _usage(s, d).select("event_id", ingest.coerced_options(text).alias("o"))
+    return made.select("event_id", F.array_join("o.options", "|").alias("options"), F.col("o.valid").alias("valid"))
 
 
 @query("select r_regionkey as id, unnest(range(2, (r_regionkey + 3)::bigint))::int as page from region")
@@ -556,10 +862,82 @@ def import_page_plan(s, d):
     return ingest.page_plan(files, 2)
 
 
-@query("select * from (values (1, 'texto_completo_pagina_1', 'A'), (3, 'texto_completo_pagina_3', 'C')) t(page, k, v)")
+@query(r"""
+    select doc_id as page, 'Conteúdo da Página ' || doc_id as nome_base, 'texto_completo_pagina_' || doc_id as k, left(regexp_replace(text, '^\s+|\s+$', '', 'g'), 20000) as v
+    from documents where trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) <> ''""")
 def page_text_fallback(s, d):
-    rows = s.createDataFrame([(1, "A"), (2, "B"), (3, "C"), (4, " ")], "page int, text string")
-    return ingest.page_texts(rows, [1, 3, 4]).select("page", F.explode("leftovers").alias("k", "v"))
+    pages = read(s, d, "documents").select(F.col("doc_id").alias("page"), "text")
+    return P.page_texts(pages).select("page", "nome_base", F.explode("leftovers").alias("k", "v"))
+
+
+def _grids(s, d):
+    """Suppliers' documents of pages with text, and with tables on some: a part is a page, ten parts a document."""
+    k = F.col("p_partkey")
+    size = F.col("p_size").cast("string")
+    table = F.array(F.array(F.lit(" Nome "), F.lit("nan"), F.lit("SKU")), F.array(F.col("p_name"), F.col("p_brand"), size), F.array(F.col("p_type"), size))
+    more = F.array(F.array(F.lit("SKU"), F.lit(None).cast("string")), F.array(size, F.lit(" ")), F.array(F.lit(""), F.col("p_name")))
+    none = F.array().cast("array<array<array<string>>>")
+    tables = F.when(k % 30 < 10, none).when(k % 3 == 0, F.array(table)).when(k % 3 == 1, F.array(table, more)).otherwise(F.array(F.slice(table, 1, 1)))
+    text = F.when(k % 4 > 0, F.concat(F.lit(" "), F.col("p_name"), F.lit("  x \n\n"), F.col("p_brand"), F.lit("  "), F.col("p_type"), F.lit("\nlast\n4th")))
+    return read(s, d, "part").select(F.floor(k / 10).cast("bigint").alias("document"), k.alias("page"), text.alias("text"), tables.alias("tables"))
+
+
+_GRID_ROWS = """
+    select p_partkey as page, 0 as tab, 0 as rw, 'Nome=' || p_name || ';coluna_vazia_1=' || p_brand || ';SKU=' || p_size as cells from part where p_partkey % 30 >= 10 and p_partkey % 3 < 2
+    union all select p_partkey, 1, 0, 'SKU=' || p_size || ';coluna_vazia_1= ' from part where p_partkey % 30 >= 10 and p_partkey % 3 = 1
+    union all select p_partkey, 1, 1, 'SKU=;coluna_vazia_1=' || p_name from part where p_partkey % 30 >= 10 and p_partkey % 3 = 1"""
+_PAGE_TEXT = "p_name || '  x ' || chr(10) || chr(10) || p_brand || '  ' || p_type || chr(10) || 'last' || chr(10) || '4th'"
+
+
+def _cells_text(cells):
+    return F.array_join(F.transform(F.map_entries(cells), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))), ";")
+
+
+@query(f"select page, tab::int as tab, rw::int as rw, cells from ({_GRID_ROWS})")
+def page_table_rows(s, d):
+    return P.table_rows(_grids(s, d)).select("page", F.col("table").alias("tab"), F.col("row").alias("rw"), _cells_text("cells").alias("cells"))
+
+
+@query(f"""
+    with g as ({_GRID_ROWS})
+    select page // 10 as document, page, cells from g
+    union all select p_partkey // 10, p_partkey, 'texto_completo_pagina_' || p_partkey || '=' || {_PAGE_TEXT} from part where p_partkey % 4 > 0 and p_partkey // 10 not in (select page // 10 from g)""")
+def document_rows(s, d):
+    return P.document_rows(_grids(s, d), "document").select("document", "page", _cells_text("cells").alias("cells"))
+
+
+@query(f"""
+    select p_partkey as page, case when p_partkey % 30 >= 10 and p_partkey % 3 < 2 then 'Nome|nan|SKU' when p_partkey % 4 > 0 then regexp_replace(p_name || ' x', '\\s+', '|', 'g') else '' end as headers,
+        case when p_partkey % 30 >= 10 and p_partkey % 3 < 2 then p_name || '|' || p_brand || '|' || p_size || ';' || p_type || '|' || p_size
+             when p_partkey % 4 > 0 then regexp_replace(p_brand || ' ' || p_type, '\\s+', '|', 'g') || ';last;4th' else '' end as rows from part""")
+def single_page_rows(s, d):
+    joined = lambda rows: F.array_join(F.transform(rows, lambda r: F.array_join(r, "|")), ";")
+    return P.single_page(_grids(s, d)).select("page", F.array_join("headers", "|").alias("headers"), joined(F.col("rows")).alias("rows"))
+
+
+_REGION = """
+    select p_partkey as page, case when p_partkey % 30 >= 10 then ' Nome |nan|SKU' when p_partkey % 4 > 0 then p_name || '|x' else '' end as headers,
+        case when p_partkey % 30 >= 10 and p_partkey % 3 < 2 then p_name || '|' || p_brand || '|' || p_size || ';' || p_type || '|' || p_size || case when p_partkey % 3 = 1 then ';SKU|;' || p_size || '| ;|' || p_name else '' end
+             when p_partkey % 30 >= 10 then '' when p_partkey % 4 > 0 then ';' || p_brand || '|' || p_type || ';last;4th' else '' end as rows from part"""
+
+
+@query(_REGION)
+def region_table_rows(s, d):
+    joined = lambda rows: F.array_join(F.transform(rows, lambda r: F.array_join(r, "|", "")), ";")
+    return P.region_rows(_grids(s, d)).select("page", F.array_join("headers", "|").alias("headers"), joined(F.col("rows")).alias("rows"))
+
+
+@query(f"select page, case when p_partkey % 4 > 0 then ' ' || {_PAGE_TEXT} else '' end as text, nullif(rows, '') as tab from ({_REGION}) join part on p_partkey = page")
+def full_page(s, d):
+    joined = lambda rows: F.array_join(F.transform(rows, lambda r: F.array_join(r, "|", "")), ";")
+    return P.full_page(_grids(s, d)).select("page", "text", joined(F.col("table")).alias("tab"))
+
+
+@query("""
+    select p_partkey as page, p_partkey % 30 >= 10 as has_table, case when p_partkey % 4 > 0 then ' ' || p_name || '  x ' || chr(10) || chr(10) || p_brand || '  ' || p_type else '' end as snippet
+    from part where p_partkey between 5 and 904""")
+def page_preview(s, d):
+    return P.preview(_grids(s, d), 5, 900)
 
 
 @query(f"with recursive {_UPSERT} select (count(*) filter (change = 'created'))::bigint as created, (count(*) filter (change = 'updated'))::bigint as updated, (select count(*) from g where not accepted)::bigint as errors from st")
@@ -567,8 +945,11 @@ def import_result_summary(s, d):
     return lifecycle.result_summary(_state(s, d), _deduped(s, d).where("not accepted"))
 
 
-@query("select c_custkey, case when c_custkey % 5 = 0 then 'CONCLUIDO_SUCESSO' when c_custkey % 2 = 0 then 'CONCLUIDO_COM_DADOS_PARCIAIS' when c_custkey % 3 = 0 then 'CONCLUIDO_SUCESSO' else 'NENHUMA_FONTE_ENCONTRADA' end as status from customer")
+@query("""
+    select c_custkey, case when c_custkey % 5 = 0 then 'CONCLUIDO_SUCESSO' when c_custkey % 2 = 0 then 'CONCLUIDO_COM_DADOS_PARCIAIS' when c_custkey % 3 = 0 then 'CONCLUIDO_SUCESSO' else 'NENHUMA_FONTE_ENCONTRADA' end as status,
+        case when c_custkey % 2 = 0 then left(repeat(c_name, c_custkey::int), 15000) end as text from customer""")
 def status_by_parts(s, d):
     k = F.col("c_custkey")
     meta = (k % 5 == 0) | ((k % 2 != 0) & (k % 3 == 0))
-    return read(s, d, "customer").select("c_custkey", enrich.status_by_parts(k % 2 == 0, meta).alias("status"))
+    text = F.when(k % 2 == 0, F.repeat("c_name", k.cast("int")))
+    return read(s, d, "customer").select("c_custkey", enrich.status_by_parts(text.isNotNull(), meta).alias("status"), enrich.kept_text(text).alias("text"))

@@ -1,34 +1,42 @@
-"""Delimited supplier files: sniff a small sample on the driver, then read distributed.
+"""Delimited supplier files: sniff the head of each file on the driver, then read distributed.
 
 Every cell is a string; the header row names the columns.
 """
 
 from __future__ import annotations
 
+import ast
 import csv
+from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Candidate delimiters, and the order of the fallback.
+from vendora.functions.columns import clean, strip
+
+#: Candidate delimiters, the order of the fallback, and the name of surplus cells.
 DELIMITERS = ",;\t|"
 FALLBACK = (";", "\t", ",")
 ENCODINGS = ("utf-8-sig", "cp1252")
+SURPLUS = "None"
 SAMPLE_BYTES = 64 * 1024
 #: Spark reads no Windows code page: such a file is read as Latin-1 and these characters are put right after.
 SPARK_NAMES = {"utf-8-sig": "UTF-8", "cp1252": "ISO-8859-1"}
 _LATIN = "".join(map(chr, range(0x80, 0xA0)))
 _WINDOWS = "".join(bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(0x80, 0xA0))
+_TO_WINDOWS = str.maketrans(_LATIN, _WINDOWS)
 
 
 def sniff(sample: bytes) -> tuple[str, str]:
     """(delimiter, Python encoding) from the first bytes of a file; the dialect is guessed from the first five lines."""
     encoding = next((e for e in ENCODINGS if _decodes(sample, e)), "cp1252")
-    head = "\n".join(sample.decode(encoding, "replace").splitlines()[:5])
+    lines = sample.decode(encoding, "replace").splitlines()
     try:
-        return csv.Sniffer().sniff(head, DELIMITERS).delimiter, encoding
+        return csv.Sniffer().sniff("\n".join(lines[:5]), DELIMITERS).delimiter, encoding
     except csv.Error:
-        return next((d for d in FALLBACK[:-1] if d in head), FALLBACK[-1]), encoding
+        return next((d for d in FALLBACK[:-1] if lines and d in lines[0]), FALLBACK[-1]), encoding
 
 
 def _decodes(sample: bytes, encoding: str) -> bool:
@@ -39,37 +47,100 @@ def _decodes(sample: bytes, encoding: str) -> bool:
     return True
 
 
+def files_of(spark: SparkSession, path: str) -> list[str]:
+    """Paths of the files that a path or pattern names, in order."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    out: list[str] = []
+    for found in system.globStatus(hadoop) or ():
+        inner = system.listStatus(found.getPath()) if found.isDirectory() else [found]
+        out += [str(x.getPath().toString()) for x in inner if not x.isDirectory() and not x.getPath().getName().startswith(("_", "."))]
+    return sorted(out)
+
+
+def head_of(spark: SparkSession, path: str, size: int = SAMPLE_BYTES) -> bytes:
+    """The first bytes of a file of any size."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).open(hadoop)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(spark._jvm.org.apache.commons.io.input.BoundedInputStream(stream, size)))
+    finally:
+        stream.close()
+
+
+def _header(sample: bytes, sep: str, encoding: str) -> list[str]:
+    return next((row for row in csv.reader(sample.decode(encoding, "replace").splitlines(keepends=True), delimiter=sep) if row), [])
+
+
+def _surplus(sep: str, width: int):
+    """Cells of a raw line beyond the header's, as a list's text; only lines of another width than the header's are split here."""
+
+    @F.pandas_udf("string")
+    def cells(raw: pd.Series) -> pd.Series:
+        def beyond(line: str | None) -> str | None:
+            row = next(csv.reader(line.splitlines(keepends=True), delimiter=sep), []) if line else []
+            return str(row[width:]) if len(row) > width else None
+
+        return raw.map(beyond)
 
+    return cells
 
-def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None) -> DataFrame:
+
+def surplus_cells(text: str) -> list[str]:
+    """The cells that a surplus column's text lists."""
+    return ast.literal_eval(text)
+
+
+def _read(spark: SparkSession, paths: list[str], sep: str, encoding: str, header: list[str], multi_line: bool, surplus: bool) -> DataFrame:
+    names = [f"_c{i}" for i in range(len(header))]
+    schema = ", ".join(f"{n} string" for n in [*names, "_raw"])
+    options = {"sep": sep, "encoding": SPARK_NAMES.get(encoding, encoding), "header": True, "enforceSchema": True, "multiLine": multi_line, "escape": '"', "columnNameOfCorruptRecord": "_raw", "mode": "PERMISSIVE"}
+    rows = spark.read.schema(schema).options(**options).csv(paths)
+    of = lambda c: F.translate(F.col(c), _LATIN, _WINDOWS) if encoding == "cp1252" else F.col(c)
+    # Of columns with one name the last counts.
+    last = {h: n for h, n in zip(header, names, strict=True)}
+    cells = [of(n).alias(h) for h, n in last.items()]
+    if surplus:
+        cells.append(_surplus(sep, len(header))(of("_raw")).alias(SURPLUS))
+    return rows.select(*cells, F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row"))
+
+
+def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, multi_line: bool = True, surplus: bool = False) -> DataFrame:
     """All-string rows with _file and _row (in file order); missing cells are null, empty cells too.
 
-    Surplus cells of a row are kept, joined by the delimiter, under ``None``.  Without sep
-    or encoding both are sniffed from the first file of the path.
+    Each file has its own dialect and header, sniffed from its head unless given; files
+    that agree are read together, and columns that a file lacks are null.  multi_line lets
+    quoted cells hold line feeds, at the price of one task a file; without it a file of any
+    size is split.  With surplus, cells beyond the header are kept in a column named
+    ``None``, as the text of a list.  A path without files is an error.
     """
-    if sep is None or encoding is None:
-        files = spark.read.format("binaryFile").load(path).select("path").orderBy("path").limit(1).collect()
-        raw = spark.read.format("binaryFile").load(files[0].path).select(F.substring("content", 1, SAMPLE_BYTES).alias("head")).first().head
-        found = sniff(bytes(raw))
-        sep, encoding = sep or found[0], encoding or found[1]
-    rows = spark.read.option("sep", sep).option("encoding", SPARK_NAMES.get(encoding, encoding)).option("header", True).option("multiLine", True).option("ignoreLeadingWhiteSpace", False).option("escape", '"').csv(path)
-    if encoding == "cp1252":
-        cells = [F.translate(F.col(f"`{c.replace('`', '``')}`"), _LATIN, _WINDOWS).alias(c.translate(str.maketrans(_LATIN, _WINDOWS))) for c in rows.columns]
-        return rows.select(*cells, F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row"))
-    return rows.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row"))
+    groups: dict[tuple, list[str]] = {}
+    for file in files_of(spark, path):
+        head = head_of(spark, file)
+        found = sniff(head)
+        dialect = sep or found[0], encoding or found[1]
+        groups.setdefault((*dialect, tuple(_header(head, *dialect))), []).append(file)
+    if not groups:
+        raise FileNotFoundError(path)
+    parts = [_read(spark, files, own_sep, own_encoding, list(header), multi_line, surplus) for (own_sep, own_encoding, header), files in groups.items()]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return rows.select(*(F.col("`" + c.replace("`", "``") + "`") for c in rows.columns if c not in ("_file", "_row")), "_file", "_row")
+
+
+def headers_of(rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c not in ("_file", "_row")]
 
 
 def preview(rows: DataFrame, n: int = 5) -> tuple[list[str], DataFrame]:
     """Headers and the first n rows."""
-    headers = [c for c in rows.columns if c not in ("_file", "_row")]
-    return headers, rows.orderBy("_file", "_row").limit(n).select(*headers)
+    headers = headers_of(rows)
+    return headers, rows.orderBy("_file", "_row").limit(n).select(*(F.col("`" + h.replace("`", "``") + "`") for h in headers))
 
 
 def key_values(pages: DataFrame, text_column: str = "text") -> DataFrame:
-    """Region text to key -> value: lines with a colon split once; without any such line, ``col_{i}`` for each line."""
-    lines = F.filter(F.split(F.col(text_column), "\n"), lambda x: F.trim(x) != "")
+    """pages with pairs, a map of a region's text: lines with a colon split once; without any such line, ``col_{i}`` for each line."""
+    lines = F.filter(F.split(F.col(text_column), "\n"), lambda x: strip(x) != "")
     pairs = F.filter(lines, lambda x: F.contains(x, F.lit(":")))
-    strip = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
     keyed = F.transform(pairs, lambda x: F.struct(strip(F.substring_index(x, ":", 1)).alias("k"), strip(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("v")))
     plain = F.transform(lines, lambda x, i: F.struct(F.concat(F.lit("col_"), i.cast("string")).alias("k"), strip(x).alias("v")))
     chosen = F.when(F.size(pairs) > 0, keyed).otherwise(plain)
@@ -77,12 +148,20 @@ def key_values(pages: DataFrame, text_column: str = "text") -> DataFrame:
     return pages.withColumn("pairs", last)
 
 
+def standard_header(cells: Column) -> Column:
+    """Header cells cleaned; a blank one is ``coluna_vazia_{i}``."""
+    return F.transform(cells, lambda h, i: F.coalesce(clean(h), F.concat(F.lit("coluna_vazia_"), i.cast("string"))))
+
+
 def grid_rows(grid: DataFrame) -> DataFrame:
     """Extracted table grids (``grid`` array<array<string>>) to rows of header -> cell.
 
     The first row is the header, a blank header is ``coluna_vazia_{i}``, and rows of
-    another width are left out.
+    another width are left out.  Of headers with one name the last counts.
     """
-    header = F.transform(F.element_at("grid", 1), lambda h, i: F.when(F.trim(F.coalesce(h, F.lit(""))) == "", F.concat(F.lit("coluna_vazia_"), i.cast("string"))).otherwise(h))
-    body = F.filter(F.slice("grid", 2, F.greatest(F.size("grid") - 1, F.lit(0))), lambda r: F.size(r) == F.size(header))
-    return grid.where(F.size("grid") > 1).select("*", F.posexplode(F.transform(body, lambda r: F.map_from_arrays(header, r))).alias("row", "cells"))
+    header = standard_header(F.element_at("grid", 1))
+    body = F.filter(F.slice("grid", 2, F.greatest(F.size("grid") - 1, F.lit(0))), lambda r: F.size(r) == F.size(F.element_at("grid", 1)))
+    # Cells of a header that comes again further right are left out.
+    entries = lambda r: F.filter(F.transform(F.arrays_zip(header.alias("k"), r.alias("v")), lambda e, i: F.struct(e["k"].alias("k"), e["v"].alias("v"), i.alias("i"))), lambda e: ~F.array_contains(F.slice(header, e["i"] + 2, F.size(header)), e["k"]))
+    cells = F.transform(body, lambda r: F.map_from_entries(F.transform(entries(r), lambda e: F.struct(e["k"], e["v"]))))
+    return grid.where(F.size("grid") > 1).select("*", F.posexplode(cells).alias("row", "cells"))

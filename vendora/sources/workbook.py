@@ -1,26 +1,91 @@
-"""Excel files: all sheets or one, in order, without all-empty rows; needs openpyxl on the executors."""
+"""Workbooks (xlsx): all sheets or one, in order, without all-empty rows.
+
+An xlsx file is a zip archive of XML: the sheets in their order, shared strings, and the
+cells.  It is read on the executors, one file a record; a file must fit in a task.
+"""
 
 from __future__ import annotations
 
 import io
+import posixpath
+import re
+import zipfile
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+
+
+def _column(reference: str) -> int:
+    """Number of a cell's column from its reference, A1 being 0."""
+    n = 0
+    for c in re.match("[A-Z]+", reference)[0]:
+        n = n * 26 + ord(c) - 64
+    return n - 1
+
+
+def _value(cell: ElementTree.Element, shared: list[str]) -> str | None:
+    kind, value = cell.get("t"), cell.find(f"{_MAIN}v")
+    if kind == "inlineStr":
+        return "".join(t.text or "" for t in cell.iter(f"{_MAIN}t"))
+    if value is None or value.text is None:
+        return None
+    if kind == "s":
+        return shared[int(value.text)]
+    return {"1": "True", "0": "False"}.get(value.text, value.text) if kind == "b" else value.text
+
+
+def sheets_of(content: bytes) -> Iterator[tuple[str, list[list[str | None]]]]:
+    """(name, rows of cells) of each sheet, in the workbook's order."""
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        names = set(archive.namelist())
+        shared = []
+        if "xl/sharedStrings.xml" in names:
+            shared = ["".join(t.text or "" for t in item.iter(f"{_MAIN}t")) for item in ElementTree.fromstring(archive.read("xl/sharedStrings.xml"))]
+        targets = {x.get("Id"): x.get("Target") for x in ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels"))}
+        for sheet in ElementTree.fromstring(archive.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"):
+            target = targets[sheet.get(f"{_REL}id")]
+            path = target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"xl/{target}")
+            rows = []
+            for row in ElementTree.fromstring(archive.read(path)).iter(f"{_MAIN}row"):
+                cells: list[str | None] = []
+                for cell in row:
+                    at = _column(cell.get("r")) if cell.get("r") else len(cells)
+                    cells += [None] * (at + 1 - len(cells))
+                    cells[at] = _value(cell, shared)
+                rows.append(cells)
+            yield sheet.get("name"), rows
+
+
+def _records(rows: list[list[str | None]]) -> Iterator[tuple[int, list[tuple[str, str]]]]:
+    """Rows below the header that aren't empty, as (number, pairs of header and cell)."""
+    header = [h if h not in (None, "") else f"Unnamed: {i}" for i, h in enumerate(rows[0])] if rows else []
+    for i, row in enumerate(rows[1:]):
+        pairs = {h: c for h, c in zip(header, row, strict=False) if c not in (None, "")}
+        if pairs:
+            yield i, list(pairs.items())
+
 
 def read_workbook(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """(path, sheet, row, cells map<string,string>) of every row; each file is one record of one task."""
+    """path, sheet, sheet_no, row, cells (map) of every row that isn't empty; numbers are their text in the file.
 
-    def rows(frames: Iterator) -> Iterator:
-        import pandas as pd
+    A file that can't be read gives one row with the cell erro_processamento_excel.
+    """
 
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for files in frames:
             out = []
             for name, content in zip(files["path"], files["content"], strict=True):
-                sheets = pd.read_excel(io.BytesIO(content), sheet_name=sheet, dtype=str)
-                for title, frame in (sheets if isinstance(sheets, dict) else {sheet: sheets}).items():
-                    frame = frame.dropna(how="all")
-                    out += [(name, title, i, {str(k): v for k, v in r.items() if v == v and v is not None}) for i, r in enumerate(frame.to_dict("records"))]
-            yield pd.DataFrame(out, columns=["path", "sheet", "row", "cells"])
+                try:
+                    for number, (title, rows) in enumerate(sheets_of(content)):
+                        if sheet in (None, title):
+                            out += [(name, title, number, i, dict(pairs)) for i, pairs in _records(rows)]
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
+                    out.append((name, None, None, 0, {"erro_processamento_excel": str(e)}))
+            yield pd.DataFrame(out, columns=["path", "sheet", "sheet_no", "row", "cells"]).astype({"sheet_no": "Int32"})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "path string, sheet string, row bigint, cells map<string,string>")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "path string, sheet string, sheet_no int, row bigint, cells map<string,string>")
