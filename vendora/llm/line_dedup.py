@@ -32,9 +32,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vendora.llm.components import components
 from vendora.llm.kernel import LongRangeHash, RangeHash, U, chunks, mix, runs_of_sorted
-from vendora.llm.store import PACKED, Deal, Tables, buckets_for, deal_out, fresh, gather, id_bitmap, in_bitmap, lean, long_array
+from vendora.llm.store import PACKED, Deal, buckets_for, deal_out, fresh, gather, id_bitmap, in_bitmap, lean, long_array
+from vendora.plans.checkpoints import Tables
+from vendora.plans.graph import components
 
 SHORT_LIST = 64
 _CHUNK_CHARS = 1 << 19

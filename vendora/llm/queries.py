@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vendora.llm import chat_format, chunk_dedup, decontaminate, language_id, line_dedup, ngram_join, piece_codec, token_counts, topk_search, toxicity
-from vendora.llm.store import discard
+from vendora.plans.checkpoints import discard
 
 QUERY_STEP = 50
 PIECE_MODEL = "piece_bpe_32k.model"

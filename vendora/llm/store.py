@@ -1,4 +1,4 @@
-"""What the operators share: tables in the shared folder, packed shuffles, id bitmaps.
+"""What the operators share: packed shuffles and id bitmaps.
 
 A packed shuffle moves fixed-width binary records instead of rows.  Map tasks deal
 records into buckets by a 64-bit key and send each bucket's records as one binary
@@ -10,17 +10,13 @@ PART_BYTES by key, so it holds one bucket as it came and sorts one part at a tim
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vendora.llm.kernel import U, mix
@@ -30,78 +26,6 @@ FLUSH_BYTES, MOST_FLUSH_BYTES, LEAST_PAYLOAD = 8 << 20, 64 << 20, 512
 BUCKET_BYTES = 128 << 20
 PART_BYTES = 16 << 20
 PACKED = "bucket int, kind int, payload binary"
-_own_folder: list[str] = []
-#: Paths that materialize wrote and discard hasn't deleted.
-_live: set[str] = set()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where that is unset and Spark runs on one machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="vendora-"))
-        atexit.register(shutil.rmtree, _own_folder[0], True)
-    return "file://" + _own_folder[0]
-
-
-class Tables:
-    """Intermediate tables of one run of an operator, all dropped together."""
-
-    def __init__(self) -> None:
-        self.made: list[DataFrame] = []
-
-    def own(self, df: DataFrame) -> DataFrame:
-        """A table that materialize wrote, to be dropped by close."""
-        self.made.append(df)
-        return df
-
-    def write(self, df: DataFrame) -> DataFrame:
-        return self.own(materialize(df))
-
-    def close(self, result: DataFrame) -> DataFrame:
-        """result written by itself, so that nothing reads the tables any more, and the tables dropped."""
-        out = materialize(result)
-        for df in self.made:
-            discard(df)
-        return out
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/vendora-{uuid.uuid4().hex}"
-    _live.add(path)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._vendora_path = path
-    return out
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-    _live.discard(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete what materialize wrote, once nothing will read it again."""
-    path = getattr(df, "_vendora_path", None)
-    if path:
-        _delete(df.sparkSession, path)
-
-
-def live() -> set[str]:
-    return set(_live)
-
-
-def discard_since(spark: SparkSession, before: set[str], keep: DataFrame) -> None:
-    """Delete every table written since live() gave before, but keep."""
-    for path in _live - before - {getattr(keep, "_vendora_path", "")}:
-        _delete(spark, path)
 
 
 def buckets_for(df: DataFrame, column: str, growth: float = 1.0) -> int:
