@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vendora.llm import decontaminate, language_id, line_dedup, ngram_join, piece_codec
 from vendora.llm.queries import piece_model, table
-from vendora.llm.store import discard_since, live, materialize
+from vendora.plans.checkpoints import discard_since, live, materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
