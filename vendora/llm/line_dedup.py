@@ -10,7 +10,8 @@ that the multi-match-aware rule limits.  One pass over the texts deals the keys
 segments and substrings, as packed records of line hashes, into buckets; equal keys
 give candidate pairs, less those whose letter parities differ in more bits than
 MAX_EDITS edits can change.  Of lists longer than SHORT_LIST each line is paired with
-the first one; pairs between lines that this doesn't link follow in a second round.
+the first one; pairs between lines that this doesn't link follow in a second round,
+where a list is spread over cells of two blocks each.
 Candidates are verified on their texts by a banded bit-parallel edit distance, many
 pairs at a time.  Of equal lines that a map task holds only the first is sent to be
 compared; the others are later occurrences whatever the rest holds, and go straight to
@@ -41,7 +42,12 @@ SHORT_LIST = 64
 _CHUNK_CHARS = 1 << 19
 OCCURRENCE = np.dtype([("h", "<u8"), ("k", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("line", "<u4")])
 KEY = np.dtype([("key", "<u8"), ("h", "<u8"), ("parity", "<u4")])
-LISTED = np.dtype([("key", "<u8"), ("h", "<u8"), ("parity", "<u4"), ("own", "u1"), ("comp", "<i8")])
+#: A line of a long list: its place in it, how many own the key and how many lines there are, and the line's component.
+LISTED = np.dtype([("key", "<u8"), ("h", "<u8"), ("parity", "<u4"), ("place", "<u4"), ("owners", "<u4"), ("lines", "<u4"), ("comp", "<i8")])
+#: A line in a cell of blocks of a long list: among its owners (bit 1), among the lines compared with them (bit 2), or both.
+IN_CELL = np.dtype([("cell", "<u8"), ("h", "<u8"), ("parity", "<u4"), ("role", "u1"), ("comp", "<i8")])
+#: Lines of a block.
+BLOCK_LINES = 2048
 MAX_EDITS = 2
 MIN_CHARS = 20
 _SEGMENT_CODE = U(0xD6E8FEB86659FD93)
@@ -333,47 +339,84 @@ def _match(edits: int, short_list: int):
             pivot = mine[:1]
             pairs.add(np.repeat(pivot, n - 1), mine[1:])
             pairs.add(np.repeat(pivot, p), asking)
-            for is_own, part in ((1, mine), (0, asking)):
+            for before, part in ((0, mine), (n, asking)):
                 record = np.empty(len(part), LISTED)
-                record["key"], record["h"], record["parity"], record["own"], record["comp"] = part["key"], part["h"], part["parity"], is_own, 0
+                record["key"], record["h"], record["parity"], record["comp"] = part["key"], part["h"], part["parity"], 0
+                record["place"], record["owners"], record["lines"] = before + np.arange(len(part)), n, n + p
                 yield _row_batch(2, part["h"].copy(), part["key"].copy(), [r.tobytes() for r in record])
         yield pairs.batch()
 
     return run
 
 
+def _cells(x: np.ndarray) -> Iterator[np.ndarray]:
+    """Lines of long lists in every cell of their lists that they take part in.
+
+    A cell compares the owners of one block of a list with all lines of that block or a
+    later one, so that each pair with an owner meets in one cell, and a long list is spread
+    over as many cells as it has pairs of blocks.
+    """
+    place, owners, lines = (x[c].astype(np.int64) for c in ("place", "owners", "lines"))
+    block, blocks, owned = place // BLOCK_LINES, -(-lines // BLOCK_LINES), -(-owners // BLOCK_LINES)
+    owns = place < owners
+
+    def of(pick: np.ndarray, low: np.ndarray, high: np.ndarray, role: int) -> np.ndarray:
+        out = np.empty(int(pick.sum()), IN_CELL)
+        for name in ("h", "parity", "comp"):
+            out[name] = x[name][pick]
+        out["role"] = role
+        out["cell"] = mix(x["key"][pick] + mix(low.astype(U) * U(0x9E3779B97F4A7C15) + high.astype(U)))
+        return out
+
+    yield of(owns, block[owns], block[owns], 3)
+    # Lines that ask may share the last block of the owners.
+    pick = ~owns & (block < owned)
+    yield of(pick, block[pick], block[pick], 2)
+    for other in range(int(blocks.max(initial=0))):
+        pick = owns & (block < other) & (other < blocks)
+        yield of(pick, block[pick], np.full(int(pick.sum()), other), 1)
+        pick = (other < block) & (other < owned)
+        yield of(pick, np.full(int(pick.sum()), other), block[pick], 2)
+
+
 def _relabel(buckets: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Deal(buckets, LISTED, 0)
+        out = Deal(buckets, IN_CELL, 0)
         for batch in batches:
             payloads = batch.column(0).to_pylist()
             if payloads:
                 part = np.frombuffer(b"".join(payloads), LISTED).copy()
                 part["comp"] = batch.column(1).to_numpy()
-                yield from out.add(part["key"], part)
+                for records in _cells(part):
+                    yield from out.add(records["cell"], records)
         yield from out.flush()
 
     return run
 
 
+def _cell_of(x: np.ndarray) -> np.ndarray:
+    return x["cell"]
+
+
 def _match_rest(edits: int):
-    """Pairs of long lists whose lines are in different components."""
+    """Pairs of long lists whose lines are in different components and pass the parity filter."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in gather(batches, {0: (LISTED, _key_of)}):
+        for found in gather(batches, {0: (IN_CELL, _cell_of)}):
             yield match(found[0])
 
     def match(found: np.ndarray) -> pa.RecordBatch:
-        found = found[np.lexsort((found["h"], found["own"], found["key"]))]
+        found = found[np.argsort(found["cell"], kind="stable")]
         pairs = _Pairs(edits)
-        starts, lengths = runs_of_sorted(found["key"])
+        starts, lengths = runs_of_sorted(found["cell"])
         for s, n in zip(starts, lengths, strict=True):
             mine = found[s : s + n]
-            own = mine[mine["own"] == 1]
+            own, others = mine[mine["role"] & 1 == 1], mine[mine["role"] & 2 == 2]
             step = max(1, 500_000 // max(len(own), 1))
-            for at in range(0, n, step):
-                part = mine[at : at + step]
-                i, j = np.nonzero(part["comp"][:, None] != own["comp"][None, :])
+            for at in range(0, len(others), step):
+                part = others[at : at + step]
+                near = np.bitwise_count(part["parity"][:, None] ^ own["parity"][None, :]) <= 2 * edits
+                i, j = np.nonzero(near & (part["comp"][:, None] != own["comp"][None, :]))
                 pairs.add(part[i], own[j])
         return pairs.batch()
 
