@@ -4,8 +4,8 @@ Texts with equal shingle sets form a class, and classes are joined.  If two sets
 the threshold, their prefixes (in the order of the shingle hashes, a quarter of a set)
 share at least T shingles, where T follows from the two sizes.
 
-1. Prefix postings (shingle, class, size) meet by shingle and form inverted lists.
-   Lists of one class vanish.  Lists of up to SHORT_LIST classes go to their classes;
+1. Prefix postings (shingle, class, size) meet by shingle and form inverted lists; of a list
+   that is long within a map task only a mark is sent.  Lists of one class vanish.  Lists of up to SHORT_LIST classes go to their classes;
    of longer ones each class is only told that it is in it.
 2. Each class searches its short lists: DivideSkip merges the shorter of them with a
    heap that skips, and probes the longer ones by binary search.  Long lists lower the
@@ -144,13 +144,46 @@ def _doc(x: np.ndarray) -> np.ndarray:
     return x["doc"].astype(U)
 
 
-def _postings(buckets: int):
+#: Postings that a map task looks through for long lists before it sends them.
+BUFFER_POSTINGS = 400_000
+
+
+def _told(post: np.ndarray) -> np.ndarray:
+    out = np.empty(len(post), LONG)
+    out["q"], out["tok"], out["n"] = post["cls"], post["tok"], post["n"]
+    return out
+
+
+def _postings(buckets: int, short_list: int):
+    """Kind 0: documents.  Kind 1: postings by shingle.  Kind 2: classes told of long lists.
+
+    A list that is long among the postings that a task holds is long for sure: its classes
+    are told at once, and its bucket gets one posting of no shingles, which marks it as long.
+    So a shingle that many classes share costs its bucket one record for each buffer.
+    """
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, posts = Deal(buckets, DOC, 0), Deal(buckets, POST, 1)
+        docs, posts, told = Deal(buckets, DOC, 0), Deal(buckets, POST, 1), Deal(buckets, LONG, 2)
         seen: set[tuple[int, int]] = set()
+        held: list[np.ndarray] = []
+        size = 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            if held:
+                post = _by_list(np.concatenate(held))
+                held.clear()
+                starts, lengths = runs_of_sorted(post["tok"])
+                long = np.repeat(lengths > short_list, lengths)
+                found = _told(post[long])
+                yield from told.add(found["q"], found)
+                marks = post[starts[lengths > short_list]]
+                marks["cls"], marks["n"] = 0, 0
+                for part in (post[~long], marks):
+                    yield from posts.add(part["tok"], part)
+
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            rows, out = [], []
+            rows = []
             for row, mine in shingle_sets(batch.column(1), SHINGLE):
                 n = len(mine)
                 both = cls, chk = class_of(mine) if n else (0, 0)
@@ -161,18 +194,16 @@ def _postings(buckets: int):
                     seen.add(both)
                     part = np.empty(int(prefix_size(n)), POST)
                     part["tok"], part["cls"], part["n"] = mine[: len(part)], cls, n
-                    out.append(part)
-                    if len(out) >= 2000:
-                        every = np.concatenate(out)
-                        out = []
-                        yield from posts.add(every["tok"], every)
-            if out:
-                every = np.concatenate(out)
-                yield from posts.add(every["tok"], every)
+                    held.append(part)
+                    size += len(part)
+                    if size >= BUFFER_POSTINGS:
+                        size = 0
+                        yield from send()
             every = np.array(rows, DOC)
-            yield from docs.add(every["doc"].astype(U), every)
-        yield from docs.flush()
-        yield from posts.flush()
+            yield from docs.add(_doc(every), every)
+        yield from send()
+        for deal in (docs, posts, told):
+            yield from deal.flush()
 
     return run
 
@@ -196,26 +227,30 @@ def _pairs(cls: np.ndarray, n: np.ndarray, tok: np.ndarray, starts: np.ndarray,
 
 def _by_list(post: np.ndarray) -> np.ndarray:
     """Postings by shingle and class, without repeats."""
-    post = post[np.lexsort((post["cls"], post["tok"]))]
+    # Marks of long lists are of no class and no shingles, so they come first.
+    post = post[np.lexsort((post["n"], post["cls"], post["tok"]))]
     if len(post):
-        post = post[np.concatenate(([True], (post["tok"][1:] != post["tok"][:-1]) | (post["cls"][1:] != post["cls"][:-1])))]
+        post = post[np.concatenate(([True], (post["tok"][1:] != post["tok"][:-1]) | (post["cls"][1:] != post["cls"][:-1]) | (post["n"][1:] != post["n"][:-1])))]
     return post
 
 
 def _lists(buckets: int, short_list: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep, occ, told = Deal(1, DOC, 0), Deal(buckets, OCC, 1), Deal(buckets, LONG, 2)
-        for found in gather(batches, {0: (DOC, _doc), 1: (POST, _token)}):
+        for found in gather(batches, {0: (DOC, _doc), 1: (POST, _token), 2: (LONG, _query)}):
             yield from keep.add(_doc(found[0]), found[0])
+            yield from told.add(found[2]["q"], found[2])
             post = _by_list(found[1])
             starts, lengths = runs_of_sorted(post["tok"])
-            short = (lengths > 1) & (lengths <= short_list)
+            # A list's mark comes first.
+            marked = post["n"][starts] == 0
+            starts, lengths = starts + marked, lengths - marked
+            short = ~marked & (lengths > 1) & (lengths <= short_list)
+            long = marked | (lengths > short_list)
             for part in _pairs(post["cls"], post["n"], post["tok"], starts[short], lengths[short]):
                 yield from occ.add(part["q"], part)
-            for start, length in zip(starts[lengths > short_list], lengths[lengths > short_list], strict=True):
-                mine = post[start : start + length]
-                part = np.empty(length, LONG)
-                part["q"], part["tok"], part["n"] = mine["cls"], mine["tok"], mine["n"]
+            for start, length in zip(starts[long], lengths[long], strict=True):
+                part = _told(post[start : start + length])
                 yield from told.add(part["q"], part)
         yield from keep.flush()
         yield from occ.flush()
@@ -249,7 +284,9 @@ def _search(occ: np.ndarray, long_lists: dict[int, int]) -> Iterator[tuple[int,
 def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (a, b) of candidates, and rows (a, null, payload, n) with the long lists of classes that may share those alone."""
     for found in gather(batches, {1: (OCC, _query), 2: (LONG, _query)}):
-        told = found[2][np.argsort(found[2]["q"], kind="stable")]
+        told = found[2][np.lexsort((found[2]["n"], found[2]["tok"], found[2]["q"]))]
+        if len(told):  # a class that several tasks have seen may be told twice
+            told = told[np.concatenate(([True], (told["q"][1:] != told["q"][:-1]) | (told["tok"][1:] != told["tok"][:-1])))]
         starts, lengths = runs_of_sorted(told["q"])
         long_lists = dict(zip(told["q"][starts].tolist(), lengths.tolist(), strict=True))
         pairs = list(_search(found[1], long_lists))
@@ -465,7 +502,7 @@ def _classified(tables: Tables, docs: DataFrame, short_list: int) -> DataFrame:
     """
     rows = docs.where("doc_id is not null")
     buckets = buckets_for(docs, "text", 1.5)
-    lists = tables.write(deal_out(rows.mapInArrow(lean(_postings(buckets)), PACKED), buckets).mapInArrow(lean(_lists(buckets, short_list)), PACKED))
+    lists = tables.write(deal_out(rows.mapInArrow(lean(_postings(buckets, short_list)), PACKED), buckets).mapInArrow(lean(_lists(buckets, short_list)), PACKED))
     numbered = tables.write(lists.where("kind = 0").select("payload").mapInArrow(lean(_documents), "doc_id bigint, text_hash bigint, cls bigint, chk bigint, n bigint"))
     classes = tables.write(numbered.where("n > 0").groupBy("cls", "chk").agg(F.min("doc_id").alias("first")))
     searched = tables.write(deal_out(lists.where("kind > 0"), buckets).mapInArrow(lean(_candidates), "a bigint, b bigint, toks binary, n bigint"))
