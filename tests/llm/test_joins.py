@@ -175,8 +175,10 @@ def brute_lines(rows, edits, least):
     return {(i, n) for i, n, line in places if first[comp[line]] != (i, n)}
 
 
-@pytest.mark.parametrize("short_list", [64, 2])
-def test_line_dedup_is_exact(spark, short_list):
+@pytest.mark.parametrize("short_list,block", [(64, 2048), (2, 2048), (2, 3)])
+def test_line_dedup_is_exact(spark, short_list, block, monkeypatch):
+    """With short_list 2 most pairs go through the long lists, with blocks of 3 these are spread over cells."""
+    monkeypatch.setattr(line_dedup, "BLOCK_LINES", block)
     rng = random.Random(11)
     bases = ["".join(rng.choice("abcdefgh é") for _ in range(rng.randint(8, 40))) for _ in range(30)]
     rows = [(i, "\n".join(mutate(rng, rng.choice(bases), rng.randint(0, 4)) for _ in range(rng.randint(0, 6)))) for i in range(80)]
@@ -185,6 +187,21 @@ def test_line_dedup_is_exact(spark, short_list):
     assert found == brute_lines(rows, 2, 8)
 
 
+@pytest.mark.parametrize("owners,asking", [(1, 0), (3, 0), (4, 9), (10, 1), (7, 30), (12, 12)])
+def test_every_pair_with_an_owner_meets_in_one_cell(monkeypatch, owners, asking):
+    monkeypatch.setattr(line_dedup, "BLOCK_LINES", 3)
+    x = np.zeros(owners + asking, line_dedup.LISTED)
+    x["h"] = x["place"] = np.arange(len(x))
+    x["key"], x["owners"], x["lines"] = 77, owners, len(x)
+    cells = np.concatenate(list(line_dedup._cells(x)))
+    met = []
+    for c in np.unique(cells["cell"]):
+        mine = cells[cells["cell"] == c]
+        assert len(mine) <= 6
+        met += {tuple(sorted((int(a), int(b)))) for a in mine["h"][mine["role"] & 1 == 1] for b in mine["h"][mine["role"] & 2 == 2] if a != b}
+    assert sorted(met) == [(a, b) for a in range(owners) for b in range(a + 1, len(x))]
+
+
 def test_line_dedup_edges(spark):
     line = "a line that is long enough"
     rows = [(1, f"{line}\nshort\n{line}"), (1, f"{line}\nshort\n{line}"), (2, f"short\n{line}!"), (None, line), (3, None)]

@@ -69,6 +69,16 @@ def test_top_k_keeps_vectors_with_large_components(spark):
             top([(0, [x]), (1, [x])]).collect()
 
 
+def test_top_k_of_repeated_ids_and_hot_vectors(spark):
+    """A third of the rows are one vector; ids may repeat, and then each row of a candidate counts."""
+    rng = random.Random(15)
+    rows = [(i, [1.0, 1.0] if i % 3 == 0 else [rng.random(), rng.random()]) for i in range(600)] + [(601, [2.0, 2.0])] * 3
+    vectors = topk_search.integer_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    found = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk_search.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5).collect()}
+    assert [found[0, r][0] for r in range(1, 6)] == [601, 601, 601, 3, 6]
+    assert [found[3 * 50, r][0] for r in range(1, 6)] == [601, 601, 601, 0, 3]
+
+
 def test_top_k_of_nothing(spark):
     vectors = topk_search.integer_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>"))
     assert topk_search.top_k(vectors, vectors, 5).collect() == []
@@ -116,6 +126,38 @@ def test_pieces_equal_the_library(spark, model):
     assert back == {i: sp.decode(sp.encode(t or "")) for i, t in enumerate(texts)}
 
 
+def test_tokens_and_pieces_of_repeated_rows_and_empty_tables(spark, model):
+    rows = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "other"), (None, "x"), (2, None)], DOC).selectExpr("*", "1 n_words", "2 ids", "'y' word")
+    pieces = token_counts.pieces_of_model(model)
+    counted = token_counts.count_tokens(rows, *pieces).collect()
+    assert sorted((str(r.doc_id), r.n_words) for r in counted) == [("1", 1), ("1", 2), ("1", 2), ("2", 0), ("None", 1)]
+    assert token_counts.count_tokens(rows.limit(0), *pieces).collect() == []
+    assert sorted(r.n_tokens for r in piece_codec.round_trip_digests(rows, model).collect())[0] == 1
+    assert piece_codec.round_trip_digests(rows, model).count() == 5
+    for made in (piece_codec.round_trip_digests, piece_codec.encode_documents):
+        assert made(rows.limit(0), model).collect() == []
+
+
+def test_models_with_a_normaliser_are_refused(model, monkeypatch):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    plain = sentencepiece.SentencePieceProcessor
+
+    class Folding:
+        def __init__(self, **kw):
+            self.sp = plain(**kw)
+
+        def __getattr__(self, name):
+            return getattr(self.sp, name)
+
+        def encode(self, text):
+            return self.sp.encode(text.replace("ﬁ", "fi"))
+
+    piece_codec.PieceModel(model)
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Folding)
+    with pytest.raises(ValueError, match="normaliser"):
+        piece_codec.PieceModel(model)
+
+
 # Classifiers
 
 
@@ -436,6 +478,14 @@ def test_chat_round_trip(spark):
     assert chat_format.digests(chat_format.format_turn_rows(df.limit(0))).collect() == []
 
 
+def test_a_very_long_turn(spark):
+    long = "a\\<|b " * 400_000
+    df = spark.createDataFrame([(1, 0, "assistant", long), (1, 0, "assistant", long), (2, 0, "user", "")], "conv_id bigint, turn bigint, role string, text string")
+    found = {r.conv_id: r for r in chat_format.digests(chat_format.format_table(df)).collect()}
+    assert found[1].loss_chars == 2 * len(long) and found[1].loss_sha256 == hashlib.sha256((long * 2).encode()).hexdigest()
+    assert found[2].loss_chars == 0 and found[2].n_turns == 1
+
+
 def test_layouts_give_the_same_turns(spark):
     want = [("user", "q"), ("assistant", "a")]
     typed = [

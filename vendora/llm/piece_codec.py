@@ -30,6 +30,10 @@ MEMO_LIMIT = 300_000
 _LEAST = -1
 
 
+#: Texts that a model's normaliser, if it has one, would change, or that tell whether a mark is put in front.
+PROBES = ("", " ", "a", " a ", "a  b", "ﬁ ½ Ａ", "e\u0301", "\t\n\u00a0\u3000x", "A\u200bB", "\x00 \x7f", "İß")
+
+
 class PieceModel:
     """Ranks, splits and the automaton of a BPE model with byte fallback; built from the model file's bytes."""
 
@@ -75,6 +79,9 @@ class PieceModel:
             self.automaton.add_word(t, (r, len(t)))
         self.automaton.make_automaton()
         self._fits: dict[tuple[int, int], bool] = {}
+        for text in PROBES:
+            if [i for s in self.segments(text) for i in self.tokens(s)] != sp.encode(text):
+                raise ValueError("models with a normaliser, or without a mark in front, are not supported")
 
     def _parts(self, text: str, below: int) -> tuple[int, int]:
         """The two tokens whose merge is the last one when BPE makes this piece."""
@@ -246,7 +253,9 @@ def _each(fn, schema: pa.Schema):
 def encode_documents(docs: DataFrame, model: bytes) -> DataFrame:
     """doc_id, n_tokens, ids array<int>, round_trip (whether decoding gives the text back).
 
-    The end id comes last; a null or empty text has only that.
+    The end id comes last; a null or empty text has only that.  Repeated rows give repeated
+    rows; other columns of docs are ignored.  A model that isn't BPE without normaliser and
+    with a mark in front is an error.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
 
@@ -266,7 +275,7 @@ def encode_documents(docs: DataFrame, model: bytes) -> DataFrame:
 
 
 def decode_documents(encoded: DataFrame, model: bytes) -> DataFrame:
-    """doc_id, text from doc_id, ids."""
+    """doc_id, text from doc_id, ids; null or empty ids give an empty text, ids beyond the vocabulary are an error."""
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def run(part: pa.RecordBatch) -> list:

@@ -125,4 +125,23 @@ SQL: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
                sum(chars)::bigint as formatted_chars
         from e group by conv_id""",
+    # DuckDB counts edits in bytes: letters of two bytes that the tables use become single ones first.
+    "op9_line_dedup": r"""
+        with recursive l as (
+            select doc_id, n, lines[n + 1] line, len(lines) n_lines from (select doc_id, string_split(text, chr(10)) lines from documents where text <> ''), unnest(range(len(lines))) u(n)),
+        k as (select line, translate(line, 'éèçêÉäüößÈóñíÑÇÄÊÜÍÓÖáúâî', (select string_agg(chr(c::int), '' order by c) from (select unnest(range(1, 33)) c) where c not in (9, 10, 13, 32))) as plain, length(line) n from l where length(line) >= 20 group by line),
+        own as (select line, plain, n, i, substr(plain, i * (n // 3) + greatest(i - 3 + n % 3, 0) + 1, n // 3 + (i >= 3 - n % 3)::int) seg from k, unnest(range(3)) u(i)),
+        probe as (
+            select line, plain, m, i, substr(plain, i * (m // 3) + greatest(i - 3 + m % 3, 0) + 1 + s, m // 3 + (i >= 3 - m % 3)::int) seg
+            from (select line, plain, n, n - g as m from k, unnest(range(3)) u(g)), unnest(range(3)) v(i), unnest(range(-2, 3)) w(s)
+            where i * (m // 3) + greatest(i - 3 + m % 3, 0) + s >= 0 and i * (m // 3) + greatest(i - 3 + m % 3, 0) + s + m // 3 + (i >= 3 - m % 3)::int <= n),
+        c as (select distinct own.line a, own.plain pa, probe.line b, probe.plain pb from own join probe on own.n = probe.m and own.i = probe.i and own.seg = probe.seg and own.line <> probe.line),
+        e as (select a, b from c where levenshtein(pa, pb) <= 2 union select b, a from c where levenshtein(pa, pb) <= 2),
+        r as (select line a, line b from k union select r.a, e.b from r join e on e.a = r.b),
+        cls as (select a line, min(b) comp from r group by a),
+        p as (select doc_id, n, row_number() over (partition by comp order by doc_id, n) > 1 as gone from l join cls using (line))
+        select d.doc_id, coalesce(len(string_split(nullif(d.text, ''), chr(10))), 0)::bigint as n_lines, coalesce(x.n_dropped, 0)::bigint as n_dropped,
+               case when d.text is null then null when d.text = '' then sha256('') else sha256(coalesce(x.kept, '')) end as kept_sha256
+        from documents d left join (
+            select l.doc_id, string_agg(line, chr(10) order by l.n) filter (not coalesce(gone, false)) kept, count(*) filter (gone) n_dropped from l left join p on p.doc_id = l.doc_id and p.n = l.n group by 1) x on x.doc_id = d.doc_id""",
 }
