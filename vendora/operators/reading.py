@@ -90,11 +90,21 @@ def federated(branches: list[tuple[str, DataFrame, str, str, Column]], limit: in
     return out.orderBy(F.desc_nulls_last("created"), F.desc("id"), "kind").limit(limit)
 
 
-def same_name_elsewhere(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Rows whose name, in lower case, another row has too."""
-    named = df.withColumn("_name", F.lower(F.col(name)))
-    many = named.groupBy("_name").agg(F.count("*").alias("_n")).where("_n > 1 and _name is not null")
-    return named.join(many, "_name", "left_semi").select(*df.columns)
+def lookup(df: DataFrame, **equals) -> DataFrame:
+    """The row with these values, by id or by a unique string; of several the first in order of all columns, none if a value is None."""
+    if any(v is None for v in equals.values()):
+        return df.limit(0)
+    return matching(df, equals).orderBy(*df.columns).limit(1)
+
+
+def same_name_elsewhere(df: DataFrame, key: str, name: str, owner: str | None = None) -> DataFrame:
+    """Rows whose name, in lower case, another row (of the same owner, where one is given) has too."""
+    same = [F.lower(F.col(name)).alias("_name"), *([F.col(owner).alias("_owner")] if owner else [])]
+    many = df.groupBy(*same).agg(F.count("*").alias("_n")).where("_n > 1 and _name is not null")
+    match = F.lower(df[name]) == many["_name"]
+    if owner:
+        match = match & df[owner].eqNullSafe(many["_owner"])
+    return df.join(many, match, "left_semi")
 
 
 def resolve(df: DataFrame, text: str, id_column: str, key_column: str, owner: str, user: int) -> DataFrame:

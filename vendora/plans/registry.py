@@ -223,9 +223,40 @@ def federated_search(s, d):
     return reading.federated([branch("product", "part", "p_partkey", "p_name"), branch("supplier", "supplier", "s_suppkey", "s_name"), branch("user", "customer", "c_custkey", "c_name")], 10)
 
 
-@query("select p_partkey, p_name from part where lower(p_name) in (select lower(p_name) from part group by 1 having count(*) > 1)")
+@query("""
+    select p_partkey, p_name from part join (select lower(p_name) n, p_size z from part group by 1, 2 having count(*) > 1) on n = lower(p_name) and z = p_size""")
 def same_name_products(s, d):
-    return reading.same_name_elsewhere(read(s, d, "part"), "p_partkey", "p_name").select("p_partkey", "p_name")
+    return reading.same_name_elsewhere(read(s, d, "part"), "p_partkey", "p_name", "p_size").select("p_partkey", "p_name")
+
+
+@query("""
+    select 'id' as by, c_custkey, c_name from customer where c_custkey = 42
+    union all select 'name', c_custkey, c_name from customer where c_name = (select max(c_name) from customer)""")
+def point_lookups(s, d):
+    users = read(s, d, "customer").select("c_custkey", "c_name")
+    last = users.agg(F.max("c_name")).first()[0]
+    found = lambda by, **equals: reading.lookup(users, **equals).select(F.lit(by).alias("by"), "c_custkey", "c_name")
+    return found("id", c_custkey=42).unionByName(found("name", c_name=last)).unionByName(found("none", c_name=None))
+
+
+@query("select s_suppkey, case when s_suppkey = 7 then 'cod=sku_original;nome=nome_base' when s_suppkey % 2 = 0 then 'a=marca' end as mapping from supplier")
+def mapping_replaced(s, d):
+    old = F.when(F.col("s_suppkey") % 2 == 0, F.create_map(F.lit("a"), F.lit("marca")))
+    suppliers = read(s, d, "supplier").select("s_suppkey", old.alias("mapping"))
+    patch = s.createDataFrame([(7, {"nome": "nome_base", "cod": "sku_original"}, True)], "s_suppkey bigint, mapping map<string,string>, set_mapping boolean")
+    rows = ingest.patched(suppliers, patch, "s_suppkey", ["mapping"])
+    return rows.select("s_suppkey", F.array_join(F.array_sort(F.transform(F.map_entries("mapping"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";").alias("mapping"))
+
+
+@query("""
+    select p_partkey, p_type as nome_base, p_name as sku_original, concat_ws(';', 'marca=' || p_brand) as leftovers from part""")
+def default_mapping_import(s, d):
+    """A supplier's own mapping is used where the import brings none."""
+    suppliers = read(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.create_map(F.lit("cod"), F.lit("sku_original"), F.lit(" MARCA"), F.lit("nome_base")).alias("default_column_mapping"))
+    rows = read(s, d, "part").select("p_partkey", F.col("p_name").alias("Cod"), F.col("p_type").alias("Marca "), F.col("p_brand").alias("marca_2"))
+    out = ingest.standardise(rows, ["Cod", "Marca ", "marca_2"], ingest.mapping_or_default(None, suppliers, 3), ("p_partkey",))
+    pairs = F.transform(F.map_entries("leftovers"), lambda e: F.concat(F.replace(e["key"], F.lit("_2"), F.lit("")), F.lit("="), e["value"]))
+    return out.select("p_partkey", "nome_base", "sku_original", F.array_join(pairs, ";").alias("leftovers"))
 
 
 @query("""
