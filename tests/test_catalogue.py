@@ -272,6 +272,71 @@ def test_pages_without_tables_and_regions(spark):
     assert sorted((r.page, r.pairs["Nome"], r.pairs["Marca"]) for r in pages.region_pairs(regions).collect()) == [(0, "P0", "M0"), (1, "P1", "M1")]
 
 
+def test_page_filters_and_previews(spark):
+    kind = "doc int, page int, text string, tables array<array<array<string>>>"
+    table = [["A", " "], ["1", "2"], ["only one"]]
+    rows = spark.createDataFrame([(1, 1, "one\ntwo\nthree\nfour", [table]), (1, 2, None, [table, [["A", "A"], ["x", "y"]]]), (2, 1, "text", [[["head"]]]), (2, 2, "", None)], kind)
+    assert sorted((r.page, r.table, r.row, *sorted(r.cells.items())) for r in pages.table_rows(rows.where("doc = 1"), [2]).collect()) == [(2, 0, 0, ("A", "1"), ("coluna_vazia_1", "2")), (2, 1, 0, ("A", "y"))]
+    found = sorted((r.doc, r.page, r.table is None) for r in pages.document_rows(rows, "doc").collect())
+    assert found == [(1, 1, False), (1, 2, False), (1, 2, False), (2, 1, True)]
+    first = pages.preview(rows.where("doc = 1"), 1, 1).collect()
+    assert [(r.page, r.has_table, r.snippet) for r in first] == [(1, True, "one\ntwo\nthree")]
+    assert pages.preview(rows.where("doc = 1"), 2, 0).first().snippet == ""
+
+
+def test_moves_of_siblings(spark):
+    rows = spark.createDataFrame([(1, 9, None), (2, 9, None), (3, 9, 0), (4, 8, 5), (5, 8, 5), (6, 8, 7)], "id int, type int, position int")
+    place = lambda df: {r.id: r.position for r in df.collect()}
+    # A type without all numbers is numbered by its order first: 3, 1, 2.
+    assert place(lifecycle.moved(rows, "type", "id", 1, True)) == {3: 1, 1: 0, 2: 2, 4: 0, 5: 1, 6: 2}
+    assert place(lifecycle.moved(rows, "type", "id", 2, False)) == {3: 0, 1: 1, 2: 2, 4: 0, 5: 1, 6: 2}
+    # Equal numbers swap without effect; the key decides.
+    assert place(lifecycle.moved(rows, "type", "id", 5, True))[5] == 1
+    assert place(lifecycle.moved(rows, "type", "id", 5, False)) == {3: 0, 1: 1, 2: 2, 4: 0, 6: 1, 5: 2}
+
+
+def test_quotas_logins_and_defaults(spark):
+    plans = spark.createDataFrame([("pro", 1, None, 3)], "plan string, limite_produtos int, limite_enriquecimento_web int, limite_geracao_ia int")
+    users = spark.createDataFrame([(1, "pro"), (2, None), (3, "gone")], "id int, plan string")
+    assert sorted((r.id, r.limite_produtos, r.limite_enriquecimento_web, r.limite_geracao_ia) for r in ingest.with_quotas(users, plans).collect()) == [(1, 1, None, 3), (2, 50, 10, 20), (3, 50, 10, 20)]
+    known = spark.createDataFrame([("a@x", "", None, None, True), ("b@x", "B", "google", "1", True), ("c@x", None, None, None, False)], "email string, name string, provider string, provider_user_id string, is_active boolean")
+    logins = spark.createDataFrame([(e, n, "facebook", "9") for e, n in (("a@x", "A"), ("b@x", "N"), ("c@x", "C"), ("dora@x", None))], "email string, name string, provider string, provider_user_id string")
+    after, refused = ingest.social_logins(known, logins)
+    assert sorted((r.email, r.name, r.provider, r.provider_user_id) for r in after.collect()) == [("a@x", "A", "facebook", "9"), ("b@x", "B", "google", "1"), ("c@x", None, None, None), ("dora@x", "dora", "facebook", "9")]
+    assert [r.email for r in refused.collect()] == ["c@x"]
+
+
+def test_states_of_an_import_job(spark):
+    files = spark.createDataFrame([(1, "UPLOADED", None, 0, None, None), (2, "UPLOADED", None, 0, None, None)], "id int, status string, total_pages int, pages_processed int, fornecedor_id int, result_summary string")
+    started = ingest.page_done(ingest.started_import(files, 1, 7, 3), 1)
+    assert sorted((r.id, r.status, r.total_pages, r.pages_processed, r.fornecedor_id) for r in started.collect()) == [(1, "PROCESSING", 3, 1, 7), (2, "UPLOADED", None, 0, None)]
+    result = imported(spark, ["nome", "sku"], [("A", "1"), ("", ""), ("B", "1")])
+    done = {r.id: r for r in ingest.finished_import(started, 1, result, 3).collect()}
+    assert (done[1].status, done[1].pages_processed, done[1].result_summary) == ("IMPORTED", 3, '{"created":1,"updated":0,"errors":2}') and done[2].status == "UPLOADED"
+    assert {r.id: r.status for r in ingest.finished_import(files, 2, None).collect()} == {1: "UPLOADED", 2: "FAILED"}
+
+
+def test_open_graph_in_any_order_of_attributes(spark):
+    html = "<meta name='x' content='no'><meta content='it\"s' property='og:title'><META property=\"og:image\" class=y content=\"a'b\">"
+    row = spark.range(1).select(enrich.open_graph(F.lit(html), "og:title").alias("t"), enrich.open_graph(F.lit(html), "og:image").alias("i"), enrich.open_graph(F.lit(html), "og:url").alias("u")).first()
+    assert (row.t, row.i, row.u) == ('it"s', "a'b", None)
+
+
+def test_a_fault_in_the_subpackage_is_not_hidden(monkeypatch, tmp_path):
+    import importlib
+    import sys
+
+    (tmp_path / "corpus_pipeline.py").write_text("import no_such_module_here\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    for name in ("corpus_pipeline", "__spark_entry__"):
+        monkeypatch.delitem(sys.modules, name, raising=False)
+    if importlib.util.find_spec("vendora.llm") is None:
+        pytest.skip("the subpackage is absent")
+    with pytest.raises(ModuleNotFoundError, match="no_such_module_here"):
+        importlib.import_module("__spark_entry__")
+    sys.modules.pop("__spark_entry__", None)
+
+
 def test_tables_are_deleted_and_need_a_shared_folder(spark, monkeypatch):
     before = checkpoints.live()
     tables = checkpoints.Tables()
