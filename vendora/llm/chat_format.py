@@ -218,7 +218,11 @@ def read_loss(formatted: Column, spans: Column) -> Column:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars; all read back from the formatted text."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars; all read back from the formatted text.
+
+    A conversation without turns has the digests of the empty text; repeated rows are
+    digested each; an empty table gives an empty one.
+    """
     rows = formatted.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), F.array_join(read_loss(F.col("formatted"), F.col("loss_spans")), "").alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return rows.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
