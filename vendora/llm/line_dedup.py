@@ -425,12 +425,12 @@ def _match_rest(edits: int):
 
 def _texts(bitmap: bytes, least: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[tuple[int, int]] = set()
+        sent: set[int] = set()
         for batch in batches:
             for points, _, start, length, _, _, h, k in _hashed_lines(batch.column(1).to_pylist(), least):
                 lines, others, texts = [], [], []
                 for i in np.flatnonzero(in_bitmap(bitmap, h.view(np.int64))):
-                    line = int(h[i]), int(k[i])
+                    line = int(h[i]) << 64 | int(k[i])
                     if line not in sent:
                         if len(sent) > 300_000:
                             sent.clear()

@@ -145,7 +145,7 @@ def _doc(x: np.ndarray) -> np.ndarray:
 
 
 #: Postings that a map task looks through for long lists before it sends them.
-BUFFER_POSTINGS = 400_000
+BUFFER_POSTINGS = 200_000
 
 
 def _told(post: np.ndarray) -> np.ndarray:
@@ -164,7 +164,7 @@ def _postings(buckets: int, short_list: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, posts, told = Deal(buckets, DOC, 0), Deal(buckets, POST, 1), Deal(buckets, LONG, 2)
-        seen: set[tuple[int, int]] = set()
+        seen: set[int] = set()
         held: list[np.ndarray] = []
         size = 0
 
@@ -186,7 +186,8 @@ def _postings(buckets: int, short_list: int):
             rows = []
             for row, mine in shingle_sets(batch.column(1), SHINGLE):
                 n = len(mine)
-                both = cls, chk = class_of(mine) if n else (0, 0)
+                cls, chk = class_of(mine) if n else (0, 0)
+                both = cls << 64 | chk
                 rows.append((ids[row], texts[row], cls, chk, n))
                 if n and both not in seen:
                     if len(seen) > 300_000:

@@ -26,7 +26,7 @@ from vendora.llm.store import kept, lean
 
 MARK = "▁"
 #: Segments remembered by a worker.
-MEMO_LIMIT = 300_000
+MEMO_LIMIT = 200_000
 _LEAST = -1
 
 
