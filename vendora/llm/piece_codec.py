@@ -26,7 +26,7 @@ from vendora.llm.store import kept, lean
 
 MARK = "▁"
 #: Segments remembered by a worker.
-MEMO_LIMIT = 200_000
+MEMO_LIMIT = 150_000
 _LEAST = -1
 
 
@@ -242,7 +242,7 @@ def codec(model: bytes) -> Codec:
 def _each(fn, schema: pa.Schema):
     def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = 2000
+            step = 500
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 yield pa.RecordBatch.from_arrays(fn(part), schema=schema)

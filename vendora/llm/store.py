@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vendora.llm.kernel import U, mix
@@ -64,9 +64,23 @@ def _claim(owner: str) -> None:
         _trim()
 
 
+#: Bytes of an Arrow batch, so that long texts come a few at a time; a session's smaller setting stays.
+BATCH_BYTES = 16 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _bound_batches() -> None:
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        held = session.conf.get(_BATCH_SETTING).rstrip("b")
+        if not held.isdigit() or int(held) > BATCH_BYTES:
+            session.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
+
+
 def lean(fn, owner: str = ""):
     """fn for mapInArrow that first drops what other operators keep in the worker and frees memory when it ends.
 
+    Sets the session's bound of an Arrow batch to BATCH_BYTES where it is larger.
     Inner functions travel by value with the globals they name, so what a worker keeps is
     only reached through functions of this module.
     """
