@@ -92,6 +92,7 @@ def lean(fn, owner: str = ""):
         finally:
             _trim()
 
+    _bound_batches()
     return run
 
 
