@@ -7,27 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendora.llm import chat_format, chunk_dedup, decontaminate, language_id, line_dedup, ngram_join, piece_codec, token_counts, topk_search, toxicity
+from vendora.llm import ann_forest, centroids, chat_format, chunk_dedup, decontaminate, language_id, line_dedup, ngram_join, piece_codec, token_alignment, token_counts, topk_search, toxicity
 from vendora.plans.checkpoints import discard
 
 QUERY_STEP = 50
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_MODEL = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def piece_model(path: str | None = None) -> bytes:
-    """Bytes of a tokenizer file, read on the driver and sent to the executors."""
+def _tokenizer(path: str | None, name: str) -> bytes:
     if path is None:
         import public_tokenizers
 
-        path = public_tokenizers.path(PIECE_MODEL)
+        path = public_tokenizers.path(name)
     with open(path, "rb") as f:
         return f.read()
 
 
+def piece_model(path: str | None = None) -> bytes:
+    """Bytes of a tokenizer file, read on the driver and sent to the executors."""
+    return _tokenizer(path, PIECE_MODEL)
+
+
+def byte_model(path: str | None = None) -> bytes:
+    """As piece_model, of the byte-level tokenizer."""
+    return _tokenizer(path, BYTE_MODEL)
+
+
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk_search.integer_vectors(table(spark, sf_dir, "embeddings"))
     return topk_search.top_k(vectors, vectors.where(F.col("vec_id") % QUERY_STEP == 0), 5)
@@ -80,6 +90,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(centroids.integer_vectors(table(spark, sf_dir, "embeddings")))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_digests(table(spark, sf_dir, "documents"), byte_model(), piece_model())
+
+
+def op13_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ann_forest.clean_vectors(table(spark, sf_dir, "embeddings"))
+    return ann_forest.nearest(vectors, vectors.where(F.col("vec_id") % QUERY_STEP == 0), 5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_token_counts": op2_token_counts,
@@ -91,8 +114,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_centroids": op11_centroids,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_ann_forest": op13_ann_forest,
 }
 
+
+def _rounds_in_sql(k: int, rounds: int) -> str:
+    """Lloyd's rounds one after another: c0 are the first centroids, a_i the rows with their cluster, c_i the centroids after round i."""
+    nearest = """a{i} as materialized (
+            select vec_id, p, near.num as cluster, near.d as distance from (
+                select vec_id, p, (select min({{'d': list_sum(list_transform(list_zip(p, q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint, 'num': num}}) from c{i}) near from points))"""
+    # Integer division rounds down here as well below zero.
+    moved = """s{i} as (select cluster, j, sum(p[j]) s, count(*) n from a{i}, unnest(range(1, 65)) u(j) group by 1, 2),
+        m{i} as (select cluster, list(((s - ((s % n) + n) % n)::hugeint // n)::bigint order by j) mean from s{i} group by 1),
+        c{j} as materialized (select num, coalesce(mean, q) q from c{i} left join m{i} on cluster = num)"""
+    parts = [x for i in range(rounds) for x in (nearest.format(i=i), moved.format(i=i, j=i + 1))] + [nearest.format(i=rounds)]
+    return f"""
+        with points as materialized (
+            select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) p from embeddings
+            where vec_id is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        c0 as materialized (select row_number() over (order by h, p) - 1 num, p q from (select sha256('3:' || vec_id) h, p from points order by h, p limit {k})),
+        {", ".join(parts)}
+        select vec_id, cluster::int as cluster, distance, sum(distance) over (partition by cluster)::bigint as cluster_inertia, sum(distance) over ()::bigint as inertia,
+               sha256(array_to_string(q, ',')) as centroid_sha256
+        from a{rounds} join c{rounds} on num = cluster"""
+
 SQL: dict[str, str] = {
     "op1_exact_topk": """
         with v as (
@@ -144,4 +191,5 @@ SQL: dict[str, str] = {
                case when d.text is null then null when d.text = '' then sha256('') else sha256(coalesce(x.kept, '')) end as kept_sha256
         from documents d left join (
             select l.doc_id, string_agg(line, chr(10) order by l.n) filter (not coalesce(gone, false)) kept, count(*) filter (gone) n_dropped from l left join p on p.doc_id = l.doc_id and p.n = l.n group by 1) x on x.doc_id = d.doc_id""",
+    "op11_centroids": _rounds_in_sql(centroids.K, centroids.ROUNDS),
 }
