@@ -33,14 +33,17 @@ from pyspark.sql import functions as F
 
 from vendora.llm.piece_codec import MARK, PieceModel
 from vendora.llm.store import kept, lean
-from vendora.plans.checkpoints import Tables
+from vendora.plans.checkpoints import Tables, guarded
 
 #: Short chunks are counted and remembered; a worker remembers at most twice MEMO.
-SHORT, MEMO = 48, 120_000
+SHORT, MEMO = 48, 160_000
 SLICE = 4_000_000
 #: Characters of texts that are worked on at a time (or one text).
 STEP_CHARS = 2 << 20
+#: So many chunks are tokenised as one text, which begins with FIRST.
+TOGETHER, FIRST = 64, " a"
 #: A solid character (not one that any engine counts as white space), then white space that begins with a space or line feed.
+_OPEN = re.compile("[\\s\\u180e\\u200b-\\u200d\\u2060\\ufeff]")
 _CUT = re.compile("(?<=[^\\s\\u180e\\u200b-\\u200d\\u2060\\ufeff])(?=[ \\n])")
 
 
@@ -74,19 +77,45 @@ class TokenizerPair:
         self.a_size = np.array([len(x) for x in self.a_bytes])
         self.b_size = np.array([len(x) for x in self.b_bytes])
         self.width = len(self.b_bytes)
-        self.a_name = list(map(str, range(size)))
-        self.b_name = list(map(str, range(self.width)))
-
-    def encode_a(self, chunks: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def encode_b(self, chunks: list[str]) -> list[list[int]]:
-        # The library puts a mark in front, which is the chunk's first space.
-        spaced = [i for i, c in enumerate(chunks) if c[0] == " " and len(c) > 1]
-        out: list = [None] * len(chunks)
-        for i, ids in zip(spaced, self.b.encode([chunks[i][1:] for i in spaced], num_threads=1), strict=True):
-            out[i] = ids
-        return [self.model.tokens(c.replace(" ", MARK)) if ids is None else ids for c, ids in zip(chunks, out, strict=True)]
+        named = lambda n, new: [x for i in range(n) for x in (f",{i}", f"{new}{i}")]
+        self.names, self.b_names = np.array(named(size, ";") + named(self.width, "|"), dtype=object), 2 * size
+
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A and of B of chunks one after another, and the place of each chunk's first token in both (len + 1).
+
+        Chunks are joined to texts of TOGETHER, which cuts in the same places as long as each ends with a solid
+        character; a text begins with FIRST, whose tokens are left out, as B puts a mark in front.
+        """
+        texts, number = [], []
+        held: list[str] = []
+        for chunk in chunks:
+            held.append(chunk)
+            if len(held) >= TOGETHER or len(chunk) > 4096 or _OPEN.match(chunk[-1]):
+                texts.append(FIRST + "".join(held))
+                number.append(len(held))
+                held = []
+        if held:
+            texts.append(FIRST + "".join(held))
+            number.append(len(held))
+        a = np.array([i for e in self.a.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], np.int64)
+        b = np.array([i for ids in self.b.encode([t[1:] for t in texts], num_threads=1) for i in ids], np.int64)
+        said = "".join(texts).encode()
+        if b"".join([self.a_bytes[i] for i in a.tolist()]) != said or b"".join([self.b_bytes[i] for i in b.tolist()]) != said:
+            raise ValueError("tokens don't give the text back")
+        # On the axis of all bytes: chunks, and FIRST before the first one of each text.
+        sizes = np.array([len(c) if c.isascii() else len(c.encode()) for c in chunks], np.int64)
+        lead = np.zeros(len(chunks), np.int64)
+        lead[np.concatenate(([0], np.cumsum(number)[:-1])).astype(np.int64)] = len(FIRST)
+        ends = np.cumsum(sizes + lead)
+
+        def own(ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            start = np.cumsum(size[ids]) - size[ids]
+            at = np.searchsorted(ends, start, "right")
+            inside = start >= (ends - sizes)[at]
+            return ids[inside], np.concatenate(([0], np.cumsum(np.bincount(at[inside], minlength=len(chunks))))).astype(np.int64)
+
+        (a, a_first), (b, b_first) = own(a, self.a_size), own(b, self.b_size)
+        return a, b, a_first, b_first
 
 
 def pair_of(byte_json: bytes, piece_model: bytes) -> TokenizerPair:
@@ -133,13 +162,7 @@ def overlaps(a_size: np.ndarray, b_size: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def align(pair: TokenizerPair, chunks: list[str]) -> Aligned:
-    a_ids, b_ids = pair.encode_a(chunks), pair.encode_b(chunks)
-    flat = lambda ids: np.array([i for x in ids for i in x], np.int64)
-    starts = lambda ids: np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int64)
-    a, b, a_first, b_first = flat(a_ids), flat(b_ids), starts(a_ids), starts(b_ids)
-    said = "".join(chunks).encode()
-    if b"".join([pair.a_bytes[i] for i in a.tolist()]) != said or b"".join([pair.b_bytes[i] for i in b.tolist()]) != said:
-        raise ValueError("tokens don't give the text back")
+    a, b, a_first, b_first = pair.encode(chunks)
     first, end, a_group, b_group = overlaps(pair.a_size[a], pair.b_size[b])
     number = end - first
     links_a = np.repeat(np.arange(len(a)), number)
@@ -169,13 +192,10 @@ def measured(pair: TokenizerPair, table: Slice, chunks: list[str]) -> list[tuple
     x = align(pair, chunks)
     count, best = table.of(x.a[x.links_a] * pair.width + x.b[x.links_b])
     total = lambda v: np.diff(np.concatenate(([0], np.cumsum(v)))[x.link_first]).tolist()
-    # A group's tokens, A's before B's; what stands before a token tells where it is.
-    a_sep = np.where(np.diff(x.a_group, prepend=-1) > 0, ";", ",").tolist()
-    b_sep = np.where(np.diff(x.b_group, prepend=-1) > 0, "|", ",").tolist()
-    group = np.concatenate((2 * x.a_group, 2 * x.b_group + 1))
-    names = [s + pair.a_name[i] for s, i in zip(a_sep, x.a.tolist(), strict=True)] + [s + pair.b_name[i] for s, i in zip(b_sep, x.b.tolist(), strict=True)]
-    order = np.argsort(group, kind="stable").tolist()
-    names = [names[i] for i in order]
+    # A group's tokens, A's before B's, each with what stands before it: ; for a new group, | before B's first, else a comma.
+    names = np.concatenate((2 * x.a + (np.diff(x.a_group, prepend=-1) > 0), pair.b_names + 2 * x.b + (np.diff(x.b_group, prepend=-1) > 0)))
+    order = np.argsort(np.concatenate((2 * x.a_group, 2 * x.b_group + 1)), kind="stable")
+    names = pair.names[names[order]].tolist()
     bounds = (x.a_first + x.b_first).tolist()
     groups = np.diff(np.concatenate((x.b_group, [x.b_group[-1] + 1 if len(x.b_group) else 0]))[x.b_first]).tolist()
     texts = ["".join(names[i:j])[1:] for i, j in zip(bounds, bounds[1:], strict=False)]
@@ -192,23 +212,29 @@ class Memo:
 
     def learn(self, lists: list[list[str]]) -> dict[str, tuple]:
         """Results of all chunks of some texts."""
-        found: dict[str, tuple] = {}
-        young, old = self.young, self.old
+        found, young, old, new = {}, self.young, self.old, []
         for chunk in set().union(*lists):
-            if (known := young.get(chunk) or old.get(chunk)) is not None:
-                found[chunk] = known
-        new = list(set().union(*lists) - found.keys())
+            known = young.get(chunk)
+            if known is None:
+                known = old.get(chunk)
+                if known is None:
+                    new.append(chunk)
+                    continue
+                self._keep(chunk, known)
+                young = self.young
+            found[chunk] = known
         for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            found.update(zip(part, measured(self.pair, self.table, part), strict=True))
-        for chunk, known in found.items():
-            if len(chunk) <= SHORT and chunk not in young:
-                if len(young) >= MEMO:
-                    self.old, self.young = young, {}
-                    young = self.young
-                young[chunk] = known
+            for chunk, known in zip(new[at : at + 20_000], measured(self.pair, self.table, new[at : at + 20_000]), strict=True):
+                found[chunk] = known
+                if len(chunk) <= SHORT:
+                    self._keep(chunk, known)
         return found
 
+    def _keep(self, chunk: str, known: tuple) -> None:
+        if len(self.young) >= MEMO:
+            self.old, self.young = self.young, {}
+        self.young[chunk] = known
+
 
 def _steps(texts: Iterable[str | None]) -> Iterator[list[list[str]]]:
     """Chunks of texts, STEP_CHARS of them at a time or one text."""
@@ -223,6 +249,7 @@ def _steps(texts: Iterable[str | None]) -> Iterator[list[list[str]]]:
         yield held
 
 
+@guarded
 def pair_counts(docs: DataFrame, byte_json: bytes, piece_model: bytes) -> DataFrame:
     """key (A id * number of B's pieces + B id), n: how many links of all texts have the pair; see alignment_digests for texts without tokens."""
 
@@ -266,6 +293,7 @@ def pair_counts(docs: DataFrame, byte_json: bytes, piece_model: bytes) -> DataFr
     return tables.close(every.groupBy("key").agg(F.sum("n").alias("n")))
 
 
+@guarded
 def alignment_digests(docs: DataFrame, byte_json: bytes, piece_model: bytes, slice_pairs: int = SLICE) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each row.
 
