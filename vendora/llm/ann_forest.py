@@ -13,7 +13,8 @@ reaches RECALL of them.  So easy data cost little, and on data without structure
 no index prunes much, the search still returns what it should.
 
 Equal vectors are one class with its least ids (each class is indexed and asks once), so
-copies, however many, add no work.  Leaves beyond CELL_ROWS rows are dealt over several cells,
+copies, however many, add no work.  A question's own leaves come first, and from the others
+cells return only candidates that are as near as the last one found there.  Leaves beyond CELL_ROWS rows are dealt over several cells,
 and so are the questions of a leaf; nothing is dropped.
 
 Bounds: a tree is fitted on about SAMPLE_PER_LEAF rows a leaf; all planes take at most
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vendora.llm.store import lean
-from vendora.plans.checkpoints import Tables
+from vendora.plans.checkpoints import Tables, guarded
 
 TREES = 8
 LEAF_ROWS = 256
@@ -186,13 +187,17 @@ def fit_forest(classes: DataFrame, n: int, width: int, trees: int = TREES, leaf_
     return Forest(depth, normals, cuts)
 
 
-def _ranked(questions: np.ndarray, rows: np.ndarray, least: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(question, row, cosine) of the keep best rows of each question, by exact cosine and then the least id."""
+def _ranked(questions: np.ndarray, rows: np.ndarray, least: np.ndarray, keep: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(question, row, cosine) of the keep best rows of each question, by exact cosine and then the least id; none below what is known of a question's last one."""
     asked_norms, row_norms = _norms(questions), _norms(rows)
     rough = (questions / asked_norms[:, None]) @ (rows / row_norms[:, None]).T
     floor = np.partition(rough, -keep, axis=1)[:, -keep] if rows.shape[0] > keep else np.full(len(questions), -np.inf)
+    floor = floor if known is None else np.maximum(floor, known)
     at, to = np.nonzero(rough >= floor[:, None] - _SLACK)
     exact = (questions[at] * rows[to]).sum(axis=1) / (asked_norms[at] * row_norms[to])
+    if known is not None:
+        good = exact >= known[at]
+        at, to, exact = at[good], to[good], exact[good]
     order = np.lexsort((least[to], -exact, at))
     at, to, exact = at[order], to[order], exact[order]
     first = np.arange(len(at)) - np.searchsorted(at, at) < keep
@@ -240,6 +245,7 @@ def calibrate(classes: DataFrame, asked: DataFrame, forest: Forest, shared, k: i
     return max(trees, met[min(len(met) - 1, int(np.ceil(recall * len(met))))] if met else 0)
 
 
+@guarded
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = TREES, leaf_rows: int = LEAF_ROWS, recall: float = RECALL) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each query, by cosine, ties to the smaller id.
 
@@ -265,6 +271,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = TRE
         found = part if found is None else found.unionByName(part)
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if found is None:
+        tables.drop()
         return spark.createDataFrame([], schema)
     pairs = F.flatten(F.transform("b", lambda b: F.transform(b["ids"], lambda i: F.struct((-b["score"]).alias("s"), i.alias("vec_id")))))
     listed = found.groupBy("cid", "x").agg(F.collect_set(F.struct("score", "ids")).alias("b")).select("cid", "x", F.slice(F.array_sort(pairs), 1, keep).alias("b"))
@@ -293,44 +300,58 @@ def _search(spark, tables: Tables, classes: DataFrame, asked: DataFrame, n: int,
     sizes = spark.sparkContext.broadcast(size)
 
     def visit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def said(batch: pa.RecordBatch) -> pa.RecordBatch:
+            places = pa.array(at, pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(leaf, pa.int32()), pa.array(own, pa.bool_()), *(c.take(places) for c in batch.columns)], ["tree", "leaf", "own", "cid", "x"])
+
         for batch in batches:
-            at, tree, leaf = [], [], []
+            at, tree, leaf, own = [], [], [], []
             for i, unit in enumerate(_units(batch.column(1)) if batch.num_rows else ()):
                 seen, number = np.zeros(trees, np.int64), 0
                 for number, (t, j) in enumerate(shared.value.walk(unit), 1):
                     at.append(i)
                     tree.append(t)
                     leaf.append(j)
+                    own.append(number <= trees)
                     seen[t] += sizes.value[t, j]
                     # Leaves of one tree are disjoint: with keep rows of a tree a question has what it returns.
                     if number >= visits and seen.max() >= keep:
                         break
                 if len(at) >= 10_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(leaf, pa.int32()), *(c.take(pa.array(at)) for c in batch.columns)], ["tree", "leaf", "cid", "x"])
-                    at, tree, leaf = [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(leaf, pa.int32()), *(c.take(pa.array(at, pa.int64())) for c in batch.columns)], ["tree", "leaf", "cid", "x"])
+                    yield said(batch)
+                    at, tree, leaf, own = [], [], [], []
+            yield said(batch)
 
-    visited = tables.write(asked.select("cid", "x").mapInArrow(lean(visit, "ann_forest"), f"tree int, leaf int, cid bigint, x {kind}"))
+    visited = tables.write(asked.select("cid", "x").mapInArrow(lean(visit, "ann_forest"), f"tree int, leaf int, own boolean, cid bigint, x {kind}"))
     # Cells of a leaf: its rows over r, the questions that visit it over s; most leaves have one cell.
     counts = visited.groupBy("tree", "leaf").count().select("tree", "leaf", F.ceil(F.col("count") / CELL_QUERIES).cast("int").alias("s"))
-    counts = counts.join(rows.groupBy("tree", "leaf").count().select("tree", "leaf", F.ceil(F.col("count") / CELL_ROWS).cast("int").alias("r")), ["tree", "leaf"])
+    counts = tables.write(counts.join(rows.groupBy("tree", "leaf").count().select("tree", "leaf", F.ceil(F.col("count") / CELL_ROWS).cast("int").alias("r")), ["tree", "leaf"]))
     part = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int").alias(n)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(n)
-    row_side = rows.join(counts, ["tree", "leaf"]).select("tree", "leaf", part("r"), every("s"), "cid", "x", "ids")
-    ask_side = visited.join(counts, ["tree", "leaf"]).select("tree", "leaf", every("r"), part("s"), "cid", "x")
+    cells = ["tree", "leaf", "r", "s"]
+    row_side = rows.join(counts, ["tree", "leaf"]).select("tree", "leaf", part("r"), every("s"), "cid", "x", "ids").groupBy(*cells)
+    result = f"cid bigint, x {kind}, score double, ids array<bigint>"
 
     def rank(key: tuple[pa.Scalar, ...], ask: pa.Table, row: pa.Table) -> pa.Table:
         out = [[], [], []]
         if ask.num_rows and row.num_rows:
             questions, vectors = _matrix(ask.column("x")), _matrix(row.column("x"))
             least = np.array([v[0].as_py() for v in row.column("ids")])
+            known = ask.column("known").to_numpy()
             for a in range(0, len(questions), _PART):
-                at, to, score = _ranked(questions[a : a + _PART], vectors, least, keep)
+                at, to, score = _ranked(questions[a : a + _PART], vectors, least, keep, known[a : a + _PART])
                 for held, values in zip(out, (at + a, to, score), strict=True):
                     held.append(values)
         at, to, score = (np.concatenate(v) if v else np.empty(0, np.int64) for v in out)
         at, to = pa.array(at.astype(np.int64)), pa.array(to.astype(np.int64))
         return pa.table([ask.column("cid").take(at), ask.column("x").take(at), pa.array(score.astype(np.float64)), row.column("ids").take(to)], names=["cid", "x", "score", "ids"])
 
-    cells = ["tree", "leaf", "r", "s"]
-    return tables.write(ask_side.groupBy(*cells).cogroup(row_side.groupBy(*cells)).applyInArrow(rank, f"cid bigint, x {kind}, score double, ids array<bigint>"))
+    def ranked(visits: DataFrame) -> DataFrame:
+        ask_side = visits.join(counts, ["tree", "leaf"]).select("tree", "leaf", every("r"), part("s"), "cid", "x", "known")
+        return tables.write(ask_side.groupBy(*cells).cogroup(row_side).applyInArrow(rank, result))
+
+    # The own leaves first: from the others only what is as near as the last of their candidates can matter.
+    near = ranked(visited.where("own").withColumn("known", F.lit(-2.0)))
+    last = near.groupBy("cid").agg(F.sort_array(F.collect_set(F.struct("score", "ids")), asc=False).alias("b")).select("cid", F.coalesce(F.get("b", F.lit(keep - 1))["score"], F.lit(-2.0)).alias("known"))
+    far = ranked(visited.where("not own").join(last, "cid", "left").withColumn("known", F.coalesce("known", F.lit(-2.0))))
+    return near.unionByName(far)
