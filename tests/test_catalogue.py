@@ -3,14 +3,17 @@
 import random
 import re
 import zipfile
+from html.parser import HTMLParser
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vendora.functions import columns as C
 from vendora.operators import analytics, enrich, ingest, lifecycle, reading
 from vendora.plans import checkpoints
-from vendora.sources import catalogue, delimited, pages, workbook
+from vendora.sources import catalogue, delimited, html, pages, workbook
 
 NO_PRODUCTS = "tenant bigint, id bigint, sku string, ean string, nome_base string, marca string"
 
@@ -343,8 +346,20 @@ def test_tables_are_deleted_and_need_a_shared_folder(spark, monkeypatch):
     made = tables.write(spark.range(3))
     out = tables.close(made.where("id > 0"))
     assert checkpoints.live() - before == {out._vendora_path} and out.count() == 2
-    checkpoints.discard(out)
+    other = checkpoints.materialize(spark.range(2))
+    checkpoints.release(out.where("id > 1"))
+    assert checkpoints.live() - before == {other._vendora_path} and other.count() == 2  # tables of others stay
+    checkpoints.discard(other)
+
+    @checkpoints.guarded
+    def fails():
+        checkpoints.materialize(spark.range(1))
+        raise KeyError("x")
+
+    with pytest.raises(KeyError):
+        fails()
     assert checkpoints.live() == before
+
     class Cluster:
         class conf:
             get = staticmethod(lambda *a: None)
@@ -409,3 +424,127 @@ def test_default_mapping(spark):
     assert ingest.mapping_or_default(None, suppliers, 1) == {"cod": "sku_original"}
     assert ingest.mapping_or_default({"a": "b"}, suppliers, 1) == {"a": "b"}
     assert ingest.mapping_or_default(None, suppliers, 2) is None
+
+
+# Import faults, greedy rounds, pages
+
+
+def test_blank_keys_never_clash_and_match_nothing(spark):
+    rows = spark.createDataFrame([(1, 1, "", None), (1, 2, "", "5"), (1, 3, "a", ""), (1, 4, "a", "6"), (1, 5, None, "5")], "t long, o long, sku string, ean string")
+    got = {r.o: r.accepted for r in ingest.greedy_dedup(rows, "t", "o", ["sku", "ean"]).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: False, 5: False}
+    products = spark.createDataFrame([(1, 7, "", "", "old")], "tenant long, id long, sku string, ean string, nome string")
+    incoming = spark.createDataFrame([(1, 1, "", "", "new")], "tenant long, row_no long, sku string, ean string, nome string")
+    assert {(r.nome, r.change) for r in ingest.upsert(products, incoming, ["nome"]).collect()} == {("old", "unchanged"), ("new", "created")}
+
+
+def _sequential(rows):
+    out, seen = {}, {}
+    for t, o, *keys in sorted(rows, key=lambda r: r[:2]):
+        held = seen.setdefault(t, [set() for _ in keys])
+        out[t, o] = not any(k and k in h for k, h in zip(keys, held, strict=True))
+        if out[t, o]:
+            for k, h in zip(keys, held, strict=True):
+                h.add(k)
+    return out
+
+
+@pytest.mark.parametrize("kind", ["random", "chain", "hot"])
+def test_greedy_rounds_equal_the_sequential_rule(spark, kind):
+    rnd = random.Random(7)
+    keys = [None, "", *map(str, range(60))]
+    make = {
+        "random": lambda i: (i % 2, i, rnd.choice(keys), rnd.choice(keys)),
+        "chain": lambda i: (0, i, str(i // 2), str((i + 1) // 2)),
+        "hot": lambda i: (0, i, "hot" if rnd.random() < 0.4 else str(i % 90), str(rnd.randrange(100))),
+    }[kind]
+    rows = [make(i) for i in range(400)]
+    before = checkpoints.live()
+    found = ingest.greedy_dedup(spark.createDataFrame(rows, "t long, o long, a string, b string"), "t", "o", ["a", "b"], most=60)
+    assert {(r.t, r.o): r.accepted for r in found.collect()} == _sequential(rows)
+    checkpoints.release(found)
+    assert checkpoints.live() == before
+
+
+def test_headers_that_differ_in_white_space_are_one_leftover(spark):
+    rows = spark.createDataFrame([("n", "a", "b"), ("m", "a", "")], "nome string, Obs string, `Obs ` string")
+    got = {r.nome_base: r.leftovers for r in ingest.standardise(rows, ["nome", "Obs", "Obs "]).collect()}
+    assert got == {"n": {"Obs": "b"}, "m": {"Obs": "a"}}
+
+
+class _Plain(HTMLParser):
+    """Microdata of well-formed pages, by the standard library's parser: an independent reading."""
+
+    void = {"meta", "link", "img", "br"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.items, self.stack = [], []
+
+    def handle_starttag(self, tag, attrs):
+        has = dict(attrs)
+        owner = next((x["item"] for x in reversed(self.stack) if x["item"] is not None), None)
+        entry = {"tag": tag, "item": None, "slot": None, "text": []}
+        value = has.get("content", {"link": has.get("href"), "a": has.get("href"), "img": has.get("src")}.get(tag))
+        if "itemscope" in has:
+            entry["item"] = len(self.items)
+            self.items.append([owner if has.get("itemprop") and owner is not None else None, []])
+        if owner is not None:
+            for name in (has.get("itemprop") or "").split():
+                self.items[owner][1].append([name, value, entry["item"]])
+                if entry["item"] is None and value is None:
+                    entry["slot"] = self.items[owner][1][-1]
+        if tag not in self.void:
+            self.stack.append(entry)
+
+    def handle_data(self, data):
+        for x in self.stack:
+            x["text"].append(data)
+
+    def handle_endtag(self, tag):
+        entry = self.stack.pop()
+        if entry["slot"] is not None:
+            entry["slot"][1] = "".join(entry["text"])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 2**32))
+def test_items_equal_a_plain_parser_on_well_formed_pages(seed):
+    rnd = random.Random(seed)
+
+    def element(depth):
+        tag = rnd.choice(["div", "span", "a", "b", "section", "meta", "link", "img"])
+        scope = " itemscope" if tag in ("div", "span", "section") and rnd.random() < 0.4 else ""
+        prop = f' itemprop="{rnd.choice(["name", "brand", "offers name", "x"])}"' if rnd.random() < 0.6 else ""
+        more = rnd.choice(["", ' content="c&amp;d"', " href='/u'", " src=i.png", ' class="q"'])
+        inner = "" if tag in _Plain.void else "".join(element(depth + 1) if rnd.random() < 0.6 and depth < 5 else rnd.choice(["t ", "x &lt;y", "\n"]) for _ in range(rnd.randint(0, 3)))
+        return f"<{tag}{scope}{prop}{more}>" + (inner if tag in _Plain.void else f"{inner}</{tag}>")
+
+    page = "".join(element(0) for _ in range(3))
+    plain = _Plain()
+    plain.feed(page)
+    got = [[i["parent"], [[p["name"], p["value"], p["child"]] for p in i["properties"]]] for i in html.items_of(page)]
+    void_values = [[parent, [[n, "" if v is None and c is None else v, c] for n, v, c in props]] for parent, props in plain.items]
+    assert got == void_values
+
+
+def test_items_of_nested_unclosed_and_void_tags(spark):
+    page = (
+        '<div itemscope itemtype="https://schema.org/Product"><div itemprop="brand" itemscope><span itemprop="name">Acme</span></div><h1 itemprop="name">Drill <b>500</h1>'
+        "<p itemprop=description>one<p>two<ul><li itemprop=f>1<li itemprop=f>2</ul><img itemprop=image src=u.png><br>"
+        '<div itemprop=offers itemscope><meta itemprop=price content="9.5"><meta itemprop=priceCurrency content=BRL></div><script>"<b itemprop=no>"</script></div><i itemprop=name>out</i>'
+    )
+    row = enrich.metadata(spark.createDataFrame([(page,), (None,), ("",), ("<div itemscope",)], "html string")).collect()
+    assert (row[0].name, row[0].brand, row[0].short_description, row[0].image, row[0].price, row[0].currency) == ("Drill 500", "Acme", "one", "u.png", "9.5", "BRL")
+    assert all(r.name is None for r in row[1:])
+    assert [p["value"] for p in html.items_of(page)[0]["properties"] if p["name"] == "f"] == ["1", "2"]
+    assert html.items_of("<a itemscope itemprop='x" + "<b itemprop=y" * 3000) is not None  # quotes never closed
+
+
+def test_main_text_keeps_the_article_and_loses_menus_without_nav(spark):
+    long = " ".join(["word"] * 30)
+    menu = "".join(f"<div><a href=/{i}>Entry {i} of menu</a></div>" for i in range(9))
+    page = f"<body><div>{menu}</div><h2>Title</h2><p>{long} <a href=x>link</a><p>{long}<table><tr><th>Size<td>5<tr><td>Mass<td>7</table><div>Short.</div><p>{long}</p><div>{menu}</div><aside>{long}</aside></body>"
+    (got,) = enrich.main_text(spark.createDataFrame([(page,)], "html string")).collect()
+    assert got.main_text.split("\n") == ["Title", f"{long} link", long, "Size | 5", "Mass | 7", "Short.", long]
+    assert enrich.main_text(spark.createDataFrame([(None,), (" ",)], "html string")).where("main_text is not null").isEmpty()

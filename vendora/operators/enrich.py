@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vendora.functions.columns import squeeze
+from vendora.sources.html import microdata_items, text_blocks
 
 #: End of a search phrase, most pages read for a product, and lengths of text kept.
 PHRASE_END = "especificações técnicas detalhadas"
@@ -33,14 +34,36 @@ def open_graph(html: Column, name: str) -> Column:
     return squeeze(F.coalesce(quoted('"'), quoted("'")))
 
 
-def microdata(html: Column, name: str) -> Column:
-    attr = F.nullif(F.regexp_extract(html, rf"(?is)<[^>]*itemprop=[\"']{name}[\"'][^>]*content=[\"'](.*?)[\"']", 1), F.lit(""))
-    inner = F.nullif(F.regexp_extract(html, rf"(?is)<[^>]*itemprop=[\"']{name}[\"'][^>]*>([^<]*)<", 1), F.lit(""))
-    return squeeze(F.coalesce(attr, inner))
+def item_value(item: Column, name: str) -> Column:
+    """First value of a microdata item's property that isn't blank."""
+    values = F.transform(F.filter(item["properties"], lambda p: p["name"] == name), lambda p: squeeze(p["value"]))
+    return F.try_element_at(F.filter(values, lambda v: v.isNotNull()), F.lit(1))
 
 
-def metadata_of(html: str) -> Column:
-    """name, short_description, image, brand, sku, price, currency, availability: JSON-LD before microdata before OpenGraph."""
+def item_child(items: Column, item: Column, name: str) -> Column:
+    """First item that is a property of another one."""
+    nested = F.filter(item["properties"], lambda p: (p["name"] == name) & p["child"].isNotNull())
+    return F.get(items, F.get(nested, F.lit(0))["child"])
+
+
+def microdata(items: Column) -> Column:
+    """The metadata fields of a page's first item: its own properties, then those of its nested Brand, Offer and image."""
+
+    def of_item(item: Column) -> Column:
+        one = lambda *names: F.coalesce(*(item_value(item, n) for n in names))
+        nested = lambda name, *names: F.coalesce(*(item_value(item_child(items, item, name), n) for n in names))
+        return F.struct(
+            one("name").alias("name"), one("description").alias("short_description"), F.coalesce(one("image"), nested("image", "url", "contentUrl")).alias("image"),
+            F.coalesce(one("brand"), nested("brand", "name")).alias("brand"), one("sku", "mpn").alias("sku"),
+            F.coalesce(one("price"), nested("offers", "price", "lowPrice", "highPrice")).alias("price"), F.coalesce(one("priceCurrency"), nested("offers", "priceCurrency")).alias("currency"),
+            F.coalesce(one("availability"), nested("offers", "availability")).alias("availability"),
+        )
+
+    return F.get(F.transform(F.slice(items, 1, 1), of_item), F.lit(0))
+
+
+def metadata_of(html: str, items: str) -> Column:
+    """name, short_description, image, brand, sku, price, currency, availability: JSON-LD before microdata (the column items) before OpenGraph."""
     h = F.col(html)
     tail = lambda c: F.when(F.contains(c, F.lit("schema.org")), F.element_at(F.split(c, "/"), -1)).otherwise(c)
 
@@ -55,23 +78,68 @@ def metadata_of(html: str) -> Column:
 
     # A one-element array binds the parsed item once; else each field would parse it again.
     ld = F.element_at(F.transform(F.array(json_ld_product(h)), of_json), 1)
+    micro = microdata(F.col(items))
     product_graph = F.when(open_graph(h, "og:type") == "product", F.coalesce(open_graph(h, "product:brand"), open_graph(h, "og:brand")))
     others = {
-        "name": (microdata(h, "name"), open_graph(h, "og:title")),
-        "short_description": (microdata(h, "description"), open_graph(h, "og:description")),
-        "image": (microdata(h, "image"), open_graph(h, "og:image")),
-        "brand": (microdata(h, "brand"), product_graph),
-        "sku": (microdata(h, "sku"), microdata(h, "mpn")),
-        "price": (microdata(h, "price"), open_graph(h, "product:price:amount")),
-        "currency": (microdata(h, "priceCurrency"), open_graph(h, "product:price:currency")),
-        "availability": (microdata(h, "availability"), open_graph(h, "product:availability")),
+        "name": (open_graph(h, "og:title"),),
+        "short_description": (open_graph(h, "og:description"),),
+        "image": (open_graph(h, "og:image"),),
+        "brand": (product_graph, open_graph(h, "og:site_name")),
+        "sku": (),
+        "price": (open_graph(h, "product:price:amount"),),
+        "currency": (open_graph(h, "product:price:currency"),),
+        "availability": (open_graph(h, "product:availability"),),
     }
-    return F.transform(F.array(ld), lambda v: F.struct(*((tail if n == "availability" else lambda c: c)(F.coalesce(v[n], *rest)).alias(n) for n, rest in others.items())))[0]
+    said = lambda v, n: F.coalesce(v["ld"][n], v["micro"][n], *others[n])
+    both = F.array(F.struct(ld.alias("ld"), micro.alias("micro")))
+    return F.transform(both, lambda v: F.struct(*((tail if n == "availability" else lambda c: c)(said(v, n)).alias(n) for n in others)))[0]
 
 
 def metadata(pages: DataFrame, html: str = "html") -> DataFrame:
-    """pages with the metadata fields of each page."""
-    return pages.select(*pages.columns, metadata_of(html).alias("_m")).select(*pages.columns, "_m.*")
+    """pages with the metadata fields of each page; one pass over its tags finds the microdata."""
+    found = pages.withColumn("_items", microdata_items(F.col(html)))
+    return found.select(*pages.columns, metadata_of(html, "_items").alias("_m")).select(*pages.columns, "_m.*")
+
+
+def items(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """key, item, parent, types, place, name, value, child: every property of every microdata item of each page; an item without properties has one row without a name."""
+    each = pages.select(key, F.explode(microdata_items(F.col(html))).alias("i"))
+    return each.select(key, "i.item", "i.parent", "i.types", F.posexplode_outer("i.properties").alias("place", "p")).select(key, "item", "parent", "types", "place", "p.name", "p.value", "p.child")
+
+
+#: Fixed values of the published decision tree for blocks (densities of links, numbers of words).
+LINKED, LINKED_BEFORE = 1 / 3, 5 / 9
+SHORT, SHORT_NEXT, SHORT_BEFORE, SHORT_AFTER_LINKS, NEXT_AFTER_LINKS = 16, 15, 4, 40, 17
+
+
+def is_content(block: Column, before: Column, after: Column) -> Column:
+    """Whether a block is main text, by its own words and links and those of its neighbours (Kohlschütter, Fankhauser and Nejdl, 2010)."""
+    words = lambda b: F.coalesce(b["words"], F.lit(0))
+    density = lambda b: F.coalesce(b["linked"] / F.greatest(b["words"], F.lit(1)), F.lit(0.0))
+    alone = (words(block) <= SHORT) & (words(after) <= SHORT_NEXT) & (words(before) <= SHORT_BEFORE)
+    after_links = (words(block) <= SHORT_AFTER_LINKS) & (words(after) <= NEXT_AFTER_LINKS)
+    return (density(block) <= LINKED) & F.when(density(before) <= LINKED_BEFORE, ~alone).otherwise(~after_links)
+
+
+def article(blocks: Column) -> Column:
+    """The blocks of a page's main text: content, headings right before content, and rows of tables that aren't link lists."""
+
+    def judged(block: Column, i: Column) -> Column:
+        content = is_content(block, F.when(i > 0, F.get(blocks, i - 1)), F.get(blocks, i + 1))
+        table = block["table_linked"] <= LINKED * block["table_words"]
+        return F.struct(block["text"].alias("text"), block["kind"].alias("kind"), F.when(block["kind"] == "row", table).otherwise(content).alias("good"))
+
+    def kept(marks: Column) -> Column:
+        follows = lambda i: F.coalesce(F.get(marks, i + 1)["good"], F.lit(False))
+        return F.filter(marks, lambda m, i: m["good"] | ((m["kind"] == "heading") & follows(i)))
+
+    return F.transform(F.array(F.transform(blocks, judged)), kept)[0]
+
+
+def main_text(pages: DataFrame, html: str = "html") -> DataFrame:
+    """pages with main_text: the main blocks of each page, a line each; null for a page without any."""
+    found = pages.withColumn("_blocks", text_blocks(F.col(html)))
+    return found.select(*pages.columns, F.nullif(F.array_join(F.transform(article(F.col("_blocks")), lambda b: b["text"]), "\n"), F.lit("")).alias("main_text"))
 
 
 def folded(pages: DataFrame, product: str, place: str, fields: list[str], text: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import and_
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vendora.functions.columns import clean, strip
-from vendora.plans.checkpoints import Tables
+from vendora.plans.checkpoints import Tables, guarded, materialize
 from vendora.plans.graph import components
 
 #: Header in lower case -> standard field.
@@ -61,7 +63,11 @@ def standardise(rows: DataFrame, headers: list[str], mapping: dict[str, str] | N
         else:
             rest.append(h)
     value = lambda f: F.coalesce(*(clean(_quoted(h)) for h in sources[f])) if f in sources else F.lit(None).cast("string")
-    pairs = [x for h in rest for x in (F.lit(h.strip()), clean(_quoted(h)))]
+    # Of headers that differ in white space alone the last with a value counts, as one key.
+    alike: dict[str, list[str]] = {}
+    for h in rest:
+        alike.setdefault(h.strip(), []).insert(0, h)
+    pairs = [x for name, own in alike.items() for x in (F.lit(name), F.coalesce(*(clean(_quoted(h)) for h in own)))]
     none = F.create_map().cast("map<string,string>")
     left = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()) if pairs else none
     raw = F.create_map(*(x for h in headers for x in (F.lit(h), _quoted(h).cast("string")))) if headers else none
@@ -97,7 +103,7 @@ def failed_rules(columns: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*(F.when(bad, F.lit(text)) for text, bad in rules)))
 
 
-#: A tenant of up to so many rows is scanned as one; a larger one by groups of rows that keys connect.
+#: A tenant of up to so many rows is scanned as one.
 SCAN_ROWS = 500_000
 
 
@@ -123,39 +129,118 @@ def _grouped(tables: Tables, rows: DataFrame, keys: list[str], most: int) -> Dat
     return rows.join(of, ["_t", "_o"], "left").join(big.withColumn("_big", F.lit(True)), "_t", "left").withColumn("_g", F.coalesce("_g", F.when(F.col("_big"), F.xxhash64("_o")))).drop("_big")
 
 
-def greedy_dedup(rows: DataFrame, tenant: str, order: str, keys: list[str], most: int = SCAN_ROWS) -> DataFrame:
-    """rows with accepted: in order within a tenant, a row is rejected if an accepted row has one of its keys; null keys never clash.
+def _free_of(rows: DataFrame, taken: DataFrame, names: list[str]) -> DataFrame:
+    """rows without those that have a key of a taken row."""
+    for n in names:
+        rows = rows.join(taken.where(F.col(n).isNotNull()).select("_t", n).distinct(), ["_t", n], "left_anti")
+    return rows
 
-    Tasks scan groups of rows one after another, sorted by order, and hold the accepted keys
-    of one group at a time.  A tenant with more than most rows is split into groups that
-    share no key, with the same result.  order is unique within a tenant.
-    """
-    tables = Tables()
-    names = [f"_k{i}" for i in range(len(keys))]
-    narrow = rows.select(F.col(tenant).alias("_t"), F.col(order).alias("_o"), *(F.col(k).cast("string").alias(n) for k, n in zip(keys, names, strict=True)))
-    grouped = _grouped(tables, narrow, names, most)
-    schema = T.StructType([*(grouped.schema[c] for c in ("_t", "_o")), T.StructField("accepted", T.BooleanType())])
+
+def _scan_in_order(rows: DataFrame, names: list[str]) -> DataFrame:
+    """_t, _o, accepted, keys: the rule, row after row; a task holds the accepted keys of one tenant at a time."""
+    schema = T.StructType([*(rows.schema[c] for c in ("_t", "_o", *names)), T.StructField("accepted", T.BooleanType())])
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, taken = None, [set() for _ in names]
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
+            tenants, *columns = [batch.column(i).to_pylist() for i in (0, *range(2, len(names) + 2))]
             out = []
-            for t, g, *own in zip(columns[0], columns[2], *columns[3:], strict=True):
-                if (t, g) != group:
-                    group, taken = (t, g), [set() for _ in names]
+            for t, *own in zip(tenants, *columns, strict=True):
+                if t != group:
+                    group, taken = t, [set() for _ in names]
                 good = not any(k in x for k, x in zip(own, taken, strict=True))
                 if good:
                     for k, x in zip(own, taken, strict=True):
                         if k is not None:
                             x.add(k)
                 out.append(good)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], ["_t", "_o", "accepted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], schema.names)
+
+    return rows.select("_t", "_o", *names).repartition("_t").sortWithinPartitions("_t", "_o").mapInArrow(scan, schema)
+
+
+def _round(tables: Tables, open_: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(accepted, still open) after one round: rows that are the first open ones on all their keys are accepted, and rows that share a key with them fall.
 
-    sorted_rows = grouped.select("_t", "_o", "_g", *names).repartition("_t", "_g").sortWithinPartitions("_t", "_g", "_o")
-    marks = sorted_rows.mapInArrow(scan, schema).withColumnRenamed("_t", tenant).withColumnRenamed("_o", order)
-    if tables.made:  # a large tenant
-        marks = tables.close(marks)
+    An accepted row is the first on each of its keys, so a key is taken in this round just
+    if its first row is accepted.  Firsts are minima with partial aggregation; joins
+    on a common key are split by AQE.
+    """
+    marked = open_
+    for i, n in enumerate(names):
+        first = open_.where(F.col(n).isNotNull()).groupBy("_t", n).agg(F.min("_o").alias(f"_f{i}"))
+        marked = marked.join(first, ["_t", n], "left")
+    ready = reduce(and_, [F.col(f"_f{i}").isNull() | (F.col(f"_f{i}") == F.col("_o")) for i in range(len(names))])
+    marked = tables.write(marked.select("_t", "_o", *names, ready.alias("_ready")))
+    accepted = marked.where("_ready").drop("_ready")
+    return accepted, _free_of(marked.where("not _ready").drop("_ready"), accepted, names)
+
+
+def _first_rows(tables: Tables, open_: DataFrame, names: list[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """(accepted, still open) after the first most rows of each tenant are scanned in order and the rows that share a key with accepted ones fell."""
+    one = open_.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("top"))
+    placed = tables.write(numbered(open_, ["_t", "_o"], one))
+    zero = placed.groupBy("_t").agg(F.min("number").alias("_zero"))
+    placed = placed.join(zero, "_t").withColumn("_head", F.col("number") - F.col("_zero") < most)
+    head = tables.write(_scan_in_order(placed.where("_head"), names))
+    accepted = head.where("accepted").drop("accepted")
+    return accepted, _free_of(placed.where("not _head").select("_t", "_o", *names), accepted, names)
+
+
+def _accepted_of_large(tables: Tables, rows: DataFrame, names: list[str], most: int) -> DataFrame:
+    """_t, _o of the accepted rows of tenants with more than most rows: rounds over all tasks, then a scan of what is left.
+
+    Rows whose keys are a chain in input order decide few rows a round; where a round
+    decides less than an eighth, the first most rows are scanned instead.  Either way a
+    step costs a pass over the open rows, and memory stays bounded.
+    """
+    open_, found = materialize(rows.select("_t", "_o", *names)), []
+
+    def step(decide, *more) -> None:
+        nonlocal open_
+        held = Tables()
+        try:
+            accepted, rest = decide(held, open_, names, *more)
+            found.append(tables.write(accepted.select("_t", "_o")))
+            held.own(open_)
+            open_ = materialize(rest)
+        finally:
+            held.drop()
+
+    n = open_.count()
+    while not open_.groupBy("_t").count().where(F.col("count") > most).isEmpty():
+        step(_round)
+        left = open_.count()
+        if 8 * left > 7 * n and left:
+            step(_first_rows, most)
+            left = open_.count()
+        n = left
+    tables.own(open_)
+    found.append(_scan_in_order(open_, names).where("accepted").select("_t", "_o"))
+    return reduce(DataFrame.unionByName, found)
+
+
+@guarded
+def greedy_dedup(rows: DataFrame, tenant: str, order: str, keys: list[str], most: int = SCAN_ROWS) -> DataFrame:
+    """rows with accepted: in order within a tenant, a row is rejected if an accepted row has one of its keys; null and empty keys never clash.
+
+    Tenants of up to most rows are scanned one after another by tasks, sorted by order.  Larger
+    ones are decided in rounds over all tasks (a row is accepted when it is the earliest open one on all its
+    keys, and its conflicts fall) until most rows are left to scan, with the same result.
+    order is unique within a tenant.
+    """
+    tables = Tables()
+    names = [f"_k{i}" for i in range(len(keys))]
+    narrow = rows.select(F.col(tenant).alias("_t"), F.col(order).alias("_o"), *(F.nullif(F.col(k).cast("string"), F.lit("")).alias(n) for k, n in zip(keys, names, strict=True)))
+    big = narrow.groupBy("_t").count().where(F.col("count") > most).select("_t")
+    if big.isEmpty():
+        marks = _scan_in_order(narrow, names).select("_t", "_o", "accepted")
+    else:
+        big = tables.write(big)
+        small = _scan_in_order(narrow.join(big, "_t", "left_anti"), names).where("accepted").select("_t", "_o")
+        large = _accepted_of_large(tables, narrow.join(big, "_t", "left_semi"), names, most)
+        marks = tables.close(small.unionByName(large).withColumn("accepted", F.lit(True)))
+    marks = marks.withColumnRenamed("_t", tenant).withColumnRenamed("_o", order)
     return rows.join(marks, [tenant, order], "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
 
 
@@ -163,13 +248,13 @@ def upsert(products: DataFrame, incoming: DataFrame, fields: list[str]) -> DataF
     """New state of products (tenant, id, sku, ean, fields) after accepted incoming rows (tenant, row_no, sku, ean, fields).
 
     A row updates the product with its SKU, else the one with its EAN; other rows are
-    inserted, with ids after the greatest, in row order.  If several rows hit one product the
-    last wins.  change is unchanged, updated or created; before has the earlier values of
+    inserted, with ids after the greatest, in row order.  Null and empty keys match nothing.  If
+    several rows hit one product the last wins.  change is unchanged, updated or created; before has the earlier values of
     updated products.
     """
     p = products.alias("p")
-    by_sku = p.where("sku is not null").groupBy("tenant", "sku").agg(F.min("id").alias("id_sku"))
-    by_ean = p.where("ean is not null").groupBy("tenant", "ean").agg(F.min("id").alias("id_ean"))
+    by_sku = p.where("sku <> ''").groupBy("tenant", "sku").agg(F.min("id").alias("id_sku"))
+    by_ean = p.where("ean <> ''").groupBy("tenant", "ean").agg(F.min("id").alias("id_ean"))
     matched = incoming.join(by_sku, ["tenant", "sku"], "left").join(by_ean, ["tenant", "ean"], "left").withColumn("hit", F.coalesce("id_sku", "id_ean"))
     payload = F.struct("sku", "ean", *fields)
     last = matched.where("hit is not null").groupBy("tenant", "hit").agg(F.max_by(payload, "row_no").alias("new"))
@@ -181,6 +266,7 @@ def upsert(products: DataFrame, incoming: DataFrame, fields: list[str]) -> DataF
     return state.unionByName(inserted.select("tenant", F.col("number").alias("id"), "sku", "ean", *fields, F.lit("created").alias("change"), F.lit(None).cast(state.schema["before"].dataType).alias("before")))
 
 
+@guarded
 def numbered(rows: DataFrame, order: list[str], start: DataFrame) -> DataFrame:
     """rows with number: top (of the one-row frame start) + 1, + 2, ... in order.
 
@@ -216,6 +302,7 @@ class Imported(NamedTuple):
         return self.state.where("change = 'updated'").select("tenant", "id", "before", after.alias("after"))
 
 
+@guarded
 def import_rows(rows: DataFrame, headers: list[str], products: DataFrame, tenant: int, order: str, mapping: dict[str, str] | None = None, supplier: int | None = None, product_type: int | None = None) -> Imported:
     """A whole file for one tenant: standardise, validate, dedup, upsert, audit.
 
@@ -288,6 +375,7 @@ def seeded(df: DataFrame, defaults: DataFrame, key: str) -> DataFrame:
     return df.unionByName(defaults.join(df, key, "left_anti"), allowMissingColumns=True)
 
 
+@guarded
 def get_or_create(products: DataFrame, rows: DataFrame, fields: list[str], most: int = SCAN_ROWS) -> DataFrame:
     """State after rows (tenant, row_no, sku, ean, fields, given), one after another in order.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vendora.plans.checkpoints import discard, materialize
+from vendora.plans.checkpoints import discard, guarded, materialize
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -13,6 +13,7 @@ def _least(pairs: DataFrame) -> DataFrame:
     return pairs.join(pairs.groupBy("u").agg(F.min("v").alias("m")), "u").withColumn("m", F.least("u", "m"))
 
 
+@guarded
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the least id reachable by links (a, b), for every linked id.
 

@@ -780,6 +780,40 @@ def metadata_priority_merge(s, d):
     return enrich.metadata(_marked_pages(s, d)).drop("html")
 
 
+def _product_pages(s, d):
+    """pages whose article is marked up as a Product with a nested Brand and Offer (those of a part), its heading and paragraphs being properties."""
+    pages = read(s, d, "pages").join(read(s, d, "part"), F.col("page_id") + 1 == F.col("p_partkey"))
+    brand = F.concat(F.lit('<div itemprop="brand" itemscope itemtype="https://schema.org/Brand"><span itemprop="name">'), "p_brand", F.lit("</span><p itemprop=slogan>of "), "p_type", F.lit("</div>"))
+    offer = F.concat(F.lit("<div itemprop='offers' itemscope itemtype=Offer><meta itemprop=price content="), F.col("p_retailprice").cast("string"), F.lit('><link itemprop="availability" href="https://schema.org/InStock"></div></article>'))
+    html = F.regexp_replace("html", "<article>", '<article itemscope itemtype="https://schema.org/Product">')
+    html = F.replace(F.replace(html, F.lit("<h1>"), F.concat(brand, F.lit('<h1 itemprop="name">'))), F.lit("</article>"), offer)
+    return pages.select("page_id", F.replace(html, F.lit("<p>"), F.lit("<p itemprop=description>")).alias("html"))
+
+
+_UNESCAPED = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&')"
+_SQUEEZED = r"nullif(trim(regexp_replace({}, '\s+', ' ', 'g')), '')"
+_H1 = r"regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"
+_P1 = r"regexp_replace(regexp_extract(html, '(?s)<p>(.*?)<(?:/?p|/article)>', 1), '</?b>|<br>', ' ', 'g')"
+
+
+@query(f"""
+    select page_id, {_SQUEEZED.format(_UNESCAPED.format(_H1))} as name, {_SQUEEZED.format(_UNESCAPED.format(_P1))} as short_description, p_brand as brand, p_retailprice as price, 'InStock' as availability
+    from pages join part on p_partkey = page_id + 1""")
+def microdata_products(s, d):
+    """Items of real pages, in which paragraphs and bold runs are left open."""
+    found = enrich.metadata(_product_pages(s, d))
+    return found.select("page_id", "name", "short_description", "brand", F.col("price").cast("double").alias("price"), "availability")
+
+
+@query("""
+    select page_id, 0 as item, 'description' as name, (len(string_split(html, '<p>')) - 1)::bigint as n from pages join part on p_partkey = page_id + 1 where contains(html, '<p>')
+    union all select page_id, 0, unnest(['brand', 'name', 'offers']), 1 from pages join part on p_partkey = page_id + 1
+    union all select page_id, 1, unnest(['name', 'slogan']), 1 from pages join part on p_partkey = page_id + 1
+    union all select page_id, 2, unnest(['price', 'availability']), 1 from pages join part on p_partkey = page_id + 1""")
+def microdata_properties(s, d):
+    return enrich.items(_product_pages(s, d), "page_id").groupBy("page_id", "item", "name").agg(F.count("*").alias("n"))
+
+
 @query("select event_id, json_extract_string(props, '$.k') as k, try_cast(json_extract_string(props, '$.k') as int) as k_number, json_extract_string(props, '$.missing') as missing from events")
 def json_props_extract(s, d):
     k = F.get_json_object("props", "$.k")
@@ -863,6 +897,22 @@ def page_main_text(s, d):
     return read(s, d, "pages").select("page_id", C.visible_text(F.col("html")).alias("text"))
 
 
+@query(rf"""
+    with h as (select page_id, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<title\b.*?</title>|<footer\b.*?</footer>|<!--.*?-->|<!doctype[^>]*>', '', 'g'), '<h1>', '<p>' || chr(1), 'g') as h from pages),
+    b as (select page_id, unnest(parts) as b, generate_subscripts(parts, 1) as i from (select page_id, string_split_regex(h, '(?i)</?(?:p|div|ul|li|h1|article|body|html|head|nav|meta)\b[^>]*>') parts from h)),
+    t as (select page_id, i, contains(b, chr(1)) as heading, {_SQUEEZED.format(_UNESCAPED.format("regexp_replace(regexp_replace(replace(b, chr(1), ''), '<br>', ' ', 'g'), '<[^>]+>', '', 'g')"))} as t,
+                 len(regexp_extract_all(array_to_string(regexp_extract_all(b, '(?is)<a\b[^>]*>(.*?)</a>', 1), ' '), '\S+')) as linked from b),
+    w as (select page_id, i, heading, t, len(regexp_extract_all(t, '\S+')) as words, linked from t where t is not null),
+    n as (select *, linked / words as d, coalesce(lag(words) over p, 0) as w0, coalesce(lag(linked / words) over p, 0) as d0, coalesce(lead(words) over p, 0) as w1 from w window p as (partition by page_id order by i)),
+    g as (select *, d <= 1 / 3 and case when d0 <= 5 / 9 then not (words <= 16 and w1 <= 15 and w0 <= 4) else not (words <= 40 and w1 <= 17) end as good from n),
+    k as (select *, good or (heading and coalesce(lead(good) over (partition by page_id order by i), false)) as kept from g)
+    select page_id, string_agg(t, chr(10) order by i) filter (kept) as text from k group by 1""")
+def page_article_text(s, d):
+    """Main text by density of words and links, of pages whose menus are no nav elements."""
+    pages = read(s, d, "pages").select("page_id", F.regexp_replace("html", r"(</?)nav\b", "$1div").alias("html"))
+    return enrich.main_text(pages).select("page_id", F.col("main_text").alias("text"))
+
+
 @query("select n_nationkey, n_name from nation where n_nationkey < 5 and (n_regionkey in (select n_regionkey from nation where n_nationkey >= 5))")
 def type_key_conflicts(s, d):
     types = read(s, d, "nation").select("n_nationkey", "n_name", F.col("n_regionkey").cast("string").alias("key"), F.lit(None).cast("int").alias("owner"))
