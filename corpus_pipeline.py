@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vendora.llm import decontaminate, language_id, line_dedup, ngram_join, piece_codec
 from vendora.llm.queries import piece_model, table
-from vendora.plans.checkpoints import discard_since, live, materialize
+from vendora.plans.checkpoints import discard, materialize, release
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +56,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; tables that stages wrote on the way are deleted as soon as the next stage has been written."""
     docs = table(spark, sf_dir, "documents")
-    before = live()
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
-        discard_since(spark, before, docs)
+        before, result = docs, stage(spark, docs, sf_dir)
+        docs = materialize(result)
+        release(result)  # what the stage's plan reads, the stage before included
+        discard(before)
     return docs
