@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vendora.llm.store import lean
-from vendora.plans.checkpoints import Tables, discard, materialize
+from vendora.plans.checkpoints import Tables, discard, guarded, materialize
 
 K, ROUNDS, WIDTH, SCALE = 8, 10, 64, 1024
 #: Distances up to this are computed in 64 bits, larger ones with integers of any size.
@@ -176,6 +176,7 @@ def _changes(written: DataFrame) -> list:
     return each.groupBy("moved", "place").agg(F.sum(F.col("x").cast("decimal(38,0)")).alias("x")).collect()
 
 
+@guarded
 def cluster_vectors(vectors: DataFrame, k: int = K, rounds: int = ROUNDS, seed: str = "3") -> DataFrame:
     """vec_id, cluster, distance (squared), cluster_inertia, inertia, centroid_sha256 of each vector.
 
@@ -191,6 +192,7 @@ def cluster_vectors(vectors: DataFrame, k: int = K, rounds: int = ROUNDS, seed:
     rows = tables.write(vectors.select("vec_id", F.col("v").cast("array<bigint>").alias("v")))
     centroids = first_centroids(rows, k, seed)
     if not centroids:
+        tables.drop()
         return spark.createDataFrame([], schema)
     k, width = len(centroids), len(centroids[0])
     sums, counts = [[0] * width for _ in range(k)], [0] * k

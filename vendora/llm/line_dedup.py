@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from vendora.llm.kernel import LongRangeHash, RangeHash, U, chunks, mix, runs_of_sorted
 from vendora.llm.store import PACKED, Deal, buckets_for, deal_out, fresh, gather, id_bitmap, in_bitmap, lean, long_array
-from vendora.plans.checkpoints import Tables
+from vendora.plans.checkpoints import Tables, guarded
 from vendora.plans.graph import components
 
 SHORT_LIST = 64
@@ -491,6 +491,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").withColumn("text_hash", F.xxhash64("text"))
 
 
+@guarded
 def repeated_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS, short_list: int = SHORT_LIST) -> DataFrame:
     """(doc_id, text_hash, line): places of lines, counted from 0, that repeat an earlier one or are within reach of its class.
 

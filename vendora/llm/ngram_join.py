@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from vendora.llm.kernel import U, runs_of_sorted, shingle_sets
 from vendora.llm.store import PACKED, Deal, buckets_for, deal_out, fresh, gather, id_bitmap, in_bitmap, lean, long_array
-from vendora.plans.checkpoints import Tables
+from vendora.plans.checkpoints import Tables, guarded
 from vendora.plans.graph import components
 
 SHINGLE = 5
@@ -526,6 +526,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").withColumn("text_hash", F.xxhash64("text"))
 
 
+@guarded
 def ngram_components(docs: DataFrame, short_list: int = SHORT_LIST) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links) for every row of docs.
 
@@ -544,6 +545,7 @@ def ngram_components(docs: DataFrame, short_list: int = SHORT_LIST) -> DataFrame
     return tables.close(least.unionByName(every.where("doc_id is null").mapInArrow(lean(count_only), "doc_id bigint, n_shingles bigint, component_id bigint")))
 
 
+@guarded
 def keep_first_of_components(docs: DataFrame, short_list: int = SHORT_LIST) -> DataFrame:
     """One row of each component, with all its columns: the least by doc_id, then by the hash of its text; of identical rows any one.
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vendora.plans.checkpoints import Tables
+from vendora.plans.checkpoints import Tables, guarded
 
 BINS = 256
 GROUP_ROWS = 16_384
@@ -95,6 +95,7 @@ def _width(vectors: DataFrame) -> tuple[int, str]:
     return n, next(name for name, bits in (("smallint", 15), ("int", 31), ("bigint", 63)) if (most or 0) < 1 << bits)
 
 
+@guarded
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k highest integer inner products of each query.
 

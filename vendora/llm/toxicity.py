@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vendora.llm.store import lean
-from vendora.plans.checkpoints import discard, materialize
+from vendora.plans.checkpoints import discard, guarded, materialize
 
 #: Sampled labelled documents of each label.
 SAMPLE_DOCS = 1600
@@ -195,6 +195,7 @@ class ToxicityModel:
         self.__init__(*state)
 
 
+@guarded
 def sample_labelled(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS) -> tuple[DataFrame, float]:
     """(text, toxic, half) of at most size different rows of each label, and the share of label 1.
 
