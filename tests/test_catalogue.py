@@ -1,7 +1,9 @@
 """Catalogue operators on small fixtures."""
 
+import csv
 import random
 import re
+import tracemalloc
 import zipfile
 from html.parser import HTMLParser
 
@@ -255,6 +257,7 @@ def test_workbooks_and_dispatch(spark, tmp_path):
     assert catalogue.preview_file(spark, str(tmp_path / "g.csv"))[1].first().nome == "X"
     (tmp_path / "bad.xlsx").write_bytes(b"no zip")
     assert list(workbook.read_workbook(spark, str(tmp_path / "bad.xlsx")).first().cells) == ["erro_processamento_excel"]
+    assert "erro_processamento_excel" in catalogue.read_file(spark, str(tmp_path / "bad.xlsx")).columns
     for other in ("a.txt", "a.pdf"):
         with pytest.raises(ValueError):
             catalogue.read_file(spark, other)
@@ -548,3 +551,94 @@ def test_main_text_keeps_the_article_and_loses_menus_without_nav(spark):
     (got,) = enrich.main_text(spark.createDataFrame([(page,)], "html string")).collect()
     assert got.main_text.split("\n") == ["Title", f"{long} link", long, "Size | 5", "Mass | 7", "Short.", long]
     assert enrich.main_text(spark.createDataFrame([(None,), (" ",)], "html string")).where("main_text is not null").isEmpty()
+
+
+@pytest.mark.parametrize("encoding", ["utf-16", "utf-16-le", "utf-16-be", "utf-32", "utf-8", "cp1252"])
+def test_charsets_are_told_from_bytes(spark, tmp_path, encoding):
+    path = tmp_path / "f.csv"
+    path.write_bytes('nome;preço\nÁgua, com gás;"1\n2"\n'.encode(encoding))
+    rows = delimited.read_delimited(spark, str(path))
+    assert [tuple(r)[:2] for r in rows.collect()] == [("Água, com gás", "1\n2")] and rows.columns[:2] == ["nome", "preço"]
+
+
+def test_bytes_beyond_the_head_decide_as_well(spark, tmp_path):
+    path = tmp_path / "f.csv"
+    path.write_bytes(b"nome,sku\n" + b"abc,1\n" * 20_000 + "€uro,2\n".encode("cp1252"))
+    rows = delimited.read_delimited(spark, str(path))
+    assert [r.nome for r in rows.where("sku = '2'").collect()] == ["€uro"] and rows.count() == 20_001
+
+
+@pytest.fixture
+def small_splits(spark):
+    names = {"spark.sql.files.maxPartitionBytes": "256b", "spark.sql.files.openCostInBytes": "0b"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_quoted_line_feeds_across_splits_equal_the_csv_module(spark, tmp_path, small_splits, seed):
+    rnd = random.Random(seed)
+    cell = lambda: rnd.choice(["", "a", "é b", 'q"q', "x\ny", "long " * 40, "n\n" * 150, '"', "a,b", "\n"])
+    for f in range(2):
+        with open(tmp_path / f"f{f}.csv", "w", newline="", encoding="utf-8-sig" if f else "utf-8") as out:
+            writer = csv.writer(out, lineterminator=rnd.choice(["\n", "\r\n"]))
+            writer.writerow(["nome", "sku", "obs"])
+            for i in range(60):
+                writer.writerow([cell(), i, cell(), *([cell()] if i % 9 == 0 else [])])
+    want = []
+    for f in range(2):
+        with open(tmp_path / f"f{f}.csv", newline="", encoding="utf-8-sig") as read:
+            want += [tuple(c or None for c in r[:3]) + (str(r[3:]) if len(r) > 3 else None,) for r in list(csv.reader(read))[1:]]
+    splits = delimited.splits_of(spark, delimited.files_of(spark, str(tmp_path)), ",")
+    assert len(splits) > 20 and any(x.within != x.without for x in splits) and any(not x.closes for x in splits)
+    rows = delimited.read_delimited(spark, str(tmp_path), surplus=True)
+    assert [tuple(r)[:4] for r in rows.orderBy("_file", "_row").collect()] == want
+
+
+def test_lines_and_quotes():
+    for line, inside, outcome in [(b'a,"b', False, True), (b'c",d', True, False), (b'a"b,c', False, False), (b'"a""', False, True), (b'x""y', True, True), (b'","', True, True), (b"", True, True), (b'"a"b",c', False, False)]:
+        assert delimited.after_line(line, inside, b",") is outcome
+
+
+def test_dates_repeated_headers_and_errors_of_workbooks(spark, tmp_path):
+    path = tmp_path / "f.xlsx"
+    workbook_file(path, {"S": [["Nome", "Nome", "SKU", None, "Nome"], ["a", "b", "1", "x", None]]})
+    (row,) = workbook.read_workbook(spark, str(path)).collect()
+    assert row.cells == {"Nome": "a", "Nome.1": "b", "SKU": "1", "Unnamed: 3": "x"}
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    cells = '<c r="A2" s="1"><v>45322</v></c><c r="B2" s="2"><v>45322.5</v></c><c r="C2" s="3"><v>45322</v></c><c r="D2" s="1"><v>0.75</v></c><c r="E2" t="e"><v>#N/A</v></c><c r="F2" t="b"><v>1</v></c><c r="H2"><v>7</v></c>'
+    header = "".join(f'<c r="{c}1" t="inlineStr"><is><t>{c}</t></is></c>' for c in "ABCDEF")
+    with zipfile.ZipFile(path, "a") as z:
+        z.writestr("xl/worksheets/s0.xml", f'<worksheet {main}><sheetData><row r="1">{header}</row><row r="2">{cells}</row></sheetData></worksheet>')
+        z.writestr("xl/styles.xml", f'<styleSheet {main}><numFmts><numFmt numFmtId="170" formatCode="dd/mm/yyyy&quot; h&quot;"/><numFmt numFmtId="171" formatCode="0.00&quot; dias&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs></styleSheet>')
+    (row,) = workbook.read_workbook(spark, str(path)).collect()
+    assert row.cells == {"A": "2024-01-31 00:00:00", "B": "2024-01-31 12:00:00", "C": "45322", "D": "18:00:00", "F": "True", "Unnamed: 7": "7"}
+    assert workbook.date_text(1) == "1900-01-01 00:00:00" and workbook.date_text(61) == "1900-03-01 00:00:00" and workbook.date_text(1, True) == "1904-01-02 00:00:00"
+    assert [workbook.is_date_format(x) for x in ("General", "[$-409]d-mmm", "[Red]0.0", "[h]:mm", "0\\d")] == [False, True, False, True, False]
+
+
+def test_a_workbook_of_many_rows_comes_in_batches(tmp_path):
+    path = tmp_path / "f.xlsx"
+    workbook_file(path, {"S": [["nome", "n"], *([f"p{i}", i] for i in range(12_000))]})
+    book = workbook.Book(path.read_bytes())
+    rows = book.rows(book.sheets[0][1])
+    assert next(rows) == ["nome", "n"] and next(rows) == ["p0", "0"]
+    tracemalloc.start()
+    n = sum(1 for _ in rows)
+    assert n == 11_999 and tracemalloc.get_traced_memory()[1] < 2_000_000
+    tracemalloc.stop()
+
+
+def test_previews_read_the_head(spark, tmp_path, monkeypatch):
+    path = tmp_path / "f.csv"
+    path.write_bytes(b'nome;sku;nome\n"a\nb";1;x\n' + b"c;2\n" * 200_000)
+    headers, rows = catalogue.preview_file(spark, str(path), 3)
+    assert headers == ["nome", "sku"] and [tuple(r) for r in rows.collect()] == [("x", "1"), (None, "2"), (None, "2")]
+    path.write_bytes(b"nome\n" + b"y" * 300_000 + b"\nz\n")
+    assert [len(r.nome) for r in catalogue.preview_file(spark, str(path), 2)[1].collect()] == [300_000, 1]
+    path.write_bytes(b"")
+    assert catalogue.preview_file(spark, str(path))[0] == []

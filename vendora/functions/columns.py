@@ -28,9 +28,14 @@ def squeeze(c: Column) -> Column:
     return F.nullif(s, F.lit(""))
 
 
+def pattern_of(term: str) -> str:
+    """The LIKE pattern of texts that contain a term; % and _ in it stay wildcards, a backslash is one."""
+    return "%" + term.lower().replace("\\", "\\\\") + "%"
+
+
 def contains_any(columns: list[str] | tuple[str, ...], term: str) -> Column:
-    """Case-insensitive search of a term in any of the columns; % and _ in it stay wildcards."""
-    pattern = f"%{term.lower()}%"
+    """Case-insensitive search of a term in any of the columns, as pattern_of says."""
+    pattern = pattern_of(term)
     return reduce(or_, [F.coalesce(F.lower(F.col(c)).like(pattern), F.lit(False)) for c in columns])
 
 

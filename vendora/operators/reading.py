@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vendora.functions.columns import contains_any
+from vendora.functions.columns import contains_any, pattern_of
 
 
 #: Kinds of usage and of history entries.
@@ -45,7 +45,7 @@ def matching(df: DataFrame, equals: dict | None = None, at_least: dict | None =
             df = df.where(F.col(c) <= F.lit(v).cast(df.schema[c].dataType))
     for c, v in (contains or {}).items():
         if v is not None:
-            df = df.where(F.lower(F.col(c)).like(f"%{v.lower()}%"))
+            df = df.where(F.lower(F.col(c)).like(pattern_of(v)))
     return df
 
 

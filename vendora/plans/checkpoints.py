@@ -38,13 +38,18 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _own[0]
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read again."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/vendora-{uuid.uuid4().hex}"
+def scratch(spark: SparkSession, suffix: str = "") -> str:
+    """A new path in the shared folder, which release and the end of the process delete."""
+    path = f"{shared_folder(spark)}/vendora-{uuid.uuid4().hex}{suffix}"
     _live[path] = spark._jvm.org.apache.hadoop.fs.Path(path), spark._jsc.hadoopConfiguration()
     if (written := _written.get()) is not None:
         written.append(path)
+    return path
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read again."""
+    spark, path = df.sparkSession, scratch(df.sparkSession)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._vendora_path = path
@@ -76,7 +81,7 @@ def discard(df: DataFrame) -> None:
 
 def release(df: DataFrame) -> None:
     """Delete the tables of this process that a result reads, once the caller has used it; df can't be read afterwards."""
-    found = {m[0].rpartition("/")[2] for f in df.inputFiles() if (m := re.match(r".*/vendora-[0-9a-f]{32}(?=/)", f))}
+    found = {m[0].rpartition("/")[2] for f in df.inputFiles() if (m := re.match(r".*/vendora-[0-9a-f]{32}[^/]*(?=/)", f))}
     for path in [p for p in _live if p.rpartition("/")[2] in found]:
         _delete(path)
 

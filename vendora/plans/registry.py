@@ -7,13 +7,18 @@ the usage log and import rows, regions and nations are types and their templates
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
+from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vendora.functions import columns as C
 from vendora.operators import analytics, enrich, ingest, lifecycle, reading
+from vendora.plans.checkpoints import scratch
+from vendora.sources import catalogue, workbook
 from vendora.sources import pages as P
 from vendora.sources.tables import read
 
@@ -1034,3 +1039,78 @@ def status_by_parts(s, d):
     meta = (k % 5 == 0) | ((k % 2 != 0) & (k % 3 == 0))
     text = F.when(k % 2 == 0, F.repeat("c_name", k.cast("int")))
     return read(s, d, "customer").select("c_custkey", enrich.status_by_parts(text.isNotNull(), meta).alias("status"), enrich.kept_text(text).alias("text"))
+
+
+# Files written from tables and read again
+
+
+def _written(df, suffix: str, **options) -> str:
+    path = scratch(df.sparkSession, suffix)
+    df.write.options(header=True, escape='"', **options).csv(path)
+    return path
+
+
+def _file_of_parts(s, d):
+    """Parts as a supplier's file; names hold delimiters, quotes and line feeds, brands are empty at times."""
+    name = F.concat("p_name", F.lit('\n"'), "p_type", F.lit('"; x'))
+    return read(s, d, "part").select(name.alias("nome"), F.col("p_partkey").alias("sku"), F.nullif("p_brand", F.lit("Brand#11")).alias("marca"))
+
+
+_FILE_OF_PARTS = """select p_name || chr(10) || '"' || p_type || '"; x' as nome, p_partkey::varchar as sku, nullif(p_brand, 'Brand#11') as marca from part"""
+
+
+@query(_FILE_OF_PARTS)
+def delimited_rows(s, d):
+    """A semicolon file whose cells go on over lines, by the dispatch on its extension."""
+    path = _written(_file_of_parts(s, d), ".csv", sep=";", nullValue="")
+    return catalogue.read_file(s, path).select("nome", "sku", "marca")
+
+
+@query("select s_name || ' é' as nome, s_suppkey::varchar as sku from supplier")
+def utf16_rows(s, d):
+    rows = read(s, d, "supplier").select(F.concat("s_name", F.lit(" é")).alias("nome"), F.col("s_suppkey").alias("sku"))
+    return catalogue.read_file(s, _written(rows, ".csv", sep="\t", encoding="UTF-16LE")).select("nome", "sku")
+
+
+@query(f"select * from ({_FILE_OF_PARTS} order by p_partkey limit 7)")
+def delimited_preview(s, d):
+    rows = _file_of_parts(s, d).orderBy(F.col("sku")).coalesce(1)
+    return catalogue.preview_file(s, _written(rows, ".csv", sep=";", nullValue=""), 7)[1]
+
+
+def _books(rows, key: str, names: list[str]):
+    """path, content: a workbook for each value of key, with a sheet of all rows and one of every row's first two columns, headed alike."""
+    import pyarrow as pa
+
+    def sheet(cells: list[list]) -> str:
+        text = lambda v: f'<c t="inlineStr"><is><t>{escape(v)}</t></is></c>' if isinstance(v, str) else "<c/>" if v is None else f"<c><v>{v}</v></c>"
+        return '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>' + "".join("<row>" + "".join(map(text, r)) + "</row>" for r in cells) + "</sheetData></worksheet>"
+
+    def book(table: pa.Table) -> pa.Table:
+        body = [list(r) for r in zip(*(table.column(n).to_pylist() for n in names), strict=True)]
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("xl/workbook.xml", '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="A" r:id="a"/><sheet name="B" r:id="b"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="a" Target="worksheets/a.xml"/><Relationship Id="b" Target="worksheets/b.xml"/></Relationships>')
+            z.writestr("xl/worksheets/a.xml", sheet([names, *body]))
+            z.writestr("xl/worksheets/b.xml", sheet([[names[0], names[0]], *(r[:2] for r in body)]))
+        return pa.table({"path": [str(table.column(key)[0].as_py())], "content": pa.array([out.getvalue()], pa.binary())})
+
+    return rows.groupBy(key).applyInArrow(book, "path string, content binary")
+
+
+@query("""
+    with p as (select p_partkey // 200 as path, p_name, p_brand, p_size from part)
+    select path::varchar as path, 'A' as sheet, p_name as nome, p_brand as other, p_size::varchar as size from p union all select path::varchar, 'B', p_name, p_brand, null from p""")
+def workbook_rows(s, d):
+    """Both sheets of workbooks one after another; the second has one header twice."""
+    parts = read(s, d, "part").select(F.floor(F.col("p_partkey") / 200).cast("bigint").alias("file"), F.col("p_name").alias("nome"), F.col("p_brand").alias("marca"), F.col("p_size").alias("tamanho"))
+    cell = lambda n: F.try_element_at("cells", F.lit(n))
+    rows = workbook.rows_of(_books(parts, "file", ["nome", "marca", "tamanho"]))
+    return rows.select("path", "sheet", cell("nome").alias("nome"), F.coalesce(cell("marca"), cell("nome.1")).alias("other"), cell("tamanho").alias("size"))
+
+
+@query("select event_id, contains(said, 'k\\v') as found from (select event_id, case when props like '%1%' then lower(props) || 'k\\v' else props end as said from events) where contains(lower(said), 'k\\v')")
+def backslash_search(s, d):
+    said = F.when(F.col("props").contains("1"), F.concat(F.lower("props"), F.lit("k\\v"))).otherwise(F.col("props"))
+    return reading.search(_usage(s, d).select("event_id", said.alias("said")), ["said"], "K\\V").select("event_id", F.col("said").contains("k\\v").alias("found"))
