@@ -235,7 +235,7 @@ class Codec:
 
 
 def codec(model: bytes) -> Codec:
-    """One codec for each model and worker process."""
+    """One codec for each model and task."""
     return kept(f"codec {hashlib.sha256(model).hexdigest()}", lambda: Codec(model))
 
 
@@ -271,7 +271,7 @@ def encode_documents(docs: DataFrame, model: bytes) -> DataFrame:
         offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
         return [part.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(numbers or [np.empty(0, np.int32)]))), pa.array(same, pa.bool_())]
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(lean(_each(run, schema), "piece_codec"), "doc_id bigint, n_tokens bigint, ids array<int>, round_trip boolean")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(lean(_each(run, schema), "piece_codec", keep=False), "doc_id bigint, n_tokens bigint, ids array<int>, round_trip boolean")
 
 
 def decode_documents(encoded: DataFrame, model: bytes) -> DataFrame:
@@ -282,7 +282,7 @@ def decode_documents(encoded: DataFrame, model: bytes) -> DataFrame:
         own = codec(model).model
         return [part.column(0), pa.array([own.decode(x or ()) for x in part.column(1).to_pylist()], pa.string())]
 
-    return encoded.selectExpr("cast(doc_id as bigint) doc_id", "cast(ids as array<int>) ids").mapInArrow(lean(_each(run, schema), "piece_codec"), "doc_id bigint, text string")
+    return encoded.selectExpr("cast(doc_id as bigint) doc_id", "cast(ids as array<int>) ids").mapInArrow(lean(_each(run, schema), "piece_codec", keep=False), "doc_id bigint, text string")
 
 
 def round_trip_digests(docs: DataFrame, model: bytes) -> DataFrame:
@@ -305,4 +305,4 @@ def round_trip_digests(docs: DataFrame, model: bytes) -> DataFrame:
             same.append(back == text)
         return [part.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(said, pa.string()), pa.array(same, pa.bool_())]
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(lean(_each(run, schema), "piece_codec"), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(lean(_each(run, schema), "piece_codec", keep=False), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean")

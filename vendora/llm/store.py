@@ -77,9 +77,11 @@ def _bound_batches() -> None:
             session.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
 
 
-def lean(fn, owner: str = ""):
+def lean(fn, owner: str = "", keep: bool = True):
     """fn for mapInArrow that first drops what other operators keep in the worker and frees memory when it ends.
 
+    Workers that wait for a task take turns, so each of them comes to hold what is kept; with keep
+    false it goes when a task ends, and only busy workers hold it.
     Sets the session's bound of an Arrow batch to BATCH_BYTES where it is larger.
     Inner functions travel by value with the globals they name, so what a worker keeps is
     only reached through functions of this module.
@@ -90,6 +92,9 @@ def lean(fn, owner: str = ""):
         try:
             yield from fn(batches)
         finally:
+            if not keep:
+                _kept.clear()
+                gc.collect()
             _trim()
 
     _bound_batches()
