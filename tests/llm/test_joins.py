@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -233,28 +234,60 @@ def plain_chunks(raw):
 
 
 def brute_spans(rows, least, within=True):
-    """Spans of overlapping repeated units; rows of one doc_id must have one text."""
-    seen, marked = {}, {}
+    """Runs of repeated units with one source at one distance; rows of one doc_id must have one text."""
+    first, marked = {}, {}
     for i, text in sorted(rows, key=lambda r: r[0]):
         raw = (text or "").encode()
         own = plain_chunks(raw) if raw else []
         units = [(own[j][0], own[j + 1][1]) for j in range(len(own) - 1)] + [c for c in own if len(own) == 1 or c[1] - c[0] >= least]
         for s, e in sorted(units):
-            first = seen.setdefault(raw[s:e], (i, s))
-            if first != (i, s) and (within or first[0] != i):
-                marked.setdefault(i, []).append((s, e, first[0]))
+            lead = first.setdefault(raw[s:e], (i, s))
+            if lead != (i, s) and (within or lead[0] != i):
+                marked.setdefault(i, {})[s, e] = lead
     out = set()
     for i, found in marked.items():
-        spans = []
-        for s, e, first in sorted(found):
-            if spans and s < spans[-1][1]:
-                spans[-1] = (spans[-1][0], max(e, spans[-1][1]), min(first, spans[-1][2]))
-            else:
-                spans.append((s, e, first))
-        out |= {(i, s, e - s, f) for s, e, f in spans if e - s >= least}
+        groups, last = [], -1
+        for s, e in sorted(found):
+            if s > last:
+                groups.append([])
+            groups[-1].append((s, e))
+            last = max(last, e)
+        for units in groups:
+            if max(e for _, e in units) - units[0][0] < least:
+                continue
+            source = [(found[u][0], u[0] - found[u][1]) for u in units]
+            tally = Counter(source)
+            most = sorted(tally, key=lambda d: (-tally[d], d))[:2]
+            sources = {}
+            for k, (u, d) in enumerate(zip(units, source, strict=True)):
+                before = next((x for x in reversed(source[:k]) if x != d), d)
+                after = next((x for x in source[k:] if x != d), d)
+                for doc, shift in {d, before, after, *most}:
+                    if (doc, shift) == d or marked.get(doc, {}).get((u[0] - shift, u[1] - shift)) == found[u]:
+                        sources.setdefault((doc, shift), []).append(u)
+            spans = []
+            for (doc, shift), own in sorted(sources.items()):
+                for s, e in sorted(own):
+                    if spans and spans[-1][2:] == (doc, shift) and s <= spans[-1][1]:
+                        spans[-1] = (spans[-1][0], max(e, spans[-1][1]), doc, shift)
+                    else:
+                        spans.append((s, e, doc, shift))
+            end = -1
+            for s, e, doc, shift in sorted((x for x in spans if x[1] - x[0] >= least), key=lambda x: (x[0], -x[1], x[2], x[0] - x[3])):
+                if e > end:
+                    out.add((i, s, e - s, doc))
+                    end = e
     return out
 
 
+def assert_sources(df, rows):
+    """Every span stands at its source."""
+    raw = {i: (t or "").encode() for i, t in rows}
+    for r in df.collect():
+        assert raw[r.doc_id][r.start : r.start + r.n_bytes] == raw[r.first_doc_id][r.first_start : r.first_start + r.n_bytes]
+        assert (r.first_doc_id, r.first_start) != (r.doc_id, r.start)
+
+
 def spans_of(df):
     return {tuple(r)[:4] for r in df.collect()}
 
@@ -266,7 +299,9 @@ def test_substring_dedup_matches_brute_force(spark, within):
     passages = [" ".join(word() for _ in range(60)) for _ in range(5)]
     rows = [(i, " ".join(word() for _ in range(rng.randint(0, 80))) + " " + rng.choice(passages) + " " + word()) for i in range(40)]
     rows += [(50, None), (51, ""), (52, rows[0][1]), (53, "ab" * 20_000), (54, "é" * 2000), (55, "short"), (56, "short"), (57, rows[3][1] + " " + rows[3][1])]
-    found = spans_of(chunk_dedup.repeated_spans(spark.createDataFrame(rows, DOC).selectExpr("*", "1 text_hash", "2 first_doc_id"), within=within))
+    spans = chunk_dedup.repeated_spans(spark.createDataFrame(rows, DOC).selectExpr("*", "1 text_hash", "2 first_doc_id"), within=within)
+    found = spans_of(spans)
+    assert_sources(spans, rows)
     assert found == brute_spans(rows, chunk_dedup.MIN_SPAN, within)
     repeated = {i for i, t in rows if t and any(p in t for p in passages)}
     assert len(repeated - {r[0] for r in found}) <= len(passages)  # each passage's first document keeps it
@@ -307,7 +342,9 @@ def test_registered_substring_dedup_reports_repeats_within_a_document(spark, tmp
     # Two passages that have never stood side by side are two spans.
     rows += [(6, f"{shared} {body}")]
     spark.createDataFrame(rows, DOC).write.parquet(f"{tmp_path}/documents.parquet")
-    found = spans_of(queries.op10_substring_dedup(spark, str(tmp_path)))
+    spans = queries.op10_substring_dedup(spark, str(tmp_path))
+    found = spans_of(spans)
+    assert_sources(spans, rows)
     assert found == brute_spans(rows, chunk_dedup.MIN_SPAN)
     own = [r for r in found if r[0] == 2]
     assert [r[3] for r in own] == [2] and own[0][2] > 0.8 * len(body.encode())

@@ -4,9 +4,14 @@ A gear rolling hash over the last WINDOW bytes cuts each text into chunks of abo
 on average, so a cut depends on the bytes before it alone and an insertion moves no
 later cut.  The units compared are two adjacent chunks, and single chunks that are long
 enough by themselves; they are known by a 96-bit digest, and of equal units the first, by
-doc_id, text and place, is kept.  Repeated units that overlap form a span, so every
-junction of chunks within a span has occurred before, and spans of at least MIN_SPAN
-bytes count as repeats; shorter ones (a common line, a phrase) are left alone.
+doc_id, text and place, is kept.  A span is a run of repeated units that all have a source in one
+earlier row at one distance, so the whole of it stands there; spans of at least MIN_SPAN
+bytes count as repeats, and shorter ones (a common line, a phrase) are left alone.
+
+Units of a copied passage can come first in different places, as a phrase in it may be
+older than the passage.  Where overlapping units have several sources, each unit is looked up
+in the others that may run on (those of its neighbours, and the two most frequent ones): the source's row
+has, at the place asked for, a unit that follows the same first one, or it hasn't.
 
 A row is known by its doc_id and a hash of its text, so rows that repeat a doc_id with
 other texts keep their own places.
@@ -15,8 +20,8 @@ Digests move as packed records.  Each map task first looks among the units that
 of equal ones only the first is sent to be compared by digest, with the others following
 it (by its place, of which a task's buffer bounds the number).  So a unit with any number
 of copies costs its bucket one record for each buffer, not one for each copy, and
-followers learn the first document from the unit they follow.  A last shuffle, by row,
-joins repeated units into spans.
+followers learn the first place from the unit they follow.  A last shuffle, by row,
+joins repeated units into spans; lookups move only units of rows that are asked.
 """
 
 from __future__ import annotations
@@ -29,7 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vendora.llm.kernel import CHUNK_BYTES, U, chunks, hash_ranges, mix, text_buffer
-from vendora.llm.store import PACKED, Deal, buckets_for, deal_out, gather, lean
+from vendora.llm.store import PACKED, Deal, buckets_for, deal_out, gather, id_bitmap, in_bitmap, lean
+from vendora.plans.checkpoints import Tables, guarded
 
 WINDOW = 16
 #: The top bits of the 16-bit gear hash that must be zero at a cut: 2**4 bytes between cuts on average.
@@ -44,7 +50,8 @@ _CODES = _rng.integers(1, 2**63, (2, 256), dtype=np.uint64) * U(2) + U(1)
 UNIT = np.dtype([("d1", "<u8"), ("d2", "<u4"), ("doc", "<i8"), ("text", "<i8"), ("at", "<u4"), ("size", "<u4")])
 #: A unit (doc, text, at, size) that follows an equal one (lead, lead_text, lead_at).
 FOLLOWER = np.dtype([("lead", "<i8"), ("lead_text", "<i8"), ("lead_at", "<u4"), ("doc", "<i8"), ("text", "<i8"), ("at", "<u4"), ("size", "<u4")])
-REPEAT = np.dtype([("doc", "<i8"), ("text", "<i8"), ("at", "<u4"), ("size", "<u4"), ("first", "<i8")])
+#: Whether a unit (doc, text, at, size) with this first place is also in another row at another place.
+LOOKUP = np.dtype([("in_doc", "<i8"), ("in_text", "<i8"), ("in_at", "<u4"), *FOLLOWER.descr])
 #: Units that a map task holds before it sends them.
 BUFFER_UNITS = 300_000
 
@@ -192,31 +199,58 @@ def _find_repeats(buckets: int):
     return run
 
 
-def _resolve(buckets: int, within: bool):
-    """All repeats with the document of the first equal unit, by row."""
+#: Repeats, spans and lookups at rest: kind, the row and place asked (of lookups), and the fields of FOLLOWER.
+ROWS = ", ".join(["kind int", *(f"{n} bigint" for n in LOOKUP.names)])
+_NAMES = [c.split()[0] for c in ROWS.split(", ")]
+#: Rows of a batch, so that readers hold little at a time.
+BATCH_ROWS = 50_000
+
+
+def as_rows(x: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(x), BATCH_ROWS):
+        part = x[at : at + BATCH_ROWS]
+        column = lambda n: pa.array(part[n].astype(np.int64)) if n in x.dtype.names else pa.nulls(len(part), pa.int64())  # noqa: B023, E731
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), *(column(n) for n in LOOKUP.names)], _NAMES)
+
+
+def records(batch: pa.RecordBatch, kind: np.dtype) -> np.ndarray:
+    out = np.empty(batch.num_rows, kind)
+    for name in kind.names:
+        out[name] = batch.column(name).to_numpy()
+    return out
+
+
+def _deal_rows(buckets: int, kind: int, key, type_: np.dtype, pick=None):
+    """Rows as packed records of a kind, by key; those that pick takes of a batch."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Deal(buckets, type_, kind)
+        for batch in batches:
+            x = records(batch, type_)
+            x = x if pick is None else x[pick(batch)]
+            yield from out.add(key(x), x)
+        yield from out.flush()
+
+    return run
+
+
+def _resolve(within: bool):
+    """All repeats with the place of the first equal unit, as rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Deal(buckets, REPEAT)
         for found in gather(batches, {0: (FOLLOWER, _at_self), 1: (FOLLOWER, _at_lead)}):
             known, others = found[0], found[1]
-            first = others["lead"].copy()
             if len(known) and len(others):
                 # Units of different sizes can begin at one place; their leads are the same where the sizes are.
                 keys = _at_self(known) + known["size"]
                 order = np.argsort(keys, kind="stable")
                 at = order[np.minimum(np.searchsorted(keys[order], _at_lead(others) + others["size"]), len(keys) - 1)]
                 same = (known["doc"][at] == others["lead"]) & (known["text"][at] == others["lead_text"]) & (known["at"][at] == others["lead_at"]) & (known["size"][at] == others["size"])
-                first[same] = known["lead"][at][same]
-            for part, of in ((known, known["lead"]), (others, first)):
-                if not within:
-                    across = part["doc"] != of
-                    part, of = part[across], of[across]
-                made = np.empty(len(part), REPEAT)
-                for name in ("doc", "text", "at", "size"):
-                    made[name] = part[name]
-                made["first"] = of
-                yield from out.add(_row_key(made), made)
-        yield from out.flush()
+                others = others.copy()
+                for name in ("lead", "lead_text", "lead_at"):
+                    others[name][same] = known[name][at][same]
+            for part in (known, others):
+                yield from as_rows(part if within else part[part["doc"] != part["lead"]], 0)
 
     return run
 
@@ -225,43 +259,168 @@ def _row_key(x: np.ndarray) -> np.ndarray:
     return x["doc"].astype(U) ^ mix(x["text"].astype(U))
 
 
-def _spans(least: int):
+def _shift(x: np.ndarray) -> np.ndarray:
+    return x["at"].astype(np.int64) - x["lead_at"].astype(np.int64)
+
+
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted columns change."""
+    changed = np.zeros(len(columns[0]), bool)
+    changed[:1] = True
+    for c in columns:
+        changed[1:] |= c[1:] != c[:-1]
+    return changed
+
+
+def runs(x: np.ndarray, least: int) -> np.ndarray:
+    """Spans (as followers: size bytes from at on stand at the lead's place) of units with their sources, without those within another span of the row."""
+    if not len(x):
+        return x
+    x = x[np.lexsort((x["at"], _shift(x), x["lead_text"], x["lead"], x["text"], x["doc"]))]
+    new = _new(x["doc"], x["text"], x["lead"], x["lead_text"], _shift(x))
+    # Sources lie behind each other on one line; units that touch run on.
+    at = x["at"].astype(np.int64) + (np.cumsum(new) << 33)
+    end = np.maximum.accumulate(at + x["size"])
+    start = np.flatnonzero(np.concatenate(([True], at[1:] > end[:-1])))
+    size = end[np.concatenate((start[1:], [len(x)])) - 1] - at[start]
+    out = x[start]
+    out["size"] = size
+    out = out[size >= least]
+    out = out[np.lexsort((out["lead_at"], out["lead_text"], out["lead"], -out["size"].astype(np.int64), out["at"], out["text"], out["doc"]))]
+    row = np.cumsum(_new(out["doc"], out["text"])).astype(np.int64) << 33
+    end = np.maximum.accumulate(row + out["at"] + out["size"]) if len(out) else row
+    inside = np.zeros(len(out), bool)
+    inside[1:] = (row + out["at"] + out["size"])[1:] <= end[:-1]
+    return out[~inside]
+
+
+def lookups(x: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """What to ask for the units of spans with several sources; x is sorted by row and place, span numbers its spans from 0."""
+    code = np.unique(np.stack((span, x["lead"], x["lead_text"], _shift(x))), axis=1, return_inverse=True)[1].reshape(-1)
+    one = np.unique(code, return_index=True)[1]  # a unit of each source
+    # Sources of the runs before and behind, and the two most frequent ones, of the same span.
+    run = np.cumsum(_new(span, code)) - 1
+    head = np.flatnonzero(_new(run))
+    tried = []
+    for step in (-1, 1):
+        to = np.clip(np.arange(len(head)) + step, 0, len(head) - 1)
+        tried.append(np.where(span[head[to]] == span[head], code[head[to]], code[head])[run])
+    count = np.bincount(code)
+    order = np.lexsort((np.arange(len(one)), -count, span[one]))
+    first = np.flatnonzero(_new(span[one][order]))
+    most, second = order[first], order[np.minimum(first + 1, len(order) - 1)]
+    tried += [most[span], np.where(span[one[second]] == span[one[most]], second, most)[span]]
+    unit = np.tile(np.arange(len(x)), len(tried))
+    ask = np.concatenate(tried)
+    pairs = np.unique(np.stack((unit, ask))[:, ask != code[unit]], axis=1)
+    unit, source = pairs[0], x[one[pairs[1]]]
+    place = x["at"][unit].astype(np.int64) - _shift(source)
+    good = (place >= 0) & (place < 1 << 32)
+    out = np.empty(int(good.sum()), LOOKUP)
+    for name in FOLLOWER.names:
+        out[name] = x[name][unit][good]
+    out["in_doc"], out["in_text"], out["in_at"] = source["lead"][good], source["lead_text"][good], place[good]
+    return out
+
+
+def _asked_row(x: np.ndarray) -> np.ndarray:
+    return x["in_doc"].astype(U) ^ mix(x["in_text"].astype(U))
+
+
+def _ask(least: int):
+    """Kind 0: spans of overlapping units that have one source.  Kind 1: units of those with several.  Kind 2: lookups."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in gather(batches, {0: (REPEAT, _row_key)}):
+        for found in gather(batches, {0: (FOLLOWER, _row_key)}):
             x = found[0]
             if not len(x):
                 continue
-            x = x[np.lexsort((x["at"], x["text"], x["doc"]))]
-            row = np.cumsum(np.concatenate(([0], (x["doc"][1:] != x["doc"][:-1]) | (x["text"][1:] != x["text"][:-1]))))
-            # The furthest end so far within the row; rows lie behind each other on one line.
-            at = x["at"].astype(np.int64) + (row << 33)
+            x = x[np.lexsort((x["size"], x["at"], x["text"], x["doc"]))]
+            x = x[_new(*(x[n] for n in FOLLOWER.names))]  # rows that repeat
+            at = x["at"].astype(np.int64) + (np.cumsum(_new(x["doc"], x["text"])) << 33)
             end = np.maximum.accumulate(at + x["size"])
-            start = np.flatnonzero(np.concatenate(([True], at[1:] >= end[:-1])))
+            new = np.concatenate(([True], at[1:] > end[:-1]))
+            start, span = np.flatnonzero(new), np.cumsum(new) - 1
             size = end[np.concatenate((start[1:], [len(x)])) - 1] - at[start]
-            first = np.minimum.reduceat(x["first"], start)
-            good = size >= least
-            start = start[good]
-            yield pa.RecordBatch.from_arrays([pa.array(x["doc"][start]), pa.array(x["at"][start].astype(np.int64)), pa.array(size[good]), pa.array(first[good]), pa.array(x["text"][start])], ["doc_id", "start", "n_bytes", "first_doc_id", "text_hash"])
+            mixed = np.zeros(len(start), bool)
+            mixed[span[1:][(~new[1:]) & ((x["lead"][1:] != x["lead"][:-1]) | (x["lead_text"][1:] != x["lead_text"][:-1]) | (_shift(x)[1:] != _shift(x)[:-1]))]] = True
+            one = x[(~mixed & (size >= least))[span]]
+            yield from as_rows(runs(one, least), 0)
+            pick = (mixed & (size >= least))[span]
+            if pick.any():
+                part = x[pick]
+                yield from as_rows(part, 1)
+                yield from as_rows(lookups(part, np.cumsum(_new(span[pick])) - 1), 2)
+
+    return run
+
+
+def _answer(buckets: int):
+    """For every lookup that finds its unit, the unit with that place as its source, by row."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Deal(buckets, FOLLOWER, 1)
+        for found in gather(batches, {0: (FOLLOWER, _row_key), 2: (LOOKUP, _asked_row)}):
+            x, ask = found[0], found[2]
+            if not len(x) or not len(ask):
+                continue
+            keys = _at_self(x) + x["size"]
+            order = np.argsort(keys, kind="stable")
+            at = order[np.minimum(np.searchsorted(keys[order], _place(ask["in_doc"], ask["in_text"], ask["in_at"]) + ask["size"]), len(keys) - 1)]
+            same = (x["doc"][at] == ask["in_doc"]) & (x["text"][at] == ask["in_text"]) & (x["at"][at] == ask["in_at"])
+            for name in ("size", "lead", "lead_text", "lead_at"):
+                same &= x[name][at] == ask[name]
+            made = np.empty(int(same.sum()), FOLLOWER)
+            for name in ("doc", "text", "at", "size"):
+                made[name] = ask[name][same]
+            made["lead"], made["lead_text"], made["lead_at"] = ask["in_doc"][same], ask["in_text"][same], ask["in_at"][same]
+            yield from out.add(_row_key(made), made)
+        yield from out.flush()
+
+    return run
+
+
+def _spans(least: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in gather(batches, {1: (FOLLOWER, _row_key)}):
+            yield from as_rows(runs(found[1], least), 0)
 
     return run
 
 
+@guarded
 def repeated_spans(docs: DataFrame, least: int = MIN_SPAN, within: bool = True) -> DataFrame:
-    """doc_id, start and n_bytes of each repeated span (in bytes of UTF-8), first_doc_id, text_hash.
+    """doc_id, start and n_bytes of each repeated span (in bytes of UTF-8), first_doc_id, text_hash, first_start.
 
-    first_doc_id is the least document in which a unit of the span comes first; it may
-    be doc_id itself, unless within is false: then only repeats across documents count.
+    The bytes of a span stand in an earlier place too: in a row of first_doc_id (maybe of doc_id itself, unless
+    within is false: then only repeats across documents count), from first_start on.
+    Spans of one text can overlap where their sources differ, but none lies within another.
     text_hash (xxhash64 of the text) tells the rows of one doc_id apart.  Only doc_id and
     text are read; null and empty texts have no spans; rows without doc_id take no part;
     rows that repeat a doc_id and text are one occurrence; of rows with one doc_id and
     different texts the one with the lesser text_hash comes first.
     """
+    tables = Tables()
     rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").where("doc_id is not null").withColumn("text_hash", F.xxhash64("text"))
     buckets = buckets_for(docs, "text", 2.0)
-    dealt = deal_out(rows.mapInArrow(lean(_deal_units(buckets, least)), PACKED), buckets)
-    found = deal_out(dealt.mapInArrow(lean(_find_repeats(buckets)), PACKED), buckets)
-    resolved = deal_out(found.mapInArrow(lean(_resolve(buckets, within)), PACKED), buckets)
-    return resolved.mapInArrow(lean(_spans(least)), "doc_id bigint, start bigint, n_bytes bigint, first_doc_id bigint, text_hash bigint")
+    packed = lambda df, fn: df.mapInArrow(lean(fn), PACKED)
+    dealt = deal_out(packed(rows, _deal_units(buckets, least)), buckets)
+    found = deal_out(packed(dealt, _find_repeats(buckets)), buckets)
+    repeats = tables.write(found.mapInArrow(lean(_resolve(within)), ROWS))
+    asked = tables.write(deal_out(packed(repeats, _deal_rows(buckets, 0, _row_key, FOLLOWER)), buckets).mapInArrow(lean(_ask(least)), ROWS))
+    lookup = asked.where("kind = 2")
+    # Only repeats of the rows that are asked move again: a bitmap of at most 64 MB picks them.
+    row = lambda doc, text: F.xxhash64(doc, text).alias("row")
+    bitmap = id_bitmap(lookup.select(row("in_doc", "in_text")).distinct(), "row")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    there = lambda batch: in_bitmap(shared.value, batch.column("row").to_numpy())
+    wanted = repeats.withColumn("row", row("doc", "text"))
+    asking = packed(wanted, _deal_rows(buckets, 0, _row_key, FOLLOWER, there)).unionByName(packed(lookup, _deal_rows(buckets, 2, _asked_row, LOOKUP)))
+    answers = packed(deal_out(asking, buckets), _answer(buckets))
+    again = packed(asked.where("kind = 1"), _deal_rows(buckets, 1, _row_key, FOLLOWER)).unionByName(answers)
+    several = deal_out(again, buckets).mapInArrow(lean(_spans(least)), ROWS)
+    spans = asked.where("kind = 0").unionByName(several)
+    return tables.close(spans.select(F.col("doc").alias("doc_id"), F.col("at").alias("start"), F.col("size").alias("n_bytes"), F.col("lead").alias("first_doc_id"), F.col("text").alias("text_hash"), F.col("lead_at").alias("first_start")))
 
 
 def _without(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,9 +430,9 @@ def _without(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if gone and text:
                 raw, at, kept = text.encode(), 0, []
                 for span in sorted(gone, key=lambda s: s["start"]):
-                    kept.append(raw[at : span["start"]])
-                    at = span["start"] + span["n_bytes"]
-                text = b"".join([*kept, raw[at:]]).decode(errors="ignore")
+                    kept.append(raw[at : max(at, span["start"])])
+                    at = max(at, span["start"] + span["n_bytes"])
+                text = b"".join([*kept, raw[at:]]).decode()
             texts.append(text)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
