@@ -1,10 +1,12 @@
 """Chat formatting with schema fingerprints, in DataFrame functions only.
 
-A layout is known by its fingerprint: the hash of its sorted nested field paths, of those
-paths that any layout uses; other fields are ignored.  The fingerprint selects a
-declarative mapping, a SQL expression over the fields, to canonical turns.  Typed tables
-are fingerprinted by their schema, JSON records row by row, so one column may mix
-prompts, instructions and message lists; both use the same table of mappings.
+A layout is known by its fingerprint: the hash of its sorted nested field paths.  The
+fingerprint selects a declarative mapping, a SQL expression over the fields, to canonical turns.
+Of the layouts whose paths a table or record has all, the one with the most is taken, so further fields,
+known ones too, change nothing; a record in which two layouts of one size are whole is left
+unmapped, as either could lose texts.  Typed tables are fingerprinted by their schema, JSON records
+row by row, so one column may mix prompts, instructions and message lists; both use the
+same table of mappings.  A table with a role, a text and a turn is one of turns, whatever else it has.
 
 Template: each turn is ``<|turn|>role<|text|>text<|end|>``.  Inside roles and texts a
 backslash is doubled, and one is put after the first character of every control string
@@ -80,25 +82,29 @@ def known_paths() -> set[str]:
     return {p for paths in LAYOUTS for p in paths}
 
 
+def largest_contained(paths: list[str], table: dict) -> tuple[str, ...] | None:
+    """The largest layout of a table whose paths are all there; None if there is none, or if two are as large."""
+    inside = sorted((x for x in table if set(x) <= set(paths)), key=len, reverse=True)
+    return None if not inside or (len(inside) > 1 and len(inside[1]) == len(inside[0])) else inside[0]
+
+
 def _layout_of(df: DataFrame, id_column: str) -> tuple[dict | str | None, list[str]]:
-    """The mapping of a typed table, if its fingerprint has one, and all its paths.
+    """The mapping of a typed table, if a layout that it holds has one, and all its paths.
 
-    A table is fingerprinted as one of records by the paths of LAYOUTS, and else as one of turns by those of BY_TURN.
+    A table that holds a layout of BY_TURN is one of turns (the first such layout counts); else it is one of records.
     """
     paths = [p for f in df.schema.fields if f.name != id_column for p in field_paths(f.dataType, f.name)]
-    for table in (LAYOUTS, BY_TURN):
-        known = {p for x in table for p in x}
-        mapping = {fingerprint(list(x)): to for x, to in table.items()}.get(fingerprint([p for p in paths if p in known]))
-        if mapping is not None:
-            return mapping, paths
-    return None, paths
+    by_turn = next((x for x in BY_TURN if set(x) <= set(paths)), None)
+    found = by_turn or largest_contained(paths, LAYOUTS)
+    mappings = {fingerprint(list(x)): to for x, to in (LAYOUTS | BY_TURN).items()}
+    return (mappings[fingerprint(list(found))] if found else None), paths
 
 
 def canonical_turns(df: DataFrame, id_column: str = "conv_id") -> DataFrame:
     """conv_id, turn, role, text: a row for each turn of a typed table in any known layout, of records or of turns.
 
-    Columns that no layout uses are ignored.  An unknown layout is an error that names
-    its paths.  A record whose list of turns is null or empty has no row.
+    Further columns are ignored.  An unknown layout, or two of one size, is an error that names
+    the table's paths.  A record whose list of turns is null or empty has no row.
     """
     mapping, paths = _layout_of(df, id_column)
     if mapping is None:
@@ -144,16 +150,26 @@ def record_paths(record: Column) -> Column:
     return F.when(F.json_object_keys(record).isNotNull(), F.array_sort(F.array_intersect(F.array_distinct(found), known)))
 
 
+def layout_paths(paths: Column) -> Column:
+    """largest_contained of LAYOUTS as a column: the sorted paths of the layout that a record's paths hold, null for none or two of one size."""
+    every = F.array(*(F.array(*(F.lit(p) for p in sorted(x))) for x in LAYOUTS))
+    inside = F.filter(every, lambda x: F.size(F.array_except(x, paths)) == 0)
+    size = F.array_max(F.transform(inside, lambda x: F.size(x)))
+    largest = F.filter(inside, lambda x: F.size(x) == size)
+    return F.when(F.size(largest) == 1, F.get(largest, F.lit(0)))
+
+
 def turns_of_json(df: DataFrame, id_column: str = "conv_id", json_column: str = "record") -> DataFrame:
     """conv_id, turns, layout (fingerprint), paths for JSON records of mixed layouts; a row for every row of df.
 
-    Each record is fingerprinted by itself; fields that no layout uses are ignored.
-    turns is null for records that aren't objects or whose fingerprint has no mapping
-    (unmapped lists them).  Numbers and other scalars are taken as their JSON text.
+    Each record is fingerprinted by itself, by the paths of the largest layout that it holds.
+    turns is null for records that aren't objects, that hold no layout or two of one size
+    (unmapped lists them, with the fingerprint of all their known paths).  Numbers and other scalars are taken as their JSON text.
     """
     rows = df.select(F.col(id_column).cast("bigint").alias("conv_id"), F.col(json_column).cast("string").alias("record"))
     rows = rows.select("conv_id", record_paths(F.col("record")).alias("paths"), F.from_json("record", _record_type()).alias("r"))
-    rows = rows.withColumn("layout", F.sha2(F.array_join("paths", "\n"), 256)).select("conv_id", "paths", "layout", "r.*")
+    held = F.coalesce(layout_paths(F.col("paths")), F.col("paths"))
+    rows = rows.withColumn("layout", F.sha2(F.array_join(held, "\n"), 256)).select("conv_id", "paths", "layout", "r.*")
     turns = F.lit(None).cast(TURNS)
     for paths, sql in LAYOUTS.items():
         turns = F.when(F.col("layout") == fingerprint(list(paths)), F.expr(sql).cast(TURNS)).otherwise(turns)
