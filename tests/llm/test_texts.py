@@ -534,6 +534,34 @@ def test_the_fingerprint_selects_the_mapping_of_the_query(spark, tmp_path, monke
         queries.op7_chat_format(spark, str(tmp_path))
 
 
+def test_further_known_fields_lose_no_turns(spark):
+    want = [("user", "q"), ("assistant", "a")]
+    rows = spark.createDataFrame([(1, 0, "user", "q", "p", "r", "c"), (1, 1, "assistant", "a", "p", "r", "c")], "conv_id bigint, turn bigint, role string, text string, prompt string, response string, content string")
+    for df in (rows, rows.drop("content"), rows.drop("prompt")):
+        assert [(r.role, r.text) for r in chat_format.canonical_turns(df).orderBy("turn").collect()] == want
+    records = ['{"prompt":"q","response":"a","input":""}', '{"instruction":"q","output":"a","prompt":"x"}', '{"prompt":"q","response":"a","completion":"b"}', '{"messages":[{"role":"user","content":"q","text":"t"}]}', '{"prompt":"q","response":"a","system":null}']
+    turns = chat_format.turns_of_json(spark.createDataFrame(list(enumerate(records)), "conv_id bigint, record string"))
+    found = {r.conv_id: r.turns and [tuple(t) for t in r.turns] for r in turns.collect()}
+    assert found == {0: want, 1: want, 2: None, 3: None, 4: [("system", None), *want]}
+    assert {r.conv_id for r in chat_format.unmapped(turns).collect()} == {2, 3}
+    with pytest.raises(ValueError, match="completion"):
+        chat_format.canonical_turns(spark.createDataFrame([(1, "q", "a", "b")], "conv_id bigint, prompt string, response string, completion string"))
+
+
+def test_toxicity_ratios_of_any_size_and_tokens_of_any_length(spark, monkeypatch):
+    for ratio in (-800.0, -3.0, -1e-9, 0.0, 1e-9, 2.0, 29.0, 31.0, 5000.0):
+        plain = math.log((1 - toxicity.BLEND) + toxicity.BLEND * math.exp(ratio)) if ratio < 700 else ratio + math.log(toxicity.BLEND)
+        assert math.isclose(toxicity.blended(ratio), plain, rel_tol=1e-9, abs_tol=1e-12)
+    tokens = lambda text: [t for part in toxicity.token_windows(text) for t in part]
+    text = "a" * 2500 + " b" + "7" * 1500 + "_c.. " + "d" * 300
+    monkeypatch.setattr(toxicity, "WINDOW", 100)
+    assert tokens(text) == ["a" * 2500, "b", "7" * 1500, "_", "c", ".", ".", "d" * 300]
+    docs = spark.createDataFrame([(i, "x" * 1000) for i in range(40)], DOC)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 2500)
+    assert toxicity.sample_labelled(docs, labels)[0].groupBy("toxic").count().where("count <> 3").isEmpty()
+
+
 # Pipeline
 
 

@@ -11,7 +11,7 @@ added to the length, so that a few words alone decide little.  A logistic curve,
 on sampled documents that didn't train the models it is fitted with, maps it to 0..1.
 
 The models are fitted on a bounded sample of labelled rows: SAMPLE_DOCS of each label,
-those with the smallest hash of doc_id.  Their n-grams are counted and their evidence is
+those with the smallest hash of doc_id, and of these the first whose whole texts fit into SAMPLE_BYTES.  Their n-grams are counted and their evidence is
 measured on the executors; the driver gets n-gram counts and two numbers a document, no
 text.  Scoring covers every document and its whole text in one narrow pass; token ratios
 are memoised in a table of bounded size.
@@ -26,14 +26,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vendora.llm.store import lean
 from vendora.plans.checkpoints import discard, guarded, materialize
 
-#: Sampled labelled documents of each label.
-SAMPLE_DOCS = 1600
+#: Sampled labelled documents of each label: so many, and no more once their texts have so many bytes.
+SAMPLE_DOCS, SAMPLE_BYTES = 1600, 32 << 20
 ORDER = 5
 SHARED_ORDERS = 2
 DISCOUNT = 0.75
@@ -45,8 +45,7 @@ MEMO_LIMIT = 400_000
 THRESHOLD = 0.7
 #: Characters of a text that are split into tokens at a time.
 WINDOW = 1 << 20
-#: Longer tokens come in parts.
-_TOKEN = re.compile(r"[^\W\d_]{1,1000}|\d{1,1000}|[^\w\s]|_")
+_TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 START, STOP = "^" * (ORDER - 1), "$"
 
 
@@ -56,8 +55,10 @@ def token_windows(text: str | None) -> Iterator[list[str]]:
     while at < len(low):
         end = min(len(low), at + WINDOW)
         found = _TOKEN.findall(low, at, end)
-        if end < len(low) and len(found) > 1 and low.endswith(found[-1], at, end):
-            end -= len(found.pop())  # it may go on in the next window
+        if found and low.endswith(found[-1], at, end):  # it may go on beyond the window
+            start = end - len(found[-1])
+            found[-1] = _TOKEN.match(low, start)[0]
+            end = start + len(found[-1])
         yield found
         at = end
 
@@ -134,6 +135,13 @@ class ClassModels:
         self.__dict__.update(state, known={})
 
 
+def blended(ratio: float) -> float:
+    """log((1 - BLEND) + BLEND * exp(ratio)), whatever the ratio's size."""
+    if ratio <= 0:
+        return math.log1p(BLEND * math.expm1(ratio))
+    return ratio + math.log(BLEND + (1 - BLEND) * math.exp(-ratio))
+
+
 class _Memo(dict):
     """Token -> log P(token | toxic document) - log P(token | ordinary document)."""
 
@@ -144,7 +152,7 @@ class _Memo(dict):
     def __missing__(self, token: str) -> float:
         if len(self) >= MEMO_LIMIT:
             self.clear()
-        out = math.log1p(BLEND * math.expm1(min(self.models.ratio(token), 30.0)))
+        out = blended(self.models.ratio(token))
         if len(token) <= 40:
             self[token] = out
         return out
@@ -197,7 +205,7 @@ class ToxicityModel:
 
 @guarded
 def sample_labelled(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS) -> tuple[DataFrame, float]:
-    """(text, toxic, half) of at most size different rows of each label, and the share of label 1.
+    """(text, toxic, half) of at most size different rows of each label, whose texts have SAMPLE_BYTES together with at most one more, and the share of label 1.
 
     Rows whose crc32(doc_id) mod 3 is 1 are left out, and so are null labels and doc_ids
     labelled both ways.  Ids are chosen from labels alone and rows, where an id has
@@ -213,7 +221,10 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS)
 
     chosen = F.broadcast(first(ids))  # at most 2 * size narrow rows
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").withColumn("_t", F.xxhash64("text"))
-    keys = materialize(first(rows.select("doc_id", "toxic", "_t").distinct(), "_t").withColumn("half", F.pmod(F.xxhash64("doc_id", "_t"), F.lit(2)).cast("int")))
+    sized = rows.select("doc_id", "toxic", "_t", F.coalesce(F.octet_length("text"), F.lit(0)).alias("_size")).distinct()
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "_t")  # at most size rows of each label
+    taken = first(sized, "_t").withColumn("_before", F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size"))
+    keys = materialize(taken.where(F.col("_before") < SAMPLE_BYTES).drop("_size", "_before").withColumn("half", F.pmod(F.xxhash64("doc_id", "_t"), F.lit(2)).cast("int")))
     picked = rows.join(F.broadcast(keys.select("doc_id", "_t", "half")), ["doc_id", "_t"])
     sample = materialize(picked.groupBy("doc_id", "_t", "toxic", "half").agg(F.first("text").alias("text")).select("text", "toxic", "half"))
     discard(keys)
