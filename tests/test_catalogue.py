@@ -642,3 +642,44 @@ def test_previews_read_the_head(spark, tmp_path, monkeypatch):
     assert [len(r.nome) for r in catalogue.preview_file(spark, str(path), 2)[1].collect()] == [300_000, 1]
     path.write_bytes(b"")
     assert catalogue.preview_file(spark, str(path))[0] == []
+
+
+# Deep pages and searches by postings
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_deep_pages_equal_a_full_sort(spark, seed):
+    rnd = random.Random(seed)
+    word = lambda: rnd.choice([None, "", "a", "ab", "abc", "é", "zz", "a%b", "漢字"]) if rnd.random() < 0.5 else "".join(rnd.choice("abé") for _ in range(rnd.randint(0, 6)))
+    rows = [(i, word(), rnd.choice([None, 0, 1, 2**60, 2**60 + 1, -5, rnd.randrange(1000)]), rnd.choice([None, rnd.random(), 0.5])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, w string, n long, x double")
+    columns = [(c, rnd.random() < 0.5) for c in rnd.sample(["w", "n", "x"], rnd.randint(0, 2))] + [("id", rnd.random() < 0.5)]
+    order = [F.desc_nulls_last(c) if d else F.asc_nulls_last(c) for c, d in columns]
+    every = [tuple(r) for r in df.orderBy(*order).collect()]
+    for skip in (0, 3, 199, rnd.randrange(400), 395, 400, 1000):
+        limit = rnd.choice([1, 10, 50])
+        got = reading.deep_page(df, columns, skip, limit, enough=rnd.choice([1, 20, 10_000]))
+        assert [tuple(r) for r in got.collect()] == every[skip : skip + limit], (columns, skip, limit)
+    for bad in ((-1, 10), (0, 0), (0, 201)):
+        with pytest.raises(ValueError):
+            reading.deep_page(df, columns, *bad)
+    assert reading.deep_page(df.limit(0), columns, 5).collect() == []
+
+
+def test_searches_by_postings_read_few_rows_and_equal_the_scan(spark, tmp_path):
+    rnd = random.Random(2)
+    rows = [(i, "".join(rnd.choice("abcdé %_\\") for _ in range(rnd.randint(0, 40))), rnd.choice([None, "", "AbC", "xyz"])) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, a string, b string")
+    path = str(tmp_path / "index")
+    reading.trigram_index(df, "id", ["a", "b"]).write.partitionBy("gram_bucket").parquet(path)
+    index = spark.read.parquet(path)
+    for term in ("abc", "ABC", "bcd%a", "a_cd", "b\\c", "é d", "xyz", "q", "ab", "", None, "%", "nothing here"):
+        got = sorted(r.id for r in reading.search_indexed(df, index, "id", ["a", "b"], term).collect())
+        assert got == sorted(r.id for r in reading.search(df, ["a", "b"], term).collect()), term
+    # Only files of the grams' buckets are read, and only few keys are left to verify.
+    searched = reading.search_indexed(df, index, "id", ["a", "b"], "bcda")
+    parts = [f for f in searched.inputFiles() if "gram_bucket" in f]
+    assert "PartitionFilters: [" in searched._jdf.queryExecution().toString() and "gram_bucket" in searched._jdf.queryExecution().toString() and len(parts) > 2
+    wanted = reading.grams_of_term("bcda")
+    keys = index.where(F.col("gram").isin(wanted)).groupBy("id").count().where(F.col("count") == len(wanted)).count()
+    assert keys < 25

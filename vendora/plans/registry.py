@@ -1114,3 +1114,41 @@ def workbook_rows(s, d):
 def backslash_search(s, d):
     said = F.when(F.col("props").contains("1"), F.concat(F.lower("props"), F.lit("k\\v"))).otherwise(F.col("props"))
     return reading.search(_usage(s, d).select("event_id", said.alias("said")), ["said"], "K\\V").select("event_id", F.col("said").contains("k\\v").alias("found"))
+
+
+# Deep pages, searches by postings, written products
+
+
+@query("select o_orderkey, o_orderpriority, o_totalprice from orders order by o_orderpriority desc, o_totalprice, o_orderkey limit 50 offset (select count(*) // 2 from orders)")
+def deep_order_page(s, d):
+    """A page in the middle of all orders, whose first sort column has five values."""
+    orders = read(s, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return reading.deep_page(orders, [("o_orderpriority", True), ("o_totalprice", False), ("o_orderkey", False)], orders.count() // 2, 50, enough=500)
+
+
+@query("select event_id, ts, val from (select event_id, ts, case when event_id % 3 > 0 then value end as val from events) order by val desc nulls last, event_id limit 20 offset (select count(*) * 2 // 3 - 7 from events)")
+def deep_page_into_nulls(s, d):
+    events = _usage(s, d).select("event_id", "ts", F.when(F.col("event_id") % 3 > 0, F.col("value")).alias("val"))
+    return reading.deep_page(events, [("val", True), ("event_id", False)], events.count() * 2 // 3 - 7, 20, enough=100)
+
+
+def _indexed(df, key: str, columns: list[str]):
+    """Postings of a table, written and read again as a partitioned index."""
+    path = scratch(df.sparkSession)
+    reading.trigram_index(df, key, columns).write.partitionBy("gram_bucket").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+@query("select doc_id, source from documents where lower(text) like '%ing%the_o%' or lower(source) like '%ing%the_o%'")
+def indexed_document_search(s, d):
+    docs = read(s, d, "documents").select("doc_id", "source", "text")
+    return reading.search_indexed(docs, _indexed(docs, "doc_id", ["text", "source"]), "doc_id", ["text", "source"], "Ing%the_o").select("doc_id", "source")
+
+
+@query("select p_partkey, p_name from part where lower(p_name) like '%ring%' or lower(p_type) like '%al%'")
+def indexed_and_short_search(s, d):
+    """A term of three letters and more by postings, and a shorter one by a scan."""
+    part = read(s, d, "part").select("p_partkey", "p_name", "p_type")
+    index = _indexed(part, "p_partkey", ["p_name"])
+    long = reading.search_indexed(part, index, "p_partkey", ["p_name"], "RING")
+    return long.union(reading.search_indexed(part, index, "p_partkey", ["p_type"], "AL")).select("p_partkey", "p_name").distinct()
