@@ -74,3 +74,45 @@ def credit_check(users: DataFrame, limits: DataFrame, usage: DataFrame, need: in
     spent = F.coalesce("used", F.lit(0)).cast("bigint")
     rows = users.join(F.broadcast(limits), "plan", "left").join(used, "user_id", "left")
     return rows.select("user_id", limit.alias("effective_limit"), spent.alias("used"), (limit.isNull() | (limit <= 0) | (spent + need <= limit)).alias("enough"))
+
+
+#: Columns of a roll-up: a row for each user, month and action, split over parts that are added when they are read.
+ROLL_UP = ("user_id", "month", "action", "n", "last_ts", "upto")
+
+
+def month_counts(usage: DataFrame, id_column: str = "event_id", after: int | None = None) -> DataFrame:
+    """A part of a roll-up: n and last_ts by user, month and action of the events with ids greater than after; upto is the greatest id of the part.
+
+    Ids grow with arrival, not with ts: a late event has a new id and an old month.
+    """
+    new = usage if after is None else usage.where(F.col(id_column) > after)
+    month = F.date_trunc("month", F.col("ts").cast("timestamp_ntz")).cast("date").alias("month")
+    return new.groupBy("user_id", month, "action").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"), F.max(id_column).alias("upto"))
+
+
+def extended(roll_up: DataFrame, usage: DataFrame, id_column: str = "event_id") -> DataFrame:
+    """roll_up with a part for the events that came since; a filter on their ids reaches the scan of usage."""
+    upto = roll_up.agg(F.max("upto")).first()[0]
+    return roll_up.unionByName(month_counts(usage, id_column, upto))
+
+
+def compacted(roll_up: DataFrame) -> DataFrame:
+    """roll_up with one row for each user, month and action; counts are added, so parts can be merged in any order."""
+    return roll_up.groupBy("user_id", "month", "action").agg(F.sum("n").cast("bigint").alias("n"), F.max("last_ts").alias("last_ts"), F.max("upto").alias("upto"))
+
+
+def month_since(roll_up: DataFrame, as_of: str) -> DataFrame:
+    """The part of a roll-up from as_of's month on, as usage since the month's start is counted."""
+    return roll_up.where(F.col("month") >= F.date_trunc("month", F.to_timestamp(F.lit(as_of))).cast("date"))
+
+
+def rolled_usage_by_action(roll_up: DataFrame, as_of: str) -> DataFrame:
+    """usage_by_action of the events in a roll-up."""
+    return month_since(roll_up, as_of).groupBy("action").agg(F.sum("n").cast("bigint").alias("n_uses"))
+
+
+def rolled_usage_by_plan(plans: DataFrame, users: DataFrame, roll_up: DataFrame, as_of: str) -> DataFrame:
+    """usage_by_plan of the events in a roll-up."""
+    per_user = month_since(roll_up, as_of).groupBy("user_id").agg(F.sum("n").alias("n"))
+    per_plan = users.join(per_user, "user_id").groupBy("plan").agg(F.sum("n").alias("n"))
+    return plans.orderBy("plan").limit(MOST_PLANS).join(per_plan, "plan", "left").select("plan", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_uses"))

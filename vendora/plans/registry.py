@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vendora.functions import columns as C
-from vendora.operators import analytics, enrich, ingest, lifecycle, reading
+from vendora.operators import analytics, enrich, ingest, lifecycle, reading, templates, writes
 from vendora.plans.checkpoints import scratch
 from vendora.sources import catalogue, workbook
 from vendora.sources import pages as P
@@ -1152,3 +1152,63 @@ def indexed_and_short_search(s, d):
     index = _indexed(part, "p_partkey", ["p_name"])
     long = reading.search_indexed(part, index, "p_partkey", ["p_name"], "RING")
     return long.union(reading.search_indexed(part, index, "p_partkey", ["p_type"], "AL")).select("p_partkey", "p_name").distinct()
+
+
+def _stored(s, d):
+    """Products written as a table, after the import's changes are put in place."""
+    path = scratch(s)
+    writes.create(_existing(s, d), path, ["tenant", "id"], 16)
+    writes.apply_upsert(s, path, _state(s, d), ["tenant", "id"])
+    return path
+
+
+@query(f"with recursive {_UPSERT} select tenant, id::bigint as id, sku, ean, label from st")
+def stored_upsert(s, d):
+    return writes.read(s, _stored(s, d)).select("tenant", F.col("id").cast("bigint").alias("id"), "sku", "ean", "label")
+
+
+@query(f"with recursive {_UPSERT} select tenant, id::bigint as id, label from st where change <> 'updated' or sku is null or length(sku) <> 1")
+def stored_deletes(s, d):
+    """Updated products with an SKU of one character are deleted from the written table."""
+    path = _stored(s, d)
+    gone = _state(s, d).where("change = 'updated' and length(sku) = 1").select("tenant", "id")
+    writes.delete_rows(s, path, gone, ["tenant", "id"])
+    return writes.read(s, path).select("tenant", F.col("id").cast("bigint").alias("id"), "label")
+
+
+@query(f"select event_type as action, count(*)::bigint as n_uses from events where {_MONTH} group by 1")
+def usage_by_action_rolled(s, d):
+    """From a roll-up of the first events, extended twice, the last time by a few."""
+    usage = _usage(s, d)
+    most = usage.agg(F.max("event_id")).first()[0] or 0
+    first = analytics.month_counts(usage.where(F.col("event_id") <= most // 2))
+    then = analytics.extended(first, usage.where(F.col("event_id") <= most - 10))
+    return analytics.rolled_usage_by_action(analytics.compacted(analytics.extended(then, usage)), AS_OF)
+
+
+@query(SQL["usage_by_plan"])
+def usage_by_plan_rolled(s, d):
+    roll_up = analytics.month_counts(_usage(s, d))
+    return analytics.rolled_usage_by_plan(_users(s, d).select("plan").distinct(), _users(s, d), roll_up, AS_OF)
+
+
+def _attribute_rows(s, d):
+    """Parts as products of the type that their brand has, with attributes from their columns; templates by brand from the same table."""
+    text = lambda c: F.col(c).cast("string")
+    some = F.map_filter(F.create_map(F.lit("tipo"), text("p_type"), F.lit("tamanho"), text("p_size"), F.lit("preco"), text("p_retailprice"), F.lit("cor"), F.split("p_name", " ")[0]), lambda k, v: ~((k == "cor") & v.like("s%")) & ~((k == "tamanho") & (v == "7")))
+    products = read(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("type_id"), some.alias("attributes"))
+    types = read(s, d, "part").groupBy(F.col("p_brand").alias("type_id")).agg(F.min("p_type").alias("low"), F.max("p_type").alias("high"), F.min(F.split("p_name", " ")[0]).alias("colour"))
+    row = lambda key, kind, options, need, default: F.struct(F.lit(key).alias("attribute_key"), F.lit(kind).alias("field_type"), options.cast("array<string>").alias("options"), F.lit(need).alias("is_required"), F.lit(default).cast("string").alias("default_value"))
+    some_rows = F.array(row("tipo", "select", F.array("low", "high"), True, None), row("tamanho", "number", F.lit(None), True, None), row("preco", "boolean", F.lit(None), False, None), row("cor", "multiselect", F.array("colour"), False, "azul"))
+    return products, types.select("type_id", F.explode(F.when(F.col("type_id").endswith("1"), F.slice(some_rows, 1, 2)).otherwise(some_rows)).alias("t")).select("type_id", "t.*")
+
+
+@query("""
+    with t as (select p_brand, min(p_type) low, max(p_type) high, min(string_split(p_name, ' ')[1]) colour from part group by 1),
+    p as (select p_partkey as id, p_brand like '%1' as few, p_type not in (low, high) as bad_type, p_size = 7 as no_size, string_split(p_name, ' ')[1] as cor, colour from part join t using (p_brand)),
+    r as (select id, case when bad_type then 'tipo: not an option' end a, case when no_size then 'tamanho: missing' end b, case when few then 'preco: unknown' else 'preco: not a boolean' end c,
+                 case when few then case when cor not like 's%' then 'cor: unknown' end when cor like 's%' then case when colour <> 'azul' then 'cor: not an option' end when cor <> colour then 'cor: not an option' end e from p)
+    select id, array_to_string(list_sort(list_filter([a, b, c, e], lambda x: x is not null)), '; ') as reasons from r""")
+def attribute_rejects(s, d):
+    checked = templates.checked_attributes(*_attribute_rows(s, d))
+    return templates.rejected(checked).select("id", F.array_join("reasons", "; ").alias("reasons"))
