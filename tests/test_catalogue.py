@@ -1,6 +1,7 @@
 """Catalogue operators on small fixtures."""
 
 import csv
+import json
 import random
 import re
 import tracemalloc
@@ -13,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vendora.functions import columns as C
-from vendora.operators import analytics, enrich, ingest, lifecycle, reading
+from vendora.operators import analytics, enrich, ingest, lifecycle, reading, templates, writes
 from vendora.plans import checkpoints
 from vendora.sources import catalogue, delimited, html, pages, workbook
 
@@ -683,3 +684,112 @@ def test_searches_by_postings_read_few_rows_and_equal_the_scan(spark, tmp_path):
     wanted = reading.grams_of_term("bcda")
     keys = index.where(F.col("gram").isin(wanted)).groupBy("id").count().where(F.col("count") == len(wanted)).count()
     assert keys < 25
+
+
+# Written tables, templates, roll-ups
+
+
+def _files(path):
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_writes_touch_only_their_partitions(spark, tmp_path, monkeypatch):
+    path = tmp_path / "products"
+    where = f"file://{path}"
+    rows = spark.range(1000).selectExpr("1L tenant", "id", "cast(id as string) sku", "'old' nome")
+    writes.create(rows, where, ["tenant", "id"], 50)
+    before = _files(path)
+    changed = spark.createDataFrame([(1, i, f"{i}", "new") for i in (3, 500)] + [(2, 9000, "x", "made")], "tenant long, id long, sku string, nome string")
+    touched = writes.apply_changes(spark, where, changed, ["tenant", "id"])
+    after = _files(path)
+    same = {f for f, t in before.items() if after.get(f) == t}
+    assert 1 <= len(touched) <= 3 and len(same) == 50 - len(touched) and all(f"bucket_of_50={b}/" not in f for f in same for b in touched)
+    found = {(r.tenant, r.id): r.nome for r in writes.read(spark, where).collect()}
+    assert len(found) == 1001 and [found[k] for k in ((1, 3), (1, 500), (2, 9000), (1, 4))] == ["new", "new", "made", "old"]
+    assert writes.apply_changes(spark, where, changed.limit(0), ["tenant", "id"]) == [] and _files(path) == after
+
+    # A writer that ends before the change is marked leaves the old state.
+    again = changed.withColumn("nome", F.lit("newer"))
+    with monkeypatch.context() as m:
+        m.setattr(writes, "_put_mark", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            writes.apply_changes(spark, where, again, ["tenant", "id"])
+    assert {r.nome for r in writes.read(spark, where).collect()} == {"old", "new", "made"}
+    # One that ends after the mark leaves a change that the next reader completes.
+    with monkeypatch.context() as m:
+        m.setattr(writes, "complete", lambda *a: False)
+        writes.apply_changes(spark, where, again, ["tenant", "id"])
+    assert {r.nome for r in spark.read.parquet(where).collect()} == {"old", "new", "made"}
+    assert {r.nome for r in writes.read(spark, where).collect()} == {"old", "newer"}
+    assert not writes.complete(spark, where)
+    writes.apply_changes(spark, where, again, ["tenant", "id"])
+    assert not list(path.glob("_staged-*")) and not (path / "_pending").exists()
+
+
+def test_deletes_empty_partitions_too(spark, tmp_path):
+    where = f"file://{tmp_path}/t"
+    rows = spark.range(30).selectExpr("id", "'x' v")
+    writes.create(rows, where, ["id"], 8)
+    writes.delete_rows(spark, where, rows.where("id <> 7").select("id").union(spark.range(100, 102)), ["id"])
+    assert [tuple(r) for r in writes.read(spark, where).collect()] == [(7, "x")]
+    writes.delete_rows(spark, where, spark.range(8), ["id"])
+    writes.apply_changes(spark, where, spark.createDataFrame([(1, "y")], "id long, v string"), ["id"])
+    assert [tuple(r) for r in writes.read(spark, where).collect()] == [(1, "y")]
+    with pytest.raises(Exception, match="exist"):
+        writes.create(rows, where, ["id"], 8)
+
+
+def test_attributes_by_template(spark):
+    templates_ = spark.createDataFrame(
+        [("t", "cor", "select", ["azul", "verde"], True, None), ("t", "peso", "number", None, False, None), ("t", "ok", "boolean", None, True, "true"), ("t", "dia", "date", None, None, None), ("t", "tags", "multiselect", ["a", "b"], False, None), ("u", "x", "text", None, True, None)],
+        "type_id string, attribute_key string, field_type string, options array<string>, is_required boolean, default_value string",
+    )
+    good = {"cor": " azul ", "peso": "-1,50", "dia": "2024-02-29", "tags": "a, b,"}
+    bad = {"cor": "roxo", "peso": "1.2.3", "ok": "maybe", "dia": "2024-02-30", "tags": "a,c", "y": "1"}
+    products = spark.createDataFrame([(1, "t", good), (2, "t", bad), (3, "t", {"cor": " "}), (4, "u", {}), (5, None, {"x": "1"}), (6, "u", None)], "id long, type_id string, attributes map<string,string>")
+    checked = templates.checked_attributes(products, templates_)
+    assert {r.id: r.reasons for r in templates.rejected(checked).collect()} == {
+        2: ["cor: not an option", "dia: not a date", "ok: not a boolean", "peso: not a number", "tags: not an option", "y: unknown"],
+        3: ["cor: missing"], 4: ["x: missing"], 5: ["x: unknown"], 6: ["x: missing"],
+    }
+    assert {r.attribute_key: r.value for r in checked.where("id = 1").collect()} == {**good, "cor": "azul", "tags": "a, b,", "ok": "true"}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_roll_ups_equal_recounts_after_late_events(spark, seed):
+    rnd = random.Random(seed)
+    rows = [(i, rnd.randrange(5), rnd.choice(["a", "b", None]), f"2024-0{rnd.randint(1, 3)}-{rnd.randint(10, 28)} 10:00:00") for i in range(300)]
+    usage = spark.createDataFrame(rows, "event_id long, user_id long, action string, t string").selectExpr("event_id", "user_id", "action", "cast(t as timestamp_ntz) ts")
+    roll_up = analytics.month_counts(usage.where("event_id < 100"))
+    for upto in (101, 250, 250, 300):
+        roll_up = analytics.extended(roll_up, usage.where(F.col("event_id") < upto))
+        roll_up = analytics.compacted(roll_up) if rnd.random() < 0.5 else roll_up
+    for as_of in ("2024-01-05", "2024-02-01", "2024-03-31", "2024-04-01"):
+        want = sorted(map(str, analytics.usage_by_action(usage, as_of).collect()))
+        assert sorted(map(str, analytics.rolled_usage_by_action(roll_up, as_of).collect())) == want
+    empty = analytics.extended(analytics.month_counts(usage.limit(0)), usage)
+    assert empty.agg(F.sum("n")).first()[0] == 300
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.text(max_size=8), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(max_size=4), x, max_size=3), max_leaves=12), st.sampled_from([None, 1, ", ", "]", "x"]))
+def test_lists_are_cut_where_their_elements_end(value, broken):
+    text = json.dumps(value, ensure_ascii=False, indent=broken if broken == 1 else None)
+    bounds = ingest.element_bounds(f" {text}\n")
+    assert (bounds is None) == (not isinstance(value, list))
+    if bounds is not None:
+        assert [json.loads(f" {text}\n"[a:b]) for a, b in bounds] == value
+        assert ingest.element_bounds(text[:-1]) is None and ingest.element_bounds(text + "]") is None
+        if value:
+            assert ingest.element_bounds(text[:-1] + ",]") is None
+
+
+def test_rows_of_a_long_list_are_dealt_over_tasks(spark):
+    text = json.dumps([{"sku": f"S{i}", "nome_base": 'a "b", [c]'} for i in range(9_000)])
+    df = spark.createDataFrame([(1, text), (2, None), (3, "{}"), (4, "[1, 2"), (5, "[]"), (6, '["x", 2]')], "id long, t string")
+    rows = ingest.list_rows(df, "id", "t")
+    assert sorted((r.id, r.row_no, r.j) for r in rows.where("id <> 1").collect()) == [(6, 0, '"x"'), (6, 1, "2")]
+    first = rows.where("id = 1")
+    assert [r.row_no for r in first.orderBy("row_no").collect()] == list(range(9_000)) and json.loads(first.where("row_no = 8999").first().j)["sku"] == "S8999"
+    sizes = [r[1] for r in first.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 9_000

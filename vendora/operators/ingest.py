@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterable, Iterator
 from functools import reduce
 from operator import and_
@@ -450,6 +452,55 @@ def get_or_create(products: DataFrame, rows: DataFrame, fields: list[str], most:
     return tables.close(untouched.unionByName(known).unionByName(new.select("tenant", F.col("number").alias("id"), *names, F.lit("created").alias("change"))))
 
 
+def element_bounds(text: str) -> list[tuple[int, int]] | None:
+    """Where the elements of a JSON list begin and end in its text; None for other texts."""
+    decode, at, out = json.JSONDecoder().raw_decode, 0, []
+    space = re.compile(r"[ \t\n\r]*")
+    at = space.match(text, 0).end()
+    if text[at : at + 1] != "[":
+        return None
+    at = space.match(text, at + 1).end()
+    closed = text[at : at + 1] == "]"
+    at = space.match(text, at + closed).end()
+    while not closed:
+        try:
+            end = decode(text, at)[1]
+        except ValueError:
+            return None
+        out.append((at, end))
+        at = space.match(text, end).end()
+        closed = text[at : at + 1] == "]"
+        if not closed and text[at : at + 1] != ",":
+            return None
+        at = space.match(text, at + 1).end()
+    return out if at == len(text) else None
+
+
+#: Elements of a list that leave its task at a time.
+LIST_ROWS = 2_000
+
+
+def list_rows(df: DataFrame, key: str, column: str) -> DataFrame:
+    """key, row_no, j (text) of each element of the JSON lists in a column; a text that is no list, or is broken anywhere, has none.
+
+    A list is cut where its elements end and leaves its task a few rows at a time, dealt over all tasks, so only its
+    text is ever in one place, and what follows is as parallel as for a table.
+    """
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text = batch.column(1)[i].as_py()
+                bounds = element_bounds(text) if text else None
+                for low in range(0, len(bounds or ()), LIST_ROWS):
+                    part = bounds[low : low + LIST_ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(part), batch.column(0).type), pa.array(range(low, low + len(part)), pa.int64()), pa.array([text[a:b] for a, b in part], pa.string())], [key, "row_no", "j"])
+
+    rows = df.select(key, F.col(column).cast("string")).mapInArrow(cut, T.StructType([df.schema[key], T.StructField("row_no", T.LongType()), T.StructField("j", T.StringType())]))
+    return rows.repartition(F.xxhash64(key, "row_no"))
+
+
+@guarded
 def commit_job(jobs: DataFrame, job_id: int, user: int, products: DataFrame, schema: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
     """(products, jobs) after a staged job of the user is committed: its valid rows are applied one after another, invalid ones skipped, its status is COMPLETED.
 
@@ -457,8 +508,8 @@ def commit_job(jobs: DataFrame, job_id: int, user: int, products: DataFrame, sch
     JSON has.  A job of another user, or none, changes nothing.
     """
     mine = (F.col("id") == job_id) & (F.col("user_id") == user)
-    staged = jobs.where(mine).select(F.col("user_id").cast("bigint").alias("tenant"), F.posexplode(F.from_json("result_summary", "array<string>")).alias("row_no", "j"))
-    rows = staged.select("tenant", F.col("row_no").cast("bigint").alias("row_no"), F.from_json("j", schema).alias("r"), F.json_object_keys("j").alias("given")).where("r is not null").select("tenant", "row_no", "given", "r.*")
+    staged = list_rows(jobs.where(mine).select(F.col("user_id").cast("bigint").alias("tenant"), "result_summary"), "tenant", "result_summary")
+    rows = staged.select("tenant", "row_no", F.from_json("j", schema).alias("r"), F.json_object_keys("j").alias("given")).where("r is not null").select("tenant", "row_no", "given", "r.*")
     named = {c: F.col(c) for c in rows.columns if c in {*LENGTHS, *NOT_NEGATIVE}}
     good = rows.where(F.size(failed_rules(named)) == 0) if named else rows
     return get_or_create(products, good, fields), jobs.withColumn("status", F.when(mine, "COMPLETED").otherwise(F.col("status")))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS = 64
-_MARK = "_pending"
+_MARK, _TABLE = "_pending", "_table"
 
 
 def _system(spark: SparkSession, path: str):
@@ -34,44 +34,86 @@ def _placed(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     return rows.withColumn(name, F.pmod(F.xxhash64(*(F.col(k).cast("string") for k in keys)), F.lit(number)).cast("int"))
 
 
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def _put(spark: SparkSession, path: str, name: str, value: dict) -> None:
+    """A small file that is there as a whole or not at all."""
+    system, _ = _system(spark, path)
+    new = _sub(spark, path, f"{name}.new")
+    stream = system.create(new, True)
+    try:
+        stream.write(bytearray(json.dumps(value).encode()))
+    finally:
+        stream.close()
+    system.rename(new, _sub(spark, path, name))
+
+
+def _get(spark: SparkSession, path: str, name: str) -> dict | None:
+    system, _ = _system(spark, path)
+    place = _sub(spark, path, name)
+    if not system.exists(place):
+        return None
+    stream = system.open(place)
+    try:
+        return json.loads(bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
+    finally:
+        stream.close()
+
+
 def create(rows: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS) -> None:
     """A new table of rows, in partitions by a hash of its keys; a path that is there already is an error."""
     name = f"bucket_of_{buckets}"
-    _placed(rows, keys, name).repartition(name).write.partitionBy(name).parquet(path)
+    placed = _placed(rows, keys, name)
+    placed.repartition(name).write.partitionBy(name).parquet(path)
+    _put(rows.sparkSession, path, _TABLE, {"bucket": name, "schema": _ddl(placed)})
 
 
-def _bucket_column(table: DataFrame) -> str:
-    return next(c for c in table.columns if re.fullmatch(r"bucket_of_\d+", c))
+def _partitions(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
+    """All rows with the column of their partition, and its name; the table may be empty."""
+    table = _get(spark, path, _TABLE)
+    if table is None:
+        raise FileNotFoundError(f"no table at {path}")
+    return spark.read.schema(table["schema"]).parquet(path), table["bucket"]
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The rows of a table, after a change that was left unfinished is completed."""
     complete(spark, path)
-    table = spark.read.parquet(path)
-    return table.drop(_bucket_column(table))
+    rows, name = _partitions(spark, path)
+    return rows.drop(name)
 
 
 def complete(spark: SparkSession, path: str) -> bool:
     """Carry out a change that is marked; whether there was one."""
-    system, _ = _system(spark, path)
-    mark = _sub(spark, path, _MARK)
-    if not system.exists(mark):
+    change = _get(spark, path, _MARK)
+    if change is None:
         return False
-    stream = system.open(mark)
-    try:
-        change = json.loads(bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
-    finally:
-        stream.close()
+    system, _ = _system(spark, path)
     name, staged = change["bucket"], f"{path}/{change['staged']}"
     rows = spark.read.schema(change["schema"]).parquet(staged)
     rows.repartition(name).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(path)
     for bucket in change["emptied"]:
         system.delete(_sub(spark, path, f"{name}={bucket}"), True)
-    system.delete(mark, False)
+    system.delete(_sub(spark, path, _MARK), False)
     system.delete(_sub(spark, path, change["staged"]), True)
     return True
 
 
+def _put_mark(spark: SparkSession, path: str, change: dict) -> None:
+    """From here on the change holds."""
+    _put(spark, path, _MARK, change)
+
+
+def _clear(spark: SparkSession, path: str) -> None:
+    """Delete what writers left that ended before their mark."""
+    system, place = _system(spark, path)
+    for x in system.listStatus(place):
+        if x.getPath().getName().startswith("_staged-"):
+            system.delete(x.getPath(), True)
+
+
 def apply_changes(spark: SparkSession, path: str, changed: DataFrame, keys: list[str], gone: Column | None = None) -> list[int]:
     """Put changed rows (all columns of the table, new ones or new versions of old ones) in place; of those where gone holds the old rows go.
 
@@ -79,8 +121,8 @@ def apply_changes(spark: SparkSession, path: str, changed: DataFrame, keys: list
     Rows with the same keys as a changed one go, so keys should be unique in changed.
     """
     complete(spark, path)
-    table = spark.read.parquet(path)
-    name = _bucket_column(table)
+    _clear(spark, path)
+    table, name = _partitions(spark, path)
     columns = [c for c in table.columns if c != name]
     new = _placed(changed.select(*(F.col(c).cast(table.schema[c].dataType).alias(c) for c in columns), (F.lit(False) if gone is None else F.coalesce(gone, F.lit(False))).alias("_gone")), keys, name)
     new = new.persist()
@@ -96,13 +138,8 @@ def apply_changes(spark: SparkSession, path: str, changed: DataFrame, keys: list
         new.unpersist()
     system, _ = _system(spark, path)
     filled = {int(m[1]) for x in system.listStatus(_sub(spark, path, staged)) if (m := re.search(rf"{name}=(\d+)$", x.getPath().getName()))}
-    change = {"staged": staged, "bucket": name, "emptied": [b for b in touched if b not in filled], "schema": ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in every.schema)}
-    stream = system.create(_sub(spark, path, _MARK + ".new"), True)
-    try:
-        stream.write(bytearray(json.dumps(change).encode()))
-    finally:
-        stream.close()
-    system.rename(_sub(spark, path, _MARK + ".new"), _sub(spark, path, _MARK))
+    change = {"staged": staged, "bucket": name, "emptied": [b for b in touched if b not in filled], "schema": _ddl(every)}
+    _put_mark(spark, path, change)
     complete(spark, path)
     return touched
 
@@ -114,6 +151,6 @@ def apply_upsert(spark: SparkSession, path: str, state: DataFrame, keys: list[st
 
 def delete_rows(spark: SparkSession, path: str, rows: DataFrame, keys: list[str]) -> list[int]:
     """Delete the rows with these keys; keys that aren't there change nothing but rewrite their partition."""
-    table = spark.read.parquet(path)
-    others = [F.lit(None).cast(table.schema[c].dataType).alias(c) for c in table.columns if c not in keys and c != _bucket_column(table)]
+    table, name = _partitions(spark, path)
+    others = [F.lit(None).cast(table.schema[c].dataType).alias(c) for c in table.columns if c not in keys and c != name]
     return apply_changes(spark, path, rows.select(*keys, *others).distinct(), keys, F.lit(True))
