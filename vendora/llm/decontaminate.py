@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from vendora.llm.kernel import U, runs_of_sorted, shingle_hashes, words
 from vendora.llm.store import lean
+from vendora.plans.checkpoints import discard, materialize
 
 K1, B = 1.2, 0.75
 #: Share of an item's BM25 weight that a passage must cover to be verified.
@@ -252,7 +253,15 @@ def _shards(items: DataFrame) -> Iterator[list[Index]]:
             yield pa.RecordBatch.from_arrays([pa.array(each[starts].view(np.int64)), pa.array(lengths.astype(np.int64)), pa.array(np.zeros(len(starts), np.int64))], ["term", "n", "words"])
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([sum(len(w) > 0 for w in found)], pa.int64()), pa.array([sum(map(len, found))], pa.int64())], ["term", "n", "words"])
 
-    counts = rows.select("text").mapInArrow(lean(count), "term bigint, n bigint, words bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    # Counted once, however many shards read them.
+    counts = materialize(rows.select("text").mapInArrow(lean(count), "term bigint, n bigint, words bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words")))
+    try:
+        yield from _made(rows, counts, count)
+    finally:
+        discard(counts)
+
+
+def _made(rows: DataFrame, counts: DataFrame, count) -> Iterator[list[Index]]:
     whole = counts.where("term is null").first()
     if whole is None or not whole.n:
         return
