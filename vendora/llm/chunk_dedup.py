@@ -323,8 +323,8 @@ def lookups(x: np.ndarray, span: np.ndarray) -> np.ndarray:
     return out
 
 
-def _asked_row(x: np.ndarray) -> np.ndarray:
-    return x["in_doc"].astype(U) ^ mix(x["in_text"].astype(U))
+def _asked(x: np.ndarray) -> np.ndarray:
+    return _place(x["in_doc"], x["in_text"], x["in_at"])
 
 
 def _ask(least: int):
@@ -360,13 +360,13 @@ def _answer(buckets: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Deal(buckets, FOLLOWER, 1)
-        for found in gather(batches, {0: (FOLLOWER, _row_key), 2: (LOOKUP, _asked_row)}):
+        for found in gather(batches, {0: (FOLLOWER, _at_self), 2: (LOOKUP, _asked)}):
             x, ask = found[0], found[2]
             if not len(x) or not len(ask):
                 continue
             keys = _at_self(x) + x["size"]
             order = np.argsort(keys, kind="stable")
-            at = order[np.minimum(np.searchsorted(keys[order], _place(ask["in_doc"], ask["in_text"], ask["in_at"]) + ask["size"]), len(keys) - 1)]
+            at = order[np.minimum(np.searchsorted(keys[order], _asked(ask) + ask["size"]), len(keys) - 1)]
             same = (x["doc"][at] == ask["in_doc"]) & (x["text"][at] == ask["in_text"]) & (x["at"][at] == ask["in_at"])
             for name in ("size", "lead", "lead_text", "lead_at"):
                 same &= x[name][at] == ask[name]
@@ -415,7 +415,8 @@ def repeated_spans(docs: DataFrame, least: int = MIN_SPAN, within: bool = True)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
     there = lambda batch: in_bitmap(shared.value, batch.column("row").to_numpy())
     wanted = repeats.withColumn("row", row("doc", "text"))
-    asking = packed(wanted, _deal_rows(buckets, 0, _row_key, FOLLOWER, there)).unionByName(packed(lookup, _deal_rows(buckets, 2, _asked_row, LOOKUP)))
+    # By place, so that the units of a row that many ask are spread.
+    asking = packed(wanted, _deal_rows(buckets, 0, _at_self, FOLLOWER, there)).unionByName(packed(lookup, _deal_rows(buckets, 2, _asked, LOOKUP)))
     answers = packed(deal_out(asking, buckets), _answer(buckets))
     again = packed(asked.where("kind = 1"), _deal_rows(buckets, 1, _row_key, FOLLOWER)).unionByName(answers)
     several = deal_out(again, buckets).mapInArrow(lean(_spans(least)), ROWS)
