@@ -284,9 +284,15 @@ def type_resolution_by_key(s, d):
     return reading.resolve(types, last, "n_nationkey", "n_name", "owner", 2).select("n_nationkey", "n_name")
 
 
-@query("select unnest(['" + "', '".join(reading.USAGE_ACTIONS) + "']) as action")
+@query(f"""
+    select coalesce(k.action, e.action) as action, k.action is not null as known, coalesce(n, 0)::bigint as n_uses
+    from (select unnest(['{"', '".join(reading.USAGE_ACTIONS)}']) as action) k full join (select event_type as action, count(*) n from events group by 1) e on e.action = k.action""")
 def action_listing(s, d):
-    return s.createDataFrame([(a,) for a in reading.USAGE_ACTIONS], "action string")
+    """All kinds of usage, with their uses, and those in the log that aren't among them."""
+    known = s.createDataFrame([(a,) for a in reading.USAGE_ACTIONS], "action string").withColumn("known", F.lit(True))
+    seen = _usage(s, d).groupBy("action").agg(F.count("*").alias("n_uses"))
+    listed = known.join(seen, "action", "full")
+    return listed.select("action", F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("n_uses", F.lit(0)).alias("n_uses"))
 
 
 # Keep-latest, siblings, references
