@@ -1218,3 +1218,37 @@ def _attribute_rows(s, d):
 def attribute_rejects(s, d):
     checked = templates.checked_attributes(*_attribute_rows(s, d))
     return templates.rejected(checked).select("id", F.array_join("reasons", "; ").alias("reasons"))
+
+
+def _some_blank(s, d):
+    """Import rows of which short SKUs and EANs are empty or missing."""
+    short = lambda c, n, instead: F.when(F.length(c) <= n, F.lit(instead).cast("string")).otherwise(F.col(c)).alias(c)
+    return _import_rows(s, d).select("user_id", "event_id", short("sku", 1, ""), short("ean", 2, None))
+
+
+_BLANKS = _GREEDY.replace("json_extract_string(props, '$.k') sku", "case when length(json_extract_string(props, '$.k')) > 1 then json_extract_string(props, '$.k') end sku").replace("floor(value)::bigint::varchar ean", "case when length(floor(value)::bigint::varchar) > 2 then floor(value)::bigint::varchar end ean")
+
+
+@query(f"with recursive {_BLANKS} select user_id, event_id, accepted from g")
+def blank_key_dedup(s, d):
+    """Empty and missing keys clash with nothing."""
+    return ingest.greedy_dedup(_some_blank(s, d), "user_id", "event_id", ["sku", "ean"]).select("user_id", "event_id", "accepted")
+
+
+@query(f"with recursive {_BLANKS} select user_id, event_id, accepted from g")
+def blank_key_dedup_in_rounds(s, d):
+    """The same, with all users decided in rounds."""
+    rows = _some_blank(s, d)
+    return ingest.greedy_dedup(rows, "user_id", "event_id", ["sku", "ean"], most=1).select("user_id", "event_id", "accepted")
+
+
+@query("""
+    select p_partkey, p_name as nome_base, coalesce(case when p_size > 25 then p_type end, nullif(p_brand, 'Brand#7')) as obs, 1 + (p_size % 2) as n_leftovers
+    from part where p_size > 25 or p_brand <> 'Brand#7'
+    union all select p_partkey, p_name, null, p_size % 2 from part where p_size <= 25 and p_brand = 'Brand#7'""")
+def repeated_headers(s, d):
+    """Two columns whose headers differ in white space are one leftover: the last one with a value counts."""
+    part = read(s, d, "part")
+    rows = part.select("p_partkey", F.col("p_name").alias("nome"), F.nullif("p_brand", F.lit("Brand#7")).alias("Obs"), F.when(F.col("p_size") % 2 == 1, F.col("p_brand")).alias("Cor"), F.when(F.col("p_size") > 25, F.col("p_type")).alias("Obs "))
+    found = ingest.standardise(rows, ["nome", "Obs", "Cor", "Obs "], None, ("p_partkey",))
+    return found.select("p_partkey", "nome_base", F.try_element_at("leftovers", F.lit("Obs")).alias("obs"), F.size("leftovers").alias("n_leftovers"))
