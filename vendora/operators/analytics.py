@@ -61,7 +61,7 @@ def quota_remaining(users: DataFrame, limits: DataFrame, usage: DataFrame, as_of
     Rows of usage count, whatever credits they took.  limits has a row a plan.
     """
     used = usage.where(since_month_start(F.col("ts"), as_of)).groupBy("user_id").agg(F.count("*").alias("used"))
-    rows = users.join(F.broadcast(limits), "plan", "left").join(used, "user_id", "left")
+    rows = users.join(limits, "plan", "left").join(used, "user_id", "left")
     free = F.col("plan_limit").isNull() | (F.col("plan_limit") <= 0)
     left = F.when(free, F.lit(-1)).otherwise(F.col("plan_limit") - F.coalesce("used", F.lit(0))).cast("bigint")
     return rows.select("user_id", left.alias("remaining"), (free | (left > 0)).alias("allowed"))
@@ -72,7 +72,7 @@ def credit_check(users: DataFrame, limits: DataFrame, usage: DataFrame, need: in
     used = usage.where(since_month_start(F.col("ts"), as_of)).groupBy("user_id").agg(F.count("*").alias("used"))
     limit = F.coalesce(F.nullif(F.col("user_limit"), F.lit(0)), F.col("plan_limit")).cast("bigint")
     spent = F.coalesce("used", F.lit(0)).cast("bigint")
-    rows = users.join(F.broadcast(limits), "plan", "left").join(used, "user_id", "left")
+    rows = users.join(limits, "plan", "left").join(used, "user_id", "left")
     return rows.select("user_id", limit.alias("effective_limit"), spent.alias("used"), (limit.isNull() | (limit <= 0) | (spent + need <= limit)).alias("enough"))
 
 

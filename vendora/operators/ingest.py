@@ -554,7 +554,7 @@ DEFAULT_LIMITS = {"limite_produtos": 50, "limite_enriquecimento_web": 10, "limit
 
 def with_quotas(users: DataFrame, plans: DataFrame) -> DataFrame:
     """users with copies of their plan's limits, or the default ones if they have no plan or one that isn't there; plans: plan and the limits."""
-    rows = users.drop(*DEFAULT_LIMITS).join(F.broadcast(plans.select("plan", *DEFAULT_LIMITS, F.lit(True).alias("_found"))), "plan", "left")  # a row a plan
+    rows = users.drop(*DEFAULT_LIMITS).join(plans.select("plan", *DEFAULT_LIMITS, F.lit(True).alias("_found")), "plan", "left")
     limits = {c: F.when(F.col("_found"), F.col(c)).otherwise(F.lit(v)).cast("int") for c, v in DEFAULT_LIMITS.items()}
     return rows.withColumns(limits).drop("_found")
 

@@ -164,7 +164,7 @@ def product_search_count(s, d):
     select s_suppkey, s_name from supplier left join nation on n_nationkey = s_nationkey
     where lower(s_name) like '%11%' or lower('s' || s_suppkey || '@x.org') like '%11%' or lower(n_name) like '%11%' order by s_name, s_suppkey limit 10 offset 2""")
 def supplier_search_page(s, d):
-    named = read(s, d, "supplier").join(F.broadcast(read(s, d, "nation")), F.col("n_nationkey") == F.col("s_nationkey"), "left")
+    named = read(s, d, "supplier").join(read(s, d, "nation"), F.col("n_nationkey") == F.col("s_nationkey"), "left")
     rows = named.select("s_suppkey", F.col("s_name").alias("nome"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit("@x.org")).alias("email_contato"), F.col("n_name").alias("contato_principal"))
     found = reading.search(rows, reading.SUPPLIER_SEARCH, "11").select("s_suppkey", F.col("nome").alias("s_name"))
     return reading.page(found, [F.asc("s_name"), F.asc("s_suppkey")], 2, 10)
@@ -178,7 +178,7 @@ def admin_supplier_search(s, d):
 
 @query("select n_nationkey, n_name from nation left join region on r_regionkey = n_regionkey where lower('t' || n_nationkey) like '%a%' or lower(n_name) like '%a%' or lower(r_name) like '%a%' order by n_name, n_nationkey limit 200")
 def type_search_page(s, d):
-    named = read(s, d, "nation").join(F.broadcast(read(s, d, "region")), F.col("r_regionkey") == F.col("n_regionkey"), "left")
+    named = read(s, d, "nation").join(read(s, d, "region"), F.col("r_regionkey") == F.col("n_regionkey"), "left")
     rows = named.select("n_nationkey", F.concat(F.lit("t"), F.col("n_nationkey").cast("string")).alias("key_name"), F.col("n_name").alias("friendly_name"), F.col("r_name").alias("description"))
     found = reading.search(rows, reading.TYPE_SEARCH, "A").select("n_nationkey", F.col("friendly_name").alias("n_name"))
     return reading.page(found, [F.asc("n_name"), F.asc("n_nationkey")], 0, 200)

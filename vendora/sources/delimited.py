@@ -265,7 +265,7 @@ def _across(spark: SparkSession, paths: list[str], splits: list, sep: str, encod
 
     # The first row that isn't blank is the header; it lies in the first split of its file.
     top = every.where(F.length(F.regexp_replace(F.col("line").cast("string"), "[\r\n]", "")) > 0).groupBy("file").agg(F.min("at").alias("_top"))
-    body = every.join(F.broadcast(top), "file").where("at > _top").select("file", "at", "line")  # a row a file
+    body = every.join(F.broadcast(top), "file").where("at > _top").select("file", "at", "line")  # a row a file, whose names the driver holds as well
     read = body.mapInArrow(cells, ", ".join(f"{n} string" for n in [*names, f"`{SURPLUS}`", "_file"]) + ", _row bigint")
     return _named(read, header, surplus)
 
