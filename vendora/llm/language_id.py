@@ -202,7 +202,8 @@ def keep_identified(docs: DataFrame, profiles: Profiles) -> DataFrame:
     A text has one if it has letters: distances choose a language, they reject none, and
     where there are no profiles texts with letters stay too.  A null in a string column
     lang becomes the predicted language.  Null and empty texts and texts without letters
-    go; repeated rows are kept or go alike; no column but text (and lang) is touched.
+    go; repeated rows are kept or go alike; no column but text (and lang) is touched; an empty
+    table gives an empty one.
     """
     at = docs.columns.index("text")
     label = docs.columns.index("lang") if dict(docs.dtypes).get("lang") == "string" else None

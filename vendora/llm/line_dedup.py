@@ -547,7 +547,7 @@ def dedup_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS)
     are, and so does the text of a row without doc_id.  A text may lose all its lines
     and become empty.  Rows that repeat a doc_id and text are one occurrence: none of
     them loses a line to another; rows that repeat a doc_id with other texts are told
-    apart.
+    apart.  An empty table gives an empty one.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

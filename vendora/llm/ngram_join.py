@@ -532,7 +532,8 @@ def ngram_components(docs: DataFrame, short_list: int = SHORT_LIST) -> DataFrame
 
     Only doc_id and text are read.  A null or empty text, or one without words, has no
     shingles and links with nothing.  Rows that repeat a doc_id are told apart by their
-    texts.  A row without doc_id takes no part; its component is null.
+    texts.  A row without doc_id takes no part; its component is null.  An empty table gives
+    an empty one.
     """
     tables, every = Tables(), _keyed(docs)
     least = _classified(tables, every, short_list).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("vertex.first", "doc_id").alias("component_id"))

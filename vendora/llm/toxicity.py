@@ -271,7 +271,11 @@ def fit(sample: DataFrame, rate: float) -> ToxicityModel:
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """doc_id, score (0 to 1) of every whole text; null or empty texts score the curve at no evidence."""
+    """doc_id, score (0 to 1) of every whole text; null or empty texts score the curve at no evidence.
+
+    Repeated rows score alike, each with a row of its own; texts with one score are no case of
+    their own, as nothing is ranked; an empty table gives an empty one; other columns are ignored.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the sample's
 
