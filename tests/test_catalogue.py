@@ -488,16 +488,17 @@ class _Plain(HTMLParser):
     def handle_starttag(self, tag, attrs):
         has = dict(attrs)
         owner = next((x["item"] for x in reversed(self.stack) if x["item"] is not None), None)
-        entry = {"tag": tag, "item": None, "slot": None, "text": []}
+        entry = {"tag": tag, "item": None, "slots": [], "text": []}
         value = has.get("content", {"link": has.get("href"), "a": has.get("href"), "img": has.get("src")}.get(tag))
         if "itemscope" in has:
             entry["item"] = len(self.items)
             self.items.append([owner if has.get("itemprop") and owner is not None else None, []])
+            value = None
         if owner is not None:
             for name in (has.get("itemprop") or "").split():
                 self.items[owner][1].append([name, value, entry["item"]])
                 if entry["item"] is None and value is None:
-                    entry["slot"] = self.items[owner][1][-1]
+                    entry["slots"].append(self.items[owner][1][-1])
         if tag not in self.void:
             self.stack.append(entry)
 
@@ -507,8 +508,8 @@ class _Plain(HTMLParser):
 
     def handle_endtag(self, tag):
         entry = self.stack.pop()
-        if entry["slot"] is not None:
-            entry["slot"][1] = "".join(entry["text"])
+        for slot in entry["slots"]:
+            slot[1] = "".join(entry["text"])
 
 
 @settings(max_examples=150, deadline=None)
