@@ -181,7 +181,7 @@ def _round(tables: Tables, open_: DataFrame, names: list[str]) -> tuple[DataFram
 def _first_rows(tables: Tables, open_: DataFrame, names: list[str], most: int) -> tuple[DataFrame, DataFrame]:
     """(accepted, still open) after the first most rows of each tenant are scanned in order and the rows that share a key with accepted ones fell."""
     one = open_.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("top"))
-    placed = tables.write(numbered(open_, ["_t", "_o"], one))
+    placed = tables.own(numbered(open_, ["_t", "_o"], one))
     zero = placed.groupBy("_t").agg(F.min("number").alias("_zero"))
     placed = placed.join(zero, "_t").withColumn("_head", F.col("number") - F.col("_zero") < most)
     head = tables.write(_scan_in_order(placed.where("_head"), names))
