@@ -91,10 +91,10 @@ def largest_contained(paths: list[str], table: dict) -> tuple[str, ...] | None:
 def _layout_of(df: DataFrame, id_column: str) -> tuple[dict | str | None, list[str]]:
     """The mapping of a typed table, if a layout that it holds has one, and all its paths.
 
-    A table that holds a layout of BY_TURN is one of turns (the first such layout counts); else it is one of records.
+    A table that holds a layout of BY_TURN is one of turns (text goes before content, where a table has both); else it is one of records.
     """
     paths = [p for f in df.schema.fields if f.name != id_column for p in field_paths(f.dataType, f.name)]
-    by_turn = next((x for x in BY_TURN if set(x) <= set(paths)), None)
+    by_turn = max((x for x in BY_TURN if set(x) <= set(paths)), default=None)
     found = by_turn or largest_contained(paths, LAYOUTS)
     mappings = {fingerprint(list(x)): to for x, to in (LAYOUTS | BY_TURN).items()}
     return (mappings[fingerprint(list(found))] if found else None), paths
