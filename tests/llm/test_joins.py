@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vendora.llm import chunk_dedup, line_dedup, ngram_join, queries
@@ -92,6 +93,33 @@ def test_ngram_join_links_sets_of_unequal_size(spark, short_list):
     assert found == brute_ngram(rows)
 
 
+def test_block_keeps_the_links_that_join_components():
+    """Two groups of 40 near copies, each set a component: a link less than the sets of a group."""
+    rng = np.random.default_rng(8)
+    sets = [np.sort(np.concatenate((rng.choice(base, 95, replace=False), rng.integers(2**62, 2**63, 5, dtype=np.uint64)))) for base in (np.arange(i, i + 100, dtype=np.uint64) for i in (0, 10**6)) for _ in range(40)]
+    n = len(sets)
+    columns = {"cls": pa.array(range(n), pa.int64()), "chk": pa.array(range(n), pa.int64()), "comp": pa.array([7 * i for i in range(n)], pa.int64()), "shingles": pa.array([x.tobytes() for x in sets], pa.binary())}
+    found = ngram_join._block_search(None, pa.table(columns), pa.table(columns).rename_columns(["q", "qk", "q_comp", "q_shingles"])).to_pylist()
+    assert all(ngram_join.reaches(sets[r["a"]], sets[r["b"]]) for r in found)
+    every = [(a, b) for a, b in itertools.combinations(range(n), 2) if ngram_join.reaches(sets[a], sets[b])]
+    want = least_reachable(range(n), every)
+    assert len(every) > 500 and least_reachable(range(n), [(r["a"], r["b"]) for r in found]) == want
+    assert len(found) == n - len(set(want.values()))
+
+
+def test_links_of_near_copies_grow_with_their_number(spark, monkeypatch):
+    """A group that its pivots leave in parts, in one block and in several: links of one block are fewer than the copies."""
+    rows = list(enumerate(near_copies(random.Random(1), 1, 200, (120, 120), (1, 4))))
+    want, made = brute_ngram(rows), []
+    before = ngram_join._rest_links
+    monkeypatch.setattr(ngram_join, "_rest_links", lambda *x: made.append((out := before(*x)).count()) or out)
+    for block in (500_000, 5_000):
+        monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", block)
+        found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(spark.createDataFrame(rows, DOC)).collect()}
+        assert found == want
+    assert 0 < made[0] < len(rows)
+
+
 def test_prefixes_of_linked_sets_share_what_is_needed():
     rng = np.random.default_rng(3)
     for a in range(1, 120):

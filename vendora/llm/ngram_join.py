@@ -18,7 +18,8 @@ share at least T shingles, where T follows from the two sizes.
 5. Those that step 3 sent on and that are still outside the largest component are
    searched among all that it sent on: blocks of whole sets, of the size bands within
    reach, are inverted, and each query counts the shingles that it shares with each set
-   of a block.  A block has at most BLOCK_SHINGLES shingles.
+   of a block.  A block has at most BLOCK_SHINGLES shingles.  Of the links that are found in a block those that
+   join two components are kept, so they are fewer than its sets and queries.
 6. Links give connected components.
 
 So no list is expanded into all its pairs unless it is short, and no pair that reaches
@@ -358,8 +359,27 @@ def _pivots(mine: np.ndarray) -> np.ndarray:
 _LINK = "a bigint, ak bigint, b bigint, bk bigint"
 
 
+class Parts:
+    """Numbers below n in parts that links join; the smaller part is renamed, so that all joins take n log n steps."""
+
+    def __init__(self, n: int):
+        self.of = np.arange(n)
+        self.members = [[i] for i in range(n)]
+
+    def join(self, a: int, b: int) -> None:
+        a, b = sorted((self.of[a], self.of[b]), key=lambda x: len(self.members[x]))
+        if a != b:
+            self.of[self.members[a]] = b
+            self.members[b] += self.members[a]
+            self.members[a] = []
+
+
 def _block_search(key, block: pa.Table, queries: pa.Table) -> pa.Table:
-    """Links (a, ak, b, bk) between queries and sets of a block that are in different components."""
+    """Links (a, ak, b, bk) between queries and sets of a block that join different components.
+
+    A link between components that others of the block have joined is left out: what is
+    reachable stays the same, and the links are fewer than the components.
+    """
     out: list[list[np.ndarray]] = [[], [], [], []]
     if block.num_rows and queries.num_rows:
         sets = [np.frombuffer(x.as_buffer(), U) for x in block.column("shingles").combine_chunks()]
@@ -368,13 +388,18 @@ def _block_search(key, block: pa.Table, queries: pa.Table) -> pa.Table:
         order = np.argsort(every, kind="stable")
         every, holder = every[order], np.repeat(np.arange(len(sets)), sizes)[order]
         own, keys, comps = (block.column(c).to_numpy() for c in ("cls", "chk", "comp"))
-        asked = [queries.column(c).to_pylist() for c in ("q", "qk", "q_comp")]
-        for cls, chk, comp, x in zip(*asked, queries.column("q_shingles").combine_chunks(), strict=True):
+        names, at = np.unique(np.concatenate((comps, queries.column("q_comp").to_numpy())), return_inverse=True)
+        parts, at, q_at = Parts(len(names)), at[: len(sets)], at[len(sets) :]
+        asked = [queries.column(c).to_pylist() for c in ("q", "qk")]
+        for cls, chk, comp, x in zip(*asked, q_at, queries.column("q_shingles").combine_chunks(), strict=True):
             mine = np.frombuffer(x.as_buffer(), U)
             shared = _shared(every, holder, mine, sizes)
             if shared is None:
                 continue
-            good = np.flatnonzero((100 * shared >= 80 * (len(mine) + sizes - shared)) & (comps != comp))
+            good = np.flatnonzero((100 * shared >= 80 * (len(mine) + sizes - shared)) & (parts.of[at] != parts.of[comp]))
+            good = good[np.unique(parts.of[at[good]], return_index=True)[1]]
+            for other in at[good]:
+                parts.join(comp, other)
             for held, y in zip(out, (np.full(len(good), cls, np.int64), np.full(len(good), chk, np.int64), own[good], keys[good]), strict=True):
                 held.append(y)
     join = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64())
@@ -471,10 +496,10 @@ def _links(tables: Tables, rows: DataFrame, classes: DataFrame, pairs: DataFrame
     return _named(tables, pairs.join(left, "a").join(right, "b").select("a", "ak", "b", "bk", "x", "y").mapInArrow(lean(_verify), _LINK), classes)
 
 
-def _rest_links(tables: Tables, rows: DataFrame, classes: DataFrame, heavy: DataFrame, links: DataFrame) -> DataFrame:
-    """Links that pivots may have missed among the classes of heavy (cls, n)."""
+def _rest_links(tables: Tables, rows: DataFrame, classes: DataFrame, heavy: DataFrame, found: DataFrame) -> DataFrame:
+    """Links that pivots may have missed among the classes of heavy (cls, n), as far as they join components (id, component) of found."""
     firsts = heavy.join(classes, "cls").withColumn("id", F.struct("first", "cls", "chk"))
-    labelled = firsts.join(tables.own(components(links)), "id", "left").select("cls", "chk", "n", "first", F.xxhash64(F.coalesce("component", "id")).alias("comp"))
+    labelled = firsts.join(found, "id", "left").select("cls", "chk", "n", "first", F.xxhash64(F.coalesce("component", "id")).alias("comp"))
     labelled = tables.write(labelled.withColumn("band", F.floor(F.log("n") / math.log(1.25)).cast("int")))
     main = labelled.groupBy("comp").count().orderBy(F.desc("count"), "comp").limit(1).select(F.col("comp").alias("main"))
     sets = _sets_of(tables, rows, firsts.select("first"))
@@ -489,9 +514,9 @@ def _rest_links(tables: Tables, rows: DataFrame, classes: DataFrame, heavy: Data
     near = rest.withColumn("band", F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1))))).join(F.broadcast(bands), "band")
     queries = near.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), block(F.lit(asked)).alias("turn"), F.col("cls").alias("q"), F.col("chk").alias("qk"), F.col("comp").alias("q_comp"), F.col("shingles").alias("q_shingles"))
     queries = queries.toDF(*(f"q_{c}" for c in cell), "q", "qk", "q_comp", "q_shingles")
-    found = index.groupBy(*cell).cogroup(queries.groupBy(*(f"q_{c}" for c in cell))).applyInArrow(_block_search, _LINK)
+    joining = index.groupBy(*cell).cogroup(queries.groupBy(*(f"q_{c}" for c in cell))).applyInArrow(_block_search, _LINK)
     a, b = F.struct(F.col("a").alias("c"), F.col("ak").alias("k")), F.struct(F.col("b").alias("c"), F.col("bk").alias("k"))
-    ordered = found.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
+    ordered = joining.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
     return _named(tables, ordered.select(F.col("a.c").alias("a"), F.col("a.k").alias("ak"), F.col("b.c").alias("b"), F.col("b.k").alias("bk")), classes)
 
 
@@ -514,10 +539,11 @@ def _classified(tables: Tables, docs: DataFrame, short_list: int) -> DataFrame:
         posts = deal_out(heavy.select("a", "toks", "n").mapInArrow(lean(_heavy_postings(buckets)), PACKED), buckets)
         near = deal_out(posts.mapInArrow(lean(_heavy_lists(buckets, short_list)), PACKED), buckets).mapInArrow(lean(_candidates), "a bigint, b bigint, toks binary, n bigint")
         pairs = pairs.union(near.where("b is not null").select("a", "b"))
-    links = _links(tables, rows, classes, pairs)
+    found = tables.own(components(_links(tables, rows, classes, pairs)))
     if any_heavy:
-        links = links.union(_rest_links(tables, rows, classes, heavy.select(F.col("a").alias("cls"), "n"), links))
-    found = tables.own(components(links))
+        rest = _rest_links(tables, rows, classes, heavy.select(F.col("a").alias("cls"), "n"), found)
+        if not rest.isEmpty():  # what is linked already goes as one link of each vertex
+            found = tables.own(components(found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(rest)))
     vertices = classes.withColumn("id", F.struct("first", "cls", "chk")).join(found, "id", "left").select("cls", "chk", F.coalesce("component", "id").alias("vertex"))
     return numbered.join(vertices, ["cls", "chk"], "left").select("doc_id", "text_hash", "n", "vertex")
 
