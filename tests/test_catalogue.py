@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from vendora.functions import columns as C
 from vendora.operators import analytics, enrich, ingest, lifecycle, reading, templates, writes
-from vendora.plans import checkpoints
+from vendora.plans import checkpoints, registry
 from vendora.sources import catalogue, delimited, html, pages, workbook
 
 NO_PRODUCTS = "tenant bigint, id bigint, sku string, ean string, nome_base string, marca string"
@@ -796,3 +796,16 @@ def test_rows_of_a_long_list_are_dealt_over_tasks(spark):
     sizes = [r[1] for r in ingest.list_rows(df, "id", "t").where("id = 1").groupBy(F.spark_partition_id()).count().collect()]
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(sizes) > 1 and max(sizes) < 9_000
+
+
+def test_kept_texts_of_any_number_of_repeats(spark, tmp_path):
+    names = ["n", "", "Customer#000000001", "ação 😀", "x" * 15, "y" * 14_999, "z" * 15_000, "ü" * 20_000]
+    keys = [0, 1, 2, 3, 4, 6, 8, 10, 998, 1000, 1002, 14_998, 15_000, 15_002, 900_000, 2_000_000_002, 2_147_483_646, -4]
+    rows = [(k, n) for k in keys for n in names]
+    spark.createDataFrame(rows, "c_custkey long, c_name string").write.parquet(str(tmp_path / "customer.parquet"))
+    got = registry.QUERIES["status_by_parts"](spark, str(tmp_path)).collect()
+    full, some, none = "CONCLUIDO_SUCESSO", "CONCLUIDO_COM_DADOS_PARCIAIS", "NENHUMA_FONTE_ENCONTRADA"
+    status = lambda k: full if k % 5 == 0 else some if k % 2 == 0 else full if k % 3 == 0 else none
+    text = lambda k, n: (n * min(k, 15_000))[:15_000] if k % 2 == 0 else None
+    order = lambda r: (r[0], r[1], r[2] or "")
+    assert sorted((tuple(r) for r in got), key=order) == sorted(((k, status(k), text(k, n)) for k, n in rows), key=order)

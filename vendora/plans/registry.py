@@ -1041,10 +1041,14 @@ def import_result_summary(s, d):
     select c_custkey, case when c_custkey % 5 = 0 then 'CONCLUIDO_SUCESSO' when c_custkey % 2 = 0 then 'CONCLUIDO_COM_DADOS_PARCIAIS' when c_custkey % 3 = 0 then 'CONCLUIDO_SUCESSO' else 'NENHUMA_FONTE_ENCONTRADA' end as status,
         case when c_custkey % 2 = 0 then left(repeat(c_name, c_custkey::int), 15000) end as text from customer""")
 def status_by_parts(s, d):
+    """Texts are made to the characters kept, as further repeats can't change those; the rows are dealt over tasks first, as a few MB of names become GB of texts."""
     k = F.col("c_custkey")
     meta = (k % 5 == 0) | ((k % 2 != 0) & (k % 3 == 0))
-    text = F.when(k % 2 == 0, F.repeat("c_name", k.cast("int")))
-    return read(s, d, "customer").select("c_custkey", enrich.status_by_parts(text.isNotNull(), meta).alias("status"), enrich.kept_text(text).alias("text"))
+    enough = F.ceil(enrich.TEXT_KEPT / F.greatest(F.length("c_name"), F.lit(1)))
+    made = F.when(k % 2 == 0, F.repeat("c_name", F.least(k, enough).cast("int")))
+    rows = read(s, d, "customer").select("c_custkey", "c_name").repartition(s.sparkContext.defaultParallelism).select("c_custkey", made.alias("text"))
+    text = F.col("text")
+    return rows.select("c_custkey", enrich.status_by_parts(text.isNotNull(), meta).alias("status"), enrich.kept_text(text).alias("text"))
 
 
 # Files written from tables and read again
