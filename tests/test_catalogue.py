@@ -6,6 +6,7 @@ import random
 import re
 import tracemalloc
 import zipfile
+from collections import Counter
 from html.parser import HTMLParser
 
 import pytest
@@ -809,3 +810,34 @@ def test_kept_texts_of_any_number_of_repeats(spark, tmp_path):
     text = lambda k, n: (n * min(k, 15_000))[:15_000] if k % 2 == 0 else None
     order = lambda r: (r[0], r[1], r[2] or "")
     assert sorted((tuple(r) for r in got), key=order) == sorted(((k, status(k), text(k, n)) for k, n in rows), key=order)
+
+
+def _differences_from_sql(spark, folder, name, **tables):
+    """Rows that a registered query gives and its SQL doesn't, and the other way round."""
+    duckdb = pytest.importorskip("duckdb")
+    db = duckdb.connect()
+    for table, df in tables.items():
+        df.write.parquet(f"{folder}/{table}.parquet")
+        db.execute(f"create view {table} as select * from read_parquet('{folder}/{table}.parquet/*.parquet')")
+    wanted = db.execute(registry.SQL[name])
+    columns = [c[0] for c in wanted.description]
+    want = Counter(wanted.fetchall())
+    got = Counter(map(tuple, registry.QUERIES[name](spark, str(folder)).select(*columns).collect()))
+    assert want
+    return got - want, want - got
+
+
+def _pages_cut_in_references(spark):
+    """Pages whose heading and paragraphs end anywhere within character references."""
+    text = "a &lt;&amp;lt; b&quot;&#39; &amp;amp;&gt; c &amp;&amp; d"
+    long = " ".join(["word"] * 45)
+    page = lambda t: f"<html><body><div><a href=/x>Menu</a></div><article><h1>{t}</h1><p>{t}<p>{long} {t}</article></body></html>"
+    return spark.createDataFrame([(i, page(text[:i])) for i in range(1, len(text) + 1)], "page_id long, html string").coalesce(1)
+
+
+def test_items_keep_references_cut_short(spark, tmp_path):
+    pages = _pages_cut_in_references(spark)
+    parts = pages.select((F.col("page_id") + 1).alias("p_partkey"), F.lit("Brand#1").alias("p_brand"), F.lit("T").alias("p_type"), F.lit(9.5).alias("p_retailprice"))
+    assert _differences_from_sql(spark, tmp_path, "microdata_products", pages=pages, part=parts) == (Counter(), Counter())
+    (item,) = html.items_of('<div itemscope><a itemprop=u href="/?a=1&copy=2&amp;b=&eacute;&#233;&#xE9;">x</a><b itemprop=n>&notit; &nosuch; &#39 &eacute;</b></div>')
+    assert [p["value"] for p in item["properties"]] == ["/?a=1&copy=2&b=ééé", "&notit; &nosuch; &#39 é"]
