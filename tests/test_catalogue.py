@@ -841,3 +841,8 @@ def test_items_keep_references_cut_short(spark, tmp_path):
     assert _differences_from_sql(spark, tmp_path, "microdata_products", pages=pages, part=parts) == (Counter(), Counter())
     (item,) = html.items_of('<div itemscope><a itemprop=u href="/?a=1&copy=2&amp;b=&eacute;&#233;&#xE9;">x</a><b itemprop=n>&notit; &nosuch; &#39 &eacute;</b></div>')
     assert [p["value"] for p in item["properties"]] == ["/?a=1&copy=2&b=ééé", "&notit; &nosuch; &#39 é"]
+
+
+def test_main_text_keeps_references_cut_short(spark, tmp_path):
+    assert _differences_from_sql(spark, tmp_path, "page_article_text", pages=_pages_cut_in_references(spark)) == (Counter(), Counter())
+    assert [b["text"] for b in html.blocks_of("<h1>a &eacute &amp</h1><p>b &eacute; &notit; &#39<p><a href=x>c&amp;</a>")] == ["a &eacute &amp", "b é &notit; &#39", "c&"]
